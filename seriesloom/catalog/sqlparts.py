@@ -21,7 +21,7 @@ def using(names: str, body: str) -> str:
 
     for n in names.split():
         visit(n)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n][1]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n][1]})" for n in order) + "\n" + body
 
 
 # --- manifest from events -------------------------------------------------------------------------
@@ -38,7 +38,7 @@ part("periods", ("event_rows",), """
 part("bouts", ("periods",), """
   SELECT e.*, p.first_date, p.week, p.session_order, p.period_order FROM event_rows e JOIN periods p USING (subject, period_date)""")
 part("samples", (), """
-  SELECT user_id AS series_id, event_id AS i, epoch_ms(ts) AS t_ms, value AS x,
+  SELECT user_id AS series_id, event_id AS i, (epoch_us(ts) // 1000) AS t_ms, value AS x,
          CAST(json_extract(props, '$.k') AS DOUBLE) AS y, CAST(hour(ts) AS DOUBLE) AS z FROM events""")
 
 # --- packed signals from embeddings ---------------------------------------------------------------
@@ -98,7 +98,7 @@ part("vote", ("wtop",), """
   SELECT repeat, n_team, k, role, series_id, subject, cls, c, sum(top + 0.001 * p) AS score, count(*) AS n_windows
   FROM wtop GROUP BY ALL""")
 part("preds", ("vote",), """
-  SELECT repeat, n_team, k, role, series_id, subject, cls AS true, c AS pred, n_windows FROM (
+  SELECT repeat, n_team, k, role, series_id, subject, cls AS truth, c AS pred, n_windows FROM (
     SELECT *, row_number() OVER (PARTITION BY repeat, n_team, k, series_id ORDER BY score DESC, c) AS rn FROM vote) WHERE rn = 1""")
 
 
@@ -108,7 +108,7 @@ def scores_sql(preds: str, keys: str, n_classes: int = 10, pred: str = "pred") -
       SELECT {keys}, CAST(sum(s) AS BIGINT) AS n_bouts, sum(2.0 * tp / (s + q)) / {n_classes} AS macro_f1,
              avg(CASE WHEN s > 0 THEN tp / s::DOUBLE END) AS balanced_acc, sum(tp) / sum(s)::DOUBLE AS accuracy
       FROM (SELECT {keys}, c, sum(t) AS tp, sum(s) AS s, sum(q) AS q FROM (
-              SELECT {keys}, true AS c, 1 AS s, 0 AS q, CAST(true = {pred} AS INTEGER) AS t FROM {preds}
+              SELECT {keys}, truth AS c, 1 AS s, 0 AS q, CAST(truth = {pred} AS INTEGER) AS t FROM {preds}
               UNION ALL SELECT {keys}, {pred} AS c, 0, 1, 0 FROM {preds}) GROUP BY ALL) GROUP BY ALL"""
 
 

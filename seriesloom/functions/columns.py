@@ -29,10 +29,12 @@ def recode_prefix(col: str, prefix: str, label: str) -> Column:
     return F.when(F.col(col).startswith(prefix), label).otherwise(F.col(col))
 
 
-def pretty_label(col: str) -> Column:
-    """'BENCH_PRESS' -> 'Bench press'."""
-    text = F.lower(F.replace(F.col(col), F.lit("_"), F.lit(" ")))
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.expr(f"substring(lower(replace({col}, '_', ' ')), 2)"))
+def pretty_label(col: str, strip: str = "BB_", exceptions: dict[str, str] | None = None) -> Column:
+    """'BENCH_PRESS' -> 'Bench Press': drop a prefix, underscores to blanks, capitalise, then fixed exceptions."""
+    text = F.initcap(F.replace(F.replace(F.col(col), F.lit(strip), F.lit("")), F.lit("_"), F.lit(" ")))
+    for old, new in (exceptions or {}).items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def class_list(col: str) -> Column:

@@ -14,7 +14,7 @@ def class_counts(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     Each prediction is seen once as truth and once as call; both sides sum map-side.
     """
     sides = F.array(
-        F.struct(F.col("true").alias("c"), F.lit(1).alias("s"), F.lit(0).alias("p"), (F.col("true") == F.col("pred")).cast("int").alias("t")),
+        F.struct(F.col("truth").alias("c"), F.lit(1).alias("s"), F.lit(0).alias("p"), (F.col("truth") == F.col("pred")).cast("int").alias("t")),
         F.struct(F.col("pred").alias("c"), F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).alias("t")))
     d = preds.select(*keys, F.explode(sides).alias("_e"))
     return d.groupBy(*keys, F.col("_e.c").alias("c")).agg(
@@ -37,18 +37,18 @@ def subject_scores(preds: DataFrame, keys: Sequence[str], n_classes: int, labels
 
 def confusion(preds: DataFrame, n_classes: int) -> DataFrame:
     """true x pred counts over the complete label grid, with the share of the true class in percent."""
-    n = preds.groupBy("true", "pred").agg(F.count(F.lit(1)).alias("n"))
+    n = preds.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
     classes = F.sequence(F.lit(0), F.lit(n_classes - 1))
-    grid = preds.sparkSession.range(1).select(F.explode(classes).alias("true")).withColumn("pred", F.explode(classes))
-    full = grid.join(n, ["true", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    row = F.sum("n").over(Window.partitionBy("true"))
+    grid = preds.sparkSession.range(1).select(F.explode(classes).alias("truth")).withColumn("pred", F.explode(classes))
+    full = grid.join(n, ["truth", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    row = F.sum("n").over(Window.partitionBy("truth"))
     return full.withColumn("pct", F.when(row > 0, 100 * F.col("n") / row))
 
 
 def top_confusions(preds: DataFrame, k: int) -> DataFrame:
     """The k most frequent mistakes, ties by class."""
-    return (preds.where("true <> pred").groupBy("true", "pred").agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), "true", "pred").limit(k))
+    return (preds.where("truth <> pred").groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("n"), "truth", "pred").limit(k))
 
 
 def two_level_mean(rows: DataFrame, keys: Sequence[str], unit: str, value: Column, name: str) -> DataFrame:
@@ -61,7 +61,7 @@ def calibration_bins(windows: DataFrame, n_bins: int) -> DataFrame:
     """Stated confidence against observed accuracy per equal-width bin, with the expected calibration error."""
     bin_ = F.least(F.floor(F.col("conf") * n_bins), F.lit(n_bins - 1)).cast("int")
     b = windows.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("mean_conf"),
-                                               F.avg((F.col("pred") == F.col("true")).cast("double")).alias("accuracy"))
+                                               F.avg((F.col("pred") == F.col("truth")).cast("double")).alias("accuracy"))
     # at most n_bins rows from here on
     gap = F.col("n") * F.abs(F.col("mean_conf") - F.col("accuracy"))
     w = Window.partitionBy(F.lit(0))

@@ -27,14 +27,14 @@ def vote_series(windows: DataFrame, keys: Sequence[str], n_classes: int, weight:
     d = windows.withColumn("_top", first_argmax(F.col("proba")))
     sums = [F.sum(c) for c in _scores(n_classes, weight).values()]
     out = d.groupBy(*keys, "series_id", "subject", "cls").agg(F.array(*sums).alias("_s"), F.count(F.lit(1)).alias("n_windows"))
-    return out.select(*keys, "series_id", "subject", F.col("cls").alias("true"), first_argmax(F.col("_s")).alias("pred"), "n_windows")
+    return out.select(*keys, "series_id", "subject", F.col("cls").alias("truth"), first_argmax(F.col("_s")).alias("pred"), "n_windows")
 
 
 def mean_proba_call(windows: DataFrame, keys: Sequence[str], n_classes: int) -> DataFrame:
     """Series probability = mean over its windows; label = argmax, confidence = max."""
     d = windows.groupBy(*keys, "series_id", "subject", "cls").agg(
         F.array(*[F.avg(F.get("proba", F.lit(c))) for c in range(n_classes)]).alias("_p"))
-    return d.select(*keys, "series_id", "subject", F.col("cls").alias("true"), first_argmax(F.col("_p")).alias("pred"),
+    return d.select(*keys, "series_id", "subject", F.col("cls").alias("truth"), first_argmax(F.col("_p")).alias("pred"),
                     F.array_max("_p").alias("conf"))
 
 
@@ -46,7 +46,7 @@ def running_vote(windows: DataFrame, keys: Sequence[str], n_classes: int, window
     """
     d = windows.withColumn("_top", first_argmax(F.col("proba"))).withColumns(_scores(n_classes, weight))
     cols = [f"_v{c}" for c in range(n_classes)]
-    d = d.select(*keys, "series_id", "subject", F.col("cls").alias("true"), "w", (F.col("t0_s") + F.lit(window_s)).alias("end_s"), *cols)
+    d = d.select(*keys, "series_id", "subject", F.col("cls").alias("truth"), "w", (F.col("t0_s") + F.lit(window_s)).alias("end_s"), *cols)
     run = split_running_sum(d, [*keys, "series_id"], ["w"], F.floor(F.col("w") / piece_windows), cols)
     call = first_argmax(F.array(*[F.col(f"run_{c}") for c in cols]))
     return run.withColumn("call", call).drop(*cols, *[f"run_{c}" for c in cols])
@@ -61,9 +61,9 @@ def asof_calls(running: DataFrame, keys: Sequence[str], times: Sequence[float])
     at = [F.struct(F.lit(float(t)).alias("t_s"), F.coalesce(
         F.max_by("call", F.when(F.col("end_s") <= t, F.col("end_s"))), first).alias("call")) for t in times]
     last = F.struct(F.lit(None).cast("double").alias("t_s"), F.max_by("call", "end_s").alias("call"))
-    d = running.groupBy(*keys, "series_id", "subject", "true").agg(
+    d = running.groupBy(*keys, "series_id", "subject", "truth").agg(
         F.array(*at, last).alias("_c"), F.max("end_s").alias("set_duration_s"))
-    return d.select(*keys, "series_id", "subject", "true", "set_duration_s", F.explode("_c").alias("_c")).select(
+    return d.select(*keys, "series_id", "subject", "truth", "set_duration_s", F.explode("_c").alias("_c")).select(
         "*", "_c.t_s", "_c.call").drop("_c")
 
 
@@ -73,8 +73,8 @@ def stable_since(running: DataFrame, keys: Sequence[str]) -> DataFrame:
     Takes two aggregates with partial sums instead of an ordered pass: the last wrong window first,
     then the earliest window after it.
     """
-    g = [*keys, "series_id", "subject", "true"]
-    wrong = F.when(F.col("call") != F.col("true"), F.col("w"))
+    g = [*keys, "series_id", "subject", "truth"]
+    wrong = F.when(F.col("call") != F.col("truth"), F.col("w"))
     last = running.groupBy(*g).agg(F.max(wrong).alias("_lw"), F.max("end_s").alias("set_duration_s"))
     after = running.join(last, g).where(F.col("_lw").isNull() | (F.col("w") > F.col("_lw")))
     found = after.groupBy(*g).agg(F.min("end_s").alias("stable_s"))
