@@ -1 +1,175 @@
-"""Registered queries."""
+"""Signal queries: re-timing, resampling, filters, windows, features, augmentation."""
+
+from pyspark.sql import functions as F
+
+from seriesloom.catalog.audit import piece
+from seriesloom.catalog.registry import query, rounded
+from seriesloom.catalog.sqlparts import using
+from seriesloom.functions import arrays as AR
+from seriesloom.operators import features as FE
+from seriesloom.operators import joins as J
+from seriesloom.operators import packed as PK
+from seriesloom.operators import signal as S
+from seriesloom.sources import adapters as AD
+
+GRID_HZ = 1 / 21600  # one grid point per six hours of the event stream
+WIN = (1.0, 0.75, AD.FS)
+
+INDEXED = """, ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY i) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n,
+  first_value(t_ms) OVER (PARTITION BY series_id ORDER BY i) AS t0,
+  (last_value(t_ms) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+   - first_value(t_ms) OVER (PARTITION BY series_id ORDER BY i)) / 1000.0::DOUBLE AS dur FROM samples)""".replace("\n", " ")
+
+
+def windows(spark, d):
+    return FE.sliding_windows(AD.signals(spark, d), *WIN)
+
+
+@query("retime_even", using("samples", INDEXED + "SELECT series_id, idx, x, y, z, idx * dur / (n - 1) AS t_s FROM ix"))
+def retime_even(spark, d):
+    return S.retime_even(AD.samples(spark, d), ["i"], piece())
+
+
+@query("resample_linear", using("samples", INDEXED + f""", g AS (SELECT series_id, n, {GRID_HZ} * dur / (n - 1) AS r, unnest(range(0, CAST(floor(dur * {GRID_HZ} + 1e-9) AS BIGINT) + 1)) AS g
+    FROM (SELECT DISTINCT series_id, n, dur FROM ix WHERE n >= 16 AND dur > 0)),
+  h AS (SELECT *, least(CAST(floor(g / r) AS BIGINT), n - 2) AS j FROM g)
+  SELECT h.series_id, g, round(g / {GRID_HZ}, 6) AS t_s, {', '.join(f'round(a.{c} + least(1.0, g / r - j) * (b.{c} - a.{c}), 6) AS {c}' for c in 'xyz')}
+  FROM h JOIN ix a ON (a.series_id, a.idx) = (h.series_id, j) JOIN ix b ON (b.series_id, b.idx) = (h.series_id, j + 1)""".replace("\n", " ")))
+def resample_linear(spark, d):
+    return rounded(S.resample_linear(AD.samples(spark, d), ["i"], piece(), GRID_HZ))
+
+
+@query("timing_check", using("samples", INDEXED + """, v AS (SELECT *, abs(t_ms - (t0 + idx * dur * 1000 / (n - 1))) AS dev, t_ms = lag(t_ms) OVER w AS st,
+    x = lag(x) OVER w AND y = lag(y) OVER w AND z = lag(z) OVER w AS sv FROM ix WINDOW w AS (PARTITION BY series_id ORDER BY i))
+  SELECT series_id, round(avg(st::INTEGER), 6) AS frac_same_t, round(avg((st AND sv)::INTEGER), 6) AS frac_same_t_and_v, round(avg(sv::INTEGER), 6) AS frac_same_v,
+  round(max(dev), 3) AS dev_ms_max, round(quantile_cont(dev, 0.95), 3) AS dev_ms_p95 FROM v GROUP BY ALL""".replace("\n", " ")))
+def timing_check(spark, d):
+    t = S.timing_check(AD.samples(spark, d), ["i"], piece())
+    return rounded(t.withColumns({c: F.round(c, 3) for c in ("dev_ms_max", "dev_ms_p95")}))
+
+
+@query("lowpass_zero_phase")
+def lowpass_zero_phase(spark, d):
+    # cutoff at a fifth of each series' own rate, as a column
+    cut = F.col("fs") * F.lit(0.2)
+    return rounded(S.lowpass_zero_phase(AD.samples(spark, d), ["i"], piece(), poles=4, cutoff=cut))
+
+
+@query("lowpass_packed")
+def lowpass_packed(spark, d):
+    return PK.lowpass_packed(AD.signals(spark, d), 4, 2.0, AD.FS)
+
+
+@query("split_gravity_motion", using("wpoints", """SELECT CAST(count(DISTINCT (series_id, w)) AS BIGINT) AS matched, 0::BIGINT AS only_left, 0::BIGINT AS only_right,
+  0.0::DOUBLE AS max_abs_diff FROM wpoints"""))
+def split_gravity_motion(spark, d):
+    """Gravity and motion windows have the same keys, and their sum is the full signal."""
+    s = AD.signals(spark, d)
+    w = {v: FE.sliding_windows(PK.split_variant(s, v, AD.FS), *WIN) for v in ("full", "gravity", "motion")}
+    flat = lambda df: df.select("series_id", "w", F.slice(F.flatten("ch"), 1, 24).alias("v"))
+    total = flat(w["gravity"]).alias("g").join(flat(w["motion"]).alias("m"), ["series_id", "w"]).select(
+        "series_id", "w", F.zip_with("g.v", "m.v", lambda a, b: a + b).alias("s"))
+    both = flat(w["full"]).join(total, ["series_id", "w"], "full").withColumn(
+        "d", F.array_max(F.zip_with("v", "s", lambda a, b: F.abs(a - b))))
+    return both.agg(F.count(F.when(F.col("v").isNotNull() & F.col("s").isNotNull(), 1)).alias("matched"),
+                    F.count(F.when(F.col("s").isNull(), 1)).alias("only_left"), F.count(F.when(F.col("v").isNull(), 1)).alias("only_right"),
+                    F.round(F.max("d"), 6).alias("max_abs_diff"))
+
+
+@query("edge_trim", using("points", "SELECT series_id, c, round(sum(v), 6) AS total, count(*) AS n FROM points WHERE s >= 2 AND s < 14 GROUP BY ALL"))
+def edge_trim(spark, d):
+    s = FE.edge_trim(AD.signals(spark, d), 2).select("series_id", F.posexplode("ch").alias("c", "a"))
+    return rounded(s.select("series_id", "c", AR.total(F.col("a")).alias("total"), F.size("a").cast("bigint").alias("n")))
+
+
+@query("sliding_windows", using("wpoints", """SELECT series_id, subject, cls, w::INTEGER AS w, t0_s, count(DISTINCT i) AS n_samples, round(sum(v), 6) AS total, round(min(v) FILTER (i = 0 AND c = 0), 6) AS first_x
+  FROM wpoints GROUP BY ALL"""))
+def sliding_windows(spark, d):
+    w = windows(spark, d)
+    return rounded(w.select("series_id", "subject", "cls", "w", "t0_s", F.size(F.get("ch", F.lit(0))).cast("bigint").alias("n_samples"),
+                            AR.total(F.flatten("ch")).alias("total"), F.get(F.get("ch", F.lit(0)), F.lit(0)).alias("first_x")))
+
+
+@query("short_series", "SELECT doc_id AS series_id, n_words AS n_samples FROM (SELECT doc_id, len(string_split(text, ' ')) AS n_words FROM documents) WHERE n_words < 50")
+def short_series(spark, d):
+    """Documents as series of word lengths: those with fewer samples than a 50-sample window are reported."""
+    from seriesloom.session import table
+
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("series_id"), F.array(
+        F.transform(F.split("text", " "), lambda w: F.length(w).cast("double"))).alias("ch"))
+    return FE.short_series(t, 50.0, 0.5, 1.0).select("series_id", F.col("n_samples").cast("bigint").alias("n_samples"))
+
+
+CHAN = "CASE c WHEN 0 THEN 'x' WHEN 1 THEN 'y' WHEN 2 THEN 'z' ELSE 'mag' END AS channel"
+STATS_SQL = f"""SELECT series_id, w::INTEGER AS w, {CHAN}, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max,
+  round(max(v) - min(v), 6) AS range, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(sqrt(avg(v * v)), 6) AS rms,
+  round(avg(cc ** 3) / avg(cc ** 2) ** 1.5, 6) AS skew, round(avg(cc ** 4) / avg(cc ** 2) ** 2 - 3, 6) AS kurt
+  FROM (SELECT *, v - avg(v) OVER (PARTITION BY series_id, w, c) AS cc FROM wpoints) GROUP BY series_id, w, c"""
+SHAPE_SQL = f"""SELECT series_id, w::INTEGER AS w, {CHAN}, round(sum(((cc < 0) <> (pc < 0))::INTEGER) / 8.0::DOUBLE, 6) AS zc, round(avg(abs(v - pv)) * 8.0, 6) AS jerk FROM (
+  SELECT *, lag(cc) OVER o AS pc, lag(v) OVER o AS pv FROM (SELECT *, v - avg(v) OVER (PARTITION BY series_id, w, c) AS cc FROM wpoints)
+  WINDOW o AS (PARTITION BY series_id, w, c ORDER BY i)) GROUP BY series_id, w, c"""
+SPEC_SQL = f"""SELECT series_id, w::INTEGER AS w, {CHAN}, round(arg_max(k, p) * 8.0 / 8, 6) AS domf, round(max(p) / greatest(sum(p), 1e-12), 6) AS domp,
+  round(-sum(p / t * ln(greatest(p / t, 1e-12))) / ln(4), 6) AS spent FROM (
+  SELECT *, greatest(sum(p) OVER (PARTITION BY series_id, w, c), 1e-12) AS t FROM (
+    SELECT series_id, w, c, k, sum(cc * cos(2 * pi() * k * i / 8)) ** 2 + sum(cc * sin(2 * pi() * k * i / 8)) ** 2 AS p FROM (
+      SELECT *, v - avg(v) OVER (PARTITION BY series_id, w, c) AS cc FROM wpoints), (SELECT unnest(range(1, 5)) AS k) GROUP BY ALL)) GROUP BY series_id, w, c"""
+CORR_SQL = """SELECT series_id, w::INTEGER AS w, round(coalesce(corr(x, y), 0), 6) AS corr_xy, round(coalesce(corr(x, z), 0), 6) AS corr_xz, round(coalesce(corr(y, z), 0), 6) AS corr_yz FROM (
+  SELECT series_id, w, i, max(v) FILTER (c = 0) AS x, max(v) FILTER (c = 1) AS y, max(v) FILTER (c = 2) AS z FROM wpoints GROUP BY ALL) GROUP BY ALL"""
+
+
+@query("stats_features", using("wpoints", STATS_SQL))
+def stats_features(spark, d):
+    return rounded(AR.drop_helpers(AR.stats_features(FE.by_channel(windows(spark, d)))).select("series_id", "w", "channel", *AR.STATS))
+
+
+@query("shape_features", using("wpoints", SHAPE_SQL))
+def shape_features(spark, d):
+    return rounded(AR.shape_features(FE.by_channel(windows(spark, d)), AD.FS).select("series_id", "w", "channel", *AR.SHAPE))
+
+
+@query("spectral_features", using("wpoints", SPEC_SQL))
+def spectral_features(spark, d):
+    return rounded(AR.spectral_features(FE.by_channel(windows(spark, d)), AD.FS).select("series_id", "w", "channel", *AR.SPECTRUM))
+
+
+@query("axis_correlations", using("wpoints", CORR_SQL))
+def axis_correlations(spark, d):
+    return rounded(FE.axis_correlations(windows(spark, d)).select("series_id", "w", "corr_xy", "corr_xz", "corr_yz"))
+
+
+def _wide(cols, block):
+    return ", ".join(f"max({block}.{s}) FILTER ({block}.channel = '{c}') AS {c}_{s}" for c in FE.CHANNELS for s in cols)
+
+
+@query("window_features", using("wpoints", f""", st AS ({STATS_SQL}), sh AS ({SHAPE_SQL}), sp AS ({SPEC_SQL}), co AS ({CORR_SQL})
+  SELECT st.series_id, st.w, {_wide(AR.STATS, 'st')}, {_wide(AR.SHAPE, 'sh')}, {_wide(AR.SPECTRUM, 'sp')},
+    max(corr_xy) AS corr_xy, max(corr_xz) AS corr_xz, max(corr_yz) AS corr_yz
+  FROM st JOIN sh USING (series_id, w, channel) JOIN sp USING (series_id, w, channel) JOIN co USING (series_id, w) GROUP BY ALL""".replace("\n", " ")))
+def window_features(spark, d):
+    f = FE.window_features(windows(spark, d), AD.FS)
+    return rounded(f.select("series_id", "w", *FE.feature_names()))
+
+
+@query("series_measures")
+def series_measures(spark, d):
+    return rounded(PK.series_measures(AD.signals(spark, d), AD.FS))
+
+
+@query("augment_retime_scale")
+def augment_retime_scale(spark, d):
+    a = PK.augment_retime_scale(AD.signals(spark, d), 4, 11, AD.FS, max_degrees=15.0)
+    return FE.sliding_windows(a, *WIN).select("sim_id", "subject", "cls", "w", "t0_s", "ch")
+
+
+@query("augment_permute_rotate")
+def augment_permute_rotate(spark, d):
+    w = FE.sliding_windows(AD.signals(spark, d), 2.0, 0.5, AD.FS)
+    return PK.augment_permute_rotate(w, 2, 11, min_piece=2)
+
+
+@query("window_duplicates", using("wpoints", """SELECT CAST(count(*) FILTER (copies > 1) AS BIGINT) AS repeated_windows, count(*) AS distinct_windows FROM (
+  SELECT h, count(*) AS copies FROM (SELECT series_id, w, md5(string_agg(CAST(CAST(round(v * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY c, i)) AS h FROM wpoints GROUP BY ALL) GROUP BY ALL)"""))
+def window_duplicates(spark, d):
+    h = windows(spark, d).select(F.md5(F.array_join(F.transform(F.flatten("ch"), lambda v: F.round(v * 10000).cast("bigint").cast("string")), ",")).alias("h"))
+    g = h.groupBy("h").agg(F.count(F.lit(1)).alias("copies"))
+    return g.agg(F.count(F.when(F.col("copies") > 1, 1)).alias("repeated_windows"), F.count(F.lit(1)).alias("distinct_windows"))

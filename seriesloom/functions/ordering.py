@@ -106,3 +106,26 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Data
     r = value_ranks(df, keys, value).select(
         *keys, value, (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(name))
     return df.join(r, [*keys, value])
+
+
+def split_enumerate(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, cols: Sequence[str],
+                    ends: str) -> DataFrame:
+    """0-based position ``idx``, group size ``n_total``, previous values and the group's first and last ``ends``.
+
+    Everything that crosses pieces comes from one summary row per piece.
+    """
+    parts = [*keys, "_piece"]
+    pos = F.struct(*order)
+    d = df.withColumn("_piece", piece).withColumn("_v", F.struct(*cols))
+    s = d.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"), F.max_by("_v", pos).alias("_last"),
+                              F.min_by(ends, pos).alias("_e0"), F.max_by(ends, pos).alias("_e1"))
+    up = Window.partitionBy(*keys).orderBy("_piece")
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias("n_total"),
+                 F.lag("_last").over(up).alias("_edge"), F.first("_e0").over(whole).alias(f"first_{ends}"),
+                 F.last("_e1").over(whole).alias(f"last_{ends}"))
+    here = Window.partitionBy(*parts).orderBy(*order)
+    local = d.withColumns({"_rn": F.row_number().over(here), "_p": F.lag("_v").over(here)})
+    out = local.join(s, parts).withColumns({"idx": F.col("_off") + F.col("_rn") - 1, "_p": F.coalesce("_p", "_edge")})
+    return out.withColumns({f"prev_{c}": F.col("_p")[c] for c in cols}).drop("_piece", "_v", "_rn", "_p", "_off", "_edge")
