@@ -1 +1,377 @@
-"""Registered queries."""
+"""Score queries: subject metrics, summaries, confusion, calibration, batteries, pair screen."""
+
+from pyspark.sql import functions as F
+
+from seriesloom.catalog.audit import PATTERN_SQL, PUSHPULL_SQL, REGION_SQL
+from seriesloom.catalog.registry import query, r6, rounded
+from seriesloom.catalog.sqlparts import bootstrap_sql, part, scores_sql, using
+from seriesloom.functions import vocabulary as V
+from seriesloom.functions.columns import class_list
+from seriesloom.operators import audit as A
+from seriesloom.operators import joins as J
+from seriesloom.operators import learn as L
+from seriesloom.operators import scores as S
+from seriesloom.operators import selection as SEL
+from seriesloom.operators import stats as ST
+from seriesloom.plans import cohort as P
+from seriesloom.plans import experiment as X
+from seriesloom.plans import variants as VA
+from seriesloom.session import table
+from seriesloom.sources import adapters as AD
+
+D = P.Design()
+COND = X.COND
+B = 200
+
+
+@query("subject_scores", using("scores", """SELECT repeat::INTEGER AS repeat, n_team, k, role, subject, n_bouts, round(macro_f1, 6) AS macro_f1,
+  round(balanced_acc, 6) AS balanced_acc, round(accuracy, 6) AS accuracy FROM scores"""))
+def subject_scores(spark, d):
+    return rounded(X.grid_scores(spark, d))
+
+
+@query("order_scores", scores_sql("(SELECT o_custkey AS subject, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS truth, CAST(o_orderkey % 5 AS INTEGER) AS pred FROM orders)",
+                                  "subject", 5).replace("sum(2.0 * tp / (s + q)) / 5", "round(sum(2.0 * tp / (s + q)) / 5, 6)").replace(
+    "avg(CASE WHEN s > 0 THEN tp / s::DOUBLE END)", "round(avg(CASE WHEN s > 0 THEN tp / s::DOUBLE END), 6)").replace("sum(tp) / sum(s)::DOUBLE", "round(sum(tp) / sum(s)::DOUBLE, 6)"))
+def order_scores(spark, d):
+    """The same metrics over the large manifest, with the order key as a stand-in call."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("subject"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("truth"),
+                                         (F.col("o_orderkey") % 5).cast("int").alias("pred"))
+    return rounded(S.subject_scores(o, ["subject"], 5))
+
+
+SUMMARY_SQL = using("ath", f"""SELECT m.n_team, m.k, m.role, round(m.mean, 6) AS mean, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(m.median, 6) AS median,
+  m.n_subjects, m.n_subject_repeats FROM (
+    SELECT n_team, k, role, avg(macro_f1) AS mean, quantile_cont(macro_f1, 0.5) AS median, count(*) AS n_subjects, CAST(sum(n_rows) AS BIGINT) AS n_subject_repeats
+    FROM ath GROUP BY ALL) m JOIN ({bootstrap_sql('ath', 'n_team, k, role', 'subject', 'macro_f1', B)}) USING (n_team, k, role)""")
+
+
+@query("athlete_summary", SUMMARY_SQL)
+def athlete_summary(spark, d):
+    """Flagship: the learning curve with its intervals. Groups hold at most the design's subjects."""
+    return rounded(ST.summarize(X.grid_scores(spark, d), ["n_team", "k", "role"], "macro_f1", B, max_units=D.max_roles))
+
+
+@query("confusion", using("preds", """, g AS (SELECT a AS truth, b AS pred FROM (SELECT unnest(range(0, 10))::INTEGER AS a), (SELECT unnest(range(0, 10))::INTEGER AS b))
+  SELECT truth, pred, n, round(CASE WHEN sum(n) OVER (PARTITION BY truth) > 0 THEN 100.0 * n / sum(n) OVER (PARTITION BY truth) END, 6)::DOUBLE AS pct FROM (
+    SELECT g.truth, g.pred, count(p.series_id) AS n FROM g LEFT JOIN preds p USING (truth, pred) GROUP BY ALL)""".replace("\n", " ")))
+def confusion(spark, d):
+    return rounded(S.confusion(X.saved_predictions(spark, d), D.n_classes))
+
+
+@query("top_confusions", using("preds", """SELECT truth, pred, count(*) AS n FROM preds WHERE truth <> pred GROUP BY ALL ORDER BY n DESC, truth, pred LIMIT 8"""))
+def top_confusions(spark, d):
+    return S.top_confusions(X.saved_predictions(spark, d), 8)
+
+
+@query("class_recall", using("preds", """SELECT n_team, k, truth, round(avg(r), 6) AS recall, count(*) AS n_units FROM (
+  SELECT n_team, k, truth, subject, avg((truth = pred)::INTEGER) AS r FROM preds GROUP BY ALL) GROUP BY ALL"""))
+def class_recall(spark, d):
+    ok = (F.col("truth") == F.col("pred")).cast("int")
+    return rounded(S.two_level_mean(X.saved_predictions(spark, d), ["n_team", "k", "truth"], "subject", ok, "recall"))
+
+
+@query("level_accuracy", using("preds", """, l AS (SELECT 'exact' AS level, n_team, subject, truth = pred AS ok FROM preds
+  UNION ALL SELECT 'region', n_team, subject, """ + REGION_SQL.format(c="truth") + " = " + REGION_SQL.format(c="pred") + """ FROM preds
+  UNION ALL SELECT 'pattern', n_team, subject, """ + PATTERN_SQL.format(c="truth") + " = " + PATTERN_SQL.format(c="pred") + """ FROM preds
+  UNION ALL SELECT 'push or pull', n_team, subject, """ + PUSHPULL_SQL.format(c="truth") + " = coalesce(" + PUSHPULL_SQL.format(c="pred") + ", 'other') FROM preds WHERE "
+                               + PUSHPULL_SQL.format(c="truth") + """ IS NOT NULL)
+  SELECT level, n_team, round(avg(a), 6) AS accuracy, count(*) AS n_units FROM (SELECT level, n_team, subject, avg(ok::INTEGER) AS a FROM l GROUP BY ALL) GROUP BY ALL"""))
+def level_accuracy(spark, d):
+    p = X.saved_predictions(spark, d)
+    # one row per prediction and level: an exploded array, so predictions are read once
+    same = lambda m: V.category("truth", m) == V.category("pred", m)
+    pp = V.category("truth", V.PUSHPULL)
+    levels = F.array(F.struct(F.lit("exact").alias("level"), (F.col("truth") == F.col("pred")).alias("ok")),
+                     F.struct(F.lit("region").alias("level"), same(V.REGION).alias("ok")), F.struct(F.lit("pattern").alias("level"), same(V.PATTERN).alias("ok")),
+                     F.struct(F.when(pp.isNotNull(), "push or pull").alias("level"), (pp == F.coalesce(V.category("pred", V.PUSHPULL), F.lit(V.OTHER))).alias("ok")))
+    rows = p.select("n_team", "subject", F.explode(levels).alias("l")).select("n_team", "subject", "l.*").where("level is not null")
+    return rounded(S.two_level_mean(rows, ["level", "n_team"], "subject", F.col("ok").cast("int"), "accuracy"))
+
+
+@query("period_accuracy", using("event_rows", """, f AS (SELECT subject, min(period_date) AS b FROM event_rows GROUP BY ALL)
+  SELECT subject, session_id, CAST(period_date - b AS INTEGER) AS days_since, round(avg((rep_count % 5 = length(cls) % 5)::INTEGER), 6) AS accuracy, count(*) AS n_bouts
+  FROM event_rows JOIN f USING (subject) GROUP BY ALL""".replace("\n", " ")))
+def period_accuracy(spark, d):
+    """Accuracy per subject and session against days since the first one (stand-in calls from the manifest)."""
+    return rounded(period_rows(spark, d).groupBy("subject", "session_id", "days_since").agg(F.avg("ok").alias("accuracy"), F.count(F.lit(1)).alias("n_bouts")))
+
+
+def period_rows(spark, d):
+    e = A.days_since(AD.event_rows(spark, d))
+    return e.withColumn("ok", (F.col("rep_count") % 5 == F.length("cls") % 5).cast("int"))
+
+
+@query("calibration_bins", using("wproba", """, c AS (SELECT repeat, n_team, k, series_id, w, cls, max(p) AS conf, arg_max(c, (p, -c)) AS pred FROM wproba GROUP BY ALL),
+  b AS (SELECT CAST(least(floor(conf * 20), 19) AS INTEGER) AS bin, count(*) AS n, avg(conf) AS mean_conf, avg((pred = cls)::INTEGER) AS accuracy FROM c GROUP BY ALL)
+  SELECT bin, n, round(mean_conf, 6) AS mean_conf, round(accuracy, 6) AS accuracy, round(sum(n * abs(mean_conf - accuracy)) OVER () / sum(n) OVER (), 6) AS ece FROM b""".replace("\n", " ")))
+def calibration_bins(spark, d):
+    w = L.window_call(X.saved_proba(spark, d)).select("pred", F.col("cls").alias("truth"), F.array_max("proba").alias("conf"))
+    return rounded(S.calibration_bins(w, 20))
+
+
+@query("class_weights", "SELECT event_type AS cls, n AS n_rows, round(sum(n) OVER () / (count(*) OVER () * n), 6)::DOUBLE AS weight FROM (SELECT event_type, count(*) AS n FROM events GROUP BY ALL)")
+def class_weights(spark, d):
+    return rounded(L.class_weights(AD.event_rows(spark, d)))
+
+
+@query("budget_curve", using("scores", """, e AS (SELECT n_team * k AS budget, CASE k WHEN 1 THEN 'broad' ELSE 'deep' END AS strategy, subject, avg(macro_f1) AS f FROM scores WHERE role = 'new' GROUP BY ALL)
+  SELECT strategy, budget::DOUBLE AS budget, round(avg(f), 6) AS mean, count(*) AS n_subjects FROM e GROUP BY ALL
+  UNION ALL SELECT 'targeted', 4 * 13 / 10.0, round(avg(f), 6), count(*) FROM (SELECT subject, avg(macro_f1) AS f FROM escores WHERE condition = 'targeted' GROUP BY ALL)""".replace("\n", " ")).replace(
+    ", e AS (SELECT n_team * k", ", __ESCORES__, e AS (SELECT n_team * k"))
+def budget_curve(spark, d):
+    s = X.grid_scores(spark, d).where("role = 'new'").select(
+        F.when(F.col("k") == 1, "broad").otherwise("deep").alias("strategy"), (F.col("n_team") * F.col("k")).cast("double").alias("budget"), "subject", "macro_f1")
+    t = extra_scores(spark, d).where("condition = 'targeted'").select(F.lit("targeted").alias("strategy"), F.lit(4 * 13 / 10).alias("budget"), "subject", "macro_f1")
+    u = ST.subject_means(s.unionByName(t), ["strategy", "budget"], "macro_f1")
+    return rounded(u.groupBy("strategy", "budget").agg(F.avg("macro_f1").alias("mean"), F.count(F.lit(1)).alias("n_subjects")))
+
+
+@query("window_accuracy", using("wtop scores", """SELECT w.n_team, w.k, round(w.window_accuracy, 6) AS window_accuracy, round(s.lowest, 6) AS lowest_subject, round(s.voted, 6) AS voted_accuracy FROM (
+  SELECT n_team, k, avg((c = cls)::INTEGER) AS window_accuracy FROM wtop WHERE top = 1 GROUP BY ALL) w JOIN (
+  SELECT n_team, k, min(accuracy) AS lowest, avg(accuracy) AS voted FROM scores GROUP BY ALL) s USING (n_team, k)"""))
+def window_accuracy(spark, d):
+    w = L.window_call(X.saved_proba(spark, d)).groupBy("n_team", "k").agg(F.avg((F.col("pred") == F.col("cls")).cast("int")).alias("window_accuracy"))
+    s = X.grid_scores(spark, d).groupBy("n_team", "k").agg(F.min("accuracy").alias("lowest_subject"), F.avg("accuracy").alias("voted_accuracy"))
+    return rounded(w.join(s, ["n_team", "k"]))
+
+
+@query("complete_cases", using("ath", """SELECT k, role, subject, n_team, round(macro_f1, 6) AS macro_f1 FROM ath
+  WHERE (k, role, subject) IN (SELECT (k, role, subject) FROM ath GROUP BY k, role, subject HAVING count(DISTINCT n_team) = 3)"""))
+def complete_cases(spark, d):
+    a = ST.subject_means(X.grid_scores(spark, d), ["n_team", "k", "role"], "macro_f1")
+    return rounded(S.complete_cases(a, ["k", "role", "subject"], "n_team", len(D.sizes)).select("k", "role", "subject", "n_team", "macro_f1"))
+
+
+@query("worst_subject", using("ath", """SELECT n_team, k, role, arg_min(subject, (macro_f1, subject)) AS worst_subject, round(min(macro_f1), 6) AS worst_score,
+  count(*) FILTER (macro_f1 < 0.08) AS n_below, count(*) AS n FROM ath GROUP BY ALL"""))
+def worst_subject(spark, d):
+    a = ST.subject_means(X.grid_scores(spark, d), ["n_team", "k", "role"], "macro_f1")
+    return rounded(SEL.worst_subject(a, ["n_team", "k", "role"], "macro_f1", 0.08))
+
+
+# --- profiles and set-level calls -----------------------------------------------------------------
+
+@query("learn_profile", using("profiles scales", """SELECT repeat::INTEGER AS repeat, n_team, k, cls, mi::INTEGER AS mi, round(mu, 6) AS mu, round(scale, 6) AS scale
+  FROM profiles JOIN scales USING (repeat, n_team, k, mi)"""))
+def learn_profile(spark, d):
+    return rounded(grid_models(spark, d).select(*COND, "scale", F.explode("profiles").alias("p")).select(
+        *COND, "scale", "p.cls", F.posexplode("p.mu").alias("mi", "mu")).select(*COND, "cls", "mi", "mu", F.get("scale", F.col("mi")).alias("scale")))
+
+
+def grid_models(spark, d):
+    bouts = AD.vector_bouts(spark, d)
+    roles = P.make_roles(bouts, D)
+    train = P.train_sets(P.nested_set_order(bouts, roles, D), D)
+    return X.grid_profiles(L.series_mean(X.cohort_windows(spark, d)), train, D)
+
+
+part("sdist", ("profiles", "scales", "test", "smeasures"), """
+  SELECT t.repeat, t.n_team, t.k, t.role, t.subject, t.cls, t.series_id, p.cls AS c, sum(((w.m - p.mu) / s.scale) ** 2) AS d
+  FROM test t JOIN smeasures w USING (series_id) JOIN profiles p ON (p.repeat, p.n_team, p.k, p.mi) = (t.repeat, t.n_team, t.k, w.mi)
+  JOIN scales s ON (s.repeat, s.n_team, s.k, s.mi) = (t.repeat, t.n_team, t.k, w.mi) GROUP BY ALL""")
+
+
+@query("nearest_profile", using("sdist", """SELECT repeat::INTEGER AS repeat, n_team, k, role, subject, cls AS truth, series_id, arg_min(c, (d, c)) AS pred, round(min(d), 5) AS distance
+  FROM sdist GROUP BY ALL"""))
+def nearest_profile(spark, d):
+    bouts = AD.vector_bouts(spark, d)
+    test = P.test_sets(bouts, P.make_roles(bouts, D), D).select(*COND, "role", "series_id")
+    rows = L.series_mean(X.cohort_windows(spark, d)).join(test, "series_id")
+    out = L.nearest_profile(rows, grid_models(spark, d), COND, D.max_conditions)
+    return out.select(*COND, "role", "subject", F.col("cls").alias("truth"), "series_id", "pred", F.round("distance", 5).alias("distance"))
+
+
+# --- batteries ------------------------------------------------------------------------------------
+
+part("bpairs", (), "SELECT [a, b]::INTEGER[] AS classes FROM (SELECT unnest(range(0, 10)) AS a), (SELECT unnest(range(0, 10)) AS b) WHERE a < b AND (a, b) <> (0, 6) AND (a, b) <> (1, 7)")
+part("batteries", ("roles", "bpairs"), """
+  SELECT repeat, subject, u.battery, u.classes FROM roles, (SELECT unnest([{'battery': 'none', 'classes': []::INTEGER[]}, {'battery': 'all', 'classes': [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]},
+    {'battery': 'squat_deadlift', 'classes': [0, 6]}, {'battery': 'pushup_pushpress', 'classes': [1, 7]}]) AS u) WHERE role = 'new'
+  UNION ALL SELECT repeat, subject, 'random' || j, classes FROM (
+    SELECT repeat, subject, classes, row_number() OVER (PARTITION BY repeat, subject ORDER BY md5('7|' || repeat || '|' || subject || '|' || array_to_string(classes, ','))) AS j
+    FROM roles, bpairs WHERE role = 'new') WHERE j <= 2""")
+part("btrain", ("batteries", "set_order"), """
+  SELECT b.repeat, b.subject, battery, series_id FROM batteries b JOIN set_order s ON s.repeat = b.repeat AND team_rank <= 4
+  UNION ALL SELECT o.repeat, o.subject, battery, series_id FROM (
+    SELECT repeat, subject, cls, series_id, row_number() OVER (PARTITION BY repeat, subject, cls ORDER BY md5('7|' || repeat || '|' || series_id), series_id) AS rk
+    FROM vbouts JOIN roles r USING (subject) WHERE role = 'new' AND period_order = 1) o JOIN batteries b USING (repeat, subject) WHERE rk <= 2 AND list_contains(classes, cls)""")
+part("bprofiles", ("btrain", "smeasures"), """
+  SELECT t.repeat, t.subject, battery, s.cls, mi, quantile_cont(m, 0.5) AS mu, var_samp(m) AS v FROM btrain t JOIN smeasures s USING (series_id) GROUP BY ALL""")
+part("bscales", ("bprofiles",), "SELECT repeat, subject, battery, mi, sqrt(avg(v)) + 1e-9 AS scale FROM bprofiles GROUP BY ALL")
+part("bdist", ("bprofiles", "bscales", "batteries"), """
+  SELECT p.repeat, p.subject, p.battery, t.series_id, t.cls AS truth, p.cls AS c, sum(((t.m - p.mu) / s.scale) ** 2) AS d
+  FROM smeasures t JOIN bprofiles p ON (p.subject, p.mi) = (t.subject, t.mi) JOIN bscales s ON (s.repeat, s.subject, s.battery, s.mi) = (p.repeat, p.subject, p.battery, p.mi)
+  WHERE t.period_order > 1 GROUP BY ALL""")
+part("bpreds", ("bdist",), """
+  SELECT d.repeat, d.subject, d.battery, array_to_string(b.classes, ',') AS battery_classes, b.classes, series_id, truth, arg_min(c, (d.d, c)) AS pred
+  FROM bdist d JOIN batteries b USING (repeat, subject, battery) GROUP BY ALL""")
+part("bpairsj", ("bpreds",), """
+  SELECT b.*, n.pred AS pred_none, f.pred AS pred_all FROM bpreds b JOIN bpreds n ON (n.repeat, n.series_id, n.battery) = (b.repeat, b.series_id, 'none')
+  JOIN bpreds f ON (f.repeat, f.series_id, f.battery) = (b.repeat, b.series_id, 'all') WHERE b.battery NOT IN ('none', 'all')""")
+
+
+@query("battery_conditions", using("bpreds", "SELECT repeat::INTEGER AS repeat, subject, battery, battery_classes, series_id, truth, pred FROM bpreds"))
+def battery_conditions(spark, d):
+    return VA.battery_predictions(spark, d)
+
+
+def battery_rows(spark, d):
+    """Battery calls beside the calls without a battery and with all classes."""
+    p = VA.battery_predictions(spark, d)
+    key = ["repeat", "subject", "series_id"]
+    b = p.where("battery not in ('none', 'all')")
+    b = J.join_baseline(b, p.where("battery = 'none'"), key, "pred", "pred_none")
+    b = J.join_baseline(b, p.where("battery = 'all'"), key, "pred", "pred_all")
+    return b.withColumn("classes", class_list("battery_classes"))
+
+
+@query("join_baseline", using("bpairsj", "SELECT count(*) AS n, count(pred_none) AS n_matched, count(*) - count(pred_none) AS n_missing FROM bpairsj"))
+def join_baseline(spark, d):
+    return J.completeness(battery_rows(spark, d), "pred_none")
+
+
+def _bscore(pred: str) -> str:
+    return f"""SELECT repeat, subject, battery, sum(2.0 * tp / (s + q)) FILTER (own) / 8 AS f1 FROM (
+      SELECT repeat, subject, battery, c, bool_and(own) AS own, sum(t) AS tp, sum(s) AS s, sum(q) AS q FROM (
+        SELECT repeat, subject, battery, truth AS c, TRUE AS own, 1 AS s, 0 AS q, (truth = {pred})::INTEGER AS t FROM ev
+        UNION ALL SELECT repeat, subject, battery, {pred}, NOT list_contains(classes, {pred}), 0, 1, 0 FROM ev) GROUP BY ALL) GROUP BY ALL"""
+
+
+part("ev", ("bpairsj",), "SELECT * FROM bpairsj WHERE NOT list_contains(classes, truth)")
+part("pull", ("ev",), f"""
+  SELECT repeat, subject, battery, n_eval_bouts, acc_none, acc_battery, acc_all, pull_none, pull_battery, pull_all, n.f1 AS f1_none, b.f1 AS f1_battery, a.f1 AS f1_all FROM (
+    SELECT repeat, subject, battery, count(*) AS n_eval_bouts, {', '.join(f"avg(({p} = truth)::INTEGER) AS acc_{n}, avg(list_contains(classes, {p})::INTEGER) AS pull_{n}"
+    for n, p in (('none', 'pred_none'), ('battery', 'pred'), ('all', 'pred_all')))} FROM ev GROUP BY ALL)
+  JOIN ({_bscore('pred_none')}) n USING (repeat, subject, battery) JOIN ({_bscore('pred')}) b USING (repeat, subject, battery) JOIN ({_bscore('pred_all')}) a USING (repeat, subject, battery)""")
+
+
+def pull_scores(spark, d):
+    """Per battery: accuracy, F1 on the other classes and pull rate under none, battery and all."""
+    ev = battery_rows(spark, d).where(~F.array_contains("classes", F.col("truth")))
+    key = ["repeat", "subject", "battery"]
+    calls = F.array(*[F.struct(F.lit(n).alias("arm"), F.col(c).alias("call")) for n, c in (("none", "pred_none"), ("battery", "pred"), ("all", "pred_all"))])
+    rows = ev.select(*key, "truth", "classes", F.explode(calls).alias("a")).select(*key, "truth", "classes", "a.arm", F.col("a.call").alias("pred"))
+    base = rows.groupBy(*key, "arm").agg(F.count(F.lit(1)).alias("n_eval_bouts"), F.avg((F.col("pred") == F.col("truth")).cast("int")).alias("acc"),
+                                         F.avg(F.array_contains("classes", F.col("pred")).cast("int")).alias("pull"), F.first("classes").alias("classes"))
+    c = S.class_counts(rows, [*key, "arm"]).join(base.select(*key, "arm", "classes"), [*key, "arm"])
+    f1 = c.where(~F.array_contains("classes", F.col("c"))).groupBy(*key, "arm").agg(
+        (F.sum(2 * F.col("tp") / (F.col("support") + F.col("called"))) / (D.n_classes - F.first(F.size("classes")))).alias("f1"))
+    wide = base.join(f1, [*key, "arm"]).groupBy(*key).agg(F.max("n_eval_bouts").alias("n_eval_bouts"), *[
+        F.max(F.when(F.col("arm") == n, F.col(v))).alias(f"{v}_{n}") for v in ("acc", "pull", "f1") for n in ("none", "battery", "all")])
+    return wide
+
+
+@query("pull_rate", using("pull", "SELECT repeat::INTEGER AS repeat, subject, battery, n_eval_bouts, " + ", ".join(
+    f"round({v}_{n}, 6) AS {v}_{n}" for v in ("acc", "pull", "f1") for n in ("none", "battery", "all")) + " FROM pull"))
+def pull_rate(spark, d):
+    return rounded(pull_scores(spark, d))
+
+
+@query("gap_closed", using("pull", """, k AS (SELECT CASE WHEN starts_with(battery, 'random') THEN 'random pair' ELSE battery END AS kind, subject, avg(f1_none) AS n, avg(f1_battery) AS b, avg(f1_all) AS a FROM pull GROUP BY ALL)
+  SELECT kind, round(avg(n), 6) AS f1_none, round(avg(b), 6) AS f1_battery, round(avg(a), 6) AS f1_all, round(avg(b - n), 6) AS gain,
+  round(CASE WHEN avg(a - n) > 0 THEN avg(b - n) / avg(a - n) END, 6) AS gap_closed, count(*) AS n_subjects FROM k GROUP BY ALL""".replace("\n", " ")))
+def gap_closed(spark, d):
+    from seriesloom.functions.columns import recode_prefix
+
+    p = pull_scores(spark, d).withColumn("kind", recode_prefix("battery", "random", "random pair"))
+    u = p.groupBy("kind", "subject").agg(*[F.avg(f"f1_{n}").alias(f"f1_{n}") for n in ("none", "battery", "all")])
+    gain, full = F.avg(F.col("f1_battery") - F.col("f1_none")), F.avg(F.col("f1_all") - F.col("f1_none"))
+    return rounded(u.groupBy("kind").agg(*[F.avg(f"f1_{n}").alias(f"f1_{n}") for n in ("none", "battery", "all")], gain.alias("gain"),
+                                         F.when(full > 0, F.try_divide(gain, full)).alias("gap_closed"), F.count(F.lit(1)).alias("n_subjects")))
+
+
+# --- extra sets at equal budget -------------------------------------------------------------------
+
+part("extrand", ("roles",), """
+  SELECT repeat, cls FROM (SELECT repeat, cls, row_number() OVER (PARTITION BY repeat ORDER BY md5('7|' || repeat || '|' || cls)) AS j
+    FROM (SELECT DISTINCT repeat FROM roles), (SELECT unnest(range(0, 10)) AS cls)) WHERE j <= 3""")
+part("etrain", ("extrand", "set_order"), """
+  SELECT repeat, 'base' AS condition, series_id FROM set_order WHERE team_rank <= 4 AND set_rank <= 1
+  UNION ALL SELECT repeat, 'targeted', series_id FROM set_order WHERE team_rank <= 4 AND set_rank <= CASE WHEN cls IN (0, 1, 2) THEN 2 ELSE 1 END
+  UNION ALL SELECT repeat, 'random', series_id FROM set_order s WHERE team_rank <= 4 AND set_rank <= CASE WHEN (repeat, cls) IN (SELECT (repeat, cls) FROM extrand) THEN 2 ELSE 1 END
+  UNION ALL SELECT repeat, 'broad', series_id FROM set_order WHERE team_rank <= 5 AND set_rank <= 1
+  UNION ALL SELECT repeat, 'k2', series_id FROM set_order WHERE team_rank <= 4 AND set_rank <= 2""")
+part("eprofiles", ("etrain", "smeasures"), """
+  SELECT t.repeat, condition, s.cls, mi, quantile_cont(m, 0.5) AS mu, var_samp(m) AS v FROM etrain t JOIN smeasures s USING (series_id) GROUP BY ALL""")
+part("epreds", ("eprofiles", "roles"), """
+  SELECT repeat, condition, subject, series_id, truth, arg_min(c, (d, c)) AS pred FROM (
+    SELECT r.repeat, p.condition, t.subject, t.series_id, t.cls AS truth, p.cls AS c, sum(((t.m - p.mu) / s.scale) ** 2) AS d
+    FROM smeasures t JOIN roles r ON r.subject = t.subject AND r.role = 'new' JOIN eprofiles p ON (p.repeat, p.mi) = (r.repeat, t.mi)
+    JOIN (SELECT repeat, condition, mi, sqrt(avg(v)) + 1e-9 AS scale FROM eprofiles GROUP BY ALL) s ON (s.repeat, s.condition, s.mi) = (p.repeat, p.condition, p.mi)
+    WHERE t.period_order > 1 GROUP BY ALL) GROUP BY ALL""")
+part("escores", ("epreds",), scores_sql("epreds", "repeat, condition, subject"))
+
+
+def extra_scores(spark, d):
+    return S.subject_scores(VA.extra_predictions(spark, d), ["repeat", "condition", "subject"], D.n_classes)
+
+
+@query("target_extra_conditions", using("escores", "SELECT repeat::INTEGER AS repeat, condition, subject, n_bouts, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy FROM escores"))
+def target_extra_conditions(spark, d):
+    return rounded(extra_scores(spark, d).select("repeat", "condition", "subject", "n_bouts", "macro_f1", "accuracy"))
+
+
+from seriesloom.catalog.registry import ORACLES  # noqa: E402
+
+ORACLES["budget_curve"] = using("scores escores", ORACLES["budget_curve"].split(", __ESCORES__", 1)[1])
+
+
+# --- pair screen ----------------------------------------------------------------------------------
+
+part("folds", ("vbouts",), """
+  SELECT subject, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM (
+    SELECT *, row_number() OVER (ORDER BY n DESC, subject) - 1 AS r FROM (SELECT subject, count(*) AS n FROM vbouts GROUP BY ALL))""")
+part("psets", ("smeasures", "folds"), "SELECT s.*, fold FROM smeasures s JOIN folds USING (subject)")
+part("pmodel", ("psets",), """
+  SELECT o AS out, cls, mi, quantile_cont(m, 0.5) AS mu, var_samp(m) AS v FROM psets, (SELECT unnest(range(0, 5)) AS o) WHERE o <> fold GROUP BY ALL""")
+part("ppred", ("pmodel", "vbouts"), """
+  SELECT a, b, fold, truth, series_id, CASE WHEN da <= db THEN a ELSE b END AS pred FROM (
+    SELECT p.a, p.b, s.fold, s.cls AS truth, s.series_id, sum(((s.m - x.mu) / (sqrt((x.v + y.v) / 2) + 1e-9)) ** 2) AS da,
+           sum(((s.m - y.mu) / (sqrt((x.v + y.v) / 2) + 1e-9)) ** 2) AS db
+    FROM (SELECT a.cls AS a, b.cls AS b FROM (SELECT cls FROM vbouts GROUP BY cls HAVING count(DISTINCT subject) >= 2) a
+            JOIN (SELECT cls FROM vbouts GROUP BY cls HAVING count(DISTINCT subject) >= 2) b ON a.cls < b.cls) p
+    JOIN psets s ON s.cls IN (p.a, p.b) JOIN pmodel x ON (x.out, x.cls, x.mi) = (s.fold, p.a, s.mi) JOIN pmodel y ON (y.out, y.cls, y.mi) = (s.fold, p.b, s.mi)
+    GROUP BY ALL)""")
+part("pcount", ("ppred",), """
+  SELECT a, b, fold, count(*) FILTER (truth = a AND pred = a)::DOUBLE AS aa, count(*) FILTER (truth = a AND pred = b)::DOUBLE AS ab,
+         count(*) FILTER (truth = b AND pred = a)::DOUBLE AS ba, count(*) FILTER (truth = b AND pred = b)::DOUBLE AS bb FROM ppred GROUP BY ALL""")
+
+
+def _bal(x: str) -> str:
+    return x.replace("BAL", "coalesce((aa / nullif(aa + ab, 0) + bb / nullif(bb + ba, 0)) / 2, aa / nullif(aa + ab, 0), bb / nullif(bb + ba, 0))")
+
+
+FAM = """CASE {c} WHEN 0 THEN ['squat'] WHEN 1 THEN ['push'] WHEN 2 THEN ['squat'] WHEN 3 THEN ['cardio'] WHEN 4 THEN ['push'] WHEN 5 THEN ['hinge']
+  WHEN 6 THEN ['hinge'] WHEN 7 THEN ['overhead'] WHEN 8 THEN ['squat'] WHEN 9 THEN ['arm', 'pull'] END"""
+part("pairs", ("pcount",), _bal(f"""
+  SELECT a AS class_a, b AS class_b, balanced_acc, balanced_acc_sd, macro_f1, BAL AS balanced_acc_pooled, CAST(aa + ab AS BIGINT) AS n_a, CAST(bb + ba AS BIGINT) AS n_b,
+         list_has_any({FAM.format(c='a')}, {FAM.format(c='b')}) AS same_family FROM (
+    SELECT a, b, avg(acc) AS balanced_acc, stddev_pop(acc) AS balanced_acc_sd, avg(f1) AS macro_f1, sum(aa) AS aa, sum(ab) AS ab, sum(ba) AS ba, sum(bb) AS bb FROM (
+      SELECT *, BAL AS acc, coalesce((2 * aa / nullif(2 * aa + ab + ba, 0) + 2 * bb / nullif(2 * bb + ba + ab, 0)) / 2,
+        2 * aa / nullif(2 * aa + ab + ba, 0), 2 * bb / nullif(2 * bb + ba + ab, 0)) AS f1 FROM pcount) GROUP BY ALL)"""))
+
+
+@query("pair_screen", using("pairs", """SELECT class_a, class_b, round(balanced_acc, 6) AS balanced_acc, round(balanced_acc_sd, 6) AS balanced_acc_sd, round(macro_f1, 6) AS macro_f1,
+  round(balanced_acc_pooled, 6) AS balanced_acc_pooled, n_a, n_b, same_family FROM pairs"""))
+def pair_screen(spark, d):
+    return rounded(VA.saved_pair_screen(spark, d))
+
+
+BANDS = {"easy": (0.60, 1.01), "medium": (0.50, 0.60), "hard": (0.40, 0.50)}
+BANDS_SQL = "(SELECT * FROM (VALUES ('easy', 0.60::DOUBLE, 1.01::DOUBLE), ('medium', 0.50::DOUBLE, 0.60::DOUBLE), ('hard', 0.40::DOUBLE, 0.50::DOUBLE)) t(band, lo, hi))"
+
+
+@query("band_join", using("pairs", f"SELECT band, count(*) AS n_pairs, round(avg(balanced_acc), 6) AS mean_score FROM pairs JOIN {BANDS_SQL} ON balanced_acc >= lo AND balanced_acc < hi GROUP BY ALL"))
+def band_join(spark, d):
+    b = J.band_join(VA.saved_pair_screen(spark, d), "balanced_acc", BANDS)
+    return rounded(b.groupBy("band").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("balanced_acc").alias("mean_score")))
+
+
+@query("select_pairs", using("pairs", f"""SELECT band, pick, class_a, class_b, round(balanced_acc, 6) AS balanced_acc, in_band, same_family, min_n FROM (
+  SELECT *, row_number() OVER (PARTITION BY band ORDER BY in_band DESC, CASE WHEN in_band THEN same_family::INTEGER END DESC NULLS LAST, CASE WHEN in_band THEN dist END,
+    CASE WHEN in_band THEN min_n END DESC NULLS LAST, CASE WHEN NOT in_band THEN near END, class_a, class_b) AS pick FROM (
+    SELECT p.*, band, balanced_acc >= lo AND balanced_acc < hi AS in_band, least(n_a, n_b) AS min_n, abs(balanced_acc - (lo + least(hi, 1.0)) / 2) AS dist,
+           least(abs(balanced_acc - lo), abs(balanced_acc - hi)) AS near FROM pairs p, {BANDS_SQL})) WHERE pick <= 3"""))
+def select_pairs(spark, d):
+    return rounded(SEL.select_pairs(VA.saved_pair_screen(spark, d), BANDS))
