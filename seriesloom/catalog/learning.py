@@ -1 +1,158 @@
-"""Registered queries."""
+"""Learner queries: the model contract, spark.ml learners, standardisation, self-training, replay."""
+
+from pyspark.sql import functions as F
+
+from seriesloom.catalog.registry import query, r6, rounded
+from seriesloom.catalog.sqlparts import part, using
+from seriesloom.operators import features as FE
+from seriesloom.operators import learn as L
+from seriesloom.operators import scores as S
+from seriesloom.operators import votes as V
+from seriesloom.plans import adapt as AP
+from seriesloom.plans import cohort as P
+from seriesloom.plans import experiment as X
+from seriesloom.session import bounded_broadcast
+from seriesloom.sources import adapters as AD
+
+D = P.Design()
+ONE = {"repeat": 1, "n_team": 4, "k": 2}
+
+
+def one_condition(spark, d):
+    """Training and test series of a single cell of the grid."""
+    bouts = AD.vector_bouts(spark, d)
+    roles = P.make_roles(bouts, D)
+    pick = " and ".join(f"{c} = {v}" for c, v in ONE.items())
+    train = P.train_sets(P.nested_set_order(bouts, roles, D), D).where(pick).select("series_id")
+    test = P.test_sets(bouts, roles, D).where(pick).select("series_id", "role")
+    return bounded_broadcast(train, D.max_train), test
+
+
+def fitted(spark, d, learner, windows):
+    """Run a learner through the contract: fit on train windows, stay lazy on test windows, vote."""
+    train, test = one_condition(spark, d)
+    proba = learner(windows.join(train, "series_id", "left_semi"), windows.join(test, "series_id"))
+    return V.vote_series(proba, ["role"], D.n_classes)
+
+
+@query("fit_predict", using("preds", "SELECT role, series_id, subject, truth, pred, n_windows FROM preds WHERE repeat = 1 AND n_team = 4 AND k = 2"))
+def fit_predict(spark, d):
+    """The contract with the profile learner: fit_predict(train, test) -> test rows + class probabilities."""
+    return fitted(spark, d, L.profile_learner(D.n_classes), X.cohort_windows(spark, d))
+
+
+def ml_result(spark, d, kind):
+    w = FE.window_features(FE.sliding_windows(AD.signals(spark, d), X.WINDOW_S, X.OVERLAP, AD.FS), AD.FS)
+    return fitted(spark, d, L.ml_learner(kind, FE.feature_names(), seed=3, trees=30), w)
+
+
+@query("learn_forest")
+def learn_forest(spark, d):
+    return ml_result(spark, d, "forest")
+
+
+@query("learn_logistic")
+def learn_logistic(spark, d):
+    return ml_result(spark, d, "logistic")
+
+
+def measure_columns(spark, d):
+    w = X.cohort_windows(spark, d)
+    return w.select("series_id", "subject", "period_order", "w", *[F.get("m", F.lit(i)).alias(c) for i, c in enumerate(L.MEASURES)])
+
+
+STD_COLS = "x_mean y_mean z_mean mag_mean x_std y_std z_std mag_std".split()
+part("wwide", ("wmeasures",), "SELECT series_id, subject, period_order, w, " + ", ".join(f"max(m) FILTER (mi = {i}) AS {c}" for i, c in enumerate(STD_COLS)) + " FROM wmeasures GROUP BY ALL")
+
+
+def _std_sql(stats: str, on: str) -> str:
+    cols = ", ".join(f"round((a.{c} - s.m_{c}) / (s.s_{c} + 1e-6), 5) AS {c}" for c in STD_COLS)
+    return f"SELECT a.series_id, a.w::INTEGER AS w, {cols} FROM wwide a JOIN ({stats}) s ON {on}"
+
+
+_STATS = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in STD_COLS)
+
+
+@query("standardize", using("wwide train", _std_sql(f"SELECT {_STATS} FROM wwide WHERE series_id IN (SELECT series_id FROM train WHERE repeat = 1 AND n_team = 4 AND k = 2)", "TRUE")))
+def standardize(spark, d):
+    """Team scope: mean and SD of the training windows for everyone."""
+    w = measure_columns(spark, d)
+    z = L.standardize(w, w.join(one_condition(spark, d)[0], "series_id", "left_semi"), [], STD_COLS)
+    return z.select("series_id", "w", *[F.round(c, 5).alias(c) for c in STD_COLS])
+
+
+@query("standardize_subject", using("wwide", _std_sql(f"SELECT subject, {_STATS} FROM wwide WHERE period_order = 1 GROUP BY ALL", "s.subject = a.subject")))
+def standardize_subject(spark, d):
+    """Label-free calibration: each subject's own first-period windows set mean and SD."""
+    w = measure_columns(spark, d)
+    z = L.standardize(w, w.where("period_order = 1"), ["subject"], STD_COLS)
+    return z.select("series_id", "w", *[F.round(c, 5).alias(c) for c in STD_COLS])
+
+
+# --- self-training ---------------------------------------------------------------------------------
+
+part("labeled", ("train",), "SELECT repeat, series_id FROM train WHERE n_team = 2 AND k = 2")
+part("unlabeled", ("roles",), "SELECT repeat, series_id FROM vbouts JOIN roles r USING (subject) WHERE role = 'candidate' AND r.rank > 2 AND period_order = 1")
+
+
+def _round_parts(i: int, fraction: float) -> None:
+    src = "SELECT t.repeat, s.cls, mi, m FROM labeled t JOIN smeasures s USING (series_id)"
+    if i > 1:
+        src += f" UNION ALL SELECT t.repeat, t.pred, mi, m FROM kept{i - 1} t JOIN smeasures s USING (series_id)"
+    needs = ("labeled", "unlabeled", "smeasures", "wmeasures") + ((f"kept{i - 1}",) if i > 1 else ())
+    part(f"fit{i}", needs, f"SELECT repeat, cls, mi, quantile_cont(m, 0.5) AS mu, var_samp(m) AS v FROM ({src}) GROUP BY ALL")
+    part(f"scale{i}", (f"fit{i}",), f"SELECT repeat, mi, sqrt(avg(v)) + 1e-9 AS scale FROM fit{i} GROUP BY ALL")
+    part(f"open{i}", (f"scale{i}",), f"""
+      SELECT repeat, series_id, truth, c, avg(q / t) AS p FROM (SELECT *, sum(q) OVER (PARTITION BY repeat, series_id, w) AS t FROM (
+        SELECT u.repeat, u.series_id, w.cls AS truth, w.w, f.cls AS c, 1 / (1 + sum(((w.m - f.mu) / s.scale) ** 2)) AS q FROM unlabeled u JOIN wmeasures w USING (series_id)
+        JOIN fit{i} f ON (f.repeat, f.mi) = (u.repeat, w.mi) JOIN scale{i} s ON (s.repeat, s.mi) = (u.repeat, w.mi) GROUP BY ALL)) GROUP BY ALL""")
+    part(f"call{i}", (f"open{i}",), f"SELECT repeat, series_id, truth, arg_max(c, (p, -c)) AS pred, max(p) AS conf FROM open{i} GROUP BY ALL")
+    part(f"kept{i}", (f"call{i}",), f"""SELECT repeat, series_id, truth, pred FROM (SELECT *, row_number() OVER (PARTITION BY repeat, pred ORDER BY conf DESC, series_id) AS r,
+      count(*) OVER (PARTITION BY repeat, pred) AS n FROM call{i}) WHERE r <= ceil({fraction} * n)""")
+
+
+_round_parts(1, 0.5)
+_round_parts(2, 0.8)
+
+
+@query("self_train", using("kept2", " UNION ALL ".join(f"""SELECT a.repeat::INTEGER AS repeat, {i} AS round, {f}::DOUBLE AS fraction, n_unlabeled, n_pseudo, round(acc_all, 6) AS acc_all, round(acc_kept, 6) AS acc_kept
+  FROM (SELECT repeat, count(*) AS n_unlabeled, avg((pred = truth)::INTEGER) AS acc_all FROM call{i} GROUP BY ALL) a
+  JOIN (SELECT repeat, count(*) AS n_pseudo, avg((pred = truth)::INTEGER) AS acc_kept FROM kept{i} GROUP BY ALL) b USING (repeat)""" for i, f in ((1, 0.5), (2, 0.8)))))
+def self_train(spark, d):
+    """Two rounds with the profile learner; labeled = team of two, unlabeled = the other candidates' first-period series."""
+    return rounded(self_training(spark, d)[1])
+
+
+def self_training(spark, d):
+    bouts = AD.vector_bouts(spark, d)
+    roles = P.make_roles(bouts, D)
+    labeled = P.train_sets(P.nested_set_order(bouts, roles, D), D).where("n_team = 2 and k = 2").select("repeat", "series_id")
+    rest = roles.where("role = 'candidate' and rank > 2").select("repeat", "subject")
+    unlabeled = bouts.where("period_order = 1").join(bounded_broadcast(rest, D.max_roles), "subject").select("repeat", "series_id")
+    return AP.self_train(spark, X.cohort_windows(spark, d), labeled, unlabeled, ["repeat"], (0.5, 0.8), D.n_classes, D.repeats)
+
+
+# --- replay ----------------------------------------------------------------------------------------
+
+part("rteam", ("train", "wpoints"), "SELECT t.repeat, t.cls, w.series_id, w.w FROM (SELECT DISTINCT series_id, w FROM wpoints) w JOIN train t USING (series_id) WHERE n_team = 4 AND k = 2")
+part("rown", ("roles", "wpoints"), "SELECT DISTINCT r.repeat, w.subject, w.cls, w.series_id, w.w FROM wpoints w JOIN roles r ON r.subject = w.subject AND role = 'new' WHERE period_order = 1 AND cls IN (0, 6)")
+part("rslots", ("roles",), """SELECT repeat, subject, slot, CAST(('0x' || substr(md5('9|' || repeat || '|' || subject || '|' || slot || '|class'), 1, 8))::BIGINT % 10 AS INTEGER) AS cls,
+  ('0x' || substr(md5('9|' || repeat || '|' || subject || '|' || slot || '|source'), 1, 8))::BIGINT / 4294967296.0 AS u,
+  ('0x' || substr(md5('9|' || repeat || '|' || subject || '|' || slot || '|row'), 1, 8))::BIGINT AS i FROM roles, (SELECT unnest(range(1, 201)) AS slot) WHERE role = 'new'""")
+
+
+@query("balanced_replay_sample", using("rteam rown rslots", """, o AS (SELECT *, row_number() OVER (PARTITION BY repeat, subject, cls ORDER BY md5('9|' || series_id || '|' || w), series_id, w) AS j,
+    count(*) OVER (PARTITION BY repeat, subject, cls) AS n FROM rown),
+  t AS (SELECT *, row_number() OVER (PARTITION BY repeat, cls ORDER BY md5('9|' || series_id || '|' || w), series_id, w) AS j, count(*) OVER (PARTITION BY repeat, cls) AS n FROM rteam),
+  s AS (SELECT s.*, q.n AS own_n, q.n IS NOT NULL AND u < 0.5 AS own FROM rslots s LEFT JOIN (SELECT DISTINCT repeat, subject, cls, n FROM o) q USING (repeat, subject, cls))
+  SELECT s.repeat::INTEGER AS repeat, s.subject, slot::INTEGER AS slot, s.cls, 'own' AS source, o.series_id, o.w::INTEGER AS w FROM s JOIN o ON (o.repeat, o.subject, o.cls) = (s.repeat, s.subject, s.cls) AND o.j = 1 + i % own_n WHERE own
+  UNION ALL SELECT s.repeat::INTEGER, s.subject, slot::INTEGER, s.cls, 'team', t.series_id, t.w::INTEGER FROM s JOIN t ON (t.repeat, t.cls) = (s.repeat, s.cls) AND t.j = 1 + i % t.n WHERE NOT own""".replace("\n", " ")))
+def balanced_replay_sample(spark, d):
+    bouts = AD.vector_bouts(spark, d)
+    roles = P.make_roles(bouts, D)
+    train = P.train_sets(P.nested_set_order(bouts, roles, D), D).where("n_team = 4 and k = 2").select("repeat", "cls", "series_id")
+    windows = FE.sliding_windows(AD.signals(spark, d), X.WINDOW_S, X.OVERLAP, AD.FS).select("series_id", "subject", "cls", "period_order", "w")
+    who = roles.where("role = 'new'").select("repeat", "subject")
+    own = windows.where("period_order = 1 and cls in (0, 6)").join(bounded_broadcast(who, D.max_roles), "subject").select("repeat", "subject", "cls", "series_id", "w")
+    team = windows.select("series_id", "w").join(bounded_broadcast(train, D.max_train), "series_id").select("repeat", "cls", "series_id", "w")
+    return AP.replay_draws(own, team, who, ["repeat"], 200, D.n_classes, 9)

@@ -124,3 +124,15 @@ def ml_learner(kind: str, features: Sequence[str], seed: int = 1, trees: int = 5
 def window_call(df: DataFrame) -> DataFrame:
     """Label of a single window: the first largest probability."""
     return df.withColumn("pred", first_argmax(F.col("proba")))
+
+
+def profile_learner(n_classes: int) -> Callable:
+    """The profile learner under the same contract: windows with a measure array in, probabilities out."""
+
+    def fit_predict(train: DataFrame, test: DataFrame) -> DataFrame:
+        one = F.lit(1).alias("_model")
+        profiles = fit_profiles(series_mean(train).select("*", one), ["_model"])
+        rows = test.withColumn("_model", F.lit(1))
+        return profile_proba(rows, profiles, ["_model"], n_classes, 1).drop("_model")
+
+    return fit_predict

@@ -52,7 +52,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed signals: one row per recorded set, four channels of 16 samples each."""
-    v = table(spark, sf_dir, "embeddings")
+    return packed(table(spark, sf_dir, "embeddings"))
+
+
+def packed(v: DataFrame) -> DataFrame:
+    """The same for any vector table, batch or stream."""
     block = [F.slice(F.col("embedding").cast("array<double>"), 16 * c + 1, 16) for c in range(4)]
     return v.select(
         F.col("vec_id").alias("series_id"), F.floor(F.col("vec_id") / SUBJECT_BLOCK).alias("subject"),
