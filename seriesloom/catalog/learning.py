@@ -11,7 +11,7 @@ from seriesloom.operators import votes as V
 from seriesloom.plans import adapt as AP
 from seriesloom.plans import cohort as P
 from seriesloom.plans import experiment as X
-from seriesloom.session import bounded_broadcast
+from seriesloom.session import bounded_broadcast, materialize
 from seriesloom.sources import adapters as AD
 
 D = P.Design()
@@ -42,7 +42,8 @@ def fit_predict(spark, d):
 
 
 def ml_result(spark, d, kind):
-    w = FE.window_features(FE.sliding_windows(AD.signals(spark, d), X.WINDOW_S, X.OVERLAP, AD.FS), AD.FS)
+    w = materialize(lambda: FE.window_features(FE.sliding_windows(AD.signals(spark, d), X.WINDOW_S, X.OVERLAP, AD.FS), AD.FS),
+                    spark, ("features", d, X.WINDOW_S, X.OVERLAP))
     return fitted(spark, d, L.ml_learner(kind, FE.feature_names(), seed=3, trees=30), w)
 
 

@@ -70,4 +70,4 @@ def normal_two_sided(z: Column) -> Column:
     poly = F.lit(0.0)
     for c in reversed(a):
         poly = (poly + F.lit(c)) * t
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), poly * F.exp(-x * x)))
+    return F.when(z.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), poly * F.exp(-x * x))))

@@ -59,18 +59,26 @@ def split_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.drop("_piece", *[f"_r_{c}" for c in cols], *[f"_c_{c}" for c in cols])
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 64) -> DataFrame:
+LARGE_GROUP = 100_000  # distinct values from which a group is split by value
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32, large: int = LARGE_GROUP) -> DataFrame:
     """Per group and distinct value: ``n`` rows with it, ``n_before`` smaller ones, ``n_total`` in the group.
 
-    Equal values are counted map-side first; the distinct ones are split at approximate quantiles, which
-    only steers the split, so the ranks stay exact.
+    Equal values are counted map-side first. Groups with more than ``large`` distinct values are split at
+    approximate quantiles, which only steers the split, so the ranks stay exact; smaller groups stay whole.
     """
     d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cuts = d.groupBy(*keys).agg(F.percentile_approx(value, probs, 2000).alias("_cuts"))
-    # with no keys the cut points are a single row: a scalar subquery, not a join
-    d = d.join(cuts, list(keys)) if keys else d.withColumn("_cuts", cuts.scalar())
-    d = d.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    cut = F.percentile_approx(value, probs, 1000).alias("_cuts")
+    if keys:
+        big = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > large).drop("_k")
+        d = d.join(d.join(big, list(keys), "left_semi").groupBy(*keys).agg(cut), list(keys), "left")
+    else:  # a single row: a scalar subquery, not a join
+        d = d.withColumn("_cuts", d.agg(cut).scalar())
+    # number of cut points passed, written out so that it stays inside generated code
+    passed = sum((F.coalesce(F.get("_cuts", F.lit(i)) <= F.col(value), F.lit(False)).cast("int") for i in range(pieces - 1)), F.lit(0))
+    d = d.withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(passed)).drop("_cuts")
     parts = [*keys, "_piece"]
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,9 +91,9 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 64
             .select(*keys, value, "n", "n_before", "n_total"))
 
 
-def split_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def split_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], large: int = LARGE_GROUP) -> DataFrame:
     """Exact linear-interpolation quantiles per group, one column per entry of ``probs``."""
-    r = value_ranks(df, keys, value)
+    r = value_ranks(df, keys, value, large=large)
     v, n0, n, total = F.col(value), F.col("n_before"), F.col("n"), F.col("n_total")
 
     def at(index: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -71,11 +72,12 @@ def pole_decay(cutoff: Column | float, fs: Column | float, order: int) -> Column
     return F.log(up / down) / 2
 
 
-def impulse_response(order: int, cutoff: float, fs: float, tail: float = 1e-14) -> np.ndarray:
-    """Impulse response of an even-order Butterworth low-pass, cut where it has decayed to ``tail``."""
+@lru_cache(maxsize=1024)
+def impulse_response(order: int, ratio: float, tail: float = 1e-14) -> np.ndarray:
+    """Impulse response of an even-order Butterworth low-pass at cutoff / rate, cut where it has decayed to ``tail``."""
     if order % 2:
         raise ValueError("even orders only")
-    a = math.tan(math.pi * cutoff / fs)
+    a = math.tan(math.pi * ratio)
     h = np.ones(1)
     for i in range(order // 2):
         th = math.pi * (2 * i + 1) / (2 * order)
@@ -100,7 +102,7 @@ def _pass(x: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def zero_phase(x: np.ndarray, order: int, cutoff: float, fs: float, mirror: tuple[bool, bool] = (True, True)) -> np.ndarray:
     """Forward-backward low-pass along axis 0 with point-mirrored ends (``mirror`` per end)."""
-    h = impulse_response(order, cutoff, fs)
+    h = impulse_response(order, round(cutoff / fs, 12))
     m = min(3 * (order + 1), len(x) - 1)
     head = 2 * x[:1] - x[m:0:-1] if mirror[0] else x[:0]
     tail = 2 * x[-1:] - x[-2:-m - 2:-1] if mirror[1] else x[:0]
@@ -124,20 +126,26 @@ def lowpass_zero_phase(samples: DataFrame, order: Sequence[str], piece: Column,
     d = d.withColumn("_reach", reach.cast("bigint")).withColumn("chunk", F.explode(F.sequence(
         F.greatest(F.lit(0), F.floor((F.col("idx") - F.col("_reach")) / chunk)),
         F.least(last, F.floor((F.col("idx") + F.col("_reach")) / chunk)))))
-    d = d.select("series_id", "chunk", "idx", "n_total", "fs", "cutoff", *AXES)
+    # one row per chunk: at most chunk + 2 * reach samples, whatever the length of the series
+    packed = d.groupBy("series_id", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct("idx", *AXES))).alias("_s"), F.first("fs").alias("fs"), F.first("cutoff").alias("cutoff"),
+        F.first("n_total").alias("n_total"))
+    packed = packed.select("series_id", "chunk", "fs", "cutoff", "n_total", *[F.col(f"_s.{c}").alias(c) for c in ("idx", *AXES)])
     series_type = dict(d.dtypes)["series_id"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        fs, fc = float(pdf.fs.iloc[0]), float(pdf.cutoff.iloc[0])
-        x = pdf[list(AXES)].to_numpy(float)
-        if fc < fs / 2:
-            ends = (int(pdf.idx.iloc[0]) == 0, int(pdf.idx.iloc[-1]) == int(pdf.n_total.iloc[0]) - 1)
-            x = zero_phase(x, poles, fc, fs, ends)
-        own = (pdf.idx // chunk == key[1]).to_numpy()
-        out = pd.DataFrame(x[own], columns=list(AXES))
-        out.insert(0, "idx", pdf.idx.to_numpy()[own])
-        out.insert(0, "series_id", key[0])
-        return out
-
-    return d.groupBy("series_id", "chunk").applyInPandas(run, f"series_id {series_type}, idx bigint, x double, y double, z double")
+    def run(batches):
+        for pdf in batches:
+            parts = []
+            for r in pdf.itertuples(index=False):
+                idx, x = np.asarray(r.idx), np.stack([np.asarray(r.x, float), np.asarray(r.y, float), np.asarray(r.z, float)], 1)
+                if r.cutoff < r.fs / 2:
+                    x = zero_phase(x, poles, r.cutoff, r.fs, (idx[0] == 0, idx[-1] == r.n_total - 1))
+                own = idx // chunk == r.chunk
+                parts.append((np.repeat(r.series_id, own.sum()), idx[own], x[own]))
+            if parts:
+                out = pd.DataFrame(np.concatenate([p[2] for p in parts]), columns=list(AXES))
+                out.insert(0, "idx", np.concatenate([p[1] for p in parts]))
+                out.insert(0, "series_id", np.concatenate([p[0] for p in parts]))
+                yield out
+
+    return packed.mapInPandas(run, f"series_id {series_type}, idx bigint, x double, y double, z double")

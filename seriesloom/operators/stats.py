@@ -145,7 +145,7 @@ def signed_rank(diffs: DataFrame, keys: Sequence[str], d: str = "d", exact: bool
     zeros = rows.groupBy(*keys).agg(F.sum((F.col("_d") == 0).cast("int")).alias("_zeros"))
     if not keys:
         s, zeros, keys = s.withColumn("_k", F.lit(0)), zeros.withColumn("_k", F.lit(0)), ["_k"]
-    s = zeros.join(s, list(keys), "left")
+    s = zeros.join(s, list(keys), "left").withColumn("n_used", F.coalesce("n_used", F.lit(0)))
     return _with_p(s, exact).drop("_k")
 
 
@@ -177,7 +177,7 @@ def paired_differences(d: DataFrame, keys: Sequence[str], boot: int = 2000, seed
         return _with_p(packed_interval(s, "_v", boot, seed), exact)
     ci = bootstrap_ci(d, keys, "subject", "d", boot, seed).withColumnRenamed("mean", "diff")
     return (ci.join(d.groupBy(*keys).agg(*more), list(keys))
-            .join(signed_rank(d, keys, exact=exact).withColumn("n_used", F.coalesce("n_used", F.lit(0))), list(keys)))
+            .join(signed_rank(d, keys, exact=exact), list(keys)))
 
 
 def n_threshold(curves: DataFrame, keys: Sequence[str], x: str, y: str, frac: float, name: str = "n_needed") -> DataFrame:

@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if spark.sparkContext.getCheckpointDir():
             return spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="seriesloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
