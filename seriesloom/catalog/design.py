@@ -8,7 +8,7 @@ from seriesloom.functions import vocabulary as V
 from seriesloom.operators import joins as J
 from seriesloom.operators import selection as SEL
 from seriesloom.plans import cohort as P
-from seriesloom.plans import variants as VA
+from seriesloom.plans import experiment as X
 from seriesloom.session import table
 from seriesloom.sources import adapters as AD
 
@@ -17,7 +17,7 @@ D = P.Design()
 
 def plan(spark, d):
     bouts = AD.vector_bouts(spark, d)
-    roles = P.make_roles(bouts, D)
+    roles = X.saved_roles(spark, d, D)
     order = P.nested_set_order(bouts, roles, D)
     return bouts, roles, order, P.train_sets(order, D), P.test_sets(bouts, roles, D)
 
@@ -30,7 +30,7 @@ def nested_rank(spark, d):
 
 @query("make_plan", using("roles", "SELECT repeat::INTEGER AS repeat, subject, role, rank FROM roles"))
 def make_plan(spark, d):
-    return plan(spark, d)[1]
+    return P.make_roles(AD.vector_bouts(spark, d), D)
 
 
 @query("topk_per_group", using("set_order", "SELECT repeat::INTEGER AS repeat, subject, cls, series_id, set_rank FROM set_order"))

@@ -21,7 +21,7 @@ ONE = {"repeat": 1, "n_team": 4, "k": 2}
 def one_condition(spark, d):
     """Training and test series of a single cell of the grid."""
     bouts = AD.vector_bouts(spark, d)
-    roles = P.make_roles(bouts, D)
+    roles = X.saved_roles(spark, d, D)
     pick = " and ".join(f"{c} = {v}" for c, v in ONE.items())
     train = P.train_sets(P.nested_set_order(bouts, roles, D), D).where(pick).select("series_id")
     test = P.test_sets(bouts, roles, D).where(pick).select("series_id", "role")
@@ -38,12 +38,13 @@ def fitted(spark, d, learner, windows):
 @query("fit_predict", using("preds", "SELECT role, series_id, subject, truth, pred, n_windows FROM preds WHERE repeat = 1 AND n_team = 4 AND k = 2"))
 def fit_predict(spark, d):
     """The contract with the profile learner: fit_predict(train, test) -> test rows + class probabilities."""
-    return fitted(spark, d, L.profile_learner(D.n_classes), X.cohort_windows(spark, d))
+    return fitted(spark, d, L.profile_learner(D.n_classes), X.cohort_windows(spark, d, X.saved_roles(spark, d, D), D.max_roles))
 
 
 def ml_result(spark, d, kind):
-    w = materialize(lambda: FE.window_features(FE.sliding_windows(AD.signals(spark, d), X.WINDOW_S, X.OVERLAP, AD.FS), AD.FS),
-                    spark, ("features", d, X.WINDOW_S, X.OVERLAP))
+    s = X.cohort_signals(spark, d, X.saved_roles(spark, d, D), D.max_roles)
+    w = materialize(lambda: FE.window_features(FE.sliding_windows(s, X.WINDOW_S, X.OVERLAP, AD.FS), AD.FS),
+                    spark, ("features", d, X.WINDOW_S, X.OVERLAP, str(D)))
     return fitted(spark, d, L.ml_learner(kind, FE.feature_names(), seed=3, trees=30), w)
 
 
@@ -126,11 +127,11 @@ def self_train(spark, d):
 
 def self_training(spark, d):
     bouts = AD.vector_bouts(spark, d)
-    roles = P.make_roles(bouts, D)
+    roles = X.saved_roles(spark, d, D)
     labeled = P.train_sets(P.nested_set_order(bouts, roles, D), D).where("n_team = 2 and k = 2").select("repeat", "series_id")
     rest = roles.where("role = 'candidate' and rank > 2").select("repeat", "subject")
     unlabeled = bouts.where("period_order = 1").join(bounded_broadcast(rest, D.max_roles), "subject").select("repeat", "series_id")
-    return AP.self_train(spark, X.cohort_windows(spark, d), labeled, unlabeled, ["repeat"], (0.5, 0.8), D.n_classes, D.repeats)
+    return AP.self_train(spark, X.cohort_windows(spark, d, roles, D.max_roles), labeled, unlabeled, ["repeat"], (0.5, 0.8), D.n_classes, D.repeats)
 
 
 # --- replay ----------------------------------------------------------------------------------------
@@ -150,9 +151,9 @@ part("rslots", ("roles",), """SELECT repeat, subject, slot, CAST(('0x' || substr
   UNION ALL SELECT s.repeat::INTEGER, s.subject, slot::INTEGER, s.cls, 'team', t.series_id, t.w::INTEGER FROM s JOIN t ON (t.repeat, t.cls) = (s.repeat, s.cls) AND t.j = 1 + i % t.n WHERE NOT own""".replace("\n", " ")))
 def balanced_replay_sample(spark, d):
     bouts = AD.vector_bouts(spark, d)
-    roles = P.make_roles(bouts, D)
+    roles = X.saved_roles(spark, d, D)
     train = P.train_sets(P.nested_set_order(bouts, roles, D), D).where("n_team = 4 and k = 2").select("repeat", "cls", "series_id")
-    windows = FE.sliding_windows(AD.signals(spark, d), X.WINDOW_S, X.OVERLAP, AD.FS).select("series_id", "subject", "cls", "period_order", "w")
+    windows = FE.sliding_windows(X.cohort_signals(spark, d, roles, D.max_roles), X.WINDOW_S, X.OVERLAP, AD.FS).select("series_id", "subject", "cls", "period_order", "w")
     who = roles.where("role = 'new'").select("repeat", "subject")
     own = windows.where("period_order = 1 and cls in (0, 6)").join(bounded_broadcast(who, D.max_roles), "subject").select("repeat", "subject", "cls", "series_id", "w")
     team = windows.select("series_id", "w").join(bounded_broadcast(train, D.max_train), "series_id").select("repeat", "cls", "series_id", "w")

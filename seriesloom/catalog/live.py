@@ -30,13 +30,12 @@ def stream_windows(spark, d):
 
 def streamed_calls(spark, d):
     """Vector stream -> windows -> probabilities of the static models -> stateful running calls."""
-    bouts = AD.vector_bouts(spark, d)
-    roles = P.make_roles(bouts, D)
-    r = roles.withColumn("_cells", F.filter(P.cells(D), lambda c: (F.col("role") == "new") | (c["n_team"] >= F.col("rank"))))
-    r = r.select("repeat", "subject", F.when(F.col("role") == "new", "new").otherwise("recorded").alias("role"), F.explode("_cells").alias("_c"))
-    r = r.select("repeat", "subject", "role", "_c.n_team", "_c.k")
-    w = L.window_measures(FE.sliding_windows(AD.packed(R.stream_table(spark, d, "embeddings")), X.WINDOW_S, X.OVERLAP, AD.FS))
-    w = w.where("period_order > 1").join(bounded_broadcast(r, D.max_roles * 6), "subject")
+    r = X.saved_roles(spark, d, D)
+    r = r.withColumn("_cells", F.filter(P.cells(D), lambda c: (F.col("role") == "new") | (c["n_team"] >= F.col("rank"))))
+    r = r.select("repeat", "subject", F.when(F.col("role") == "new", "new").otherwise("recorded").alias("role"), "_cells")
+    s = AD.packed(R.stream_table(spark, d, "embeddings")).where("period_order > 1")
+    w = X.windows_of(s.join(bounded_broadcast(r, D.max_roles), "subject"))
+    w = w.select("*", F.explode("_cells").alias("_c")).select("*", "_c.n_team", "_c.k").drop("_c", "_cells")
     p = L.profile_proba(w, grid_models(spark, d), X.COND, D.n_classes, D.max_conditions)
     return R.running_calls(p.withColumnRenamed("cls", "truth"), [*X.COND, "role"], D.n_classes, X.WINDOW_S)
 

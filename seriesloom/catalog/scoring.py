@@ -161,9 +161,8 @@ def learn_profile(spark, d):
 
 def grid_models(spark, d):
     bouts = AD.vector_bouts(spark, d)
-    roles = P.make_roles(bouts, D)
-    train = P.train_sets(P.nested_set_order(bouts, roles, D), D)
-    return X.grid_profiles(L.series_mean(X.cohort_windows(spark, d)), train, D)
+    train = P.train_sets(P.nested_set_order(bouts, X.saved_roles(spark, d, D), D), D)
+    return X.grid_profiles(X.training_series(spark, d, train, D.max_train), train, D)
 
 
 part("sdist", ("profiles", "scales", "test", "smeasures"), """
@@ -176,8 +175,9 @@ part("sdist", ("profiles", "scales", "test", "smeasures"), """
   FROM sdist GROUP BY ALL"""))
 def nearest_profile(spark, d):
     bouts = AD.vector_bouts(spark, d)
-    test = P.test_sets(bouts, P.make_roles(bouts, D), D).select(*COND, "role", "series_id")
-    rows = L.series_mean(X.cohort_windows(spark, d)).join(test, "series_id")
+    roles = X.saved_roles(spark, d, D)
+    test = P.test_sets(bouts, roles, D).select(*COND, "role", "series_id")
+    rows = L.series_mean(X.cohort_windows(spark, d, roles, D.max_roles).where("period_order > 1")).join(test, "series_id")
     out = L.nearest_profile(rows, grid_models(spark, d), COND, D.max_conditions)
     return out.select(*COND, "role", "subject", F.col("cls").alias("truth"), "series_id", "pred", F.round("distance", 5).alias("distance"))
 

@@ -59,7 +59,18 @@ def bootstrap_ci(spark, d):
     return ci.select(*[F.round(c, 4).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n")
 
 
-@query("bootstrap_poisson")
+def _poisson_sql() -> str:
+    import math
+
+    cum = [sum(math.exp(-1.0) / math.factorial(i) for i in range(n + 1)) for n in range(9)]
+    w = " + ".join(f"(u >= {c!r}::DOUBLE)::INTEGER" for c in cum)
+    return f"""SELECT round(any_value(mean), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS ci_lo, round(quantile_cont(m, 0.975), 4) AS ci_hi, any_value(n) AS n FROM (
+      SELECT rep, sum(w * price) / nullif(sum(w), 0) AS m FROM (SELECT rep, price, {w} AS w FROM (
+        SELECT rep, price, ('0x' || substr(md5('0|' || rep || '|' || subject), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM spend, (SELECT unnest(range(1, {B + 1})) AS rep))) GROUP BY ALL),
+      (SELECT avg(price) AS mean, count(*) AS n FROM spend)"""
+
+
+@query("bootstrap_poisson", using("spend", _poisson_sql()))
 def bootstrap_poisson(spark, d):
     ci = ST.bootstrap_ci(spend(spark, d), [], "subject", "price", B, method="poisson")
     return ci.select(*[F.round(c, 4).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n")

@@ -62,13 +62,16 @@ def split_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 LARGE_GROUP = 100_000  # distinct values from which a group is split by value
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32, large: int = LARGE_GROUP) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32, large: int = LARGE_GROUP,
+                extra: dict[str, Column] | None = None) -> DataFrame:
     """Per group and distinct value: ``n`` rows with it, ``n_before`` smaller ones, ``n_total`` in the group.
 
     Equal values are counted map-side first. Groups with more than ``large`` distinct values are split at
     approximate quantiles, which only steers the split, so the ranks stay exact; smaller groups stay whole.
+    ``extra`` adds aggregates per distinct value.
     """
-    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (extra or {}).items()])
     probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     cut = F.percentile_approx(value, probs, 1000).alias("_cuts")
     if keys:
@@ -88,7 +91,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32
     here = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = d.withColumn("_in", F.coalesce(F.sum("n").over(here), F.lit(0)))
     return (local.join(offsets, parts).withColumn("n_before", F.col("_off") + F.col("_in"))
-            .select(*keys, value, "n", "n_before", "n_total"))
+            .select(*keys, value, "n", "n_before", "n_total", *(extra or {})))
 
 
 def split_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], large: int = LARGE_GROUP) -> DataFrame:

@@ -135,9 +135,8 @@ def signed_rank(diffs: DataFrame, keys: Sequence[str], d: str = "d", exact: bool
     """
     a = F.round(F.col(d), 12)
     rows = diffs.select(*keys, a.alias("_d"), F.abs(a).alias("_a"))
-    signs = rows.where("_d <> 0").groupBy(*keys, "_a").agg(
-        F.sum((F.col("_d") > 0).cast("int")).alias("_pos"), F.sum((F.col("_d") < 0).cast("int")).alias("_neg"))
-    r = value_ranks(rows.where("_d <> 0"), keys, "_a").join(signs, [*keys, "_a"])
+    r = value_ranks(rows.where("_d <> 0"), keys, "_a", extra={
+        "_pos": F.sum((F.col("_d") > 0).cast("int")), "_neg": F.sum((F.col("_d") < 0).cast("int"))})
     mid = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
     t = F.col("n").cast("double")
     s = r.groupBy(*keys).agg(F.sum(mid * F.col("_pos")).alias("w_plus"), F.sum(mid * F.col("_neg")).alias("w_minus"),

@@ -19,9 +19,32 @@ WINDOW_S, OVERLAP = 1.0, 0.75
 COND = ["repeat", "n_team", "k"]
 
 
-def cohort_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of the packed signals with their measure array ``m``."""
-    return L.window_measures(FE.sliding_windows(AD.signals(spark, sf_dir), WINDOW_S, OVERLAP, AD.FS))
+def saved_roles(spark: SparkSession, sf_dir: str, design: P.Design = P.Design()) -> DataFrame:
+    """The drawn roles (a table bounded by the design), written once: everything else filters by them."""
+    return materialize(lambda: P.make_roles(AD.vector_bouts(spark, sf_dir), design), spark, ("roles", sf_dir, *astuple(design)))
+
+
+def cohort_signals(spark: SparkSession, sf_dir: str, roles: DataFrame | None = None, max_roles: int = 0) -> DataFrame:
+    """Packed signals, cut down map-side to the drawn subjects before anything is computed on them."""
+    s = AD.signals(spark, sf_dir)
+    if roles is None:
+        return s
+    return s.join(bounded_broadcast(roles.select("subject").distinct(), max_roles), "subject", "left_semi")
+
+
+def windows_of(signals: DataFrame) -> DataFrame:
+    """Windows with their measure array ``m``."""
+    return L.window_measures(FE.sliding_windows(signals, WINDOW_S, OVERLAP, AD.FS))
+
+
+def cohort_windows(spark: SparkSession, sf_dir: str, roles: DataFrame | None = None, max_roles: int = 0) -> DataFrame:
+    return windows_of(cohort_signals(spark, sf_dir, roles, max_roles))
+
+
+def training_series(spark: SparkSession, sf_dir: str, train: DataFrame, max_train: int) -> DataFrame:
+    """Series measures of the training series only: (series_id, subject, cls, m)."""
+    ids = bounded_broadcast(train.select("series_id").distinct(), max_train)
+    return L.series_mean(windows_of(AD.signals(spark, sf_dir).join(ids, "series_id", "left_semi")))
 
 
 def grid_profiles(series: DataFrame, train: DataFrame, design: P.Design) -> DataFrame:
@@ -33,16 +56,16 @@ def grid_profiles(series: DataFrame, train: DataFrame, design: P.Design) -> Data
 def grid_proba(spark: SparkSession, sf_dir: str, design: P.Design) -> DataFrame:
     """Window probabilities of every test series under every condition."""
     bouts = AD.vector_bouts(spark, sf_dir)
-    roles = P.make_roles(bouts, design)
+    roles = saved_roles(spark, sf_dir, design)
     train = P.train_sets(P.nested_set_order(bouts, roles, design), design)
-    windows = cohort_windows(spark, sf_dir)
-    profiles = grid_profiles(L.series_mean(windows), train, design)
+    profiles = grid_profiles(training_series(spark, sf_dir, train, design.max_train), train, design)
     r = roles.withColumn("_cells", F.filter(
         P.cells(design), lambda c: (F.col("role") == "new") | (c["n_team"] >= F.col("rank"))))
     r = r.select("repeat", "subject", F.when(F.col("role") == "new", "new").otherwise("recorded").alias("role"), "_cells")
-    # test windows fan out map-side: the role table is bounded by the design, windows are not shuffled
-    test = (windows.where("period_order > 1").join(bounded_broadcast(r, design.max_roles), "subject")
-            .select("series_id", "subject", "cls", "w", "t0_s", "m", "repeat", "role", F.explode("_cells").alias("_c"))
+    # each test series is windowed once, then fans out to its conditions map-side: the role table is bounded by
+    # the design, so windows are not shuffled before the vote
+    windows = windows_of(cohort_signals(spark, sf_dir, roles, design.max_roles).where("period_order > 1"))
+    test = (windows.join(bounded_broadcast(r, design.max_roles), "subject").select("series_id", "subject", "cls", "w", "t0_s", "m", "repeat", "role", F.explode("_cells").alias("_c"))
             .select("*", "_c.n_team", "_c.k").drop("_c"))
     return L.profile_proba(test, profiles, COND, design.n_classes, design.max_conditions)
 

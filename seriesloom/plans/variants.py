@@ -10,7 +10,7 @@ from seriesloom.functions.hashing import draw_key
 from seriesloom.functions.ordering import first_k
 from seriesloom.operators import learn as L
 from seriesloom.plans import cohort as P
-from seriesloom.plans.experiment import cohort_windows
+from seriesloom.plans.experiment import cohort_windows, saved_roles
 from seriesloom.session import bounded_broadcast, materialize
 from seriesloom.sources import adapters as AD
 
@@ -50,11 +50,11 @@ def battery_predictions(spark: SparkSession, sf_dir: str, design: P.Design = P.D
 
     def run():
         bouts = AD.vector_bouts(spark, sf_dir)
-        roles = P.make_roles(bouts, design)
+        roles = saved_roles(spark, sf_dir, design)
         train = battery_training(bouts, roles, design, n_team, k).withColumnRenamed("subject", "for_subject")
         n_cond = design.repeats * design.n_new * (4 + N_RANDOM)
         train = bounded_broadcast(train, n_cond * (n_team + 1) * k * design.n_classes)
-        series = L.series_mean(cohort_windows(spark, sf_dir))
+        series = L.series_mean(cohort_windows(spark, sf_dir, roles, design.max_roles))
         keys = ["repeat", "for_subject", "battery"]
         profiles = L.fit_profiles(series.join(train, "series_id"), keys)
         test = (bouts.where("period_order > 1").select("series_id").join(series, "series_id")
@@ -95,9 +95,9 @@ def extra_predictions(spark: SparkSession, sf_dir: str, design: P.Design = P.Des
 
     def run():
         bouts = AD.vector_bouts(spark, sf_dir)
-        roles = P.make_roles(bouts, design)
+        roles = saved_roles(spark, sf_dir, design)
         train = extra_training(bouts, roles, design, n_team, list(targeted), n_broad)
-        series = L.series_mean(cohort_windows(spark, sf_dir))
+        series = L.series_mean(cohort_windows(spark, sf_dir, roles, design.max_roles))
         keys = ["repeat", "condition"]
         profiles = L.fit_profiles(series.join(bounded_broadcast(train, design.repeats * 5 * n_broad * 2 * design.n_classes), "series_id"), keys)
         new = roles.where("role = 'new'").select("repeat", "subject")
