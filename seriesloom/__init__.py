@@ -1,3 +1,10 @@
 """seriesloom: labelled time-series cohorts as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from seriesloom.session import build_session, tables  # noqa: F401
+
+# functions that run inside tasks travel with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -232,9 +232,9 @@ def monotone_curve(spark, d):
   SELECT condition, subject, round(v, 6) AS score, round(CASE WHEN v >= (SELECT min(f) FROM mono) AND v <= (SELECT max(f) FROM mono) THEN
     (SELECT CASE WHEN x1 IS NULL THEN x0::DOUBLE ELSE x0 + (v - f0) / (f1 - f0) * (x1 - x0) END FROM seg WHERE f0 <= v ORDER BY x0 DESC LIMIT 1) END, 6) AS equivalent_x FROM s""".replace("\n", " ")))
 def equivalent_n(spark, d):
-    c = curve(spark, d).where("k = 1 and role = 'new'").select("k", "n_team", "y")
-    s = ST.subject_means(extra_scores(spark, d), ["condition"], "macro_f1").select("condition", "subject", F.col("macro_f1").alias("score"), F.lit(1).alias("k"))
-    return rounded(ST.equivalent_x(s, c, ["k"], "n_team", "y", "score").select("condition", "subject", "score", "equivalent_x"))
+    c = curve(spark, d).where("k = 1 and role = 'new'").select("n_team", "y")
+    s = ST.subject_means(extra_scores(spark, d), ["condition"], "macro_f1").select("condition", "subject", F.col("macro_f1").alias("score"))
+    return rounded(ST.equivalent_x(s, c, [], "n_team", "y", "score").select("condition", "subject", "score", "equivalent_x"))
 
 
 @query("group_by_threshold", using("preds spreds", """, m AS (SELECT 'vote' AS model, * EXCLUDE (n_windows) FROM preds UNION ALL SELECT 'set', * FROM spreds),

@@ -89,16 +89,17 @@ def stable_since(spark, d):
   round(quantile_cont(stable_s * (2 + series_id % 9) / set_duration_s, 0.5), 6) AS median_stable_reps, round(quantile_cont(set_duration_s, 0.5), 6) AS median_set_s FROM stable GROUP BY ALL"""))
 def stable_summary(spark, d):
     """Share of series that become right for good, and the medians over those only, in seconds and repetitions."""
-    from seriesloom.functions.ordering import split_quantiles
+    from seriesloom.functions.ordering import quantiles
 
-    s = V.stable_since(running(spark, d), [*COND, "role"])
+    from seriesloom.session import materialize
+
+    s = materialize(lambda: V.stable_since(running(spark, d), [*COND, "role"]), spark, ("stable", d, str(D)))
     # repetitions per series stand in as 2..10 by id
     s = s.withColumn("reps", F.col("stable_s") * (2 + F.col("series_id") % 9) / F.col("set_duration_s"))
     g = ["n_team", "k"]
     out = s.groupBy(*g).agg(F.avg(F.col("stable_s").isNotNull().cast("int")).alias("share_ever_stable"))
-    for name, col in (("median_stable_s", "stable_s"), ("median_stable_reps", "reps"), ("median_set_s", "set_duration_s")):
-        out = out.join(split_quantiles(s, g, col, {name: 0.5}), g, "left")
-    return rounded(out)
+    med = quantiles(s, g, {"median_stable_s": ("stable_s", 0.5), "median_stable_reps": ("reps", 0.5), "median_set_s": ("set_duration_s", 0.5)})
+    return rounded(out.join(med, g))
 
 
 @query("accuracy_by_time", using("ascalls", f""", sc AS ({scores_sql("ascalls", 'repeat, n_team, k, subject, t_s', pred='call')})

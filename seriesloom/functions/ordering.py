@@ -59,19 +59,30 @@ def split_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.drop("_piece", *[f"_r_{c}" for c in cols], *[f"_c_{c}" for c in cols])
 
 
-LARGE_GROUP = 100_000  # distinct values from which a group is split by value
+LARGE_GROUP = 1_000_000  # rows from which a group is split by value
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group: one small job with map-side counts, used to choose a strategy."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32, large: int = LARGE_GROUP,
-                extra: dict[str, Column] | None = None) -> DataFrame:
+                extra: dict[str, Column] | None = None, max_group: int | None = None) -> DataFrame:
     """Per group and distinct value: ``n`` rows with it, ``n_before`` smaller ones, ``n_total`` in the group.
 
     Equal values are counted map-side first. Groups with more than ``large`` distinct values are split at
     approximate quantiles, which only steers the split, so the ranks stay exact; smaller groups stay whole.
-    ``extra`` adds aggregates per distinct value.
+    ``extra`` adds aggregates per distinct value. With ``max_group``, a proven bound on the rows of a group, the
+    size check is skipped.
     """
     d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (extra or {}).items()])
+    if (largest_group(d, keys) if max_group is None else max_group) <= large:
+        whole = Window.partitionBy(*keys)
+        up = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return d.select(*keys, value, "n", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n_before"),
+                        F.sum("n").over(whole).alias("n_total"), *(extra or {}))
     probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     cut = F.percentile_approx(value, probs, 1000).alias("_cuts")
     if keys:
@@ -94,9 +105,35 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32
             .select(*keys, value, "n", "n_before", "n_total", *(extra or {})))
 
 
-def split_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], large: int = LARGE_GROUP) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, one column per entry of ``probs``."""
-    r = value_ranks(df, keys, value, large=large)
+def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], max_group: int | None = None,
+              large: int = LARGE_GROUP) -> DataFrame:
+    """Exact linear-interpolation quantiles per group: column name -> (value column, probability).
+
+    The size of the largest group is checked first. Small groups take one aggregation; otherwise values are
+    ranked in pieces, so that no task holds a group.
+    """
+    if (largest_group(df, keys) if max_group is None else max_group) <= large:
+        return df.groupBy(*keys).agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()])
+    out = None
+    for col in dict.fromkeys(c for c, _ in wanted.values()):
+        q = _ranked_quantiles(df, keys, col, {n: p for n, (c, p) in wanted.items() if c == col}, large)
+        if out is None:
+            out = q
+        elif keys:
+            out = out.join(q, list(keys), "full")
+        else:
+            out = out.withColumns({n: q.select(n).scalar() for n in q.columns})
+    return out
+
+
+def split_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], max_group: int | None = None,
+                    large: int = LARGE_GROUP) -> DataFrame:
+    """``quantiles`` of a single value column."""
+    return quantiles(df, keys, {n: (value, p) for n, p in probs.items()}, max_group, large)
+
+
+def _ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], large: int) -> DataFrame:
+    r = value_ranks(df, keys, value, large=large, max_group=large + 1)
     v, n0, n, total = F.col(value), F.col("n_before"), F.col("n"), F.col("n_total")
 
     def at(index: Column) -> Column:
@@ -112,9 +149,13 @@ def split_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
                                for p in probs])
 
 
-def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, max_group: int | None = None,
+              large: int = LARGE_GROUP) -> DataFrame:
     """Attach the average rank of ``value`` within its group (ties share the mean rank)."""
-    r = value_ranks(df, keys, value).select(
+    if (largest_group(df, keys) if max_group is None else max_group) <= large:
+        peers = F.count(value).over(Window.partitionBy(*keys, value))
+        return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())) + (peers - 1) / F.lit(2.0))
+    r = value_ranks(df, keys, value, large=large, max_group=large + 1).select(
         *keys, value, (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(name))
     return df.join(r, [*keys, value])
 

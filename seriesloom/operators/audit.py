@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import vocabulary as V
 from seriesloom.functions.columns import exclude_reason
-from seriesloom.functions.ordering import split_lag, split_quantiles
+from seriesloom.functions.ordering import quantiles, split_lag, split_quantiles
 
 
 def parse_series_name(df: DataFrame, name: str = "name") -> DataFrame:
@@ -112,9 +112,8 @@ def class_audit(bouts: DataFrame) -> DataFrame:
         F.countDistinct("session_id").alias("sessions"), (F.sum("duration_s") / 60).alias("minutes"))
     per = bouts.groupBy("cls", "subject").agg(F.count(F.lit(1)).alias("sets"))
     spread = per.groupBy("cls").agg(F.min("sets").alias("sets_min"), F.max("sets").alias("sets_max"))
-    for name, rows, col in (("median_duration_s", bouts, "duration_s"), ("median_rep_rate_hz", derive_rates(bouts), "rep_rate_hz"),
-                            ("sets_median", per, "sets")):
-        spread = spread.join(split_quantiles(rows, ["cls"], col, {name: 0.5}), "cls")
+    med = quantiles(derive_rates(bouts), ["cls"], {"median_duration_s": ("duration_s", 0.5), "median_rep_rate_hz": ("rep_rate_hz", 0.5)})
+    spread = spread.join(med, "cls").join(split_quantiles(per, ["cls"], "sets", {"sets_median": 0.5}), "cls")
     most = Window.partitionBy(F.lit(0))  # one row per class at this point
     return c.join(spread, "cls").withColumn("imbalance", F.max("bouts").over(most) / F.col("bouts"))
 

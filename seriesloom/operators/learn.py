@@ -59,7 +59,12 @@ def nearest_profile(rows: DataFrame, profiles: DataFrame, keys: Sequence[str], m
 
 def profile_proba(rows: DataFrame, profiles: DataFrame, keys: Sequence[str], n_classes: int, max_conditions: int) -> DataFrame:
     """Class probabilities in class order 0..C-1, falling with the distance to the class profile."""
-    d = rows.join(bounded_broadcast(profiles, max_conditions), list(keys)).withColumn("_d", profile_distances())
+    return proba_from_profiles(rows.join(bounded_broadcast(profiles, max_conditions), list(keys)), n_classes)
+
+
+def proba_from_profiles(rows: DataFrame, n_classes: int) -> DataFrame:
+    """The same for rows that already carry ``profiles`` and ``scale``."""
+    d = rows.withColumn("_d", profile_distances())
     by_class = let(F.map_from_entries("_d"), lambda m: F.transform(
         F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda c: F.coalesce(1 / (1 + F.try_element_at(m, c)), F.lit(0.0))))
     proba = let(by_class, lambda w: let(total(w), lambda t: F.transform(w, lambda x: x / t)))
@@ -130,9 +135,8 @@ def profile_learner(n_classes: int) -> Callable:
     """The profile learner under the same contract: windows with a measure array in, probabilities out."""
 
     def fit_predict(train: DataFrame, test: DataFrame) -> DataFrame:
-        one = F.lit(1).alias("_model")
-        profiles = fit_profiles(series_mean(train).select("*", one), ["_model"])
-        rows = test.withColumn("_model", F.lit(1))
-        return profile_proba(rows, profiles, ["_model"], n_classes, 1).drop("_model")
+        model = fit_profiles(series_mean(train), []).select(F.struct("profiles", "scale").alias("s")).scalar()
+        rows = test.withColumn("_model", model).select("*", "_model.profiles", "_model.scale").drop("_model")
+        return proba_from_profiles(rows, n_classes)
 
     return fit_predict

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,7 +71,6 @@ def pole_decay(cutoff: Column | float, fs: Column | float, order: int) -> Column
     return F.log(up / down) / 2
 
 
-@lru_cache(maxsize=1024)
 def impulse_response(order: int, ratio: float, tail: float = 1e-14) -> np.ndarray:
     """Impulse response of an even-order Butterworth low-pass at cutoff / rate, cut where it has decayed to ``tail``."""
     if order % 2:
@@ -100,9 +98,16 @@ def _pass(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.fft.irfft(spec, size, axis=0)[len(h): len(h) + len(x)]
 
 
-def zero_phase(x: np.ndarray, order: int, cutoff: float, fs: float, mirror: tuple[bool, bool] = (True, True)) -> np.ndarray:
-    """Forward-backward low-pass along axis 0 with point-mirrored ends (``mirror`` per end)."""
-    h = impulse_response(order, round(cutoff / fs, 12))
+def zero_phase(x: np.ndarray, order: int, cutoff: float, fs: float, mirror: tuple[bool, bool] = (True, True),
+               known: dict | None = None) -> np.ndarray:
+    """Forward-backward low-pass along axis 0 with point-mirrored ends (``mirror`` per end).
+
+    ``known`` keeps impulse responses of rates seen before.
+    """
+    known, key = {} if known is None else known, (order, round(cutoff / fs, 12))
+    if key not in known:
+        known[key] = impulse_response(*key)
+    h = known[key]
     m = min(3 * (order + 1), len(x) - 1)
     head = 2 * x[:1] - x[m:0:-1] if mirror[0] else x[:0]
     tail = 2 * x[-1:] - x[-2:-m - 2:-1] if mirror[1] else x[:0]
@@ -134,12 +139,13 @@ def lowpass_zero_phase(samples: DataFrame, order: Sequence[str], piece: Column,
     series_type = dict(d.dtypes)["series_id"]
 
     def run(batches):
+        known: dict = {}
         for pdf in batches:
             parts = []
             for r in pdf.itertuples(index=False):
                 idx, x = np.asarray(r.idx), np.stack([np.asarray(r.x, float), np.asarray(r.y, float), np.asarray(r.z, float)], 1)
                 if r.cutoff < r.fs / 2:
-                    x = zero_phase(x, poles, r.cutoff, r.fs, (idx[0] == 0, idx[-1] == r.n_total - 1))
+                    x = zero_phase(x, poles, r.cutoff, r.fs, (idx[0] == 0, idx[-1] == r.n_total - 1), known)
                 own = idx // chunk == r.chunk
                 parts.append((np.repeat(r.series_id, own.sum()), idx[own], x[own]))
             if parts:

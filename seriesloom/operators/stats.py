@@ -75,8 +75,8 @@ def bootstrap_ci(rows: DataFrame, keys: Sequence[str], unit: str, value: str, b:
     ci = reps.groupBy(*keys).agg(F.percentile(value, alpha / 2).alias("ci_lo"), F.percentile(value, 1 - alpha / 2).alias("ci_hi"))
     m = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     if not keys:
-        m, ci, keys = m.withColumn("_k", F.lit(0)), ci.withColumn("_k", F.lit(0)), ["_k"]
-    return m.join(ci, list(keys)).drop("_k")
+        return m.withColumns({c: ci.select(c).scalar() for c in ("ci_lo", "ci_hi")})
+    return m.join(ci, list(keys))
 
 
 def subject_means(scores: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -142,10 +142,8 @@ def signed_rank(diffs: DataFrame, keys: Sequence[str], d: str = "d", exact: bool
     s = r.groupBy(*keys).agg(F.sum(mid * F.col("_pos")).alias("w_plus"), F.sum(mid * F.col("_neg")).alias("w_minus"),
                              F.sum(t * t * t - t).alias("_ties"), F.sum("n").alias("n_used"))
     zeros = rows.groupBy(*keys).agg(F.sum((F.col("_d") == 0).cast("int")).alias("_zeros"))
-    if not keys:
-        s, zeros, keys = s.withColumn("_k", F.lit(0)), zeros.withColumn("_k", F.lit(0)), ["_k"]
     s = zeros.join(s, list(keys), "left").withColumn("n_used", F.coalesce("n_used", F.lit(0)))
-    return _with_p(s, exact).drop("_k")
+    return _with_p(s, exact)
 
 
 def paired_compare(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, boot: int = 2000, seed: int = 0,
@@ -204,7 +202,7 @@ def equivalent_x(scores: DataFrame, curves: DataFrame, keys: Sequence[str], x: s
     pts = curves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y")))).alias("_pts"))
     pts = pts.withColumn("_f", F.transform(F.sequence(F.lit(1), F.size("_pts")), lambda i: F.array_max(
         F.transform(F.slice("_pts", F.lit(1), i), lambda p: p["y"]))))
-    d = scores.join(pts, list(keys))
+    d = scores.join(pts, list(keys)) if keys else scores.withColumns({c: pts.select(c).scalar() for c in ("_pts", "_f")})
     v, f, p, n = F.col(value), F.col("_f"), F.col("_pts"), F.size("_pts")
     # last point whose running maximum does not exceed the score
     lo = F.size(F.filter("_f", lambda q: q <= v)) - 1

@@ -35,7 +35,9 @@ def self_train(spark: SparkSession, windows: DataFrame, labeled: DataFrame, unla
     folder, which cuts the lineage of the next round.
     """
     keys = list(keys)
-    series = L.series_mean(windows)
+    path = fresh_path(spark, "series")
+    L.series_mean(windows).write.parquet(path)
+    series = spark.read.parquet(path)
     known = series.join(labeled, "series_id").select(*keys, "series_id", "cls", "m")
     open_windows = windows.join(unlabeled, "series_id")
     profiles, diag = fit_profiles_split(known, keys), None

@@ -11,7 +11,7 @@ from seriesloom.functions.ordering import first_k
 from seriesloom.operators import learn as L
 from seriesloom.plans import cohort as P
 from seriesloom.plans.experiment import cohort_windows, saved_roles
-from seriesloom.session import bounded_broadcast, materialize
+from seriesloom.session import bounded_broadcast, fresh_path, materialize
 from seriesloom.sources import adapters as AD
 
 N_RANDOM = 2
@@ -119,9 +119,12 @@ def pair_screen(spark: SparkSession, sf_dir: str, k_folds: int = 5, n_measures:
     from seriesloom.functions.ordering import split_quantiles
     from seriesloom.operators.joins import class_pairs
 
-    rows = L.series_mean(cohort_windows(spark, sf_dir))
+    rows = materialize(lambda: L.series_mean(cohort_windows(spark, sf_dir)), spark, ("series", sf_dir))
     folds = P.group_kfold(rows, k_folds).select("subject", "fold")
     rows = rows.join(folds, "subject")
+    path = fresh_path(spark, "pair-rows")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
     long = rows.select("cls", "fold", F.posexplode("m").alias("mi", "v")).withColumn(
         "out", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k_folds - 1)), lambda f: f != F.col("fold"))))
     key = ["cls", "out", "mi"]
