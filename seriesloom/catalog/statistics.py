@@ -8,7 +8,7 @@ from seriesloom.catalog.scoring import FAM, battery_rows, extra_scores, period_r
 from seriesloom.catalog.sqlparts import bootstrap_sql, paired_sql, part, rank_test_sql, scores_sql, using
 from seriesloom.functions import vocabulary as V
 from seriesloom.functions.ordering import mid_ranks
-from seriesloom.operators import learn as L
+from seriesloom.operators import joins as J
 from seriesloom.operators import scores as S
 from seriesloom.operators import stats as ST
 from seriesloom.plans import cohort as P
@@ -173,6 +173,25 @@ def marginal_gain(spark, d):
     return rounded(out.select("k", "from_n", "to_n", *PAIRED[:7], F.col("n_used").cast("bigint").alias("n_used"), *PAIRED[8:], "gain_per_subject"))
 
 
+@query("reconcile", using("preds spreds", """SELECT count(*) AS matched, 0::BIGINT AS only_left, 0::BIGINT AS only_right, max(abs(a.pred - b.pred))::INTEGER AS max_abs_diff,
+  max(abs(a.pred - b.pred)) < 1e-9 AS agrees FROM preds a JOIN spreds b USING (repeat, n_team, k, series_id)"""))
+def reconcile(spark, d):
+    """Window vote against the set-level calls: same keys, how far apart the calls are."""
+    return J.reconcile(X.saved_predictions(spark, d), set_level_predictions(spark, d), [*X.COND, "series_id"], "pred")
+
+
+@query("budget_minutes_score", using("train scores", """SELECT t.repeat::INTEGER AS repeat, t.n_team, t.k, round(t.minutes, 6) AS minutes, round(f1, 6) AS f1 FROM (
+  SELECT repeat, n_team, k, count(*) * 16 / 8.0::DOUBLE / 60 AS minutes FROM train GROUP BY ALL) t JOIN (
+  SELECT repeat, n_team, k, avg(macro_f1) AS f1 FROM scores WHERE role = 'new' GROUP BY ALL) s USING (repeat, n_team, k)"""))
+def budget_minutes_score(spark, d):
+    """Minutes of training signal per repeat and condition, beside the mean score of the new subjects."""
+    bouts = AD.vector_bouts(spark, d)
+    train = P.train_sets(P.nested_set_order(bouts, X.saved_roles(spark, d, D), D), D)
+    m = train.groupBy(*X.COND).agg((F.count(F.lit(1)) * 16 / F.lit(AD.FS) / 60).alias("minutes"))
+    s = X.grid_scores(spark, d).where("role = 'new'").groupBy(*X.COND).agg(F.avg("macro_f1").alias("f1"))
+    return rounded(m.join(s, X.COND))
+
+
 # --- curves ----------------------------------------------------------------------------------------
 
 part("curve", ("ath",), "SELECT k, role, n_team, avg(macro_f1) AS y FROM ath GROUP BY ALL")

@@ -74,7 +74,7 @@ def shape_features(df: DataFrame, fs: float, a: str = "a") -> DataFrame:
     flips = F.zip_with(F.slice("_c", F.lit(1), n - 1), F.slice("_c", F.lit(2), n - 1),
                        lambda p, q: F.when((p < 0) != (q < 0), 1.0).otherwise(0.0))
     steps = F.zip_with(F.slice(a, F.lit(1), n - 1), F.slice(a, F.lit(2), n - 1), lambda p, q: F.abs(q - p))
-    return d.withColumns({"zc": total(flips) / n, "jerk": total(steps) / (n - 1) * F.lit(fs)})
+    return d.withColumns({"zc": total(flips) / n, "jerk": F.coalesce(F.try_divide(total(steps), n - 1), F.lit(0.0)) * F.lit(fs)})
 
 
 def spectral_features(df: DataFrame, fs: float, a: str = "a") -> DataFrame:
@@ -98,7 +98,7 @@ def spectral_features(df: DataFrame, fs: float, a: str = "a") -> DataFrame:
     ent = F.aggregate("_p", F.lit(0.0),
                       lambda acc, p: acc - p / F.col("_psum") * F.log(F.greatest(p / F.col("_psum"), F.lit(1e-12))))
     return d.withColumns({"domf": (first_argmax(F.col("_p")) + 1) * F.lit(fs) / n,
-                          "domp": F.array_max("_p") / F.col("_psum"), "spent": ent / F.log(F.size("_p"))})
+                          "domp": F.array_max("_p") / F.col("_psum"), "spent": F.coalesce(F.try_divide(ent, F.log(F.size("_p"))), F.lit(0.0))})
 
 
 def pearson(a: Column, b: Column, mean_a: Column, mean_b: Column) -> Column:

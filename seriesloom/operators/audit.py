@@ -156,6 +156,6 @@ def angle_measures(samples: DataFrame) -> DataFrame:
     m = u.groupBy("series_id").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
     m = m.withColumn("_l", F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my") + F.col("mz") * F.col("mz")))
     d = u.join(m, "series_id")
-    cos = (F.col("x") * F.col("mx") + F.col("y") * F.col("my") + F.col("z") * F.col("mz")) / F.col("_l")
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
+    cos = F.try_divide(F.col("x") * F.col("mx") + F.col("y") * F.col("my") + F.col("z") * F.col("mz"), F.col("_l"))
+    angle = F.degrees(F.acos(F.when(cos.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
     return d.groupBy("series_id").agg(F.avg("x").alias("direction"), F.stddev_pop(angle).alias("turning_deg"))

@@ -84,7 +84,7 @@ def _feature_block(x: np.ndarray, fs: float) -> np.ndarray:
             np.where(flat, 0.0, (c ** 3).mean(-1) / safe ** 1.5), np.where(flat, 0.0, (c ** 4).mean(-1) / safe ** 2 - 3),
             (neg[..., 1:] != neg[..., :-1]).sum(-1) / length, np.abs(np.diff(x, axis=-1)).mean(-1) * fs,
             (power.argmax(-1) + 1) * fs / length, power.max(-1) / whole,
-            -(share * np.log(np.maximum(share, 1e-12))).sum(-1) / np.log(power.shape[-1])]
+            -(share * np.log(np.maximum(share, 1e-12))).sum(-1) / (np.log(power.shape[-1]) or 1.0)]
     out = np.stack(cols, -1).reshape(n, -1)
     if x.shape[1] < 3:
         return out

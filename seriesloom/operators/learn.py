@@ -67,7 +67,7 @@ def proba_from_profiles(rows: DataFrame, n_classes: int) -> DataFrame:
     d = rows.withColumn("_d", profile_distances())
     by_class = let(F.map_from_entries("_d"), lambda m: F.transform(
         F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda c: F.coalesce(1 / (1 + F.try_element_at(m, c)), F.lit(0.0))))
-    proba = let(by_class, lambda w: let(total(w), lambda t: F.transform(w, lambda x: x / t)))
+    proba = let(by_class, lambda w: let(total(w), lambda t: F.transform(w, lambda x: F.try_divide(x, t))))
     return d.withColumn("proba", proba).drop("_d", "profiles", "scale", "m")
 
 

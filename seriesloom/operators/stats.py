@@ -227,7 +227,7 @@ def within_slopes(rows: DataFrame, keys: Sequence[str], group: str, y: Column, x
     s1 = (F.col("ya") * F.col("bb") - F.col("yb") * F.col("ab")) / det
     s2 = (F.col("yb") * F.col("aa") - F.col("ya") * F.col("ab")) / det
     out = tot.withColumns({"slope_1": F.when(F.abs(det) > 1e-12, s1), "slope_2": F.when(F.abs(det) > 1e-12, s2)})
-    r2 = (F.col("slope_1") * F.col("ya") + F.col("slope_2") * F.col("yb")) / F.col("yy")
+    r2 = F.try_divide(F.col("slope_1") * F.col("ya") + F.col("slope_2") * F.col("yb"), F.col("yy"))
     return out.select(*keys, "n_rows", "slope_1", "slope_2", F.try_divide("slope_1", "slope_2").alias("ratio"), r2.alias("within_r2"))
 
 
@@ -242,5 +242,5 @@ def variance_shares(rows: DataFrame, outer: str, inner: str, value: str, keys: S
         (F.sum(F.col("n") * F.col("mc") * F.col("mc")) - F.pow(F.sum(F.col("n") * F.col("mc")), F.lit(2)) / F.sum("n")).alias("top"),
         F.sum("mid").alias("mid"), F.sum("rest").alias("rest"))
     whole = F.col("top") + F.col("mid") + F.col("rest")
-    return tot.select(*keys, (F.col("top") / whole).alias("between_class"), (F.col("mid") / whole).alias("between_subject"),
-                      (F.col("rest") / whole).alias("residual"))
+    return tot.select(*keys, *[F.try_divide(c, whole).alias(n) for c, n in (
+        (F.col("top"), "between_class"), (F.col("mid"), "between_subject"), (F.col("rest"), "residual"))])
