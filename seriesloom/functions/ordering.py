@@ -37,12 +37,13 @@ def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: C
     """Previous row's values per group, also across the edges of the pieces."""
     parts = [*keys, "_piece"]
     d = df.withColumn("_piece", piece).withColumn("_v", F.struct(*cols))
-    last = d.groupBy(*parts).agg(F.max_by("_v", F.struct(*order)).alias("_last"))
-    edges = last.select(*parts, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_piece")).alias("_edge"))
-    local = d.withColumn("_p", F.lag("_v").over(Window.partitionBy(*parts).orderBy(*order)))
+    here = Window.partitionBy(*parts).orderBy(*order)
+    local = d.withColumns({"_p": F.lag("_v").over(here), "_end": F.lead(F.lit(1)).over(here).isNull()})
+    # the last row of each piece, off the same shuffle
+    edges = local.where("_end").select(*parts, F.lag("_v").over(Window.partitionBy(*keys).orderBy("_piece")).alias("_edge"))
     out = local.join(edges, parts).withColumn("_p", F.coalesce("_p", "_edge"))
     return (out.withColumns({prefix + c: F.col("_p")[c] for c in cols})
-            .drop("_piece", "_v", "_p", "_edge"))
+            .drop("_piece", "_v", "_p", "_edge", "_end"))
 
 
 def split_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column,
@@ -167,17 +168,17 @@ def split_enumerate(df: DataFrame, keys: Sequence[str], order: Sequence[str], pi
     Everything that crosses pieces comes from one summary row per piece.
     """
     parts = [*keys, "_piece"]
-    pos = F.struct(*order)
+    here = Window.partitionBy(*parts).orderBy(*order)
     d = df.withColumn("_piece", piece).withColumn("_v", F.struct(*cols))
-    s = d.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"), F.max_by("_v", pos).alias("_last"),
-                              F.min_by(ends, pos).alias("_e0"), F.max_by(ends, pos).alias("_e1"))
+    local = d.withColumns({"_rn": F.row_number().over(here), "_p": F.lag("_v").over(here), "_end": F.lead(F.lit(1)).over(here).isNull(),
+                           "_e0": F.first(ends).over(here.rowsBetween(Window.unboundedPreceding, 0))})
+    # the last row of each piece holds its size, its last values and its first end, off the same shuffle
+    s = local.where("_end").select(*parts, F.col("_rn").alias("_n"), F.col("_v").alias("_last"), "_e0", F.col(ends).alias("_e1"))
     up = Window.partitionBy(*keys).orderBy("_piece")
     before = up.rowsBetween(Window.unboundedPreceding, -1)
     whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias("n_total"),
                  F.lag("_last").over(up).alias("_edge"), F.first("_e0").over(whole).alias(f"first_{ends}"),
                  F.last("_e1").over(whole).alias(f"last_{ends}"))
-    here = Window.partitionBy(*parts).orderBy(*order)
-    local = d.withColumns({"_rn": F.row_number().over(here), "_p": F.lag("_v").over(here)})
-    out = local.join(s, parts).withColumns({"idx": F.col("_off") + F.col("_rn") - 1, "_p": F.coalesce("_p", "_edge")})
-    return out.withColumns({f"prev_{c}": F.col("_p")[c] for c in cols}).drop("_piece", "_v", "_rn", "_p", "_off", "_edge")
+    out = local.drop("_e0").join(s, parts).withColumns({"idx": F.col("_off") + F.col("_rn") - 1, "_p": F.coalesce("_p", "_edge")})
+    return out.withColumns({f"prev_{c}": F.col("_p")[c] for c in cols}).drop("_piece", "_v", "_rn", "_p", "_off", "_edge", "_end")

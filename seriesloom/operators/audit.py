@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import vocabulary as V
 from seriesloom.functions.columns import exclude_reason
-from seriesloom.functions.ordering import quantiles, split_lag, split_quantiles
+from seriesloom.functions.ordering import quantiles, split_enumerate, split_quantiles
 
 
 def parse_series_name(df: DataFrame, name: str = "name") -> DataFrame:
@@ -32,12 +32,11 @@ def series_quality(samples: DataFrame, order: Sequence[str], piece: Column) -> D
 
     ``samples`` has (series_id, row, t_ms, x, y, z) and the order columns.
     """
-    d = split_lag(samples, ["series_id"], order, piece, ["t_ms"])
+    d = split_enumerate(samples, ["series_id"], order, piece, ["t_ms"], "t_ms")
     dt = F.col("t_ms") - F.col("prev_t_ms")
-    pos = F.struct(*order)
     missing = F.col("t_ms").isNull() | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
     q = d.groupBy("series_id").agg(
-        F.count(F.lit(1)).alias("n_samples"), F.min_by("t_ms", pos).alias("_t0"), F.max_by("t_ms", pos).alias("_t1"),
+        F.count(F.lit(1)).alias("n_samples"), F.max("first_t_ms").alias("_t0"), F.max("last_t_ms").alias("_t1"),
         F.avg((dt == 0).cast("double")).alias("frac_shared_ts"), F.coalesce(F.max(dt), F.lit(0)).alias("max_gap_ms"),
         F.max(missing).alias("_missing"), F.max(F.col("row") != 1).alias("_other"), F.max(dt < 0).alias("_back"))
     dur = (F.col("_t1") - F.col("_t0")) / F.lit(1000.0)
