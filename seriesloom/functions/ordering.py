@@ -1,7 +1,8 @@
 """Ordered operators that never need a whole group in one task.
 
 A group (series, subject, class) may hold a large share of all rows, so a plain
-``Window.partitionBy(group)`` would put it in one task. Each function here splits a group into
+``Window.partitionBy(group)`` would put it in one task. Each function here checks the largest group
+first and uses a plain window where it is small. Otherwise it splits groups into
 pieces that keep the order (a stretch of time, leading digits of a hash, a range of values), works
 inside the pieces, and carries only one summary row per piece across their edges.
 """
@@ -14,14 +15,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+LARGE_GROUP = 1_000_000  # rows from which a group is split
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group: one small job with map-side counts, used to choose a strategy."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def fits_a_task(df: DataFrame, keys: Sequence[str], max_group: int | None, large: int | None) -> bool:
+    """Whether every group is small enough for one task, by a proven bound or else by the checked size."""
+    return (largest_group(df, keys) if max_group is None else max_group) <= (LARGE_GROUP if large is None else large)
+
+
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First k rows per group with their rank; Spark keeps k rows per group map-side (WindowGroupLimit)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def split_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], piece: Column, name: str = "rank") -> DataFrame:
+def split_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], piece: Column, name: str = "rank",
+               max_group: int | None = None, large: int | None = None) -> DataFrame:
     """1-based row number per group; ``piece`` must be non-decreasing along ``order``."""
+    if fits_a_task(df, keys, max_group, large):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     parts = [*keys, "_piece"]
     d = df.withColumn("_piece", piece)
     sizes = d.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
@@ -33,8 +50,11 @@ def split_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], piec
 
 
 def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, cols: Sequence[str],
-              prefix: str = "prev_") -> DataFrame:
+              prefix: str = "prev_", max_group: int | None = None, large: int | None = None) -> DataFrame:
     """Previous row's values per group, also across the edges of the pieces."""
+    if fits_a_task(df, keys, max_group, large):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({prefix + c: F.lag(c).over(w) for c in cols})
     parts = [*keys, "_piece"]
     d = df.withColumn("_piece", piece).withColumn("_v", F.struct(*cols))
     here = Window.partitionBy(*parts).orderBy(*order)
@@ -47,8 +67,11 @@ def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: C
 
 
 def split_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column,
-                      cols: Sequence[str], prefix: str = "run_") -> DataFrame:
+                      cols: Sequence[str], prefix: str = "run_", max_group: int | None = None, large: int | None = None) -> DataFrame:
     """Running totals per group, carried over the pieces."""
+    if fits_a_task(df, keys, max_group, large):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({prefix + c: F.sum(c).over(w) for c in cols})
     parts = [*keys, "_piece"]
     d = df.withColumn("_piece", piece)
     sums = d.groupBy(*parts).agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
@@ -60,15 +83,7 @@ def split_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.drop("_piece", *[f"_r_{c}" for c in cols], *[f"_c_{c}" for c in cols])
 
 
-LARGE_GROUP = 1_000_000  # rows from which a group is split by value
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group: one small job with map-side counts, used to choose a strategy."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32, large: int = LARGE_GROUP,
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32, large: int | None = None,
                 extra: dict[str, Column] | None = None, max_group: int | None = None) -> DataFrame:
     """Per group and distinct value: ``n`` rows with it, ``n_before`` smaller ones, ``n_total`` in the group.
 
@@ -79,7 +94,8 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32
     """
     d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (extra or {}).items()])
-    if (largest_group(d, keys) if max_group is None else max_group) <= large:
+    large = LARGE_GROUP if large is None else large
+    if fits_a_task(d, keys, max_group, large):
         whole = Window.partitionBy(*keys)
         up = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return d.select(*keys, value, "n", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n_before"),
@@ -107,13 +123,14 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], max_group: int | None = None,
-              large: int = LARGE_GROUP) -> DataFrame:
+              large: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group: column name -> (value column, probability).
 
     The size of the largest group is checked first. Small groups take one aggregation; otherwise values are
     ranked in pieces, so that no task holds a group.
     """
-    if (largest_group(df, keys) if max_group is None else max_group) <= large:
+    large = LARGE_GROUP if large is None else large
+    if fits_a_task(df, keys, max_group, large):
         return df.groupBy(*keys).agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()])
     out = None
     for col in dict.fromkeys(c for c, _ in wanted.values()):
@@ -128,7 +145,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, f
 
 
 def split_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], max_group: int | None = None,
-                    large: int = LARGE_GROUP) -> DataFrame:
+                    large: int | None = None) -> DataFrame:
     """``quantiles`` of a single value column."""
     return quantiles(df, keys, {n: (value, p) for n, p in probs.items()}, max_group, large)
 
@@ -151,9 +168,10 @@ def _ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
 
 
 def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, max_group: int | None = None,
-              large: int = LARGE_GROUP) -> DataFrame:
+              large: int | None = None) -> DataFrame:
     """Attach the average rank of ``value`` within its group (ties share the mean rank)."""
-    if (largest_group(df, keys) if max_group is None else max_group) <= large:
+    large = LARGE_GROUP if large is None else large
+    if fits_a_task(df, keys, max_group, large):
         peers = F.count(value).over(Window.partitionBy(*keys, value))
         return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())) + (peers - 1) / F.lit(2.0))
     r = value_ranks(df, keys, value, large=large, max_group=large + 1).select(
@@ -162,11 +180,17 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, max_gro
 
 
 def split_enumerate(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, cols: Sequence[str],
-                    ends: str) -> DataFrame:
+                    ends: str, max_group: int | None = None, large: int | None = None) -> DataFrame:
     """0-based position ``idx``, group size ``n_total``, previous values and the group's first and last ``ends``.
 
     Everything that crosses pieces comes from one summary row per piece.
     """
+    if fits_a_task(df, keys, max_group, large):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumns({"idx": F.row_number().over(w) - 1, "n_total": F.count(F.lit(1)).over(whole),
+                               f"first_{ends}": F.first(ends).over(whole), f"last_{ends}": F.last(ends).over(whole),
+                               **{f"prev_{c}": F.lag(c).over(w) for c in cols}})
     parts = [*keys, "_piece"]
     here = Window.partitionBy(*parts).orderBy(*order)
     d = df.withColumn("_piece", piece).withColumn("_v", F.struct(*cols))

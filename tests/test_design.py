@@ -71,13 +71,13 @@ def test_subject_split_sizes(spark, n, frac, want):
     assert {r["part"]: r["count"] for r in s} == {"test": want, "train": n - want}
 
 
-def test_group_kfold_has_no_shared_subject(bouts):
+def test_group_kfold_has_no_shared_subject(bouts, strategy):
     f = P.group_kfold(bouts, 3)
     assert f.count() == 8 and f.groupBy("subject").count().where("count > 1").count() == 0
     assert f.groupBy("fold").count().where("count > 3").count() == 0
 
 
-def test_quality_flags(spark):
+def test_quality_flags(spark, strategy):
     rows = [("ok", 0, 1, 0, 1.0), ("ok", 1, 1, 0, 1.0), ("ok", 2, 1, 40, 1.0), ("ok", 3, 1, 1000, 1.0),
             ("bad", 0, 1, 10, 1.0), ("bad", 1, 3, 5, None), ("bad", 2, 1, 10, 1.0), ("one", 0, 1, 7, 1.0)]
     d = spark.createDataFrame(rows, "series_id string, i int, row int, t_ms bigint, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})

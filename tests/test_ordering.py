@@ -20,13 +20,13 @@ def piece():
     return F.floor(F.col("i") / 37)
 
 
-def test_split_rank(rows):
+def test_split_rank(rows, strategy):
     out = O.split_rank(rows, ["k"], [F.col("i")], piece())
     bad = out.withColumn("w", F.row_number().over(Window.partitionBy("k").orderBy("i"))).where("w <> rank")
     assert bad.count() == 0 and out.count() == 3000
 
 
-def test_split_lag_crosses_pieces_and_keeps_nulls(rows):
+def test_split_lag_crosses_pieces_and_keeps_nulls(rows, strategy):
     out = O.split_lag(rows, ["k"], ["i"], piece(), ["t", "v"])
     w = Window.partitionBy("k").orderBy("i")
     bad = (
@@ -35,13 +35,13 @@ def test_split_lag_crosses_pieces_and_keeps_nulls(rows):
     assert bad.count() == 0
 
 
-def test_split_running_sum(rows):
+def test_split_running_sum(rows, strategy):
     out = O.split_running_sum(rows, ["k"], ["i"], piece(), ["v"])
     w = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     assert out.withColumn("w", F.sum("v").over(w)).where("abs(w - run_v) > 1e-9").count() == 0
 
 
-def test_split_enumerate(rows):
+def test_split_enumerate(rows, strategy):
     out = O.split_enumerate(rows, ["k"], ["i"], piece(), ["v"], "i")
     w, whole = Window.partitionBy("k").orderBy("i"), Window.partitionBy("k")
     bad = out.withColumns({"a": F.row_number().over(w) - 1, "b": F.lag("v").over(w), "n": F.count("*").over(whole),
@@ -68,7 +68,7 @@ def test_global_quantile_without_keys(rows):
     assert got == pytest.approx(np.quantile(rows.toPandas().v, 0.37))
 
 
-def test_mid_ranks(rows):
+def test_mid_ranks(rows, strategy):
     import pandas as pd
 
     got = O.mid_ranks(rows.select("k", "i", "v"), ["k"], "v", "r").toPandas().sort_values("i")

@@ -22,7 +22,7 @@ def piece(n=100):
     return F.floor(F.col("i") / n)
 
 
-def test_resample_keeps_rate_peak_and_constant(spark):
+def test_resample_keeps_rate_peak_and_constant(spark, strategy):
     d = long_series(spark, 950, 95.0)
     r = S.resample_linear(d, ["i"], piece(), 30.0).orderBy("g").toPandas()
     end = d.agg(F.max("t_ms")).first()[0] / 1000
@@ -34,7 +34,7 @@ def test_resample_keeps_rate_peak_and_constant(spark):
     assert np.allclose(r.x, np.interp(r.t_s, tt, d.orderBy("i").toPandas().x), atol=1e-9)
 
 
-def test_resample_guards(spark):
+def test_resample_guards(spark, strategy):
     assert S.resample_linear(long_series(spark, 15, 50.0), ["i"], piece(4), 30.0).count() == 0
     assert S.resample_linear(long_series(spark, 16, 50.0, burst=1), ["i"], piece(4), 30.0).count() > 0
     still = long_series(spark, 40, 50.0).withColumn("t_ms", F.lit(5).cast("bigint"))
@@ -52,7 +52,7 @@ def test_zero_phase_on_sines():
     assert abs(np.abs(edge).max() - 0.5) < 0.01
 
 
-def test_chunked_filter_equals_whole_series(spark):
+def test_chunked_filter_equals_whole_series(spark, strategy):
     d = long_series(spark, 1500, 95.0, 1.3, burst=1).withColumn("y", F.rand(3))
     whole = S.lowpass_zero_phase(d, ["i"], piece(), 4, 12.0).orderBy("idx").toPandas()
     parts = S.lowpass_zero_phase(d, ["i"], piece(), 4, 12.0, chunk=400).orderBy("idx").toPandas()

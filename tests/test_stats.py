@@ -15,7 +15,7 @@ def frame(spark, values, key="g"):
     return spark.createDataFrame(rows, f"{key} string, subject bigint, v double")
 
 
-def test_bootstrap_forms_agree_and_constants_have_no_width(spark):
+def test_bootstrap_forms_agree_and_constants_have_no_width(spark, strategy):
     d = frame(spark, {"const": [2.0] * 9, "x": np.random.default_rng(1).normal(size=30)})
     split = {r["g"]: r for r in ST.bootstrap_ci(d, ["g"], "subject", "v", 200).collect()}
     pack = {r["g"]: r for r in ST.bootstrap_ci(d, ["g"], "subject", "v", 200, max_units=50).collect()}

@@ -25,7 +25,7 @@ def test_vote_and_its_ties(spark):
     assert got == {"majority": (0, 3), "by_proba": (1, 2), "lowest": (1, 2), "first_max": (0, 1)}
 
 
-def test_running_vote_asof_and_stability(spark):
+def test_running_vote_asof_and_stability(spark, strategy):
     a, b = [.75, .25, 0.], [.25, .75, 0.]
     # right, wrong, wrong (tie breaks), right ... truth 0
     w = windows(spark, [("s", 0, i, p) for i, p in enumerate([a, b, b, a, a, a])] + [("t", 1, 0, a), ("t", 1, 1, a)])
@@ -56,7 +56,7 @@ def test_confusion_is_complete(spark):
     assert len(c) == 9 and c[(0, 1)] == (1, 50.0) and c[(1, 1)] == (0, None)
 
 
-def test_top_fraction_rounds_up_and_breaks_ties_by_id(spark):
+def test_top_fraction_rounds_up_and_breaks_ties_by_id(spark, strategy):
     rows = [(i, "p", 0, i % 2, 0.5 if i < 8 else 0.9) for i in range(10)]
     d = spark.createDataFrame(rows, "series_id bigint, subject string, truth int, pred int, conf double")
     kept = SEL.top_fraction_per_class(d, [], 0.5)
