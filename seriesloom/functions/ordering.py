@@ -1,4 +1,4 @@
-"""Ordered operators that never need a whole group in one task.
+"""Ordered operators that never need a large group in one task.
 
 A group (series, subject, class) may hold a large share of all rows, so a plain
 ``Window.partitionBy(group)`` would put it in one task. Each function here checks the largest group
@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 LARGE_GROUP = 1_000_000  # rows from which a group is split
 
 
