@@ -86,12 +86,12 @@ class Powers:
 class Words:
     """Words of a block: ``start``, ``end`` (bytes), ``row`` (within the block).
 
-    ``member[b]`` says whether byte b belongs to a word.  Words never cross rows.
+    ``member`` says of every byte of the block whether it belongs to a word.  Words never cross rows.
     """
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray, member: np.ndarray) -> None:
         inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = member[data]
+        inside[1:-1] = member
         opens, closes = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
         edges = offsets[1:-1]
         edges = edges[(edges > 0) & (edges < len(data))]

@@ -15,6 +15,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no column of ``frames`` has it (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node long, component long): the smallest node reachable over ``links`` (a long, b long), for linked nodes.
 
