@@ -1,11 +1,12 @@
 """Queries of this folder by name, and the SQL that states the same rows where SQL can."""
 
-from seriesloom.llm import decontam, language, lines, packing, simhash
+from seriesloom.llm import decontam, language, lines, packing, simhash, vectors
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_pack_documents": packing.op2_pack_documents,
     "op3_site_lines": lines.op3_site_lines,
+    "op4_near_vectors": vectors.op4_near_vectors,
     "op6_benchmark_templates": decontam.op6_benchmark_templates,
     "op7_simhash_groups": simhash.op7_simhash_groups,
 }
