@@ -1,6 +1,6 @@
 """Queries of this folder by name, and the SQL that states the same rows where SQL can."""
 
-from seriesloom.llm import decontam, language, lines, packing, simhash, vectors
+from seriesloom.llm import decontam, language, lines, packing, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -9,5 +9,6 @@ QUERIES = {
     "op4_near_vectors": vectors.op4_near_vectors,
     "op6_benchmark_templates": decontam.op6_benchmark_templates,
     "op7_simhash_groups": simhash.op7_simhash_groups,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op3_site_lines": lines.OP3_SQL}
