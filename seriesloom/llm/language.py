@@ -265,14 +265,16 @@ def fit(train: DataFrame, calibrate: DataFrame, text_col: str = "text", lang_col
 def entropies(docs: DataFrame, models: LanguageModels, carry: list[str], text_col: str = "text") -> DataFrame:
     """``carry`` columns, n long (letters and gaps), entropy array<double>: nats per symbol of whole texts under each model."""
     name_n, name_h = unused("n", docs.select(*carry)), unused("entropy", docs.select(*carry))
-    text = unused("whole text", docs.select(*carry))
-    rows = docs.select(*carry, F.col(text_col).cast("string").alias(text))
+    if text_col in carry and docs.schema[text_col].dataType.simpleString() == "string":
+        rows, place = docs.select(*carry), carry.index(text_col)
+    else:
+        rows, place = docs.select(*carry, F.col(text_col).cast("string").alias(unused("whole text", docs.select(*carry)))), len(carry)
 
     def task(batches):
         letters = letter_table()
         for batch in batches:
             total, n = np.zeros((batch.num_rows, len(models.languages))), np.zeros(batch.num_rows, np.int64)
-            for row, offsets, data in text_pieces(batch.column(batch.num_columns - 1), SEGMENT):
+            for row, offsets, data in text_pieces(batch.column(place), SEGMENT):
                 found, at = symbols(offsets, data, letters)
                 if not len(found):
                     continue
@@ -283,7 +285,7 @@ def entropies(docs: DataFrame, models: LanguageModels, carry: list[str], text_co
                 n[row : row + len(counts)] += counts
             each = total / np.maximum(n, 1)[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * total.shape[1]), pa.array(each.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), lists], [*batch.schema.names[:-1], name_n, name_h])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(n), lists], [*carry, name_n, name_h])
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
     return rows.mapInArrow(task, f"{kinds}{', ' if kinds else ''}`{name_n}` bigint, `{name_h}` array<double>")
@@ -321,6 +323,12 @@ def identify(docs: DataFrame, models: LanguageModels, carry: list[str], text_col
     return found.select(*carry, *[v.alias(x) for v, x in zip(values, names, strict=True)])
 
 
+def keep_accepted(docs: DataFrame, models: LanguageModels, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``identify`` does not accept; columns stay as they are."""
+    found = identify(docs, models, docs.columns, text_col)
+    return found.where(F.col(found.columns[-1])).select(*docs.columns)
+
+
 def fold(id_col: str) -> F.Column:
     """crc32 of the id as text, modulo 4; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4

@@ -1,6 +1,6 @@
 """Queries of this folder by name, and the SQL that states the same rows where SQL can."""
 
-from seriesloom.llm import credentials, decontam, language, licenses, lines, packing, simhash, toxicity, vectors
+from seriesloom.llm import chats, credentials, decontam, language, licenses, lines, packing, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_benchmark_templates": decontam.op6_benchmark_templates,
     "op7_simhash_groups": simhash.op7_simhash_groups,
     "op8_secrets": credentials.op8_secrets,
+    "op9_chats": chats.op9_chats,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op3_site_lines": lines.OP3_SQL}

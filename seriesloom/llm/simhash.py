@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import BLOCK_BYTES, LOWER, byte_blocks, pieces_of
-from seriesloom.llm.tables import components, saved
+from seriesloom.llm.tables import components, saved, unused
 
 BITS = 3
 WORDS = 3
@@ -51,20 +51,25 @@ def fingerprint(pieces: Iterator[bytes], words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id long, fp long): the fingerprint of every whole text as a signed number; null text: 0."""
+    """(doc_id long, text_key long, fp long): the fingerprint of every whole text as a signed number; null text: 0.
+
+    ``text_key`` is a hash of the text: with the id it names a row, and rows that share both are copies.
+    """
 
     def task(batches):
         for batch in batches:
             found = []
-            for _, offsets, data in byte_blocks(batch.column(1)):
+            for _, offsets, data in byte_blocks(batch.column(2)):
                 raw = LOWER[data].tobytes()
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     parts = [raw[a:b]] if b - a <= BLOCK_BYTES else (p.tobytes() for p in pieces_of(LOWER[data[a:b]], BLOCK_BYTES))
                     found.append(fingerprint(parts, words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            values = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["doc_id", "text_key", "fp"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(task, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return chosen.mapInArrow(task, "doc_id long, text_key long, fp long")
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -211,19 +216,44 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, cell: int = CELL) -> Dat
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = WORDS, cell: int = CELL
 ) -> DataFrame:
-    """(doc_id long, fp long, component_id long) for every row: groups of texts with linked fingerprints.
+    """(doc_id long, text_key long, fp long, root long, component_id long) for every row: groups of texts with linked fingerprints.
 
     Texts with equal fingerprints are linked without being compared; only distinct fingerprints
-    meet.  Null and empty texts have fingerprint 0.  A null id takes part but is never a
-    component's name (null where no member has one).  Repeated rows and ids: a row each.  Empty
-    table: no rows.  Only the two named columns are read.  Very long texts are read in pieces.
+    meet.  ``root`` names the group by a fingerprint, ``component_id`` by its smallest id.
+
+    Null and empty texts have fingerprint 0.  A null id takes part but is never a component's
+    name (null where no member has one).  Repeated rows and ids: a row each.  Empty table: no
+    rows.  Only the two named columns are read.  Very long texts are read in pieces.
     """
     prints = saved(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "classes")
     linked = components(fingerprint_links(classes.select("fp"), bits, cell))
     named = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "low_id", F.coalesce("component", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    return prints.join(named.select("fp", "root").join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.select("fp", "root").join(low, "root"), "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = WORDS) -> DataFrame:
+    """``docs`` with one row of each group: the smallest id (null last), of equal ids the smallest hash of the text.
+
+    The rows to drop are named by id and hash of the text, so texts stay where they are when the
+    dropped rows are few enough to broadcast.  Repeated rows of a kept one are dropped as well.
+    Extra columns pass through whatever their names.  Empty table: no rows.
+    """
+    rows = saved(simhash_groups(docs, id_col, text_col, bits, words).select("doc_id", "text_key", "root"), "groups")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    kept = rows.groupBy("root").agg(F.min(name).alias("best"))
+    judged = rows.join(kept, "root").withColumn("stays", name == F.col("best"))
+    key, other, number = unused("text_key", docs), unused("drop_key", docs), unused("drop_id", docs)
+    flags = judged.groupBy("doc_id", "text_key").agg(F.min("stays").alias("stays"), (F.count("*") > 1).alias("again")).where("again OR NOT stays")
+    flags = saved(flags.select(F.col("doc_id").alias(number), F.col("text_key").alias(other), "stays"), "flagged")
+    texts = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(number)) & (F.col(key) == F.col(other))
+    out = texts.join(flags, same, "left_anti")
+    again = flags.where("stays")
+    if again.head(1):
+        out = out.unionByName(texts.join(again, same, "left_semi").dropDuplicates([id_col, key]))
+    return out.select(*docs.columns)
 
 
 def op7_simhash_groups(spark, sf_dir: str) -> DataFrame:
