@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.credentials import running
+from seriesloom.llm.credentials import bound, running
 from seriesloom.llm.tables import unused
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
@@ -177,9 +177,8 @@ def read_back(chats: DataFrame) -> DataFrame:
             restored(F.regexp_extract(p, header, 1), ROLE_ESCAPES).alias("role"), restored(F.regexp_replace(p, header, "")).alias("text")
         ),
     )
-    masked = F.transform(
-        "loss", lambda s: restored(F.substr(F.element_at("_parts", s["turn"] + 1), s["start"] - F.element_at("_starts", s["turn"] + 1) + 1, s["length"]))
-    )
+    text = lambda x, s: F.substr(F.element_at(x["_parts"], s["turn"] + 1), s["start"] - F.element_at(x["_starts"], s["turn"] + 1) + 1, s["length"])
+    masked = bound(F.struct("_parts", "_starts"), lambda x: F.transform("loss", lambda s: restored(text(x, s))))
     return df.withColumns({"turns": turns, "learned": masked}).drop("_parts", "_starts")
 
 

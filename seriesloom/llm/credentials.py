@@ -29,15 +29,22 @@ PART = 16
 BLOCK = 256
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, even where ``body`` uses it within lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(lengths: Column) -> Column:
     """Sums of the elements before each element; in blocks, so that long arrays are not copied for each element."""
     sums = lambda a: F.aggregate(a, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    blocks = F.transform(F.sequence(F.lit(0), ((F.size(lengths) - 1) / BLOCK).cast("int")), lambda k: sums(F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK))))
-    before = sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
-    shifted = F.zip_with(
-        blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, s: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: x + s)
+    cut = lambda a: F.transform(F.sequence(F.lit(0), ((F.size(a) - 1) / BLOCK).cast("int")), lambda k: sums(F.slice(a, k * BLOCK + 1, F.lit(BLOCK))))
+    first = lambda a, n: F.slice(a, F.lit(1), n)
+    shifted = lambda blocks: F.zip_with(
+        blocks, first(sums(F.transform(blocks, lambda b: F.element_at(b, -1))), F.size(blocks)),
+        lambda b, s: F.transform(first(b, F.size(b) - 1), lambda x: x + s),
     )
-    return F.when(F.size(lengths) > 0, F.flatten(shifted)).otherwise(F.array().cast("array<int>"))
+    some = lambda a: F.when(F.size(a) > 0, F.flatten(bound(cut(a), shifted))).otherwise(F.array().cast("array<int>"))
+    return bound(lengths, some)
 
 
 def places(df: DataFrame, text: str, pattern: str, gate: Column, groups: dict[str, int], name: str) -> tuple[DataFrame, str]:
