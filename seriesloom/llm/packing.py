@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ WINDOW = 2048
 GROUP = 8
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-TEXT_BYTES = 24 << 20
-EMIT_ROWS = 4096
+TEXT_BYTES = 8 << 20
+#: Runs of text whose ids a task keeps.
+KNOWN_RUNS = 1_000_000
+EMIT_ROWS = 512
 SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids binary"
 )
@@ -129,30 +132,84 @@ class Packer:
             yield sequence
 
 
-def token_ids(tokenizer, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the texts of a block, and how many each has.
+class Memo:
+    """Ids of strings seen before."""
 
-    The tokenizer drops white space and merges nothing across it, so every distinct run between
-    white space is encoded once and its ids are put wherever it stands.
+    def __init__(self) -> None:
+        self.strings = pa.array([], pa.large_string())
+        self.sizes, self.ids = np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def add(self, strings: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.strings = pa.concat_arrays([self.strings, strings])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+    def places(self, strings: pa.Array, encode) -> np.ndarray:
+        """Numbers of ``strings``; ``encode`` gives sizes and ids of new ones."""
+        found = pc.index_in(strings, value_set=self.strings)
+        out = pc.fill_null(found, -1).to_numpy().copy()
+        if found.null_count:
+            new = strings.filter(pc.is_null(found))
+            out[out < 0] = len(self.strings) + np.arange(len(new))
+            self.add(new, *encode(new))
+        return out
+
+    def gather(self, which: np.ndarray) -> np.ndarray:
+        """Ids of the numbered strings, one after the other."""
+        sizes, starts, out = self.sizes[which], np.cumsum(self.sizes) - self.sizes, [np.zeros(0, np.uint32)]
+        for lo in range(0, len(which), 250_000):
+            n = sizes[lo : lo + 250_000]
+            shift = np.repeat(starts[which[lo : lo + 250_000]] - (np.cumsum(n) - n), n)
+            out.append(self.ids[shift + np.arange(len(shift))])
+        return np.concatenate(out)
+
+
+class Coder:
+    """Ids of texts by a tokenizer that drops white space, ignores case and merges nothing across white space.
+
+    Every distinct run between white space is encoded once for a task, as long as the memory for
+    runs lasts, and its ids are put wherever it stands. Points and commas that end a run after a
+    plain letter or digit are tokens of their own, so they are encoded apart from it.
     """
-    # the texts are cut from one valid UTF-8 buffer at their own ends
-    texts = pa.LargeStringArray.from_buffers(
-        len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))
-    )
-    split = pc.ascii_split_whitespace(texts)
-    runs = split.flatten()
-    per_text = np.diff(split.offsets.to_numpy())
-    coded = runs.dictionary_encode()
-    which = coded.indices.to_numpy(zero_copy_only=False)
-    encoded = tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)
-    known = [np.array(e.ids, np.uint32) for e in encoded]
-    sizes = np.fromiter(map(len, known), np.int64, len(known))
-    known = np.concatenate([np.zeros(0, np.uint32), *known])
-    lengths = sizes[which]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    shift = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
-    ids = known[np.repeat(shift, lengths) + np.arange(ends[-1])]
-    return ids, np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
+
+    #: A run of this form is encoded as what stands before the points and commas, and these.
+    ENDED = r"[0-9a-z\x{DF}-\x{F6}\x{F8}-\x{FF}][.,]+$"
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer, self.runs, self.parts = tokenizer, Memo(), Memo()
+
+    def spell(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of new parts; some at a time, as the tokenizer's own records of a part are large."""
+        sizes, ids = [], []
+        for lo in range(0, len(parts), 8192):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(parts.slice(lo, 8192).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def learn(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of new runs. Special tokens are told by their case, so runs with "<" stay as they are."""
+        low = pc.if_else(pc.match_substring(runs, "<"), runs, pc.ascii_lower(runs))
+        ended = pc.match_substring_regex(low, self.ENDED)
+        stem = pc.if_else(ended, pc.ascii_rtrim(low, ".,"), low)
+        tail = pc.if_else(ended, pc.replace_substring_regex(low, r"^.*[^.,]", ""), "")
+        both = pa.concat_arrays([stem, tail.cast(pa.large_string())]).dictionary_encode()
+        which = self.parts.places(both.dictionary, self.spell)[both.indices.to_numpy()].reshape(2, -1)
+        return self.parts.sizes[which].sum(axis=0, dtype=np.int32), self.parts.gather(which.T.ravel())
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a block, and how many each has."""
+        # the texts are cut from one valid UTF-8 buffer at their own ends
+        texts = pa.LargeStringArray.from_buffers(
+            len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))
+        )
+        split = pc.ascii_split_whitespace(texts)
+        per_text = np.diff(split.offsets.to_numpy())
+        coded = split.flatten().dictionary_encode()
+        if len(self.runs.strings) + len(coded.dictionary) > KNOWN_RUNS:
+            self.runs, self.parts = Memo(), Memo()
+        which = self.runs.places(coded.dictionary, self.learn)[coded.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(self.runs.sizes[which], dtype=np.int64)])
+        return self.runs.gather(which), np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
 
 
 def pack(
@@ -180,7 +237,7 @@ def pack(
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
+        coder = Coder(Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)))
         packer, base, number, rows = Packer(capacity, ways), TaskContext.get().partitionId() << 40, 0, []
 
         def note(sequence):
@@ -201,10 +258,10 @@ def pack(
             keys = batch.column(0).to_pylist()
             for row, offsets, data in byte_blocks(batch.column(1), TEXT_BYTES):
                 if len(offsets) == 2 and len(data) > TEXT_BYTES:
-                    parts = [token_ids(coder, np.array([0, len(p)]), p)[0] for p in pieces_of(data, TEXT_BYTES)]
+                    parts = [coder.encode(np.array([0, len(p)]), p)[0] for p in pieces_of(data, TEXT_BYTES)]
                     ids, counts = np.concatenate(parts), np.array([sum(map(len, parts))])
                 else:
-                    ids, counts = token_ids(coder, offsets, data)
+                    ids, counts = coder.encode(offsets, data)
                 at = 0
                 for k, n in enumerate(counts.tolist()):
                     for sequence in packer.add(keys[row + k], np.concatenate([ids[at : at + n], end])):
