@@ -28,7 +28,7 @@ def nested_rank(spark, d):
     return P.rank_subjects(AD.order_bouts(spark, d), D.repeats, D.seed)
 
 
-@query("make_plan", using("roles", "SELECT repeat::INTEGER AS repeat, subject, role, rank FROM roles"))
+@query("make_plan", using("pool", "SELECT repeat::INTEGER AS repeat, subject, role, rank FROM pool"))
 def make_plan(spark, d):
     return P.make_roles(AD.vector_bouts(spark, d), D)
 
@@ -75,7 +75,7 @@ def subject_split(spark, d):
 
 
 @query("group_kfold", """SELECT subject, n_rows, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INTEGER) AS fold FROM (
-  SELECT *, row_number() OVER (ORDER BY n_rows DESC, subject) - 1 AS r FROM (SELECT o_custkey AS subject, count(*) AS n_rows FROM orders GROUP BY ALL))""")
+  SELECT *, row_number() OVER (ORDER BY n_rows DESC, md5('0|' || subject), subject) - 1 AS r FROM (SELECT o_custkey AS subject, count(*) AS n_rows FROM orders GROUP BY ALL))""")
 def group_kfold(spark, d):
     return P.group_kfold(AD.order_bouts(spark, d), 5)
 

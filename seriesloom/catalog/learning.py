@@ -94,7 +94,7 @@ def standardize_subject(spark, d):
 # --- self-training ---------------------------------------------------------------------------------
 
 part("labeled", ("train",), "SELECT repeat, series_id FROM train WHERE n_team = 2 AND k = 2")
-part("unlabeled", ("roles",), "SELECT repeat, series_id FROM vbouts JOIN roles r USING (subject) WHERE role = 'candidate' AND r.rank > 2 AND period_order = 1")
+part("unlabeled", ("pool",), "SELECT repeat, series_id FROM vbouts JOIN pool r USING (subject) WHERE role = 'candidate' AND r.rank > 2 AND period_order = 1")
 
 
 def _round_parts(i: int, fraction: float) -> None:
@@ -129,9 +129,9 @@ def self_training(spark, d):
     bouts = AD.vector_bouts(spark, d)
     roles = X.saved_roles(spark, d, D)
     labeled = P.train_sets(P.nested_set_order(bouts, roles, D), D).where("n_team = 2 and k = 2").select("repeat", "series_id")
-    rest = roles.where("role = 'candidate' and rank > 2").select("repeat", "subject")
-    unlabeled = bouts.where("period_order = 1").join(bounded_broadcast(rest, D.max_roles), "subject").select("repeat", "series_id")
-    return AP.self_train(spark, X.cohort_windows(spark, d, roles, D.max_roles), labeled, unlabeled, ["repeat"], (0.5, 0.8), D.n_classes, D.repeats)
+    rest = X.pool_roles(spark, d, D).where("role = 'candidate' and rank > 2").select("repeat", "subject")
+    unlabeled = bouts.where("period_order = 1").join(rest, "subject").select("repeat", "series_id")
+    return AP.self_train(spark, X.cohort_windows(spark, d), labeled, unlabeled, ["repeat"], (0.5, 0.8), D.n_classes, D.repeats)
 
 
 # --- replay ----------------------------------------------------------------------------------------

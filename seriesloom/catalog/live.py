@@ -34,10 +34,12 @@ def streamed_calls(spark, d):
     r = r.withColumn("_cells", F.filter(P.cells(D), lambda c: (F.col("role") == "new") | (c["n_team"] >= F.col("rank"))))
     r = r.select("repeat", "subject", F.when(F.col("role") == "new", "new").otherwise("recorded").alias("role"), "_cells")
     s = AD.packed(R.stream_table(spark, d, "embeddings")).where("period_order > 1")
+    s = s.withColumn("recorded", F.timestamp_seconds("series_id"))  # a second for each id stands in for the time of the recording
     w = X.windows_of(s.join(bounded_broadcast(r, D.max_roles), "subject"))
     w = w.select("*", F.explode("_cells").alias("_c")).select("*", "_c.n_team", "_c.k").drop("_c", "_cells")
+    w = w.withColumn("time", F.timestamp_micros((F.unix_micros("recorded") + (F.col("t0_s") + X.WINDOW_S) * 1_000_000).cast("bigint"))).drop("recorded")
     p = L.profile_proba(w, grid_models(spark, d), X.COND, D.n_classes, D.max_conditions)
-    return R.running_calls(p.withColumnRenamed("cls", "truth"), [*X.COND, "role"], D.n_classes, X.WINDOW_S)
+    return R.running_calls(p.withColumnRenamed("cls", "truth"), [*X.COND, "role"], D.n_classes, X.WINDOW_S, time_col="time", delay="1 day")
 
 
 def saved_stream(spark, d):
@@ -48,7 +50,7 @@ def saved_stream(spark, d):
 
 @query("stream_running_vote", using("running", "SELECT repeat::INTEGER AS repeat, n_team, k, role, series_id, subject, truth, w::INTEGER AS w, end_s::DOUBLE AS end_s, call FROM running"))
 def stream_running_vote(spark, d):
-    return saved_stream(spark, d).drop("last_change_s")
+    return saved_stream(spark, d).where("NOT late").drop("last_change_s", "late")
 
 
 part("finals", ("running",), "SELECT *, last_value(call) OVER (PARTITION BY repeat, n_team, k, series_id ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM running")
@@ -59,4 +61,4 @@ part("finals", ("running",), "SELECT *, last_value(call) OVER (PARTITION BY repe
     AND (lw IS NULL OR f.w > lw) GROUP BY ALL""".replace("\n", " ")))
 def stream_time_to_stable(spark, d):
     """Since when the call at the end of each series has not changed."""
-    return saved_stream(spark, d).groupBy(*X.COND, "series_id").agg(F.max_by("call", "w").alias("call"), F.max_by("last_change_s", "w").alias("stable_s"))
+    return saved_stream(spark, d).where("NOT late").groupBy(*X.COND, "series_id").agg(F.max_by("call", "w").alias("call"), F.max_by("last_change_s", "w").alias("stable_s"))

@@ -49,7 +49,7 @@ SUMMARY_SQL = using("ath", f"""SELECT m.n_team, m.k, m.role, round(m.mean, 6) AS
 @query("athlete_summary", SUMMARY_SQL)
 def athlete_summary(spark, d):
     """Flagship: the learning curve with its intervals. Groups hold at most the design's subjects."""
-    return rounded(ST.summarize(X.grid_scores(spark, d), ["n_team", "k", "role"], "macro_f1", B, max_units=D.max_roles))
+    return rounded(ST.summarize(X.grid_scores(spark, d), ["n_team", "k", "role"], "macro_f1", B))
 
 
 @query("confusion", using("preds", """, g AS (SELECT a AS truth, b AS pred FROM (SELECT unnest(range(0, 10))::INTEGER AS a), (SELECT unnest(range(0, 10))::INTEGER AS b))
@@ -64,11 +64,18 @@ def top_confusions(spark, d):
     return S.top_confusions(X.saved_predictions(spark, d), 8)
 
 
-@query("class_recall", using("preds", """SELECT n_team, k, truth, round(avg(r), 6) AS recall, count(*) AS n_units FROM (
-  SELECT n_team, k, truth, subject, avg((truth = pred)::INTEGER) AS r FROM preds GROUP BY ALL) GROUP BY ALL"""))
+part("recalls", ("preds",), "SELECT n_team, k, role, truth, subject, avg((truth = pred)::INTEGER) AS r FROM preds GROUP BY ALL")
+
+
+@query("class_recall", using("recalls", f"""SELECT m.*, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM (
+    SELECT n_team, k, role, truth, round(avg(r), 6) AS recall, count(*) AS n_units FROM recalls GROUP BY ALL) m
+  JOIN ({bootstrap_sql("recalls", "n_team, k, role, truth", "subject", "r", B)}) c USING (n_team, k, role, truth)"""))
 def class_recall(spark, d):
+    """Recall of each class: mean per subject, then across subjects with an interval."""
+    g = ["n_team", "k", "role", "truth"]
     ok = (F.col("truth") == F.col("pred")).cast("int")
-    return rounded(S.two_level_mean(X.saved_predictions(spark, d), ["n_team", "k", "truth"], "subject", ok, "recall"))
+    u = X.saved_predictions(spark, d).groupBy(*g, "subject").agg(F.avg(ok).alias("r"))
+    return rounded(ST.bootstrap_ci(u, g, "subject", "r", B).withColumnsRenamed({"mean": "recall", "n": "n_units"}))
 
 
 @query("level_accuracy", using("preds", """, l AS (SELECT 'exact' AS level, n_team, subject, truth = pred AS ok FROM preds
@@ -321,7 +328,7 @@ ORACLES["budget_curve"] = using("scores escores", ORACLES["budget_curve"].split(
 
 part("folds", ("vbouts",), """
   SELECT subject, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM (
-    SELECT *, row_number() OVER (ORDER BY n DESC, subject) - 1 AS r FROM (SELECT subject, count(*) AS n FROM vbouts GROUP BY ALL))""")
+    SELECT *, row_number() OVER (ORDER BY n DESC, md5('0|' || subject), subject) - 1 AS r FROM (SELECT subject, count(*) AS n FROM vbouts GROUP BY ALL))""")
 part("psets", ("smeasures", "folds"), "SELECT s.*, fold FROM smeasures s JOIN folds USING (subject)")
 part("pmodel", ("psets",), """
   SELECT o AS out, cls, mi, quantile_cont(m, 0.5) AS mu, var_samp(m) AS v FROM psets, (SELECT unnest(range(0, 5)) AS o) WHERE o <> fold GROUP BY ALL""")

@@ -63,9 +63,10 @@ part("smeasures", ("wmeasures",), """
 part("ranked_subjects", ("vbouts",), """
   SELECT repeat, subject, row_number() OVER (PARTITION BY repeat ORDER BY md5('7|' || repeat || '|' || subject), subject) AS rank
   FROM (SELECT DISTINCT subject FROM vbouts), (SELECT unnest(range(1, 4)) AS repeat)""")
-part("roles", ("ranked_subjects",), """
+part("pool", ("ranked_subjects",), """
   SELECT repeat, subject, CASE WHEN rank <= 2 THEN 'new' ELSE 'candidate' END AS role,
-         CASE WHEN rank <= 2 THEN rank ELSE rank - 2 END AS rank FROM ranked_subjects WHERE rank <= 8""")
+         CASE WHEN rank <= 2 THEN rank ELSE rank - 2 END AS rank FROM ranked_subjects""")
+part("roles", ("pool",), "SELECT * FROM pool WHERE role = 'new' OR rank <= 6")
 part("set_order", ("roles",), """
   SELECT * FROM (
     SELECT repeat, subject, r.rank AS team_rank, cls, series_id,

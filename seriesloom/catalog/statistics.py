@@ -103,14 +103,14 @@ part("kd", ("ath",), "SELECT a.n_team, a.role, subject, a.macro_f1 AS va, b.macr
     round(CASE WHEN ties = 0 AND zeros = 0 THEN least(1.0, p) ELSE p_normal END, 6)::DOUBLE AS p FROM t JOIN e USING (n_team, role) JOIN z USING (n_team, role)""".replace("\n", " ")))
 def signed_rank_exact(spark, d):
     a = subject_f1(spark, d)
-    out = ST.paired_compare(a.where("k = 2").drop("k"), a.where("k = 1").drop("k"), ["n_team", "role"], "macro_f1", B, max_units=D.max_roles)
+    out = ST.paired_compare(a.where("k = 2").drop("k"), a.where("k = 1").drop("k"), ["n_team", "role"], "macro_f1", B)
     return rounded(out.select("n_team", "role", F.col("n_used").cast("bigint").alias("n_used"), "w", "method", "p"))
 
 
 @query("depth_effect", using("kd", """, kn AS (SELECT * FROM kd WHERE role = 'new') """ + paired_sql("kn", "n_team", B)))
 def depth_effect(spark, d):
     a = subject_f1(spark, d).where("role = 'new'")
-    return paired(a.where("k = 2"), a.where("k = 1"), ["n_team"], max_units=D.max_roles)
+    return paired(a.where("k = 2"), a.where("k = 1"), ["n_team"])
 
 
 part("eq", ("ath",), """SELECT 2 * b.n_team AS budget, subject, a.macro_f1 AS va, b.macro_f1 AS vb, a.macro_f1 - b.macro_f1 AS d
@@ -123,7 +123,7 @@ def equal_budget(spark, d):
     a = subject_f1(spark, d).where("role = 'new'")
     broad = a.where("k = 1").withColumn("budget", F.col("n_team"))
     deep = a.where("k = 2").withColumn("budget", 2 * F.col("n_team"))
-    return paired(broad, deep, ["budget"], max_units=D.max_roles)
+    return paired(broad, deep, ["budget"])
 
 
 part("rg", ("ath",), """SELECT a.n_team, a.k, subject, a.macro_f1 AS va, b.macro_f1 AS vb, a.macro_f1 - b.macro_f1 AS d
@@ -133,7 +133,7 @@ part("rg", ("ath",), """SELECT a.n_team, a.k, subject, a.macro_f1 AS va, b.macro
 @query("role_gap", using("rg", paired_sql("rg", "n_team, k", B)))
 def role_gap(spark, d):
     a = subject_f1(spark, d)
-    return paired(a.where("role = 'recorded'"), a.where("role = 'new'"), ["n_team", "k"], max_units=D.max_roles)
+    return paired(a.where("role = 'recorded'"), a.where("role = 'new'"), ["n_team", "k"])
 
 
 part("spreds", ("sdist",), "SELECT repeat, n_team, k, role, series_id, subject, cls AS truth, arg_min(c, (d, c)) AS pred FROM sdist GROUP BY ALL")
@@ -154,7 +154,7 @@ def set_level_predictions(spark, d):
 def model_compare(spark, d):
     a = subject_f1(spark, d)
     b = S.subject_scores(set_level_predictions(spark, d), [*X.COND, "role", "subject"], D.n_classes)
-    return paired(a, ST.subject_means(b, ["n_team", "k", "role"], "macro_f1"), ["n_team", "k", "role"], max_units=D.max_roles)
+    return paired(a, ST.subject_means(b, ["n_team", "k", "role"], "macro_f1"), ["n_team", "k", "role"])
 
 
 part("gains", ("ath",), """SELECT k, prev_n AS from_n, n_team AS to_n, subject, macro_f1 AS va, prev AS vb, macro_f1 - prev AS d FROM (
@@ -168,7 +168,7 @@ def marginal_gain(spark, d):
     a = subject_f1(spark, d).where("role = 'new'").withColumns({"_b": F.lag("macro_f1").over(w), "from_n": F.lag("n_team").over(w)})
     rows = a.where("_b is not null").select("k", "from_n", F.col("n_team").alias("to_n"), "subject", F.col("macro_f1").alias("_a"), "_b",
                                             (F.col("macro_f1") - F.col("_b")).alias("d"))
-    out = ST.paired_differences(rows, ["k", "from_n", "to_n"], B, exact=False, max_units=D.max_roles)
+    out = ST.paired_differences(rows, ["k", "from_n", "to_n"], B, exact=False)
     out = out.withColumn("gain_per_subject", F.round("diff", 6) / (F.col("to_n") - F.col("from_n")))
     return rounded(out.select("k", "from_n", "to_n", *PAIRED[:7], F.col("n_used").cast("bigint").alias("n_used"), *PAIRED[8:], "gain_per_subject"))
 
@@ -302,7 +302,7 @@ def transfer_effect(spark, d):
     r = b.select("subject", "change", F.explode(tags).alias("t")).select("subject", "change", "t.*")
     u = r.groupBy("tag", "subject").agg(F.avg(F.when(F.col("flag"), F.col("change"))).alias("_a"), F.avg(F.when(~F.col("flag"), F.col("change"))).alias("_b"))
     rows = u.withColumn("d", F.col("_a") - F.col("_b")).where("d is not null")
-    out = ST.paired_differences(rows, ["tag"], B, exact=False, max_units=D.max_roles)
+    out = ST.paired_differences(rows, ["tag"], B, exact=False)
     return rounded(out.select("tag", *PAIRED[:7], F.col("n_used").cast("bigint").alias("n_used"), *PAIRED[8:]))
 
 
@@ -422,5 +422,5 @@ def effect_table(spark, d):
     more = e.where("condition <> 'base'").join(base, "subject").withColumn("d", F.col("macro_f1") - F.col("_b"))
     extra = label(more, "Extra sets", F.col("condition"), F.col("condition") == "broad")
     u = depth.unionByName(known).unionByName(extra)
-    ci = ST.bootstrap_ci(u, ["section", "label", "is_reference"], "subject", "d", B, max_units=D.max_roles)
+    ci = ST.bootstrap_ci(u, ["section", "label", "is_reference"], "subject", "d", B)
     return rounded(ci.select("section", "label", "is_reference", "mean", F.col("ci_lo").alias("lo"), F.col("ci_hi").alias("hi")))

@@ -3,16 +3,19 @@
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.registry import query, r6, rounded
-from seriesloom.catalog.sqlparts import part, scores_sql, using
+from seriesloom.catalog.sqlparts import bootstrap_sql, part, scores_sql, using
+from seriesloom.functions.ordering import null_safe_join
 from seriesloom.operators import joins as J
 from seriesloom.operators import scores as S
 from seriesloom.operators import selection as SEL
+from seriesloom.operators import stats as ST
 from seriesloom.operators import votes as V
 from seriesloom.plans import cohort as P
 from seriesloom.plans import experiment as X
 from seriesloom.plans import variants as VA
 
 D = P.Design()
+B = 200  # bootstrap replicates
 COND = X.COND
 COND_SQL = "repeat::INTEGER AS repeat, n_team, k"
 TIMES = [1.0, 1.3, 1.5, 1.9]
@@ -102,12 +105,23 @@ def stable_summary(spark, d):
     return rounded(out.join(med, g))
 
 
-@query("accuracy_by_time", using("ascalls", f""", sc AS ({scores_sql("ascalls", 'repeat, n_team, k, subject, t_s', pred='call')})
-  SELECT n_team, k, t_s, count(*) AS n_subject_repeats, round(avg(accuracy), 6) AS accuracy, round(avg(macro_f1), 6) AS macro_f1 FROM sc GROUP BY ALL""".replace("\n", " ")))
+part("timed", ("ascalls",), scores_sql("ascalls", "repeat, n_team, k, role, subject, t_s", pred="call"))
+part("timedath", ("timed",), "SELECT n_team, k, role, t_s, subject, avg(accuracy) AS accuracy, avg(macro_f1) AS macro_f1, count(*) AS n_rows FROM timed GROUP BY ALL")
+BY_TIME = "n_team, k, role, t_s"
+
+
+@query("accuracy_by_time", using("timedath", f"""SELECT m.*, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM (
+    SELECT {BY_TIME}, CAST(sum(n_rows) AS BIGINT) AS n_subject_repeats, count(*) AS n_subjects, round(avg(accuracy), 6) AS accuracy, round(avg(macro_f1), 6) AS macro_f1 FROM timedath GROUP BY ALL) m
+  JOIN ({bootstrap_sql("timedath", BY_TIME, "subject", "accuracy", B)}) c ON {" AND ".join(f"m.{k} IS NOT DISTINCT FROM c.{k}" for k in BY_TIME.split(", "))}"""))
 def accuracy_by_time(spark, d):
-    a = V.asof_calls(running(spark, d), COND, TIMES).withColumnRenamed("call", "pred")
-    s = S.subject_scores(a, [*COND, "subject", "t_s"], D.n_classes)
-    return rounded(s.groupBy("n_team", "k", "t_s").agg(F.count(F.lit(1)).alias("n_subject_repeats"), F.avg("accuracy").alias("accuracy"), F.avg("macro_f1").alias("macro_f1")))
+    """Per time and role: subjects are averaged over their repeats first, then across subjects, with an interval."""
+    g = ["n_team", "k", "role", "t_s"]
+    a = V.asof_calls(running(spark, d), [*COND, "role"], TIMES).withColumnRenamed("call", "pred")
+    s = S.subject_scores(a, [*COND, "role", "subject", "t_s"], D.n_classes)
+    u = s.groupBy(*g, "subject").agg(F.avg("accuracy").alias("accuracy"), F.avg("macro_f1").alias("macro_f1"), F.count(F.lit(1)).alias("n_rows"))
+    m = u.groupBy(*g).agg(F.sum("n_rows").alias("n_subject_repeats"), F.count(F.lit(1)).alias("n_subjects"), F.avg("macro_f1").alias("macro_f1"))
+    ci = ST.bootstrap_ci(u, g, "subject", "accuracy", B).withColumnRenamed("mean", "accuracy").drop("n")
+    return rounded(null_safe_join(m, ci, g))
 
 
 @query("still_running_share", """SELECT event_type AS cls, t::INTEGER AS t_s, round(avg((value > t)::INTEGER), 6) AS share FROM events, (SELECT unnest([2, 5, 10, 30, 60, 120]) AS t) GROUP BY ALL""")

@@ -1,10 +1,10 @@
 """Ordered operators that never need a large group in one task.
 
 A group (series, subject, class) may hold a large share of all rows, so a plain
-``Window.partitionBy(group)`` would put it in one task. Each function here checks the largest group
-first and uses a plain window where it is small. Otherwise it splits groups into
-pieces that keep the order (a stretch of time, leading digits of a hash, a range of values), works
-inside the pieces, and carries only one summary row per piece across their edges.
+``Window.partitionBy(group)`` would put it in one task. Each function here splits groups into pieces that
+keep the order (a stretch of time, leading digits of a hash, a range of values), works inside the pieces,
+and carries only one summary row per piece across their edges. There is one form for every size, and it
+treats NULL keys, pieces and values like a plain window does. Nothing runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -14,17 +14,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LARGE_GROUP = 1_000_000  # rows from which a group is split
+PIECE_ROWS = 100_000  # distinct values of a group that share a piece, about
+MAX_PIECES = 256
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group: one small job with map-side counts, used to choose a strategy."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def fits_a_task(df: DataFrame, keys: Sequence[str], max_group: int | None, large: int | None) -> bool:
-    """Whether every group is small enough for one task, by a proven bound or else by the checked size."""
-    return (largest_group(df, keys) if max_group is None else max_group) <= (LARGE_GROUP if large is None else large)
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, NULL being equal to NULL; the keys come from ``left``."""
+    r = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        on = same if on is None else on & same
+    return left.join(r, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -33,81 +34,63 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def split_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], piece: Column, name: str = "rank",
-               max_group: int | None = None, large: int | None = None) -> DataFrame:
+def split_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], piece: Column, name: str = "rank") -> DataFrame:
     """1-based row number per group; ``piece`` must be non-decreasing along ``order``."""
-    if fits_a_task(df, keys, max_group, large):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     parts = [*keys, "_piece"]
     d = df.withColumn("_piece", piece)
     sizes = d.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
-    return (local.join(offsets, parts).withColumn(name, F.col("_rn") + F.col("_off"))
-            .drop("_piece", "_rn", "_off"))
+    out = null_safe_join(local, offsets, parts).withColumn(name, (F.col("_rn") + F.col("_off")).cast("bigint"))
+    return out.drop("_piece", "_rn", "_off")
 
 
 def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, cols: Sequence[str],
-              prefix: str = "prev_", max_group: int | None = None, large: int | None = None) -> DataFrame:
+              prefix: str = "prev_") -> DataFrame:
     """Previous row's values per group, also across the edges of the pieces."""
-    if fits_a_task(df, keys, max_group, large):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({prefix + c: F.lag(c).over(w) for c in cols})
     parts = [*keys, "_piece"]
     d = df.withColumn("_piece", piece).withColumn("_v", F.struct(*cols))
     here = Window.partitionBy(*parts).orderBy(*order)
     local = d.withColumns({"_p": F.lag("_v").over(here), "_end": F.lead(F.lit(1)).over(here).isNull()})
     # the last row of each piece, off the same shuffle
     edges = local.where("_end").select(*parts, F.lag("_v").over(Window.partitionBy(*keys).orderBy("_piece")).alias("_edge"))
-    out = local.join(edges, parts).withColumn("_p", F.coalesce("_p", "_edge"))
+    out = null_safe_join(local, edges, parts).withColumn("_p", F.coalesce("_p", "_edge"))
     return (out.withColumns({prefix + c: F.col("_p")[c] for c in cols})
             .drop("_piece", "_v", "_p", "_edge", "_end"))
 
 
 def split_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column,
-                      cols: Sequence[str], prefix: str = "run_", max_group: int | None = None, large: int | None = None) -> DataFrame:
+                      cols: Sequence[str], prefix: str = "run_") -> DataFrame:
     """Running totals per group, carried over the pieces."""
-    if fits_a_task(df, keys, max_group, large):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({prefix + c: F.sum(c).over(w) for c in cols})
     parts = [*keys, "_piece"]
     d = df.withColumn("_piece", piece)
     sums = d.groupBy(*parts).agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*parts, *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_c_{c}") for c in cols])
+    carried = sums.select(*parts, *[F.sum(f"_s_{c}").over(before).alias(f"_c_{c}") for c in cols])
     here = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumns({f"_r_{c}": F.sum(c).over(here) for c in cols})
-    out = local.join(carried, parts).withColumns({prefix + c: F.col(f"_r_{c}") + F.col(f"_c_{c}") for c in cols})
-    return out.drop("_piece", *[f"_r_{c}" for c in cols], *[f"_c_{c}" for c in cols])
+    # a total is NULL only as long as no value has come
+    both = {prefix + c: F.coalesce(F.col(f"_c_{c}") + F.col(f"_r_{c}"), f"_c_{c}", f"_r_{c}") for c in cols}
+    return null_safe_join(local, carried, parts).withColumns(both).drop("_piece", *[f"_r_{c}" for c in cols], *[f"_c_{c}" for c in cols])
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32, large: int | None = None,
-                extra: dict[str, Column] | None = None, max_group: int | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, extra: dict[str, Column] | None = None,
+                keep_null: bool = False, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Per group and distinct value: ``n`` rows with it, ``n_before`` smaller ones, ``n_total`` in the group.
 
-    Equal values are counted map-side first. Groups with more than ``large`` distinct values are split at
-    approximate quantiles, which only steers the split, so the ranks stay exact; smaller groups stay whole.
-    ``extra`` adds aggregates per distinct value. With ``max_group``, a proven bound on the rows of a group, the
-    size check is skipped.
+    Equal values are counted map-side first. A group is cut at approximate quantiles into pieces of about
+    ``piece_rows`` distinct values, at most ``MAX_PIECES``; this only steers the split, the ranks are exact.
+    ``extra`` adds aggregates per distinct value. NULL values are left out, or kept as values that count 0 rows.
     """
-    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (extra or {}).items()])
-    large = LARGE_GROUP if large is None else large
-    if fits_a_task(d, keys, max_group, large):
-        whole = Window.partitionBy(*keys)
-        up = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return d.select(*keys, value, "n", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n_before"),
-                        F.sum("n").over(whole).alias("n_total"), *(extra or {}))
-    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cut = F.percentile_approx(value, probs, 1000).alias("_cuts")
-    if keys:
-        big = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > large).drop("_k")
-        d = d.join(d.join(big, list(keys), "left_semi").groupBy(*keys).agg(cut), list(keys), "left")
-    else:  # a single row: a scalar subquery, not a join
-        d = d.withColumn("_cuts", d.agg(cut).scalar())
-    # number of cut points passed, written out so that it stays inside generated code
-    passed = sum((F.coalesce(F.get("_cuts", F.lit(i)) <= F.col(value), F.lit(False)).cast("int") for i in range(pieces - 1)), F.lit(0))
+    d = df if keep_null else df.where(F.col(value).isNotNull())
+    d = d.groupBy(*keys, value).agg(F.count(value).alias("n"), *[c.alias(k) for k, c in (extra or {}).items()])
+    probs = F.array(*[F.lit(i / MAX_PIECES) for i in range(1, MAX_PIECES)])
+    steps = F.least(F.lit(MAX_PIECES), F.ceil(F.col("_k") / piece_rows).cast("int"))
+    cut = F.when(steps > 1, F.transform(F.sequence(F.lit(1), steps - 1), lambda i: F.get("_q", F.floor(i * MAX_PIECES / steps).cast("int") - 1)))
+    cuts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), F.percentile_approx(value, probs, 1000).alias("_q")).select(*keys, cut.alias("_cuts"))
+    d = null_safe_join(d, cuts, keys) if keys else d.withColumn("_cuts", cuts.scalar())
+    passed = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
     d = d.withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(passed)).drop("_cuts")
     parts = [*keys, "_piece"]
     whole = Window.partitionBy(*keys)
@@ -117,79 +100,48 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32
                           F.sum("_s").over(whole).alias("n_total"))
     here = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = d.withColumn("_in", F.coalesce(F.sum("n").over(here), F.lit(0)))
-    return (local.join(offsets, parts).withColumn("n_before", F.col("_off") + F.col("_in"))
+    return (null_safe_join(local, offsets, parts).withColumn("n_before", F.col("_off") + F.col("_in"))
             .select(*keys, value, "n", "n_before", "n_total", *(extra or {})))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], max_group: int | None = None,
-              large: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Exact linear-interpolation quantiles per group: column name -> (value column, probability).
 
-    The size of the largest group is checked first. Small groups take one aggregation; otherwise values are
-    ranked in pieces, so that no task holds a group.
+    All value columns are ranked together in one pass; NULL values do not count, and a group without any gets NULL.
     """
-    large = LARGE_GROUP if large is None else large
-    if fits_a_task(df, keys, max_group, large):
-        return df.groupBy(*keys).agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()])
-    out = None
-    for col in dict.fromkeys(c for c, _ in wanted.values()):
-        q = _ranked_quantiles(df, keys, col, {n: p for n, (c, p) in wanted.items() if c == col}, large)
-        if out is None:
-            out = q
-        elif keys:
-            out = out.join(q, list(keys), "full")
-        else:
-            out = out.withColumns({n: q.select(n).scalar() for n in q.columns})
-    return out
-
-
-def split_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], max_group: int | None = None,
-                    large: int | None = None) -> DataFrame:
-    """``quantiles`` of a single value column."""
-    return quantiles(df, keys, {n: (value, p) for n, p in probs.items()}, max_group, large)
+    cols = list(dict.fromkeys(c for c, _ in wanted.values()))
+    each = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
+    long = df.select(*keys, F.explode(each).alias("_e")).select(*keys, "_e._c", "_e._v")
+    r = value_ranks(long, [*keys, "_c"], "_v", keep_null=True, piece_rows=piece_rows)
+    n0, n, total = F.col("n_before"), F.col("n"), F.col("n_total")
+    aggs = []
+    for name, (col, p) in wanted.items():
+        mine, pos = F.col("_c") == cols.index(col), F.lit(float(p)) * (total - 1)
+        for end, index in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            aggs.append(F.max(F.when(mine & (n0 <= index) & (index < n0 + n), F.col("_v"))).alias(f"_{end}_{name}"))
+        aggs.append(F.max(F.when(mine, pos - F.floor(pos))).alias(f"_fr_{name}"))
+    between = {q: F.col(f"_lo_{q}") + F.col(f"_fr_{q}") * (F.col(f"_hi_{q}") - F.col(f"_lo_{q}")) for q in wanted}
+    return r.groupBy(*keys).agg(*aggs).select(*keys, *[c.alias(q) for q, c in between.items()])
 
 
-def _ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], large: int) -> DataFrame:
-    r = value_ranks(df, keys, value, large=large, max_group=large + 1)
-    v, n0, n, total = F.col(value), F.col("n_before"), F.col("n"), F.col("n_total")
+def split_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``quantiles`` of a single value column."""
+    return quantiles(df, keys, {n: (value, p) for n, p in probs.items()}, piece_rows)
 
-    def at(index: Column) -> Column:
-        return F.max(F.when((n0 <= index) & (index < n0 + n), v))
 
-    aggs = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (total - 1)
-        aggs += [at(F.floor(pos)).alias(f"_lo_{name}"), at(F.ceil(pos)).alias(f"_hi_{name}"),
-                 F.max(pos - F.floor(pos)).alias(f"_fr_{name}")]
-    out = r.groupBy(*keys).agg(*aggs)
-    return out.select(*keys, *[(F.col(f"_lo_{p}") + F.col(f"_fr_{p}") * (F.col(f"_hi_{p}") - F.col(f"_lo_{p}"))).alias(p)
-                               for p in probs])
-
-
-def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, max_group: int | None = None,
-              large: int | None = None) -> DataFrame:
-    """Attach the average rank of ``value`` within its group (ties share the mean rank)."""
-    large = LARGE_GROUP if large is None else large
-    if fits_a_task(df, keys, max_group, large):
-        peers = F.count(value).over(Window.partitionBy(*keys, value))
-        return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())) + (peers - 1) / F.lit(2.0))
-    r = value_ranks(df, keys, value, large=large, max_group=large + 1).select(
+def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Attach the average rank of ``value`` within its group (ties share the mean rank); NULL for a NULL value."""
+    r = value_ranks(df, keys, value, piece_rows=piece_rows).select(
         *keys, value, (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(name))
-    return df.join(r, [*keys, value])
+    return null_safe_join(df, r, [*keys, value], "left")
 
 
 def split_enumerate(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, cols: Sequence[str],
-                    ends: str, max_group: int | None = None, large: int | None = None) -> DataFrame:
+                    ends: str) -> DataFrame:
     """0-based position ``idx``, group size ``n_total``, previous values and the group's first and last ``ends``.
 
     Everything that crosses pieces comes from one summary row per piece.
     """
-    if fits_a_task(df, keys, max_group, large):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.withColumns({"idx": F.row_number().over(w) - 1, "n_total": F.count(F.lit(1)).over(whole),
-                               f"first_{ends}": F.first(ends).over(whole), f"last_{ends}": F.last(ends).over(whole),
-                               **{f"prev_{c}": F.lag(c).over(w) for c in cols}})
     parts = [*keys, "_piece"]
     here = Window.partitionBy(*parts).orderBy(*order)
     d = df.withColumn("_piece", piece).withColumn("_v", F.struct(*cols))
@@ -203,5 +155,6 @@ def split_enumerate(df: DataFrame, keys: Sequence[str], order: Sequence[str], pi
     s = s.select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias("n_total"),
                  F.lag("_last").over(up).alias("_edge"), F.first("_e0").over(whole).alias(f"first_{ends}"),
                  F.last("_e1").over(whole).alias(f"last_{ends}"))
-    out = local.drop("_e0").join(s, parts).withColumns({"idx": F.col("_off") + F.col("_rn") - 1, "_p": F.coalesce("_p", "_edge")})
+    out = null_safe_join(local.drop("_e0"), s, parts)
+    out = out.withColumns({"idx": F.col("_off") + F.col("_rn") - 1, "_p": F.coalesce("_p", "_edge")})
     return out.withColumns({f"prev_{c}": F.col("_p")[c] for c in cols}).drop("_piece", "_v", "_rn", "_p", "_off", "_edge", "_end")

@@ -32,11 +32,11 @@ def sliding_windows(signals: DataFrame, window_s: float, overlap: float, fs: flo
                           "ch": F.transform("ch", lambda c: F.slice(c, F.col("_a") + 1, F.lit(length)))}).drop("_a")
 
 
-def short_series(signals: DataFrame, window_s: float, overlap: float, fs: float) -> DataFrame:
-    """Series too short for a single window."""
+def short_series(signals: DataFrame, window_s: float, overlap: float, fs: float, trim_s: float = 0.0) -> DataFrame:
+    """Series too short for a single window once their ends are trimmed: what ``sliding_windows`` leaves out."""
     length, _ = window_shape(window_s, overlap, fs)
-    n = F.size(F.get("ch", F.lit(0)))
-    return signals.where(n < length).withColumn("n_samples", n).drop("ch")
+    n = F.coalesce(F.size(F.get("ch", F.lit(0))), F.lit(0))
+    return signals.where(n - 2 * round(trim_s * fs) < length).withColumn("n_samples", n).drop("ch")
 
 
 def edge_trim(signals: DataFrame, trim: int) -> DataFrame:
@@ -66,33 +66,52 @@ def feature_names(channels: Sequence[str] = CHANNELS) -> list[str]:
     return names + ["corr_xy", "corr_xz", "corr_yz"] if len(channels) >= 3 else names
 
 
+class _Stack:
+    """Windows of one shape, (windows, channels, samples), and what several features share."""
+
+    def __init__(self, x: np.ndarray, fs: float) -> None:
+        self.x, self.fs, self.length = x, fs, x.shape[-1]
+        self.mean = x.mean(-1)
+        self.rest = x - self.mean[..., None]
+        self.var = np.square(self.rest).mean(-1)
+        #: no variance beyond the rounding of the mean
+        self.varies = self.var > (1e-12 * np.maximum(np.abs(self.mean), 1e-30)) ** 2
+        spectrum = np.fft.rfft(self.rest, axis=-1)[..., 1:]
+        self.power = spectrum.real**2 + spectrum.imag**2
+        self.whole = np.maximum(self.power.sum(-1), 1e-12)
+
+    def moment(self, k: int) -> np.ndarray:
+        """Standardised central moment, 0 without variance."""
+        ratio = np.zeros_like(self.var)
+        return np.divide((self.rest**k).mean(-1), self.var ** (k / 2), out=ratio, where=self.varies)
+
+    def entropy(self) -> np.ndarray:
+        share = self.power / self.whole[..., None]
+        return (share * np.log(1 / np.maximum(share, 1e-12))).sum(-1) / (np.log(self.power.shape[-1]) or 1.0)
+
+    def correlation(self, p: int, q: int) -> np.ndarray:
+        scale = np.sqrt(self.length**2 * self.var[:, p] * self.var[:, q])
+        return np.divide((self.rest[:, p] * self.rest[:, q]).sum(-1), scale, out=np.zeros_like(scale), where=scale > 0)
+
+
+#: What the features of ``functions.arrays`` are on a stack. Their names and order are fixed.
+ON_STACKS = {
+    "mean": lambda s: s.mean, "std": lambda s: np.sqrt(s.var), "min": lambda s: s.x.min(-1), "max": lambda s: s.x.max(-1),
+    "range": lambda s: np.ptp(s.x, axis=-1), "iqr": lambda s: np.subtract(*np.quantile(s.x, [0.75, 0.25], axis=-1)),
+    "rms": lambda s: np.sqrt(s.var + s.mean**2), "skew": lambda s: s.moment(3), "kurt": lambda s: np.where(s.varies, s.moment(4) - 3, 0.0),
+    "zc": lambda s: np.count_nonzero(np.diff(np.less(s.rest, 0), axis=-1), axis=-1) / s.length,
+    "jerk": lambda s: np.abs(np.diff(s.x, axis=-1)).mean(-1) * s.fs if s.length > 1 else np.zeros_like(s.mean),
+    "domf": lambda s: (s.power.argmax(-1) + 1) * s.fs / s.length, "domp": lambda s: s.power.max(-1) / s.whole, "spent": lambda s: s.entropy(),
+}
+
+
 def _feature_block(x: np.ndarray, fs: float) -> np.ndarray:
     """(windows, channels, samples) -> (windows, features) in the order of ``feature_names``."""
-    n, _, length = x.shape
-    mean = x.mean(-1, keepdims=True)
-    c = x - mean
-    var = (c ** 2).mean(-1)
-    flat = var <= (1e-12 * np.maximum(np.abs(mean[..., 0]), 1e-30)) ** 2
-    safe = np.where(flat, 1.0, var)
-    quart = np.quantile(x, [0.25, 0.75], axis=-1)
-    low, high = x.min(-1), x.max(-1)
-    neg = c < 0
-    power = np.abs(np.fft.rfft(c, axis=-1))[..., 1:] ** 2
-    whole = np.maximum(power.sum(-1), 1e-12)
-    share = power / whole[..., None]
-    cols = [mean[..., 0], np.sqrt(var), low, high, high - low, quart[1] - quart[0], np.sqrt((x ** 2).mean(-1)),
-            np.where(flat, 0.0, (c ** 3).mean(-1) / safe ** 1.5), np.where(flat, 0.0, (c ** 4).mean(-1) / safe ** 2 - 3),
-            (neg[..., 1:] != neg[..., :-1]).sum(-1) / length, np.abs(np.diff(x, axis=-1)).mean(-1) * fs,
-            (power.argmax(-1) + 1) * fs / length, power.max(-1) / whole,
-            -(share * np.log(np.maximum(share, 1e-12))).sum(-1) / (np.log(power.shape[-1]) or 1.0)]
-    out = np.stack(cols, -1).reshape(n, -1)
-    if x.shape[1] < 3:
-        return out
-    pairs = []
-    for p, q in ((0, 1), (0, 2), (1, 2)):
-        norm = np.sqrt((c[:, p] ** 2).sum(-1) * (c[:, q] ** 2).sum(-1))
-        pairs.append(np.where(norm > 0, (c[:, p] * c[:, q]).sum(-1) / np.where(norm > 0, norm, 1.0), 0.0))
-    return np.hstack([out, np.stack(pairs, -1)])
+    stack = _Stack(x, fs)
+    columns = [ON_STACKS[name](stack)[:, c] for c in range(x.shape[1]) for name in PER_CHANNEL]
+    if x.shape[1] >= 3:
+        columns += [stack.correlation(p, q) for p, q in ((0, 1), (0, 2), (1, 2))]
+    return np.stack(columns, axis=1)
 
 
 def window_features(windows: DataFrame, fs: float, channels: Sequence[str] = CHANNELS) -> DataFrame:

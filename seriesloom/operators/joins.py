@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.functions.hashing import draw_bucket, draw_key
+from seriesloom.functions.ordering import split_rank
+
 
 def join_baseline(rows: DataFrame, baseline: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Left join of a baseline value; rows without one keep NULL so that the caller can count them."""
@@ -38,19 +41,19 @@ def condition_grid(spark: SparkSession, axes: dict[str, Sequence], feasible: Col
     return d.withColumn("feasible", feasible if feasible is not None else F.lit(True))
 
 
-def class_pairs(rows: DataFrame, min_subjects: int, max_classes: int = 2000) -> DataFrame:
-    """Unordered pairs a < b of classes that have enough subjects.
+def class_pairs(rows: DataFrame, min_subjects: int) -> DataFrame:
+    """Unordered pairs a < b of classes that have enough subjects, for any number of classes.
 
-    Pairs are formed on the class table (one row per class), whose size is checked, never on the rows.
+    The class table (one row per class) is numbered; each class emits the numbers below its own, and these
+    are joined back.
     """
-    c = rows.groupBy("cls").agg(F.countDistinct("subject").alias("n_subjects")).where(F.col("n_subjects") >= min_subjects)
-    # the class table as one bounded array: larger vocabularies fail loudly instead of growing the row
-    one = c.agg(F.array_sort(F.collect_list(F.struct("cls", "n_subjects"))).alias("v")).withColumn(
-        "v", F.when(F.size("v") <= max_classes, F.col("v")).otherwise(F.raise_error(F.lit("too many classes for a pair screen"))))
-    a = one.select("v", F.explode("v").alias("a"))
-    p = a.select("a", F.explode(F.filter("v", lambda b: b["cls"] > F.col("a.cls"))).alias("b"))
-    return p.select(F.col("a.cls").alias("class_a"), F.col("b.cls").alias("class_b"),
-                    F.col("a.n_subjects").alias("n_subjects_a"), F.col("b.n_subjects").alias("n_subjects_b"))
+    c = rows.groupBy("cls").agg(F.countDistinct("subject").alias("n")).where((F.col("n") >= min_subjects) & F.col("cls").isNotNull())
+    c = c.withColumns({"_all": F.lit(0), "_o": draw_key(0, "cls")})
+    c = split_rank(c, ["_all"], [F.col("_o"), F.col("cls")], draw_bucket(F.col("_o"), 2), "_j").select("cls", "n", "_j")
+    other = c.select(F.col("_j").alias("_i"), F.struct("cls", "n").alias("_p"))
+    pair = c.where("_j > 1").select(F.struct("cls", "n").alias("_q"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_j") - 1)).alias("_i"))
+    both = pair.join(other, "_i").select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"))
+    return both.select(F.col("a.cls").alias("class_a"), F.col("b.cls").alias("class_b"), F.col("a.n").alias("n_subjects_a"), F.col("b.n").alias("n_subjects_b"))
 
 
 def band_join(rows: DataFrame, score: str, bands: dict[str, tuple[float, float]]) -> DataFrame:

@@ -7,19 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.ordering import split_rank
+from seriesloom.functions.ordering import null_safe_join, split_rank, value_ranks
 from seriesloom.operators.joins import band_join
 
 
 def top_fraction_per_class(calls: DataFrame, keys: Sequence[str], fraction: float) -> DataFrame:
     """ceil(fraction * n) most confident rows per predicted class, ties by series id.
 
-    Ranked in 4,096 confidence bands per class, so a class may hold any share of the rows.
+    Distinct confidences are ranked first, then the rows of an equal confidence by stretches of ids, so a
+    class or a single confidence may hold any share of the rows.
     """
     g = [*keys, "pred"]
-    n = calls.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    r = split_rank(calls, g, [F.col("conf").desc(), F.col("series_id")], F.floor((1 - F.col("conf")) * 4096), "_r")
-    return r.join(n, g).where(F.col("_r") <= F.ceil(F.lit(float(fraction)) * F.col("_n"))).drop("_r", "_n")
+    d = calls.withColumn("_low", -F.col("conf"))
+    r = value_ranks(d, g, "_low").select(*g, "_low", "n_before", "n_total")
+    need = F.ceil(F.lit(float(fraction)) * F.col("n_total"))
+    d = null_safe_join(d, r, [*g, "_low"]).where(F.col("n_before") < need)
+    d = split_rank(d, [*g, "_low"], [F.col("series_id")], F.floor(F.col("series_id") / 100_000), "_tie")
+    return d.where(F.col("n_before") + F.col("_tie") <= need).drop("_low", "n_before", "n_total", "_tie")
 
 
 def select_pairs(pairs: DataFrame, bands: dict[str, tuple[float, float]], score: str = "balanced_acc", picks: int = 3) -> DataFrame:

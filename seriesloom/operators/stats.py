@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.arrays import sorted_quantile, total
 from seriesloom.functions.columns import normal_two_sided
 from seriesloom.functions.hashing import draw_bucket, draw_int, draw_key, draw_unit, poisson_weight
-from seriesloom.functions.ordering import split_quantiles, split_rank, value_ranks
+from seriesloom.functions.ordering import null_safe_join, split_quantiles, split_rank, value_ranks
 
 
 def resamples(rows: DataFrame, keys: Sequence[str], unit: str, values: Sequence[str], b: int, seed: int) -> DataFrame:
@@ -24,10 +23,10 @@ def resamples(rows: DataFrame, keys: Sequence[str], unit: str, values: Sequence[
     num = split_rank(num, keys, [F.col("_o"), F.col(unit)], draw_bucket(F.col("_o"), 2), "j").drop("_o", unit)
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     slots = num.select(*keys, "j")
-    slots = slots.join(n, list(keys)) if keys else slots.withColumn("_n", n.scalar())
+    slots = null_safe_join(slots, n, keys) if keys else slots.withColumn("_n", n.scalar())
     slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
     drawn = slots.select(*keys, "rep", (1 + draw_int(seed, "rep", "j") % F.col("_n")).alias("j"))
-    return drawn.join(num, [*keys, "j"]).groupBy(*keys, "rep").agg(*[F.avg(v).alias(v) for v in values])
+    return null_safe_join(drawn, num, [*keys, "j"]).groupBy(*keys, "rep").agg(*[F.avg(v).alias(v) for v in values])
 
 
 def poisson_resamples(rows: DataFrame, keys: Sequence[str], unit: str, values: Sequence[str], b: int, seed: int) -> DataFrame:
@@ -37,46 +36,21 @@ def poisson_resamples(rows: DataFrame, keys: Sequence[str], unit: str, values: S
     return d.groupBy(*keys, "rep").agg(*[(F.sum(F.col("_w") * F.col(v)) / F.nullif(F.sum("_w"), F.lit(0))).alias(v) for v in values])
 
 
-PACK_LIMIT = 5_000  # most units per group that may be gathered into one row
-
-
-def packed(unit: str, value: str) -> Column:
-    """Aggregate: the values of a small group as one array, in the numbering order of ``resamples``."""
-    pairs = F.array_sort(F.collect_list(F.struct(draw_key(0, unit).alias("o"), F.col(unit).alias("u"), F.col(value).alias("v"))))
-    return F.transform(pairs, lambda p: p["v"])
-
-
-def packed_means(values: Column, b: int, seed: int) -> Column:
-    """Bootstrap means of a packed group, the same draws as ``resamples``, without any further shuffle."""
-    n = F.size(values)
-    return F.transform(F.sequence(F.lit(1), F.lit(b)), lambda r: total(F.transform(
-        F.sequence(F.lit(1), n), lambda j: F.get(values, (draw_int(seed, r, j) % n).cast("int")))) / n)
-
-
-def packed_interval(df: DataFrame, values: str, b: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """Turn a packed column into ``ci_lo`` and ``ci_hi``."""
-    d = df.withColumn("_b", F.sort_array(packed_means(F.col(values), b, seed)))
-    q = {name: sorted_quantile(F.col("_b"), F.lit(b), p) for name, p in (("ci_lo", alpha / 2), ("ci_hi", 1 - alpha / 2))}
-    return d.withColumns(q).drop("_b", values)
-
-
 def bootstrap_ci(rows: DataFrame, keys: Sequence[str], unit: str, value: str, b: int = 2000, seed: int = 0,
-                 alpha: float = 0.05, method: str = "multinomial", max_units: int | None = None) -> DataFrame:
+                 alpha: float = 0.05, method: str = "multinomial") -> DataFrame:
     """Mean over units with its percentile interval; linear quantiles over the replicates.
 
-    Where the caller can prove that a group has at most ``max_units`` units (team designs), the group is
-    packed into one row; otherwise units stay rows and the draws are a join. Both give the same numbers.
+    ``multinomial`` draws units with replacement by a join on their number, for tables of subjects; ``poisson`` weighs
+    every unit in every replicate and needs only sums, for very many units. NULL values do not count, NULL keys are a group.
     """
-    if max_units is not None and max_units <= PACK_LIMIT and method == "multinomial":
-        g = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"), packed(unit, value).alias("_v"))
-        return packed_interval(g, "_v", b, seed, alpha)
     draw = {"multinomial": resamples, "poisson": poisson_resamples}[method]
     reps = draw(rows, keys, unit, [value], b, seed)
-    ci = reps.groupBy(*keys).agg(F.percentile(value, alpha / 2).alias("ci_lo"), F.percentile(value, 1 - alpha / 2).alias("ci_hi"))
+    ci = reps.groupBy(*keys).agg(F.percentile(value, [alpha / 2, 1 - alpha / 2]).alias("_q"))
+    ci = ci.select(*keys, F.get("_q", F.lit(0)).alias("ci_lo"), F.get("_q", F.lit(1)).alias("ci_hi"))
     m = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     if not keys:
         return m.withColumns({c: ci.select(c).scalar() for c in ("ci_lo", "ci_hi")})
-    return m.join(ci, list(keys))
+    return null_safe_join(m, ci, keys)
 
 
 def subject_means(scores: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -84,19 +58,16 @@ def subject_means(scores: DataFrame, keys: Sequence[str], value: str) -> DataFra
     return scores.groupBy(*keys, "subject").agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n_rows"))
 
 
-def summarize(scores: DataFrame, keys: Sequence[str], value: str, b: int = 2000, seed: int = 0,
-              max_units: int | None = None) -> DataFrame:
+def summarize(scores: DataFrame, keys: Sequence[str], value: str, b: int = 2000, seed: int = 0) -> DataFrame:
     """Per condition: mean and interval over subject means, median, number of subjects and of rows."""
     ath = subject_means(scores, keys, value)
-    if max_units is not None and max_units <= PACK_LIMIT:
-        g = ath.groupBy(*keys).agg(
-            F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n_subjects"), F.percentile(value, 0.5).alias("median"),
-            F.sum("n_rows").alias("n_subject_repeats"), packed("subject", value).alias("_v"))
-        return packed_interval(g, "_v", b, seed)
     ci = bootstrap_ci(ath, keys, "subject", value, b, seed)
     med = split_quantiles(ath, keys, value, {"median": 0.5})
     tot = ath.groupBy(*keys).agg(F.sum("n_rows").alias("n_subject_repeats"))
-    return (ci.join(med, list(keys)).join(tot, list(keys)).withColumnRenamed("n", "n_subjects"))
+    return null_safe_join(null_safe_join(ci, med, keys), tot, keys).withColumnRenamed("n", "n_subjects")
+
+
+EXACT_PAIRS = 50  # most pairs for which the exact distribution is used, a rule of the test
 
 
 def _exact_tail(n: int, w: float) -> float:
@@ -121,7 +92,7 @@ def _with_p(s: DataFrame, exact: bool) -> DataFrame:
             memo: dict[tuple, float] = {}
             return pd.Series([memo.setdefault((i, j), _exact_tail(int(i), j)) if i > 0 else 1.0 for i, j in zip(n, w)])
 
-        use = (F.col("n_used") <= 50) & (F.col("_ties") == 0) & (F.col("_zeros") == 0)
+        use = (F.col("n_used") <= EXACT_PAIRS) & (F.col("_ties") == 0) & (F.col("_zeros") == 0)
         s = s.withColumns({"p": F.when(use, exact_p(F.when(use, F.col("n_used")).otherwise(0), F.when(use, w).otherwise(0.0)))
                            .otherwise(F.col("p_normal")), "method": F.when(use, "exact").otherwise("normal")})
     return s.drop("_ties", "_zeros")
@@ -130,7 +101,7 @@ def _with_p(s: DataFrame, exact: bool) -> DataFrame:
 def signed_rank(diffs: DataFrame, keys: Sequence[str], d: str = "d", exact: bool = True) -> DataFrame:
     """Wilcoxon signed-rank: zeros dropped, mid-ranks of |d|, W = smaller rank sum, normal z with tie term.
 
-    Where at most 50 pairs remain without ties and zeros, ``p`` is exact and ``method`` says so.
+    Where at most EXACT_PAIRS pairs remain without ties and zeros, ``p`` is exact and ``method`` says so.
     Differences are compared after rounding to 12 decimals.
     """
     a = F.round(F.col(d), 12)
@@ -142,39 +113,25 @@ def signed_rank(diffs: DataFrame, keys: Sequence[str], d: str = "d", exact: bool
     s = r.groupBy(*keys).agg(F.sum(mid * F.col("_pos")).alias("w_plus"), F.sum(mid * F.col("_neg")).alias("w_minus"),
                              F.sum(t * t * t - t).alias("_ties"), F.sum("n").alias("n_used"))
     zeros = rows.groupBy(*keys).agg(F.sum((F.col("_d") == 0).cast("int")).alias("_zeros"))
-    s = zeros.join(s, list(keys), "left").withColumn("n_used", F.coalesce("n_used", F.lit(0)))
+    s = null_safe_join(zeros, s, keys, "left").withColumn("n_used", F.coalesce("n_used", F.lit(0)))
+    s = s.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("w_plus", "w_minus", "_ties")})
     return _with_p(s, exact)
 
 
 def paired_compare(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, boot: int = 2000, seed: int = 0,
-                   exact: bool = True, max_units: int | None = None) -> DataFrame:
+                   exact: bool = True) -> DataFrame:
     """Paired by subject within ``keys``: mean difference a - b with interval, signed-rank p, counts, both means."""
-    d = (a.select(*keys, "subject", F.col(value).alias("_a")).join(b.select(*keys, "subject", F.col(value).alias("_b")), [*keys, "subject"])
-         .withColumn("d", F.col("_a") - F.col("_b")).where("d is not null"))
-    return paired_differences(d, keys, boot, seed, exact, max_units)
+    d = null_safe_join(a.select(*keys, "subject", F.col(value).alias("_a")), b.select(*keys, "subject", F.col(value).alias("_b")), [*keys, "subject"])
+    return paired_differences(d.withColumn("d", F.col("_a") - F.col("_b")).where("d is not null"), keys, boot, seed, exact)
 
 
-def paired_differences(d: DataFrame, keys: Sequence[str], boot: int = 2000, seed: int = 0, exact: bool = True,
-                       max_units: int | None = None) -> DataFrame:
+def paired_differences(d: DataFrame, keys: Sequence[str], boot: int = 2000, seed: int = 0, exact: bool = True) -> DataFrame:
     """Paired statistics of rows (keys, subject, _a, _b, d = _a - _b)."""
     more = [F.sum((F.col("d") > 0).cast("int")).cast("bigint").alias("n_positive"),
             F.avg("_a").alias("mean_a"), F.avg("_b").alias("mean_b")]
-    if max_units is not None and max_units <= PACK_LIMIT:
-        # one exchange on the keys serves the ranks, the sums and the packed values
-        r = d.withColumn("_d", F.round("d", 12)).withColumn("_abs", F.nullif(F.abs("_d"), F.lit(0.0)))
-        up = Window.partitionBy(*keys).orderBy(F.col("_abs").asc_nulls_last())
-        t = F.count("_abs").over(Window.partitionBy(*keys, "_abs"))
-        r = r.withColumns({"_t": t.cast("double"), "_mid": F.rank().over(up) + (t - 1) / F.lit(2.0)})
-        s = r.groupBy(*keys).agg(
-            F.avg("d").alias("diff"), F.count(F.lit(1)).alias("n"), *more, packed("subject", "d").alias("_v"),
-            F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_mid"))), F.lit(0.0)).alias("w_plus"),
-            F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("_mid"))), F.lit(0.0)).alias("w_minus"),
-            F.coalesce(F.sum(F.when(F.col("_abs").isNotNull(), F.col("_t") * F.col("_t") - 1)), F.lit(0.0)).alias("_ties"),
-            F.count("_abs").alias("n_used"), F.sum(F.col("_abs").isNull().cast("int")).alias("_zeros"))
-        return _with_p(packed_interval(s, "_v", boot, seed), exact)
     ci = bootstrap_ci(d, keys, "subject", "d", boot, seed).withColumnRenamed("mean", "diff")
-    return (ci.join(d.groupBy(*keys).agg(*more), list(keys))
-            .join(signed_rank(d, keys, exact=exact), list(keys)))
+    out = null_safe_join(ci, d.groupBy(*keys).agg(*more), keys)
+    return null_safe_join(out, signed_rank(d, keys, exact=exact), keys)
 
 
 def n_threshold(curves: DataFrame, keys: Sequence[str], x: str, y: str, frac: float, name: str = "n_needed") -> DataFrame:
@@ -193,15 +150,14 @@ def n_threshold(curves: DataFrame, keys: Sequence[str], x: str, y: str, frac: fl
     return d.withColumn("_at", at).groupBy(*keys).agg(F.min_by("_at", hit).alias(name))
 
 
-def equivalent_x(scores: DataFrame, curves: DataFrame, keys: Sequence[str], x: str, y: str, value: str,
-                 max_points: int = 1000) -> DataFrame:
+def equivalent_x(scores: DataFrame, curves: DataFrame, keys: Sequence[str], x: str, y: str, value: str) -> DataFrame:
     """x at which the running maximum of the curve reaches a score; NULL outside the curve.
 
-    A curve has at most ``max_points`` grid points and is carried as one array per key.
+    A curve has one row for each point of its grid of parameters, and is carried as one array per key.
     """
-    pts = curves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y")))).alias("_pts"))
-    pts = pts.withColumn("_f", F.transform(F.sequence(F.lit(1), F.size("_pts")), lambda i: F.array_max(
-        F.transform(F.slice("_pts", F.lit(1), i), lambda p: p["y"]))))
+    up = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    points = curves.select(*keys, F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y"), F.max(y).over(up).alias("f")).alias("_p"))
+    pts = points.groupBy(*keys).agg(F.array_sort(F.collect_list("_p")).alias("_pts")).withColumn("_f", F.col("_pts.f"))
     d = scores.join(pts, list(keys)) if keys else scores.withColumns({c: pts.select(c).scalar() for c in ("_pts", "_f")})
     v, f, p, n = F.col(value), F.col("_f"), F.col("_pts"), F.size("_pts")
     # last point whose running maximum does not exceed the score

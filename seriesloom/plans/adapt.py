@@ -36,6 +36,9 @@ def self_train(spark: SparkSession, windows: DataFrame, labeled: DataFrame, unla
     """
     keys = list(keys)
     path = fresh_path(spark, "series")
+    windows.select("series_id", "subject", "cls", "w", "t0_s", "m").write.parquet(path)
+    windows = spark.read.parquet(path)  # measured once for all rounds
+    path = fresh_path(spark, "series-means")
     L.series_mean(windows).write.parquet(path)
     series = spark.read.parquet(path)
     known = series.join(labeled, "series_id").select(*keys, "series_id", "cls", "m")

@@ -39,22 +39,20 @@ class Design:
 
 
 def make_roles(subjects: DataFrame, design: Design) -> DataFrame:
-    """Per repeat: the first ``n_new`` subjects in seeded order are new, the next ones candidates.
-
-    Only as many subjects as the largest team needs are ranked, so each task ships a handful of rows.
-    """
-    need = design.n_new + max(design.sizes)
-    d = (subjects.select("subject").distinct()
-         .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(design.repeats))))
-         .withColumn("_o", draw_key(design.seed, "repeat", "subject")))
-    d = first_k(d, ["repeat"], [F.col("_o"), F.col("subject")], need, "rank")
+    """Per repeat the whole pool in seeded order: the first ``n_new`` subjects are new, all others candidates."""
+    d = rank_subjects(subjects, design.repeats, design.seed)
     return d.select("repeat", "subject",
                     F.when(F.col("rank") <= design.n_new, "new").otherwise("candidate").alias("role"),
                     F.when(F.col("rank") <= design.n_new, F.col("rank")).otherwise(F.col("rank") - design.n_new).alias("rank"))
 
 
+def team_roles(roles: DataFrame, design: Design) -> DataFrame:
+    """The new subjects and the candidates of the largest team: at most ``max_roles`` rows."""
+    return roles.where((F.col("role") == "new") | (F.col("rank") <= max(design.sizes)))
+
+
 def rank_subjects(subjects: DataFrame, repeats: int, seed: int) -> DataFrame:
-    """Seeded rank of every subject per repeat (the unbounded form of ``make_roles``)."""
+    """Seeded rank of every subject per repeat."""
     d = (subjects.select("subject").distinct()
          .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
          .withColumn("_o", draw_key(seed, "repeat", "subject")))
@@ -65,7 +63,7 @@ def nested_set_order(bouts: DataFrame, roles: DataFrame, design: Design, max_k:
     """Seeded order of the first-period series within each (repeat, candidate, class), first ``max_k`` kept."""
     cand = roles.where("role = 'candidate'").select("repeat", "subject", F.col("rank").alias("team_rank"))
     d = (bouts.where("period_order = 1").select("series_id", "subject", "cls")
-         .join(bounded_broadcast(cand, design.max_roles), "subject")
+         .join(cand, "subject")
          .withColumn("_o", draw_key(design.seed, "repeat", "series_id")))
     return first_k(d, ["repeat", "subject", "cls"], [F.col("_o"), F.col("series_id")],
                    max_k or max(design.ks), "set_rank").drop("_o")
@@ -150,10 +148,10 @@ def subject_split(subjects: DataFrame, frac: float, seed: int) -> DataFrame:
 def group_kfold(rows: DataFrame, k: int) -> DataFrame:
     """Fold of each subject: subjects by size, dealt out in snake order, no subject in two folds."""
     sizes = rows.groupBy("subject").agg(F.count(F.lit(1)).alias("n_rows"))
-    # sizes falling: the negated bit length splits the order into at most 64 pieces per million subjects
-    piece = F.concat_ws("|", F.lpad(F.format_string("%d", F.lit(10**12) - F.col("n_rows")), 13, "0"),
-                        F.lpad(F.floor(F.col("subject") / 100_000).cast("string"), 12, "0"))
-    ranked = split_rank(sizes.withColumn("_all", F.lit(0)), ["_all"], [F.col("n_rows").desc(), F.col("subject")], piece)
+    # subjects of one size are numbered in the order of their digests, whatever the type of their ids
+    sizes = sizes.withColumns({"_all": F.lit(0), "_o": draw_key(0, "subject")})
+    piece = F.struct((-F.col("n_rows")).alias("size"), draw_bucket(F.col("_o"), 2).alias("part"))
+    ranked = split_rank(sizes, ["_all"], [F.col("n_rows").desc(), F.col("_o"), F.col("subject")], piece)
     r = F.col("rank") - 1
     snake = F.when(F.floor(r / k) % 2 == 0, r % k).otherwise(k - 1 - r % k)
     return ranked.select("subject", "n_rows", snake.cast("int").alias("fold"))

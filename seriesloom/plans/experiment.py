@@ -20,8 +20,13 @@ COND = ["repeat", "n_team", "k"]
 
 
 def saved_roles(spark: SparkSession, sf_dir: str, design: P.Design = P.Design()) -> DataFrame:
-    """The drawn roles (a table bounded by the design), written once: everything else filters by them."""
-    return materialize(lambda: P.make_roles(AD.vector_bouts(spark, sf_dir), design), spark, ("roles", sf_dir, *astuple(design)))
+    """The roles of the largest team (a table bounded by the design), written once: everything else filters by them."""
+    return materialize(lambda: P.team_roles(pool_roles(spark, sf_dir, design), design), spark, ("roles", sf_dir, *astuple(design)))
+
+
+def pool_roles(spark: SparkSession, sf_dir: str, design: P.Design = P.Design()) -> DataFrame:
+    """The roles of the whole pool."""
+    return P.make_roles(AD.vector_bouts(spark, sf_dir), design)
 
 
 def cohort_signals(spark: SparkSession, sf_dir: str, roles: DataFrame | None = None, max_roles: int = 0) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,9 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if spark.sparkContext.getCheckpointDir():
             return spark.sparkContext.getCheckpointDir()
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="seriesloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)  # a local session's own folder ends with it
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root

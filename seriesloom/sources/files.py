@@ -44,18 +44,22 @@ def scan_sidecars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach_sidecar(series: DataFrame, info: DataFrame) -> DataFrame:
-    """Join by recording name; ``class_agrees`` compares the class in the name with the side file."""
+    """Attach side files by recording name; recordings without one stay, with ``has_sidecar`` false.
+
+    ``class_agrees`` compares the class in the name with the side file.
+    """
     in_name = F.regexp_extract("stem", r"_(\d{2})$", 1).try_cast("int")
-    return series.join(info, "stem").withColumn("class_agrees", in_name == F.col("cls"))
+    d = series.join(info.withColumn("has_sidecar", F.lit(True)), "stem", "left")
+    return d.withColumns({"has_sidecar": F.coalesce("has_sidecar", F.lit(False)), "class_agrees": in_name == F.col("cls")})
 
 
 def write_samples(rows: DataFrame, path: str) -> None:
-    """One folder of header-less files per recording; every task writes its own part."""
-    rows.select("stem", "row", "t_ms", "x", "y", "z").write.partitionBy("stem").option("header", False).csv(path)
+    """One folder of header-less files per recording; recordings are brought together, large ones in several files."""
+    rows.select("stem", "row", "t_ms", "x", "y", "z").hint("rebalance", "stem").write.partitionBy("stem").option("header", False).csv(path)
 
 
 def write_sidecars(info: DataFrame, path: str) -> None:
-    info.select("stem", "value").write.partitionBy("stem").text(path)
+    info.select("stem", "value").hint("rebalance", "stem").write.partitionBy("stem").text(path)
 
 
 def scan_table(spark: SparkSession, path: str, schema: str | None = None, columns: Sequence[str] | None = None,

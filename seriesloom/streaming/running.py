@@ -35,49 +35,62 @@ def windowed_features(samples: DataFrame, length: str, slide: str, delay: str, b
 
 
 def running_calls(windows: DataFrame, keys: Sequence[str], n_classes: int, window_s: float, weight: float = TIE_WEIGHT,
-                  idle_ms: int | None = None) -> DataFrame:
+                  time_col: str | None = None, delay: str = "0 seconds", idle_s: float = 3600.0) -> DataFrame:
     """One row per arriving window: the vote so far and since when it has not changed.
 
-    State per series: class score vector, last end, last call, last change. A series without new windows for
-    ``idle_ms`` is closed and its state freed.
+    State per series: class scores, last window, call, time of its last change. A window that comes after a later
+    one of its series was counted (within a batch they are sorted) does not vote: it is emitted with ``late`` true and
+    the call as it stands. With ``time_col`` the stream has a watermark of ``delay``; a series is closed and its
+    state freed once the watermark passes its last window by ``idle_s``, and windows older than the watermark are
+    dropped, so a closed series is not started again by them.
     """
     keys = [*keys, "series_id", "subject", "truth"]
     types = dict(windows.dtypes)
-    d = windows.select(*keys, "w", (F.col("t0_s") + F.lit(window_s)).alias("end_s"), "proba", first_argmax(F.col("proba")).alias("top"))
-    out = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", w int, end_s double, call int, last_change_s double"
-    state_schema = "score array<double>, call int, changed double"
+    d = windows.withWatermark(time_col, delay) if time_col else windows
+    stamp = [F.col(time_col).alias("_time")] if time_col else []
+    d = d.select(*keys, "w", (F.col("t0_s") + F.lit(window_s)).alias("end_s"), "proba", first_argmax(F.col("proba")).alias("top"), *stamp)
+    out = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", w int, end_s double, call int, last_change_s double, late boolean"
+    state_schema = "score array<double>, call int, changed double, w int"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        score, call, changed = state.get if state.exists else ([0.0] * n_classes, -1, 0.0)
-        score = np.asarray(score, float)
-        rows = pd.concat(list(batches)).sort_values("w")
+        score, call, changed, last = state.get if state.exists else ([0.0] * n_classes, -1, 0.0, -1)
+        rows = pd.concat(list(batches)).sort_values("w", kind="stable")
+        late = (rows["w"] <= last).to_numpy()
         votes = np.stack([np.asarray(p, float) for p in rows["proba"]]) * weight
         votes[np.arange(len(rows)), rows["top"].to_numpy()] += 1.0
-        calls = (score + np.cumsum(votes, axis=0)).argmax(1)
+        votes[late] = 0.0
+        total = np.asarray(score, float) + np.cumsum(votes, axis=0)
+        calls = np.where(late, call, total.argmax(1))
         since = []
-        for c, end in zip(calls, rows["end_s"]):
-            if c != call:
+        for c, end, old in zip(calls, rows["end_s"], late, strict=True):
+            if not old and c != call:
                 call, changed = int(c), float(end)
             since.append(changed)
-        state.update(((score + votes.sum(0)).tolist(), call, changed))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({**{k: [v] * len(rows) for k, v in zip(keys, key)}, "w": rows["w"].to_numpy(), "end_s": rows["end_s"].to_numpy(),
-                            "call": calls, "last_change_s": since})
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+        state.update((total[-1].tolist(), call, changed, max(last, int(rows["w"].max()))))
+        if time_col:
+            end_ms = int(rows["_time"].max().timestamp() * 1000 + idle_s * 1000)
+            state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({**{k: [v] * len(rows) for k, v in zip(keys, key, strict=True)}, "w": rows["w"].to_numpy(), "end_s": rows["end_s"].to_numpy(),
+                            "call": calls, "last_change_s": since, "late": late})
+
+    timeout = GroupStateTimeout.EventTimeTimeout if time_col else GroupStateTimeout.NoTimeout
     return d.groupBy(*keys).applyInPandasWithState(step, out, state_schema, "append", timeout)
 
 
-def drain(spark: SparkSession, stream: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
-    """Run a stream over everything available into a table in the shared folder and read it back."""
+def drain(spark: SparkSession, stream: DataFrame, name: str, timeout_s: float | None = None) -> DataFrame:
+    """Run a stream over everything available into a table in the shared folder and read it back.
+
+    Waits as long as it takes, unless the caller sets ``timeout_s``.
+    """
     path, check = fresh_path(spark, name), fresh_path(spark, f"{name}-log")
     q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", check).option("path", path)
          .trigger(availableNow=True).start())
-    if not q.awaitTermination(timeout_s):
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError(f"stream {name} did not finish in {timeout_s} s")
     return spark.read.schema(stream.schema).parquet(path)

@@ -17,10 +17,3 @@ def spark():
 def sf():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
-
-@pytest.fixture(params=["whole groups", "split groups"])
-def strategy(request, monkeypatch):
-    """Run a test with plain windows and with every group split into pieces."""
-    from seriesloom.functions import ordering
-
-    monkeypatch.setattr(ordering, "LARGE_GROUP", 10**9 if request.param == "whole groups" else 0)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import arrays as A
 from seriesloom.operators import features as FE
-from seriesloom.operators import packed as PK
+from seriesloom.operators import augment as AU
+from seriesloom.operators import gravity as GR
 from seriesloom.operators import signal as S
 
 
@@ -22,7 +23,7 @@ def piece(n=100):
     return F.floor(F.col("i") / n)
 
 
-def test_resample_keeps_rate_peak_and_constant(spark, strategy):
+def test_resample_keeps_rate_peak_and_constant(spark):
     d = long_series(spark, 950, 95.0)
     r = S.resample_linear(d, ["i"], piece(), 30.0).orderBy("g").toPandas()
     end = d.agg(F.max("t_ms")).first()[0] / 1000
@@ -34,7 +35,7 @@ def test_resample_keeps_rate_peak_and_constant(spark, strategy):
     assert np.allclose(r.x, np.interp(r.t_s, tt, d.orderBy("i").toPandas().x), atol=1e-9)
 
 
-def test_resample_guards(spark, strategy):
+def test_resample_guards(spark):
     assert S.resample_linear(long_series(spark, 15, 50.0), ["i"], piece(4), 30.0).count() == 0
     assert S.resample_linear(long_series(spark, 16, 50.0, burst=1), ["i"], piece(4), 30.0).count() > 0
     still = long_series(spark, 40, 50.0).withColumn("t_ms", F.lit(5).cast("bigint"))
@@ -52,7 +53,7 @@ def test_zero_phase_on_sines():
     assert abs(np.abs(edge).max() - 0.5) < 0.01
 
 
-def test_chunked_filter_equals_whole_series(spark, strategy):
+def test_chunked_filter_equals_whole_series(spark):
     d = long_series(spark, 1500, 95.0, 1.3, burst=1).withColumn("y", F.rand(3))
     whole = S.lowpass_zero_phase(d, ["i"], piece(), 4, 12.0).orderBy("idx").toPandas()
     parts = S.lowpass_zero_phase(d, ["i"], piece(), 4, 12.0, chunk=400).orderBy("idx").toPandas()
@@ -105,7 +106,7 @@ def test_features_of_two_tones_and_flat_channels(spark):
 
 def test_variants_share_window_keys_and_add_up(spark):
     d = packed_rows(spark, [120, 95])
-    w = {v: FE.sliding_windows(PK.split_variant(d, v, 30.0), 2.0, 0.5, 30.0).orderBy("series_id", "w").toPandas() for v in PK.VARIANTS}
+    w = {v: FE.sliding_windows(GR.split_variant(d, v, 30.0), 2.0, 0.5, 30.0).orderBy("series_id", "w").toPandas() for v in GR.VARIANTS}
     for v in w:
         assert list(zip(w[v].series_id, w[v].w)) == list(zip(w["full"].series_id, w["full"].w))
     a = lambda v: np.array([np.array([np.asarray(c) for c in ch][:3]) for ch in w[v].ch])
@@ -116,29 +117,50 @@ def test_variants_share_window_keys_and_add_up(spark):
 def test_series_measures(spark):
     t = np.arange(300) / 30
     d = packed_rows(spark, [300], lambda n: np.vstack([9.81 + 2 * np.sin(2 * np.pi * t * 0.7), np.zeros(300), np.zeros(300)]))
-    m = PK.series_measures(d, 30.0).first()
+    m = GR.series_measures(d, 30.0).first()
     assert m["forearm_direction"] == pytest.approx(1.0) and m["forearm_turning"] < 1e-4
     assert 0.1 < m["movement_size_g"] < 0.2 and 0.2 <= m["rep_speed_hz"] <= 3
-    assert PK.series_measures(packed_rows(spark, [16]), 30.0, band=(0.1, 0.2)).first()["rep_speed_hz"] is None
+    assert GR.series_measures(packed_rows(spark, [16]), 30.0, band=(0.1, 0.2)).first()["rep_speed_hz"] is None
 
 
 def test_augmentation_is_seeded_and_stays_in_range(spark):
     d = packed_rows(spark, [120, 95])
-    a = PK.augment_retime_scale(d, 3, 5, 30.0, max_degrees=15).orderBy("sim_id").toPandas()
-    b = PK.augment_retime_scale(d.repartition(3), 3, 5, 30.0, max_degrees=15).orderBy("sim_id").toPandas()
+    a = AU.augment_retime_scale(d, 3, 5, 30.0, max_degrees=15).orderBy("sim_id").toPandas()
+    b = AU.augment_retime_scale(d.repartition(3), 3, 5, 30.0, max_degrees=15).orderBy("sim_id").toPandas()
     assert list(a.sim_id) == ["0#sim0", "0#sim1", "0#sim2", "1#sim0", "1#sim1", "1#sim2"]
     assert all(np.allclose(np.array([list(c) for c in x]), np.array([list(c) for c in y])) for x, y in zip(a.ch, b.ch))
     assert all(round(n / 1.2) - 1 <= len(ch[0]) <= round(n / 0.8) + 1 for ch, n in zip(a.ch, [120] * 3 + [95] * 3))
     w = FE.sliding_windows(d, 2.0, 0.5, 30.0)
-    p = PK.augment_permute_rotate(w, 2, 5).toPandas()
+    p = AU.augment_permute_rotate(w, 2, 5).toPandas()
     ch = np.array([[list(c) for c in x] for x in p.ch])
     assert ch.shape == (2 * w.count(), 4, 60) and np.allclose(ch[:, 3], np.linalg.norm(ch[:, :3], axis=1))
     with pytest.raises(Exception, match="pieces"):
-        PK.augment_permute_rotate(FE.sliding_windows(d, 1.0, 0.5, 30.0), 1, 5).count()
+        AU.augment_permute_rotate(FE.sliding_windows(d, 1.0, 0.5, 30.0), 1, 5).collect()
 
 
-def test_cubic_warp_reproduces_cubics():
-    k = np.array([0.0, 1.5, 2.0, 4.0, 5.5, 7.0])
-    f = lambda x: x ** 3 - 2 * x ** 2 + 5
-    at = np.linspace(0, 7, 50)
-    assert np.allclose(PK._smooth(k, f(k), at), f(at))
+def test_turning_keeps_lengths_and_right_angles(spark):
+    d = packed_rows(spark, [40])
+    out = AU.turned(F.slice("ch", 1, 3), F.lit(1.1), F.lit(0.3), F.lit(2.0))
+    r = d.select("ch", out.alias("t")).first()
+    x, y = np.array([list(c) for c in r.ch])[:3], np.array([list(c) for c in r.t])
+    assert np.allclose(x.T @ x, y.T @ y) and not np.allclose(x, y)
+
+
+def test_places_of_a_warp_are_increasing_and_span_the_window(spark):
+    from seriesloom.functions.hashing import draw_unit
+
+    d = spark.range(50).select(AU.warped_places(F.lit(60), lambda tag: draw_unit(1, "id", F.lit(tag)), 4, 0.2).alias("p"))
+    p = np.array([r.p for r in d.collect()])
+    assert np.allclose(p[:, 0], 0) and np.allclose(p[:, -1], 59) and (np.diff(p, axis=1) > 0).all()
+
+
+def test_short_series_are_what_windows_leave_out(spark):
+    d = packed_rows(spark, [8, 10, 11, 12, 30])
+    made = {r.series_id for r in FE.sliding_windows(d, 8.0, 0.5, 1.0, 2.0).collect()}
+    short = {r.series_id for r in FE.short_series(d, 8.0, 0.5, 1.0, 2.0).collect()}
+    assert made == {3, 4} and short == {0, 1, 2}
+
+
+def test_measures_without_gravity_are_null(spark):
+    m = GR.series_measures(packed_rows(spark, [20], lambda n: np.zeros((3, n))), 30.0).first()
+    assert m["forearm_direction"] is None and m["forearm_turning"] is None and m["movement_size_g"] == 0

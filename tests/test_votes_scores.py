@@ -25,7 +25,7 @@ def test_vote_and_its_ties(spark):
     assert got == {"majority": (0, 3), "by_proba": (1, 2), "lowest": (1, 2), "first_max": (0, 1)}
 
 
-def test_running_vote_asof_and_stability(spark, strategy):
+def test_running_vote_asof_and_stability(spark):
     a, b = [.75, .25, 0.], [.25, .75, 0.]
     # right, wrong, wrong (tie breaks), right ... truth 0
     w = windows(spark, [("s", 0, i, p) for i, p in enumerate([a, b, b, a, a, a])] + [("t", 1, 0, a), ("t", 1, 1, a)])
@@ -56,7 +56,7 @@ def test_confusion_is_complete(spark):
     assert len(c) == 9 and c[(0, 1)] == (1, 50.0) and c[(1, 1)] == (0, None)
 
 
-def test_top_fraction_rounds_up_and_breaks_ties_by_id(spark, strategy):
+def test_top_fraction_rounds_up_and_breaks_ties_by_id(spark):
     rows = [(i, "p", 0, i % 2, 0.5 if i < 8 else 0.9) for i in range(10)]
     d = spark.createDataFrame(rows, "series_id bigint, subject string, truth int, pred int, conf double")
     kept = SEL.top_fraction_per_class(d, [], 0.5)
@@ -81,3 +81,49 @@ def test_calibration_last_bin_holds_one(spark):
     d = spark.createDataFrame([(1, 1, 1.0), (0, 1, 0.95)], "pred int, truth int, conf double")
     b = S.calibration_bins(d, 10).collect()
     assert len(b) == 1 and b[0]["bin"] == 9 and b[0]["ece"] == pytest.approx(abs(0.975 - 0.5))
+
+
+def test_top_fraction_when_most_confidences_are_equal(spark):
+    rows = [(i, "p", 0, 0, 0.5 if i % 10 else 0.9) for i in range(400)] + [(1000 + i, "p", 0, 0, 0.1) for i in range(100)]
+    d = spark.createDataFrame(rows, "series_id bigint, subject string, truth int, pred int, conf double").repartition(7)
+    kept = {r["series_id"] for r in SEL.top_fraction_per_class(d, [], 0.3).collect()}
+    assert kept == {r[0] for r in sorted(rows, key=lambda r: (-r[4], r[0]))[:150]}
+
+
+def test_class_pairs_of_many_classes(spark):
+    from seriesloom.operators import joins as J
+
+    rows = spark.range(90).select((F.col("id") % 30).cast("int").alias("cls"), F.col("id").alias("subject"))
+    rows = rows.unionByName(spark.createDataFrame([(99, 1), (None, 2)], "cls int, subject bigint"))
+    found = {(r.class_a, r.class_b) for r in J.class_pairs(rows, 3).collect()}
+    assert found == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+
+
+def test_running_calls_across_micro_batches(spark, tmp_path):
+    """Rows that come after later ones of their series are reported, not counted; closed series are not started again."""
+    from seriesloom.streaming import running as R
+
+    schema = "series_id long, subject long, truth int, w int, t0_s double, proba array<double>, time timestamp"
+    at = lambda s: f"2024-01-01 {s}"
+    batches = [
+        [(1, 1, 0, 0, 0.0, [.9, .1], at("00:00:00")), (1, 1, 0, 2, 2.0, [.8, .2], at("00:00:02"))],
+        [(1, 1, 0, 1, 1.0, [.0, 1.], at("00:00:01")), (1, 1, 0, 3, 3.0, [.1, .9], at("00:00:03"))],
+        [(2, 1, 1, 0, 0.0, [.0, 1.], at("05:00:00"))],
+        [(2, 1, 1, 1, 1.0, [.0, 1.], at("05:00:01"))],
+        [(1, 1, 0, 4, 4.0, [.0, 1.], at("00:00:04")), (2, 1, 1, 2, 2.0, [.0, 1.], at("05:00:02"))],
+    ]
+    for k, rows in enumerate(batches):
+        d = spark.createDataFrame(rows, schema.replace("time timestamp", "time string")).withColumn("time", F.to_timestamp("time"))
+        d.coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+        import os
+        import shutil
+        import time
+
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        (part,) = (tmp_path / f"b{k}").glob("part-*")
+        shutil.copyfile(part, tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (time.time() - 100 + k,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = R.drain(spark, R.running_calls(stream, [], 2, 1.0, time_col="time", delay="10 seconds", idle_s=60), "late")
+    got = {(r.series_id, r.w): (r.call, r.late) for r in out.collect()}
+    assert got == {(1, 0): (0, False), (1, 2): (0, False), (1, 1): (0, True), (1, 3): (0, False), (2, 0): (1, False), (2, 1): (1, False), (2, 2): (1, False)}
