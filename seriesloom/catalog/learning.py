@@ -1,9 +1,12 @@
 """Learner queries: the model contract, spark.ml learners, standardisation, self-training, replay."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.registry import query, r6, rounded
 from seriesloom.catalog.sqlparts import part, using
+from seriesloom.functions import arrays as AR
 from seriesloom.operators import features as FE
 from seriesloom.operators import learn as L
 from seriesloom.operators import scores as S
@@ -11,11 +14,14 @@ from seriesloom.operators import votes as V
 from seriesloom.plans import adapt as AP
 from seriesloom.plans import cohort as P
 from seriesloom.plans import experiment as X
-from seriesloom.session import bounded_broadcast, materialize
+from seriesloom.session import bounded_broadcast, fresh_path, materialize
 from seriesloom.sources import adapters as AD
 
 D = P.Design()
 ONE = {"repeat": 1, "n_team": 4, "k": 2}
+TREES = 30  # of the registered forest; the operator's default is 300
+MAX_ITER = 100  # of the registered logistic learner; it stops where it has converged
+AT_ONCE = 4  # cells of the grid whose jobs run side by side
 
 
 def one_condition(spark, d):
@@ -28,24 +34,50 @@ def one_condition(spark, d):
     return bounded_broadcast(train, D.max_train), test
 
 
-def fitted(spark, d, learner, windows):
-    """Run a learner through the contract: fit on train windows, stay lazy on test windows, vote."""
-    train, test = one_condition(spark, d)
-    proba = learner(windows.join(train, "series_id", "left_semi"), windows.join(test, "series_id"))
-    return V.vote_series(proba, ["role"], D.n_classes)
+def over_grid(spark, d, learner, windows, name):
+    """Run a learner through the contract for every cell: fit on train windows, classify and vote the test windows.
+
+    Cells are parameters; their jobs run side by side and write to one folder each. Adds the sum of the
+    probabilities of a series.
+    """
+    bouts, roles = AD.vector_bouts(spark, d), X.saved_roles(spark, d, D)
+    order = P.nested_set_order(bouts, roles, D)
+    train_all = materialize(lambda: P.train_sets(order, D), spark, ("train-sets", d, str(D)))
+    test_all = materialize(lambda: P.test_sets(bouts, roles, D), spark, ("test-sets", d, str(D)))
+    base = fresh_path(spark, name)
+
+    def one(cell):
+        pick = " and ".join(f"{c} = {v}" for c, v in cell.items())
+        train = bounded_broadcast(train_all.where(pick).select("series_id"), D.max_train)
+        test = test_all.where(pick).select("series_id", "role")
+        proba = learner(windows.join(train, "series_id", "left_semi"), windows.join(test, "series_id"))
+        sums = proba.groupBy("series_id", "role").agg(F.sum(AR.total(F.col("proba"))).alias("proba_sum"))
+        calls = V.vote_series(proba, ["role"], D.n_classes).join(sums, ["series_id", "role"])
+        path = f"{base}/{'-'.join(map(str, cell.values()))}"
+        calls.withColumns({c: F.lit(v) for c, v in cell.items()}).write.parquet(path)
+        return path
+
+    cells = [{"repeat": r, "n_team": n, "k": k} for r in range(1, D.repeats + 1) for n in D.sizes for k in D.ks]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return spark.read.parquet(*pool.map(one, cells))
+
 
+PROPERTIES = "repeat::INTEGER AS repeat, n_team, k, role, series_id, subject, truth, n_windows, round(n_windows::DOUBLE, 6) AS proba_sum"
+COLUMNS = ["repeat", "n_team", "k", "role", "series_id", "subject", "truth", "n_windows", "proba_sum"]
 
-@query("fit_predict", using("preds", "SELECT role, series_id, subject, truth, pred, n_windows FROM preds WHERE repeat = 1 AND n_team = 4 AND k = 2"))
+
+@query("fit_predict", using("preds", f"SELECT {PROPERTIES}, pred FROM preds"))
 def fit_predict(spark, d):
-    """The contract with the profile learner: fit_predict(train, test) -> test rows + class probabilities."""
-    return fitted(spark, d, L.profile_learner(D.n_classes), X.cohort_windows(spark, d, X.saved_roles(spark, d, D), D.max_roles))
+    """The contract with the profile learner over the grid: fit_predict(train, test) -> test rows + class probabilities."""
+    windows = materialize(lambda: X.cohort_windows(spark, d, X.saved_roles(spark, d, D), D.max_roles), spark, ("cohort-windows", d, str(D)))
+    return rounded(over_grid(spark, d, L.profile_learner(D.n_classes), windows, "profile-calls").select(*COLUMNS, "pred"))
 
 
 def ml_result(spark, d, kind):
     s = X.cohort_signals(spark, d, X.saved_roles(spark, d, D), D.max_roles)
     w = materialize(lambda: FE.window_features(FE.sliding_windows(s, X.WINDOW_S, X.OVERLAP, AD.FS), AD.FS),
                     spark, ("features", d, X.WINDOW_S, X.OVERLAP, str(D)))
-    return fitted(spark, d, L.ml_learner(kind, FE.feature_names(), seed=3, trees=30), w)
+    return materialize(lambda: over_grid(spark, d, L.ml_learner(kind, FE.feature_names(), seed=3, trees=TREES, max_iter=MAX_ITER), w, kind), spark, (f"{kind}-calls", d, TREES, str(D)))
 
 
 @query("learn_forest")
@@ -58,6 +90,18 @@ def learn_logistic(spark, d):
     return ml_result(spark, d, "logistic")
 
 
+@query("learn_forest_properties", using("preds", f"SELECT {PROPERTIES} FROM preds"))
+def learn_forest_properties(spark, d):
+    """Every test series of every cell is called once, and the probabilities of each of its windows sum to 1."""
+    return rounded(ml_result(spark, d, "forest").select(*COLUMNS))
+
+
+@query("learn_logistic_properties", using("preds", f"SELECT {PROPERTIES} FROM preds"))
+def learn_logistic_properties(spark, d):
+    """As for the forest."""
+    return rounded(ml_result(spark, d, "logistic").select(*COLUMNS))
+
+
 def measure_columns(spark, d):
     w = X.cohort_windows(spark, d)
     return w.select("series_id", "subject", "period_order", "w", *[F.get("m", F.lit(i)).alias(c) for i, c in enumerate(L.MEASURES)])

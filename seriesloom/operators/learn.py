@@ -91,7 +91,7 @@ def standardize(rows: DataFrame, stats_from: DataFrame, keys: Sequence[str], col
     return out.drop("_one", *[f"_{n}_{c}" for c in cols for n in "ms"])
 
 
-def ml_learner(kind: str, features: Sequence[str], seed: int = 1, trees: int = 50, max_iter: int = 30) -> Callable:
+def ml_learner(kind: str, features: Sequence[str], seed: int = 1, trees: int = 300, max_iter: int = 300) -> Callable:
     """A ``fit_predict(train, test) -> test + proba`` closure around spark.ml, with balanced class weights.
 
     The test side stays lazy: the fitted model is a transformer in its plan.
@@ -102,9 +102,10 @@ def ml_learner(kind: str, features: Sequence[str], seed: int = 1, trees: int = 5
     from pyspark.ml.functions import vector_to_array
 
     def fit_predict(train: DataFrame, test: DataFrame) -> DataFrame:
-        # the number of classes is a parameter-sized table and is safe to broadcast
-        weighted = train.join(F.broadcast(class_weights(train).select("cls", "weight")), "cls")
-        weighted = weighted.withColumn("label", F.col("cls").cast("double"))
+        # one row for each class of a classifier: they become a literal of the plan
+        weights = {r["cls"]: r for r in class_weights(train).collect()}
+        by_class = F.create_map(*[F.lit(x) for c, r in weights.items() for x in (c, r["weight"])])
+        weighted = train.withColumns({"label": F.col("cls").cast("double"), "weight": F.element_at(by_class, F.col("cls"))})
         assemble = VectorAssembler(inputCols=list(features), outputCol="_raw")
         if kind == "forest":
             steps = [assemble, RandomForestClassifier(featuresCol="_raw", labelCol="label", weightCol="weight",
@@ -112,7 +113,7 @@ def ml_learner(kind: str, features: Sequence[str], seed: int = 1, trees: int = 5
         elif kind == "logistic":
             scale = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True)
             # L2 with C=1 on the summed loss is 1/n on spark.ml's averaged loss
-            reg = 1.0 / max(train.count(), 1)
+            reg = 1.0 / sum(r["n_rows"] for r in weights.values())
             steps = [assemble, scale, LogisticRegression(featuresCol="_z", labelCol="label", weightCol="weight",
                                                          regParam=reg, elasticNetParam=0.0, maxIter=max_iter,
                                                          standardization=False, family="multinomial",
