@@ -5,9 +5,10 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.registry import query, r6, rounded
-from seriesloom.catalog.sqlparts import part, using
+from seriesloom.catalog.sqlparts import derive, part, using
 from seriesloom.functions import arrays as AR
 from seriesloom.operators import features as FE
+from seriesloom.operators import gravity as GR
 from seriesloom.operators import learn as L
 from seriesloom.operators import scores as S
 from seriesloom.operators import votes as V
@@ -202,3 +203,58 @@ def balanced_replay_sample(spark, d):
     own = windows.where("period_order = 1 and cls in (0, 6)").join(bounded_broadcast(who, D.max_roles), "subject").select("repeat", "subject", "cls", "series_id", "w")
     team = windows.select("series_id", "w").join(bounded_broadcast(train, D.max_train), "series_id").select("repeat", "cls", "series_id", "w")
     return AP.replay_draws(own, team, who, ["repeat"], 200, D.n_classes, 9)
+
+
+# --- the same plan on other signals ------------------------------------------------------------------
+
+SUMMARY = ["n_team", "k", "role"]
+
+
+def summary_sql(scores: str, **columns) -> str:
+    extra = "".join(f"{v!r} AS {k}, " for k, v in columns.items())
+    return (f"SELECT {extra}n_team, k, role, round(avg(f), 6) AS macro_f1, round(avg(a), 6) AS accuracy, count(*) AS n_units FROM "
+            f"(SELECT n_team, k, role, subject, avg(macro_f1) AS f, avg(accuracy) AS a FROM {scores} GROUP BY ALL) GROUP BY ALL")
+
+
+def summary(scores):
+    """Mean per subject first, then across subjects."""
+    u = scores.groupBy(*SUMMARY, "subject").agg(F.avg("macro_f1").alias("f"), F.avg("accuracy").alias("a"))
+    return rounded(u.groupBy(*SUMMARY).agg(F.avg("f").alias("macro_f1"), F.avg("a").alias("accuracy"), F.count(F.lit(1)).alias("n_units")))
+
+
+_LENGTH = "sqrt({0}0 * {0}0 + {0}1 * {0}1 + {0}2 * {0}2)"
+_REST = {f"r{c}": f"v{c} - g{c}" for c in range(3)}
+part("parts", ("axes",), f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in _REST.items())} FROM axes")
+_VALUES = {"full": "v", "gravity": "g", "motion": "r"}
+_SCORES = {}
+for _name in GR.VARIANTS:
+    _x = _VALUES.get(_name, "v")
+    _channels = [f"SELECT series_id, s, {c} AS c, {_x}{c} AS v FROM parts" for c in range(3)] if _name != "magnitude" else []
+    _channels.append(f"SELECT series_id, s, {len(_channels)} AS c, {_LENGTH.format(_x)} AS v FROM parts")
+    _SCORES[_name] = derive(f"_{_name}", "wpoints", f"""
+      SELECT p.series_id, b.subject, b.cls, b.period_order, w, w * 2 / 8.0::DOUBLE AS t0_s, c, s - w * 2 AS i, v FROM ({' UNION ALL '.join(_channels)}) p
+      JOIN vbouts b USING (series_id), (SELECT unnest(range(5)) AS w) WHERE s >= w * 2 AND s < w * 2 + 8""", ("parts", "vbouts"))
+
+
+@query("signal_ablation", using(" ".join(_SCORES.values()), " UNION ALL ".join(summary_sql(t, variant=v) for v, t in _SCORES.items())))
+def signal_ablation(spark, d):
+    """Scores of the same plan on the full signal, its slow part, its motion, and its magnitude alone."""
+    signals = X.cohort_signals(spark, d, X.saved_roles(spark, d, D), D.max_roles)
+    out = None
+    for variant in GR.VARIANTS:
+        windows = X.windows_of(GR.split_variant(signals, variant, AD.FS))
+        one = summary(X.scores_of(spark, d, windows, D, 2 if variant == "magnitude" else len(L.MEASURES))).withColumn("variant", F.lit(variant))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_FREE = derive("_free", "wmeasures", """
+  SELECT w.* EXCLUDE (m), (m - mu) / (sd + 1e-6) AS m FROM wmeasures w
+  JOIN (SELECT subject, mi, avg(m) AS mu, stddev_pop(m) AS sd FROM wmeasures WHERE period_order = 1 GROUP BY ALL) USING (subject, mi)""", ("wmeasures",))
+
+
+@query("label_free_calibration", using(_FREE, summary_sql(_FREE)))
+def label_free_calibration(spark, d):
+    """Scores of the same plan after every subject's measures are set by its own first-period windows, without labels."""
+    windows = X.cohort_windows(spark, d, X.saved_roles(spark, d, D), D.max_roles)
+    return summary(X.scores_of(spark, d, L.calibrate_subject(windows, windows.where("period_order = 1"))))

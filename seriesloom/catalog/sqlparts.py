@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -117,6 +119,19 @@ part("scores", ("preds",), scores_sql("preds", "repeat, n_team, k, role, subject
 part("ath", ("scores",), "SELECT n_team, k, role, subject, avg(macro_f1) AS macro_f1, count(*) AS n_rows FROM scores GROUP BY ALL")
 
 
+CHAIN = ("wpoints", "wmeasures", "smeasures", "profiles", "scales", "wdist", "wproba", "wtop", "vote", "preds", "scores")
+
+
+def derive(suffix: str, first: str, first_sql: str, needs: tuple[str, ...]) -> str:
+    """The chain from ``first`` to the scores once more, with ``first`` stated anew; returns the name of its scores."""
+    again = CHAIN[CHAIN.index(first):]
+    rename = lambda text: re.sub(rf"\b({'|'.join(again)})\b", lambda m: m[0] + suffix, text)
+    part(first + suffix, needs, first_sql)
+    for name in again[1:]:
+        part(name + suffix, tuple(rename(n) for n in PARTS[name][0]), rename(PARTS[name][1]))
+    return "scores" + suffix
+
+
 def bootstrap_sql(rows: str, keys: str, unit: str, value: str, b: int, seed: int = 0) -> str:
     """Percentile interval of the mean with the md5 draws; columns keys, ci_lo, ci_hi."""
     ks = [k.strip() for k in keys.split(",") if k.strip()]

@@ -27,6 +27,17 @@ def series_mean(windows: DataFrame, n_measures: int = len(MEASURES)) -> DataFram
         F.array(*[F.avg(F.get("m", F.lit(i))) for i in range(n_measures)]).alias("m"))
 
 
+def calibrate_subject(windows: DataFrame, own: DataFrame, n_measures: int = len(MEASURES)) -> DataFrame:
+    """Label-free calibration: every measure less the mean of the subject's windows in ``own``, over their SD.
+
+    Subjects without such windows are left out.
+    """
+    at = [F.get("m", F.lit(i)) for i in range(n_measures)]
+    stats = own.groupBy("subject").agg(F.array(*[F.avg(a) for a in at]).alias("_mu"), F.array(*[F.stddev_pop(a) for a in at]).alias("_sd"))
+    z = F.zip_with(F.zip_with("m", "_mu", lambda x, m: x - m), "_sd", lambda x, s: x / (s + F.lit(1e-6)))
+    return windows.join(stats, "subject").withColumn("m", z).drop("_mu", "_sd")
+
+
 def fit_profiles(train: DataFrame, keys: Sequence[str], n_measures: int = len(MEASURES)) -> DataFrame:
     """Class medians and the pooled within-class scale, one row per condition.
 

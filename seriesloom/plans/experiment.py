@@ -86,6 +86,18 @@ def saved_predictions(spark: SparkSession, sf_dir: str, design: P.Design = P.Des
                        spark, ("predictions", sf_dir, *astuple(design)))
 
 
+def scores_of(spark: SparkSession, sf_dir: str, windows: DataFrame, design: P.Design = P.Design(), n_measures: int = len(L.MEASURES)) -> DataFrame:
+    """Subject scores of the same plan on other windows (series_id, subject, cls, period_order, w, t0_s, m)."""
+    bouts, roles = AD.vector_bouts(spark, sf_dir), saved_roles(spark, sf_dir, design)
+    train = P.train_sets(P.nested_set_order(bouts, roles, design), design)
+    ids = bounded_broadcast(train.select("series_id").distinct(), design.max_train)
+    series = L.series_mean(windows.join(ids, "series_id", "left_semi"), n_measures)
+    rows = series.join(bounded_broadcast(train.select(*COND, "series_id"), design.max_train), "series_id")
+    test = P.test_sets(bouts, roles, design).select(*COND, "role", "series_id")
+    proba = L.profile_proba(windows.join(test, "series_id"), L.fit_profiles(rows, COND, n_measures), COND, design.n_classes, design.max_conditions)
+    return S.subject_scores(V.vote_series(proba, [*COND, "role"], design.n_classes), [*COND, "role", "subject"], design.n_classes)
+
+
 def grid_scores(spark: SparkSession, sf_dir: str, design: P.Design = P.Design()) -> DataFrame:
     """Subject scores of the whole grid."""
     return S.subject_scores(saved_predictions(spark, sf_dir, design), [*COND, "role", "subject"], design.n_classes)
