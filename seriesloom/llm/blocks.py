@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STEP_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import LOWER, Powers, Words, byte_blocks, byte_table, mixed
-from seriesloom.llm.tables import saved, unused
+from seriesloom.llm.tables import in_batches, saved, without
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -124,7 +124,7 @@ def windows(table: DataFrame, id_col: str, text_col: str, keep: np.ndarray | Non
                     )
 
     chosen = table.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    return chosen.mapInArrow(task, "id long, position long, h long, kinds array<int>, raws array<long>")
+    return in_batches(chosen).mapInArrow(task, "id long, position long, h long, kinds array<int>, raws array<long>")
 
 
 def contaminated(
@@ -184,9 +184,8 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that hold a benchmark item; rows with null id or text stay."""
-    key = unused("held", docs)
-    bad = saved(contaminated(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col).cast("long") == F.col(key), "left_anti")
+    bad = saved(contaminated(docs, items, id_col, text_col, **options).select("doc_id").distinct(), "contaminated")
+    return without(docs, {"doc_id": F.col(id_col).cast("long")}, bad)
 
 
 def op6_benchmark_templates(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import BLOCK_BYTES, LOWER, byte_blocks, pieces_of
-from seriesloom.llm.tables import components, saved, unused
+from seriesloom.llm.tables import components, in_batches, saved, without
 
 BITS = 3
 WORDS = 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.col(text_col).cast("string")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return chosen.mapInArrow(task, "doc_id long, text_key long, fp long")
+    return in_batches(chosen).mapInArrow(task, "doc_id long, text_key long, fp long")
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -244,16 +244,11 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = rows.groupBy("root").agg(F.min(name).alias("best"))
     judged = rows.join(kept, "root").withColumn("stays", name == F.col("best"))
-    key, other, number = unused("text_key", docs), unused("drop_key", docs), unused("drop_id", docs)
     flags = judged.groupBy("doc_id", "text_key").agg(F.min("stays").alias("stays"), (F.count("*") > 1).alias("again")).where("again OR NOT stays")
-    flags = saved(flags.select(F.col("doc_id").alias(number), F.col("text_key").alias(other), "stays"), "flagged")
-    texts = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(number)) & (F.col(key) == F.col(other))
-    out = texts.join(flags, same, "left_anti")
+    flags = saved(flags.select("doc_id", "text_key", "stays"), "flagged")
+    keys = {"doc_id": F.col(id_col).cast("long"), "text_key": F.xxhash64(F.col(text_col).cast("string"))}
     again = flags.where("stays")
-    if again.head(1):
-        out = out.unionByName(texts.join(again, same, "left_semi").dropDuplicates([id_col, key]))
-    return out.select(*docs.columns)
+    return without(docs, keys, flags.where("NOT stays"), again if again.head(1) else None)
 
 
 def op7_simhash_groups(spark, sf_dir: str) -> DataFrame:

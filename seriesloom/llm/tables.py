@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.session import fresh_path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the folder all executors share and read it back: its lineage ends there."""
+#: Bytes of rows that tasks receive at a time, however long the texts are: it bounds both sides of the exchange with Python.
+BATCH_BYTES, SPARK_BATCH = 8 << 20, "67108864b"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session handing rows to Python in batches of at most BATCH_BYTES, unless it has a limit of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == SPARK_BATCH:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+#: Rows of a narrow table that one file holds, where the number of rows is known before.
+FILE_ROWS = 100_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the folder all executors share and read it back: its lineage ends there.
+
+    With ``rows``, a bound on its rows, it takes files in proportion and not one for each shuffle partition.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(2 + rows // FILE_ROWS)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -23,6 +42,39 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
+#: The filter of ``without``: BUCKETS rows of 4096 bytes, 2 MB whatever it is built from.
+BUCKETS, BITS = 512, 32_768
+
+
+def without(docs: DataFrame, keys: dict[str, Column], drop: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """Rows of ``docs`` whose ``keys`` (name: expression) are not in ``drop`` (columns of these names); NULL equals NULL.
+
+    Of rows whose keys are in ``once``, one of each stays.  A bitmap of fixed size over the hashes
+    of the keys is broadcast.  Rows that it rules out stay where they are; only the others, the
+    dropped ones and few more, are shuffled and compared exactly.  All columns pass through.
+    """
+    number, place, bits = (unused(x, docs) for x in ("bucket", "place", "bits"))
+    names = {k: unused(k, docs) for k in keys}
+    named = lambda df: df.select(*[F.col(k).alias(f"_{n}") for k, n in names.items()])
+    listed = named(drop) if once is None else named(drop).unionByName(named(once))
+    spot = lambda columns: (F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)), F.pmod(F.shiftright(F.xxhash64(*columns), 20), F.lit(BITS)))
+    where, which = spot(listed.columns)
+    table = listed.select(where.alias(number), which.alias("_p")).groupBy(number).agg(F.bitmap_construct_agg("_p").alias(bits))
+    d = docs.withColumns({n: keys[k] for k, n in names.items()})
+    where, which = spot(names.values())
+    d = d.withColumns({number: where, place: which}).join(F.broadcast(table), number, "left")
+    byte = F.conv(F.hex(F.substring(bits, (F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    listed_maybe = F.coalesce(F.bit_get(byte, (F.col(place) % 8).cast("int")) == 1, F.lit(False))
+    stays, rest = d.where(~listed_maybe).select(*docs.columns), d.where(listed_maybe).select(*docs.columns, *names.values())
+    same = F.lit(True)
+    for n in names.values():
+        same = same & F.col(n).eqNullSafe(F.col(f"_{n}"))
+    out = stays.unionByName(rest.join(listed.distinct().hint("merge"), same, "left_anti").select(*docs.columns))
+    if once is None:
+        return out
+    return out.unionByName(rest.join(named(once).hint("merge"), same, "left_semi").dropDuplicates([*names.values()]).select(*docs.columns))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node long, component long): the smallest node reachable over ``links`` (a long, b long), for linked nodes.
 
@@ -44,4 +96,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        # every link gives at most one of the next round
+        stars = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links", state[0])
