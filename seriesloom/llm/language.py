@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import mixed, text_pieces
-from seriesloom.llm.tables import unused
+from seriesloom.llm.tables import in_batches, unused
 
 ORDER = 4
 #: Bounds of the model, not of what is counted: languages by number of rows, n-grams of each by
@@ -19,10 +19,10 @@ MAX_LANGUAGES = 64
 MAX_GRAMS = 300_000
 MAX_CELLS = 16_000_000
 #: A text counts as having this many more letters of usual cross-entropy when it is judged.
-PRIOR_LETTERS = 20
+PRIOR_LETTERS = 60
 #: Letters of evidence that a score counts at most.
 SCORE_LETTERS = 40
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 UNKNOWN = "und"
 
 
@@ -215,7 +215,7 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return in_batches(rows).mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(train: DataFrame, calibrate: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
@@ -288,7 +288,7 @@ def entropies(docs: DataFrame, models: LanguageModels, carry: list[str], text_co
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(n), lists], [*carry, name_n, name_h])
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
-    return rows.mapInArrow(task, f"{kinds}{', ' if kinds else ''}`{name_n}` bigint, `{name_h}` array<double>")
+    return in_batches(rows).mapInArrow(task, f"{kinds}{', ' if kinds else ''}`{name_n}` bigint, `{name_h}` array<double>")
 
 
 def identify(docs: DataFrame, models: LanguageModels, carry: list[str], text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import Words, byte_table, text_pieces
-from seriesloom.llm.tables import unused
+from seriesloom.llm.tables import in_batches, unused
 
 #: Phrases of consecutive words that always count, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -269,7 +269,7 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
     schema = f"{kinds}{', ' if kinds else ''}`{names[0]}` long, `{names[1]}` array<struct<word:int,label:string>>, `{names[2]}` {DETECTED}"
-    return docs.select(*carry, F.col(text_col).cast("string").alias(text)).mapInArrow(task, schema)
+    return in_batches(docs).select(*carry, F.col(text_col).cast("string").alias(text)).mapInArrow(task, schema)
 
 
 def op5_licenses(spark, sf_dir: str) -> DataFrame:

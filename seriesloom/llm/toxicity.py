@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import LOWER, Powers, Words, byte_table, mixed, text_pieces
-from seriesloom.llm.tables import saved, unused
+from seriesloom.llm.tables import in_batches, saved, unused
 
 #: Bound of the labelled rows that the model is fitted on (a sample by hash of the id, all classes alike).
 FIT_ROWS = 40_000
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = by_id.agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     chosen = saved(chosen.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS), "labelled")
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = saved(texts.join(F.broadcast(chosen), "key").select("toxic", "text"), "labelled-texts")
+    rows = saved(in_batches(texts).join(F.broadcast(chosen), "key").select("toxic", "text"), "labelled-texts")
 
     def first(batches):
         powers = Powers()
@@ -245,7 +245,7 @@ def score(docs: DataFrame, machine: Machine, carry: list[str], text_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], [*batch.schema.names[:-1], name])
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
-    return docs.select(*carry, F.col(text_col).cast("string").alias(text)).mapInArrow(task, f"{kinds}{', ' if kinds else ''}`{name}` double")
+    return in_batches(docs).select(*carry, F.col(text_col).cast("string").alias(text)).mapInArrow(task, f"{kinds}{', ' if kinds else ''}`{name}` double")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
