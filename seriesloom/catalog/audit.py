@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.registry import query, r6, rounded
-from seriesloom.catalog.sqlparts import using
+from seriesloom.catalog.sqlparts import category_sql, families_sql, using
 from seriesloom.functions import columns as C
 from seriesloom.functions import vocabulary as V
 from seriesloom.functions.ordering import split_quantiles
@@ -84,11 +84,7 @@ def recode_condition(spark, d):
     return table(spark, d, "documents").groupBy(C.recode_prefix("source", "src1", "src 1x").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-REGION_SQL = """CASE WHEN {c} IN (0, 2, 5, 6, 8) THEN 'lower' WHEN {c} IN (1, 4, 7, 9, 10, 11, 14) THEN 'upper' WHEN {c} IN (3, 12) THEN 'full body'
-  WHEN {c} = 13 THEN 'core' END"""
-PATTERN_SQL = """CASE WHEN {c} IN (0, 2, 8) THEN 'squat' WHEN {c} IN (5, 6) THEN 'hinge' WHEN {c} IN (1, 4, 7, 10) THEN 'upper push'
-  WHEN {c} IN (9, 11) THEN 'upper pull' WHEN {c} = 14 THEN 'shoulder isolation' WHEN {c} IN (3, 12) THEN 'conditioning' WHEN {c} = 13 THEN 'core' END"""
-PUSHPULL_SQL = "CASE WHEN {c} IN (1, 4, 7, 10) THEN 'push' WHEN {c} IN (9, 11) THEN 'pull' END"
+REGION_SQL, PATTERN_SQL, PUSHPULL_SQL = (category_sql(m) for m in (V.REGION, V.PATTERN, V.PUSHPULL))
 
 
 @query("map_categories", f"""SELECT {PUSHPULL_SQL.format(c='l_linenumber')} AS truth, coalesce({PUSHPULL_SQL.format(c='l_quantity % 15')}, 'other') AS call,
@@ -120,8 +116,7 @@ def split_class_list(spark, d):
     return b.where(~F.array_contains("classes", F.col("truth"))).groupBy("battery", "truth").agg(F.count(F.lit(1)).alias("n"))
 
 
-FAM_SQL = """CASE {c} WHEN 0 THEN ['squat'] WHEN 1 THEN ['push'] WHEN 2 THEN ['squat'] WHEN 3 THEN ['cardio'] WHEN 4 THEN ['push'] WHEN 5 THEN ['hinge']
-  WHEN 6 THEN ['hinge'] WHEN 7 THEN ['overhead'] WHEN 8 THEN ['squat'] WHEN 9 THEN ['arm', 'pull'] END"""
+FAM_SQL = families_sql()
 
 
 @query("families_overlap", f"""SELECT truth, battery, n, list_has_any({FAM_SQL.format(c='truth')}, {FAM_SQL.format(c='a')})

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.catalog.audit import PATTERN_SQL, PUSHPULL_SQL, REGION_SQL
 from seriesloom.catalog.registry import query, r6, rounded
-from seriesloom.catalog.sqlparts import bootstrap_sql, part, scores_sql, using
+from seriesloom.catalog.sqlparts import bootstrap_sql, families_sql, part, scores_sql, using
 from seriesloom.functions import vocabulary as V
 from seriesloom.functions.columns import class_list
 from seriesloom.operators import audit as A
@@ -349,8 +349,7 @@ def _bal(x: str) -> str:
     return x.replace("BAL", "coalesce((aa / nullif(aa + ab, 0) + bb / nullif(bb + ba, 0)) / 2, aa / nullif(aa + ab, 0), bb / nullif(bb + ba, 0))")
 
 
-FAM = """CASE {c} WHEN 0 THEN ['squat'] WHEN 1 THEN ['push'] WHEN 2 THEN ['squat'] WHEN 3 THEN ['cardio'] WHEN 4 THEN ['push'] WHEN 5 THEN ['hinge']
-  WHEN 6 THEN ['hinge'] WHEN 7 THEN ['overhead'] WHEN 8 THEN ['squat'] WHEN 9 THEN ['arm', 'pull'] END"""
+FAM = families_sql()
 part("pairs", ("pcount",), _bal(f"""
   SELECT a AS class_a, b AS class_b, balanced_acc, balanced_acc_sd, macro_f1, BAL AS balanced_acc_pooled, CAST(aa + ab AS BIGINT) AS n_a, CAST(bb + ba AS BIGINT) AS n_b,
          list_has_any({FAM.format(c='a')}, {FAM.format(c='b')}) AS same_family FROM (

@@ -4,6 +4,18 @@ from __future__ import annotations
 
 import re
 
+from seriesloom.functions import vocabulary as V
+
+def category_sql(mapping: dict[str, list[int]]) -> str:
+    """Category of class {c} from a map of ``functions.vocabulary``."""
+    return "CASE " + " ".join(f"WHEN {{c}} IN ({', '.join(map(str, classes))}) THEN '{name}'" for name, classes in mapping.items()) + " END"
+
+
+def families_sql() -> str:
+    """Movement families of class {c} as a list."""
+    return "CASE {c} " + " ".join(f"WHEN {c} THEN {names!r}" for c, names in V.FAMILIES.items()) + " END"
+
+
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 

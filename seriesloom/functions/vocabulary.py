@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Class names, movement families, category maps, name patterns, difficulty bands.
-CLASS_NAMES = {
-    0: "SQUAT", 1: "PUSH_UP", 2: "LUNGE", 3: "JUMPING_JACK", 4: "BENCH_PRESS", 5: "GOOD_MORNING", 6: "DEADLIFT",
-    7: "PUSH_PRESS", 8: "BACK_SQUAT", 9: "ARM_CURL", 10: "BB_MILITARY_PRESS", 11: "BB_BENT_OVER_ROW", 12: "BURPEE",
-    13: "LEG_RAISED_CRUNCH", 14: "LATERAL_RAISE",
-}
+# Movement families, category maps, name patterns.
 FAMILIES = {
     0: ["squat"], 1: ["push"], 2: ["squat"], 3: ["cardio"], 4: ["push"], 5: ["hinge"], 6: ["hinge"], 7: ["overhead"],
     8: ["squat"], 9: ["arm", "pull"], 10: ["overhead"], 11: ["hinge", "pull"], 12: ["cardio"], 13: ["core"],
@@ -20,7 +15,6 @@ REGION = {"lower": [0, 2, 5, 6, 8], "upper": [1, 4, 7, 9, 10, 11, 14], "full bod
 PATTERN = {"squat": [0, 2, 8], "hinge": [5, 6], "upper push": [1, 4, 7, 10], "upper pull": [9, 11],
            "shoulder isolation": [14], "conditioning": [3, 12], "core": [13]}
 PUSHPULL = {"push": [1, 4, 7, 10], "pull": [9, 11]}
-BANDS = {"easy": (0.95, 1.01), "medium": (0.80, 0.92), "hard": (0.65, 0.78)}
 NAMED_BATTERIES = {"squat_deadlift": (0, 6), "pushup_pushpress": (1, 7)}
 LABEL_EXCEPTIONS = {"Leg Raised Crunch": "Leg-raise crunch"}
 SERIES_NAME = r"^([^_]+)_(\d{4})_(\d{4})_(\d{6})_segment(\d+)_(\d{2})$"
@@ -39,8 +33,3 @@ def families(col: str | Column) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     entries = [x for c, fam in FAMILIES.items() for x in (F.lit(c), F.array(*[F.lit(f) for f in fam]))]
     return F.try_element_at(F.create_map(*entries), col.cast("int"))
-
-
-def class_name(col: str | Column) -> Column:
-    col = F.col(col) if isinstance(col, str) else col
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in CLASS_NAMES.items() for x in kv]), col.cast("int"))
