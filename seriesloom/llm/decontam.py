@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.blocks import LOWER, Powers, Words, byte_blocks, byte_table, mixed
+from seriesloom.llm.blocks import BLOCK_BYTES, LOWER, Powers, Words, byte_blocks, byte_table, mixed, pieces_of
 from seriesloom.llm.tables import in_batches, saved, without
 
 WINDOW = 5
@@ -75,6 +75,7 @@ class Templates:
             total = np.where(used, mixed(total * np.uint64(0x100000001B3) + canonical[here]), total) if n else total
             literal += (used & (kind[here] == 0)) if n else 0
         self.hash, self.plain = total, literal >= np.minimum(LITERALS, size)
+        self.words = words
 
     def slots(self, k: int) -> tuple[list[int], list[int]]:
         """Kinds and word hashes of window k."""
@@ -83,6 +84,29 @@ class Templates:
         return self.kind[a:b].tolist(), self.raw[a:b].view(np.int64).tolist()
 
 
+def template_blocks(column: pa.Array, powers: Powers):
+    """(first row, templates, words before the block, windows that the last block had) over a text column.
+
+    A longer text comes in pieces. Each begins with the last words of the one before: two that only give context, and
+    those whose windows reach into the new piece.
+    """
+    for row, offsets, data in byte_blocks(column):
+        if len(offsets) > 2 or len(data) <= BLOCK_BYTES:
+            yield row, Templates(offsets, data, powers), 0, 0
+            continue
+        carried, before, had, pieces = data[:0], 0, 0, list(pieces_of(data, BLOCK_BYTES))
+        for k, piece in enumerate(pieces):
+            block = np.concatenate([carried, piece])
+            t = Templates(np.array([0, len(block)]), block, powers)
+            n = len(t.words.start)
+            if n <= WINDOW and k + 1 < len(pieces):  # too few words to let any go
+                carried = block
+                continue
+            yield row, t, before, had
+            kept = min(n, WINDOW + 1)
+            carried, before, had = block[t.words.start[n - kept] :] if kept else block[:0], before + n - kept, max(0, kept - WINDOW + 1)
+
+
 def unit_hashes(powers: Powers) -> np.ndarray:
     data = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
     return Words(np.array([0, len(data)]), data, _MEMBER[data]).hashes(powers)
@@ -104,20 +128,21 @@ def windows(table: DataFrame, id_col: str, text_col: str, keep: np.ndarray | Non
         powers, passes = Powers(), None if keep is None else np.unpackbits(keep).astype(bool)
         for batch in batches:
             keys = batch.column(0)
-            for row, offsets, data in byte_blocks(batch.column(1)):
-                t = Templates(offsets, data, powers)
+            for row, t, before, had in template_blocks(batch.column(1), powers):
                 if passes is None:
-                    telling = np.bincount(t.row, t.plain, len(offsets) - 1) > 0
-                    at = np.flatnonzero(t.plain | ~telling[t.row]) if len(t.row) else np.zeros(0, np.int64)
+                    telling = np.bincount(t.row, t.plain) > 0 if len(t.row) else np.zeros(0, bool)
+                    wanted = t.plain | ~telling[t.row] if len(t.row) else np.zeros(0, bool)
                 else:
                     bits = bit_numbers(t.hash)
-                    at = np.flatnonzero(passes[bits[0]] & passes[bits[1]])
+                    wanted = passes[bits[0]] & passes[bits[1]]
+                at = np.flatnonzero(wanted)
+                at = at[at >= had]
                 for lo in range(0, len(at), 20_000):
                     some = at[lo : lo + 20_000]
                     slots = [t.slots(k) for k in some.tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            keys.take(pa.array(t.row[some] + row)), pa.array(t.position[some]), pa.array(t.hash[some].view(np.int64)),
+                            keys.take(pa.array(t.row[some] + row)), pa.array(t.position[some] + before), pa.array(t.hash[some].view(np.int64)),
                             pa.array([s[0] for s in slots], pa.list_(pa.int32())), pa.array([s[1] for s in slots], pa.list_(pa.int64())),
                         ],
                         ["id", "position", "h", "kinds", "raws"],
@@ -144,7 +169,7 @@ def contaminated(
 
     Null ids: rows are ignored.  Null and empty texts have no windows: never a match.  Texts
     shorter than a window are one window.  Repeated rows and ids count as one document or item.
-    Empty tables: no rows.  Other columns are not read.  Very long texts are one block.  The
+    Empty tables: no rows.  Other columns are not read.  Very long texts are read in pieces.  The
     filter sent to tasks has a fixed size; the benchmark itself is joined.
     """
     windows_i = saved(windows(items, item_col, item_text_col, None), "item-windows")

@@ -3,11 +3,13 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from seriesloom.llm import decontam, lines, simhash, tables, vectors
+from seriesloom.llm.blocks import Powers, byte_blocks
 
 
 def union(n, pairs):
@@ -182,6 +184,27 @@ def test_templates_find_changed_questions_only(spark):
     assert decontam.contaminated(df.limit(0), items).count() == 0
 
 
+def test_long_texts_in_pieces_have_the_same_windows(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = np.array(["Paris", "the", "12", "km", "a.", "Anna", "x9", "3.5", "hours", "é", "left!", "\n", "of"])
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 4, 5, 6, 7, 40, 400)] + ["w" * 300 + " a b c d e f", "a " + "w" * 500]
+
+    def found():
+        out = {}
+        for row, t, before, had in decontam.template_blocks(pa.array(texts), Powers()):
+            for k in range(had, len(t.at)):
+                key = (row + int(t.row[k]), int(t.position[k]) + before)
+                assert key not in out
+                out[key] = (int(t.hash[k]), bool(t.plain[k]), t.slots(k))
+        return out
+
+    whole = found()
+    for limit in (30, 64, 150):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", limit)
+        monkeypatch.setattr(decontam, "byte_blocks", lambda column, limit=limit: byte_blocks(column, limit))
+        assert found() == whole
+
+
 def test_all_planted_items_are_found(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     plain = docs.alias("d").join(items.alias("i"), F.expr("contains(d.text, i.text)")).select("doc_id", "item_id")
