@@ -109,7 +109,7 @@ def extra_predictions(spark: SparkSession, sf_dir: str, design: P.Design = P.Des
     return materialize(run, spark, ("extra", sf_dir, str(design), n_team, targeted, n_broad))
 
 
-def pair_screen(spark: SparkSession, sf_dir: str, k_folds: int = 5, n_measures: int = len(L.MEASURES), n_classes: int = 10) -> DataFrame:
+def pair_screen(spark: SparkSession, sf_dir: str, k_folds: int = 5, n_measures: int = len(L.MEASURES)) -> DataFrame:
     """Every class pair under subject-grouped cross-validation with the profile learner, in one job.
 
     A class profile depends on the class and the left-out fold only, so it is fitted once and shared by all
@@ -125,19 +125,20 @@ def pair_screen(spark: SparkSession, sf_dir: str, k_folds: int = 5, n_measures:
     path = fresh_path(spark, "pair-rows")
     rows.write.parquet(path)
     rows = spark.read.parquet(path)
+    n_classes = rows.select("cls").distinct().count()  # measured: it bounds what is broadcast below
     long = rows.select("cls", "fold", F.posexplode("m").alias("mi", "v")).withColumn(
         "out", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k_folds - 1)), lambda f: f != F.col("fold"))))
     key = ["cls", "out", "mi"]
     fit = split_quantiles(long, key, "v", {"mu": 0.5}).join(long.groupBy(*key).agg(F.var_samp("v").alias("var")), key)
-    # one row per left-out fold: classes x measures, a parameter-sized model
+    # one row per left-out fold: classes x measures
     model = fit.groupBy("out", "cls").agg(F.array_sort(F.collect_list(F.struct("mi", "mu", "var"))).alias("p"))
     model = model.groupBy("out").agg(F.map_from_entries(F.collect_list(F.struct("cls", "p"))).alias("model"))
-    d = rows.join(bounded_broadcast(model, k_folds), rows["fold"] == model["out"])
+    d = rows.join(bounded_broadcast(model, k_folds * n_classes * n_measures), rows["fold"] == model["out"])
     pairs = class_pairs(rows, 2)
-    # each class's partners as one array per class (parameter-sized)
+    # each class's partners as one array per class
     both = pairs.select(F.col("class_a").alias("cls"), F.col("class_b").alias("other")).unionByName(
         pairs.select(F.col("class_b").alias("cls"), F.col("class_a").alias("other")))
-    d = d.join(bounded_broadcast(both.groupBy("cls").agg(F.collect_list("other").alias("others")), n_classes), "cls")
+    d = d.join(bounded_broadcast(both.groupBy("cls").agg(F.collect_list("other").alias("others")), n_classes * n_classes), "cls")
     d = d.select("series_id", "subject", "fold", "cls", "m", "model", F.explode("others").alias("other"))
     d = d.withColumns({"_a": F.try_element_at("model", F.least("cls", "other")), "_b": F.try_element_at("model", F.greatest("cls", "other"))})
 

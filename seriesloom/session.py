@@ -76,7 +76,7 @@ def materialize(df_fn, spark: SparkSession, key: tuple) -> DataFrame:
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int, limit: int = 200_000) -> DataFrame:
-    """Broadcast ``df`` only where its largest possible row count, known from parameters, is small.
+    """Broadcast ``df`` only where its largest possible number of cells, known from parameters or measured, is small.
 
     Beyond the limit the join is left to the optimizer (shuffled, with AQE's skew splitting).
     """
