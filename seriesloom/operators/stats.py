@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.columns import normal_two_sided
 from seriesloom.functions.hashing import draw_bucket, draw_int, draw_key, draw_unit, poisson_weight
 from seriesloom.functions.ordering import null_safe_join, split_quantiles, split_rank, value_ranks
+from seriesloom.session import fresh_path
 
 
 def resamples(rows: DataFrame, keys: Sequence[str], unit: str, values: Sequence[str], b: int, seed: int) -> DataFrame:
@@ -36,6 +37,15 @@ def poisson_resamples(rows: DataFrame, keys: Sequence[str], unit: str, values: S
     return d.groupBy(*keys, "rep").agg(*[(F.sum(F.col("_w") * F.col(v)) / F.nullif(F.sum("_w"), F.lit(0))).alias(v) for v in values])
 
 
+def interval(rows: DataFrame, keys: Sequence[str], unit: str, value: str, b: int, seed: int, alpha: float = 0.05,
+             method: str = "multinomial") -> DataFrame:
+    """(keys, ci_lo, ci_hi): percentile interval of the mean over units."""
+    draw = {"multinomial": resamples, "poisson": poisson_resamples}[method]
+    reps = draw(rows, keys, unit, [value], b, seed)
+    ci = reps.groupBy(*keys).agg(F.percentile(value, [alpha / 2, 1 - alpha / 2]).alias("_q"))
+    return ci.select(*keys, F.get("_q", F.lit(0)).alias("ci_lo"), F.get("_q", F.lit(1)).alias("ci_hi"))
+
+
 def bootstrap_ci(rows: DataFrame, keys: Sequence[str], unit: str, value: str, b: int = 2000, seed: int = 0,
                  alpha: float = 0.05, method: str = "multinomial") -> DataFrame:
     """Mean over units with its percentile interval; linear quantiles over the replicates.
@@ -43,10 +53,7 @@ def bootstrap_ci(rows: DataFrame, keys: Sequence[str], unit: str, value: str, b:
     ``multinomial`` draws units with replacement by a join on their number, for tables of subjects; ``poisson`` weighs
     every unit in every replicate and needs only sums, for very many units. NULL values do not count, NULL keys are a group.
     """
-    draw = {"multinomial": resamples, "poisson": poisson_resamples}[method]
-    reps = draw(rows, keys, unit, [value], b, seed)
-    ci = reps.groupBy(*keys).agg(F.percentile(value, [alpha / 2, 1 - alpha / 2]).alias("_q"))
-    ci = ci.select(*keys, F.get("_q", F.lit(0)).alias("ci_lo"), F.get("_q", F.lit(1)).alias("ci_hi"))
+    ci = interval(rows, keys, unit, value, b, seed, alpha, method)
     m = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     if not keys:
         return m.withColumns({c: ci.select(c).scalar() for c in ("ci_lo", "ci_hi")})
@@ -98,24 +105,36 @@ def _with_p(s: DataFrame, exact: bool) -> DataFrame:
     return s.drop("_ties", "_zeros")
 
 
-def signed_rank(diffs: DataFrame, keys: Sequence[str], d: str = "d", exact: bool = True) -> DataFrame:
-    """Wilcoxon signed-rank: zeros dropped, mid-ranks of |d|, W = smaller rank sum, normal z with tie term.
+def rank_sums(diffs: DataFrame, keys: Sequence[str], d: str = "d") -> DataFrame:
+    """Sums of the mid-ranks of |d| by sign, tie term and number of differences that are not zero.
 
-    Where at most EXACT_PAIRS pairs remain without ties and zeros, ``p`` is exact and ``method`` says so.
     Differences are compared after rounding to 12 decimals.
     """
     a = F.round(F.col(d), 12)
-    rows = diffs.select(*keys, a.alias("_d"), F.abs(a).alias("_a"))
-    r = value_ranks(rows.where("_d <> 0"), keys, "_a", extra={
+    r = value_ranks(diffs.select(*keys, a.alias("_d"), F.abs(a).alias("_a")).where("_d <> 0"), keys, "_a", extra={
         "_pos": F.sum((F.col("_d") > 0).cast("int")), "_neg": F.sum((F.col("_d") < 0).cast("int"))})
     mid = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
     t = F.col("n").cast("double")
-    s = r.groupBy(*keys).agg(F.sum(mid * F.col("_pos")).alias("w_plus"), F.sum(mid * F.col("_neg")).alias("w_minus"),
-                             F.sum(t * t * t - t).alias("_ties"), F.sum("n").alias("n_used"))
-    zeros = rows.groupBy(*keys).agg(F.sum((F.col("_d") == 0).cast("int")).alias("_zeros"))
-    s = null_safe_join(zeros, s, keys, "left").withColumn("n_used", F.coalesce("n_used", F.lit(0)))
-    s = s.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("w_plus", "w_minus", "_ties")})
-    return _with_p(s, exact)
+    return r.groupBy(*keys).agg(F.sum(mid * F.col("_pos")).alias("w_plus"), F.sum(mid * F.col("_neg")).alias("w_minus"),
+                                F.sum(t * t * t - t).alias("_ties"), F.sum("n").alias("n_used"))
+
+
+def _zeros(d: str = "d") -> Column:
+    return F.sum((F.round(F.col(d), 12) == 0).cast("int")).alias("_zeros")
+
+
+def _ranked(groups: DataFrame, sums: DataFrame, keys: Sequence[str], exact: bool) -> DataFrame:
+    """Rank sums and p for every group (with ``_zeros``), also for those without any difference."""
+    s = null_safe_join(groups, sums, keys, "left").withColumn("n_used", F.coalesce("n_used", F.lit(0)))
+    return _with_p(s.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("w_plus", "w_minus", "_ties")}), exact)
+
+
+def signed_rank(diffs: DataFrame, keys: Sequence[str], d: str = "d", exact: bool = True) -> DataFrame:
+    """Wilcoxon signed-rank: zeros dropped, mid-ranks of |d|, W = smaller rank sum, normal z with tie term.
+
+    Where at most EXACT_PAIRS pairs remain without ties and zeros, ``p`` is exact and ``method`` says so.
+    """
+    return _ranked(diffs.groupBy(*keys).agg(_zeros(d)), rank_sums(diffs, keys, d), keys, exact)
 
 
 def paired_compare(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, boot: int = 2000, seed: int = 0,
@@ -126,12 +145,18 @@ def paired_compare(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str,
 
 
 def paired_differences(d: DataFrame, keys: Sequence[str], boot: int = 2000, seed: int = 0, exact: bool = True) -> DataFrame:
-    """Paired statistics of rows (keys, subject, _a, _b, d = _a - _b)."""
-    more = [F.sum((F.col("d") > 0).cast("int")).cast("bigint").alias("n_positive"),
-            F.avg("_a").alias("mean_a"), F.avg("_b").alias("mean_b")]
-    ci = bootstrap_ci(d, keys, "subject", "d", boot, seed).withColumnRenamed("mean", "diff")
-    out = null_safe_join(ci, d.groupBy(*keys).agg(*more), keys)
-    return null_safe_join(out, signed_rank(d, keys, exact=exact), keys)
+    """Paired statistics of rows (keys, subject, _a, _b, d = _a - _b).
+
+    The differences, one row per subject, are written once; counts and means, draws and ranks read that table.
+    """
+    path = fresh_path(d.sparkSession, "differences")
+    d.select(*keys, "subject", "_a", "_b", "d").write.parquet(path)
+    d = d.sparkSession.read.parquet(path)
+    m = d.groupBy(*keys).agg(
+        F.avg("d").alias("diff"), F.count(F.lit(1)).alias("n"), F.sum((F.col("d") > 0).cast("int")).cast("bigint").alias("n_positive"),
+        F.avg("_a").alias("mean_a"), F.avg("_b").alias("mean_b"), _zeros())
+    out = null_safe_join(m, interval(d, keys, "subject", "d", boot, seed), keys)
+    return _ranked(out, rank_sums(d, keys), keys, exact)
 
 
 def n_threshold(curves: DataFrame, keys: Sequence[str], x: str, y: str, frac: float, name: str = "n_needed") -> DataFrame:
