@@ -258,3 +258,28 @@ def label_free_calibration(spark, d):
     """Scores of the same plan after every subject's measures are set by its own first-period windows, without labels."""
     windows = X.cohort_windows(spark, d, X.saved_roles(spark, d, D), D.max_roles)
     return summary(X.scores_of(spark, d, L.calibrate_subject(windows, windows.where("period_order = 1"))))
+
+
+SPLITS = ((1, 4), (2, 2), (4, 1))  # subjects x sets of each class, one budget
+
+part("train_split", ("roles",), " UNION ALL ".join(f"""SELECT repeat, {n} AS n_team, {k} AS k, subject, cls, series_id FROM (
+  SELECT repeat, subject, cls, series_id, row_number() OVER (PARTITION BY repeat, subject, cls ORDER BY period_order > 1,
+    CASE WHEN period_order = 1 THEN md5('7|' || repeat || '|' || series_id) END NULLS FIRST, series_id) AS set_rank
+  FROM vbouts JOIN roles r USING (subject) WHERE role = 'candidate' AND r.rank <= {n}) WHERE set_rank <= {k}""" for n, k in SPLITS))
+part("test_split", ("roles",), f"""SELECT repeat, n_team, k, 'new' AS role, subject, cls, series_id FROM vbouts JOIN roles r USING (subject),
+  (SELECT * FROM (VALUES {', '.join(map(str, SPLITS))}) t(n_team, k)) WHERE period_order > 1 AND role = 'new'""")
+_SPLIT = derive("_split", "profiles", anew=("train", "test"))
+
+
+@query("deep_against_broad", using(_SPLIT, summary_sql(_SPLIT)))
+def deep_against_broad(spark, d):
+    """Few subjects with many sets, across their periods, against many subjects with few: scores of the new subjects."""
+    bouts, roles = AD.vector_bouts(spark, d), X.saved_roles(spark, d, D)
+    train, cells = None, F.array(*[F.struct(F.lit(n).alias("n_team"), F.lit(k).alias("k")) for n, k in SPLITS])
+    for n, k in SPLITS:
+        sets = P.depth_sets(bouts, roles, D, n, k, ["series_id"]).select("repeat", F.lit(n).alias("n_team"), F.lit(k).alias("k"), "subject", "cls", "series_id")
+        train = sets if train is None else train.unionByName(sets)
+    new = roles.where("role = 'new'").select("repeat", "subject", "role", F.explode(cells).alias("_c")).select("*", "_c.n_team", "_c.k").drop("_c")
+    test = bouts.where("period_order > 1").select("series_id", "subject").join(bounded_broadcast(new, D.max_roles * len(SPLITS)), "subject")
+    windows = X.cohort_windows(spark, d, roles, D.max_roles)
+    return summary(X.scores_of(spark, d, windows, train=train, test=test))

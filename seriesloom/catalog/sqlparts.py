@@ -134,12 +134,16 @@ part("ath", ("scores",), "SELECT n_team, k, role, subject, avg(macro_f1) AS macr
 CHAIN = ("wpoints", "wmeasures", "smeasures", "profiles", "scales", "wdist", "wproba", "wtop", "vote", "preds", "scores")
 
 
-def derive(suffix: str, first: str, first_sql: str, needs: tuple[str, ...]) -> str:
-    """The chain from ``first`` to the scores once more, with ``first`` stated anew; returns the name of its scores."""
+def derive(suffix: str, first: str, first_sql: str | None = None, needs: tuple[str, ...] = (), anew: tuple[str, ...] = ()) -> str:
+    """The chain from ``first`` to the scores once more; returns the name of its scores.
+
+    ``first`` is stated anew by ``first_sql``, or the parts ``anew`` that the chain reads have been, under their names with the suffix.
+    """
     again = CHAIN[CHAIN.index(first):]
-    rename = lambda text: re.sub(rf"\b({'|'.join(again)})\b", lambda m: m[0] + suffix, text)
-    part(first + suffix, needs, first_sql)
-    for name in again[1:]:
+    rename = lambda text: re.sub(rf"\b({'|'.join((*again, *anew))})\b", lambda m: m[0] + suffix, text)
+    if first_sql:
+        part(first + suffix, needs, first_sql)
+    for name in again[1:] if first_sql else again:
         part(name + suffix, tuple(rename(n) for n in PARTS[name][0]), rename(PARTS[name][1]))
     return "scores" + suffix
 
