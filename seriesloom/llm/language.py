@@ -280,8 +280,9 @@ def entropies(docs: DataFrame, models: LanguageModels, carry: list[str], text_co
                     continue
                 counts = np.bincount(at, minlength=len(offsets) - 1)
                 full = np.flatnonzero(counts)
-                sums = np.add.reduceat(models.log_probs(grams(found, at)), np.cumsum(counts)[full] - counts[full], axis=0, dtype=np.float64)
-                total[full + row] -= sums
+                if models.languages:
+                    logs = models.log_probs(grams(found, at))
+                    total[full + row] -= np.add.reduceat(logs, np.cumsum(counts)[full] - counts[full], axis=0, dtype=np.float64)
                 n[row : row + len(counts)] += counts
             each = total / np.maximum(n, 1)[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * total.shape[1]), pa.array(each.ravel()))
