@@ -167,16 +167,18 @@ _round_parts(2, 0.8)
   JOIN (SELECT repeat, count(*) AS n_pseudo, avg((pred = truth)::INTEGER) AS acc_kept FROM kept{i} GROUP BY ALL) b USING (repeat)""" for i, f in ((1, 0.5), (2, 0.8)))))
 def self_train(spark, d):
     """Two rounds with the profile learner; labeled = team of two, unlabeled = the other candidates' first-period series."""
-    return rounded(self_training(spark, d)[1])
+    return rounded(self_training(spark, d)[3])
 
 
 def self_training(spark, d):
+    """(labeled, unlabeled, final profiles, diagnostics, last pseudo-labels) of two rounds."""
     bouts = AD.vector_bouts(spark, d)
     roles = X.saved_roles(spark, d, D)
     labeled = P.train_sets(P.nested_set_order(bouts, roles, D), D).where("n_team = 2 and k = 2").select("repeat", "series_id")
     rest = X.pool_roles(spark, d, D).where("role = 'candidate' and rank > 2").select("repeat", "subject")
     unlabeled = bouts.where("period_order = 1").join(rest, "subject").select("repeat", "series_id")
-    return AP.self_train(spark, X.cohort_windows(spark, d), labeled, unlabeled, ["repeat"], (0.5, 0.8), D.n_classes, D.repeats)
+    out = AP.self_train(spark, X.cohort_windows(spark, d), labeled, unlabeled, ["repeat"], (0.5, 0.8), D.n_classes, D.repeats)
+    return labeled, unlabeled, *out
 
 
 # --- replay ----------------------------------------------------------------------------------------
@@ -283,3 +285,31 @@ def deep_against_broad(spark, d):
     test = bouts.where("period_order > 1").select("series_id", "subject").join(bounded_broadcast(new, D.max_roles * len(SPLITS)), "subject")
     windows = X.cohort_windows(spark, d, roles, D.max_roles)
     return summary(X.scores_of(spark, d, windows, train=train, test=test))
+
+
+# --- self-training, scored -----------------------------------------------------------------------------
+
+CONDITIONS = ("supervised", "self-trained", "ceiling")  # team only; with pseudo-labels; all candidates labelled
+
+part("train_ssl", ("labeled", "unlabeled", "kept2"), """SELECT repeat, n_team, 2 AS k, cls, series_id FROM (SELECT repeat, series_id FROM labeled) JOIN vbouts USING (series_id), (SELECT unnest([1, 2, 3]) AS n_team)
+  UNION ALL SELECT repeat, 2, 2, pred, series_id FROM kept2
+  UNION ALL SELECT repeat, 3, 2, cls, series_id FROM unlabeled JOIN vbouts USING (series_id)""")
+part("test_ssl", ("roles",), """SELECT repeat, n_team, 2 AS k, 'new' AS role, subject, cls, series_id FROM vbouts JOIN roles r USING (subject), (SELECT unnest([1, 2, 3]) AS n_team)
+  WHERE period_order > 1 AND role = 'new'""")
+_SSL = derive("_ssl", "profiles", anew=("train", "test"))
+
+
+@query("self_train_scores", using(_SSL, f"SELECT CASE n_team {' '.join(f'WHEN {i} THEN {c!r}' for i, c in enumerate(CONDITIONS, 1))} END AS condition, macro_f1, accuracy, n_units FROM ({summary_sql(_SSL)})"))
+def self_train_scores(spark, d):
+    """The self-trained model beside the team alone and beside a model with all true labels, on the new subjects."""
+    bouts, roles = AD.vector_bouts(spark, d), X.saved_roles(spark, d, D)
+    labeled, unlabeled, _, _, kept = self_training(spark, d)
+    cond = lambda df, *codes: df.select("repeat", F.explode(F.array(*[F.lit(c) for c in codes])).alias("n_team"), F.lit(2).alias("k"), "cls", "series_id")
+    truth = bouts.select("series_id", "cls")
+    train = cond(labeled.join(truth, "series_id"), 1, 2, 3).unionByName(cond(kept.withColumn("cls", F.col("pred")), 2)).unionByName(
+        cond(unlabeled.join(truth, "series_id"), 3))
+    new = roles.where("role = 'new'").select("repeat", "subject", "role", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n_team"), F.lit(2).alias("k"))
+    test = bouts.where("period_order > 1").select("series_id", "subject").join(bounded_broadcast(new, 3 * D.max_roles), "subject")
+    scores = X.scores_of(spark, d, X.cohort_windows(spark, d), train=train, test=test, fit=lambda rows, keys, n: AP.fit_profiles_split(rows, keys))
+    names = F.array(*[F.lit(c) for c in CONDITIONS])
+    return summary(scores).select(F.element_at(names, F.col("n_team")).alias("condition"), "macro_f1", "accuracy", "n_units")

@@ -28,8 +28,8 @@ def fit_profiles_split(train: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def self_train(spark: SparkSession, windows: DataFrame, labeled: DataFrame, unlabeled: DataFrame, keys: Sequence[str],
-               fractions: Sequence[float], n_classes: int, max_conditions: int) -> tuple[DataFrame, DataFrame]:
-    """Fit, pseudo-label the most confident share per class, refit; returns (final profiles, diagnostics).
+               fractions: Sequence[float], n_classes: int, max_conditions: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fit, pseudo-label the most confident share per class, refit; returns (final profiles, diagnostics, last pseudo-labels).
 
     ``labeled`` and ``unlabeled`` hold (keys, series_id). Each round's pseudo-labels are written to the shared
     folder, which cuts the lineage of the next round.
@@ -59,7 +59,7 @@ def self_train(spark: SparkSession, windows: DataFrame, labeled: DataFrame, unla
         diag = d if diag is None else diag.unionByName(d)
         pseudo = series.drop("cls").join(kept.select(*keys, "series_id", F.col("pred").alias("cls")), "series_id")
         profiles = fit_profiles_split(known.unionByName(pseudo.select(*keys, "series_id", "cls", "m")), keys)
-    return profiles, diag
+    return profiles, diag, kept
 
 
 def replay_draws(own: DataFrame, team: DataFrame, who: DataFrame, keys: Sequence[str], n_draws: int, n_classes: int, seed: int,

@@ -87,15 +87,18 @@ def saved_predictions(spark: SparkSession, sf_dir: str, design: P.Design = P.Des
 
 
 def scores_of(spark: SparkSession, sf_dir: str, windows: DataFrame, design: P.Design = P.Design(), n_measures: int = len(L.MEASURES),
-              train: DataFrame | None = None, test: DataFrame | None = None) -> DataFrame:
-    """Subject scores on other windows (series_id, subject, cls, period_order, w, t0_s, m), or for other training and test sets."""
+              train: DataFrame | None = None, test: DataFrame | None = None, fit=L.fit_profiles) -> DataFrame:
+    """Subject scores on other windows (series_id, subject, cls, period_order, w, t0_s, m), or for other training and test sets.
+
+    The classes of the training series are those of ``train``, which may be pseudo-labels.
+    """
+    ship = (lambda df: bounded_broadcast(df, design.max_train)) if train is None else (lambda df: df)  # only the plan's own sets are bounded
     bouts, roles = AD.vector_bouts(spark, sf_dir), saved_roles(spark, sf_dir, design)
     train = P.train_sets(P.nested_set_order(bouts, roles, design), design) if train is None else train
-    ids = bounded_broadcast(train.select("series_id").distinct(), design.max_train)
-    series = L.series_mean(windows.join(ids, "series_id", "left_semi"), n_measures)
-    rows = series.join(bounded_broadcast(train.select(*COND, "series_id"), design.max_train), "series_id")
+    series = L.series_mean(windows.join(ship(train.select("series_id").distinct()), "series_id", "left_semi"), n_measures)
+    rows = series.drop("cls").join(ship(train.select(*COND, "series_id", "cls")), "series_id")
     test = (P.test_sets(bouts, roles, design) if test is None else test).select(*COND, "role", "series_id")
-    proba = L.profile_proba(windows.join(test, "series_id"), L.fit_profiles(rows, COND, n_measures), COND, design.n_classes, design.max_conditions)
+    proba = L.profile_proba(windows.join(test, "series_id"), fit(rows, COND, n_measures), COND, design.n_classes, design.max_conditions)
     return S.subject_scores(V.vote_series(proba, [*COND, "role"], design.n_classes), [*COND, "role", "subject"], design.n_classes)
 
 
