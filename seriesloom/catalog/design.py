@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from seriesloom.catalog.registry import query, r6, rounded
+from seriesloom.catalog.registry import query, r6
 from seriesloom.catalog.sqlparts import using
-from seriesloom.functions import vocabulary as V
 from seriesloom.operators import joins as J
 from seriesloom.operators import selection as SEL
 from seriesloom.plans import cohort as P

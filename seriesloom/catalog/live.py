@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from seriesloom.catalog.registry import query, rounded
 from seriesloom.catalog.scoring import grid_models
 from seriesloom.catalog.sqlparts import part, using
-from seriesloom.operators import features as FE
 from seriesloom.operators import learn as L
 from seriesloom.plans import cohort as P
 from seriesloom.plans import experiment as X

@@ -10,7 +10,6 @@ from seriesloom.catalog.registry import query, rounded
 from seriesloom.catalog.sqlparts import part, using
 from seriesloom.functions import arrays as AR
 from seriesloom.operators import features as FE
-from seriesloom.operators import joins as J
 from seriesloom.operators import augment as AU
 from seriesloom.operators import gravity as GR
 from seriesloom.operators import signal as S

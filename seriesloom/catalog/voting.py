@@ -12,7 +12,6 @@ from seriesloom.operators import stats as ST
 from seriesloom.operators import votes as V
 from seriesloom.plans import cohort as P
 from seriesloom.plans import experiment as X
-from seriesloom.plans import variants as VA
 
 D = P.Design()
 B = 200  # bootstrap replicates

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.ordering import null_safe_join, split_rank, value_ranks
-from seriesloom.operators.joins import band_join
 
 
 def top_fraction_per_class(calls: DataFrame, keys: Sequence[str], fraction: float) -> DataFrame:

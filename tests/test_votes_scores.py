@@ -1,6 +1,5 @@
 """Votes, running calls and subject metrics on small hand-made cases."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
