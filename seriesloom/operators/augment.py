@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.functions.arrays import let
 from seriesloom.functions.hashing import draw_unit
 from seriesloom.operators.gravity import GRAVITY_HZ, magnitude, with_parts
 
@@ -75,9 +76,9 @@ def warped_places(n: Column, unit, knots: int, sigma: float) -> Column:
     for k in range(knots + 1):
         end = pace(k) if end is None else end + pace(k)
         marks.append(end)
-    marks = F.array(*marks)
     stretch = lambda i: i * (knots + 1) / (n - 1)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: at_place(marks, stretch(i)) / F.get(marks, F.lit(knots + 1)) * (n - 1))
+    # bound once: within the lambda the draws would be made for every place
+    return let(F.array(*marks), lambda m: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at_place(m, stretch(i)) / F.get(m, F.lit(knots + 1)) * (n - 1)))
 
 
 def augment_permute_rotate(windows: DataFrame, copies: int, seed: int, sigma: float = 0.2, knots: int = 4, pieces: int = 4,
