@@ -234,13 +234,18 @@ def simhash_groups(
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = WORDS) -> DataFrame:
-    """``docs`` with one row of each group: the smallest id (null last), of equal ids the smallest hash of the text.
+    """``docs`` with one row of each group of ``simhash_groups``, chosen by ``first_of_each``."""
+    return first_of_each(docs, simhash_groups(docs, id_col, text_col, bits, words), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group (doc_id, text_key, root): the smallest id (null last), of equal ids the smallest hash of the text.
 
     The rows to drop are named by id and hash of the text, so texts stay where they are when the
     dropped rows are few enough to broadcast.  Repeated rows of a kept one are dropped as well.
     Extra columns pass through whatever their names.  Empty table: no rows.
     """
-    rows = saved(simhash_groups(docs, id_col, text_col, bits, words).select("doc_id", "text_key", "root"), "groups")
+    rows = saved(groups.select("doc_id", "text_key", "root"), "groups")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = rows.groupBy("root").agg(F.min(name).alias("best"))
     judged = rows.join(kept, "root").withColumn("stays", name == F.col("best"))
