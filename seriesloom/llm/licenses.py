@@ -143,6 +143,10 @@ class Rule:
     pattern: re.Pattern
 
 
+#: Bars of an address outside its brackets.
+_ALTERNATIVES = re.compile(r"\|(?![^()]*\))")
+
+
 def rules() -> list[Rule]:
     """All rules in order: those that come first win where detections of equal kind and length lie on each other."""
     made = []
@@ -153,7 +157,7 @@ def rules() -> list[Rule]:
     def family(label, keywords, title, tag, address):
         add(label, "notice", keywords, rf"{GRANT} (?:{title})")
         add(label, "tag", keywords + " " + tag.split()[0] if tag[0].isalnum() and "(" not in tag.split()[0] else keywords, rf"(?:spdx license identifier|license|licence) (?:{tag})")
-        add(label, "url", address.split()[0] if "|" not in address else "org net com co io eu uk", rf"(?:https? )?(?:www )?(?:{address})")
+        add(label, "url", " ".join(re.match("[0-9a-z]+", x)[0] for x in _ALTERNATIVES.split(address)), rf"(?:https? )?(?:www )?(?:{address})")
         add(label, "title", keywords, rf"(?:the )?(?:{title})")
 
     for label, kind, keyword, pattern in _SENTENCES:
@@ -224,13 +228,49 @@ def detections(line: str, all_rules: list[Rule]) -> list[tuple[str, str, int, in
 
 
 _WORD = byte_table("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", high=True)
-_GAP = r"(?:^|[^0-9A-Za-z\x{80}-\x{10FFFF}])"
-#: What a text must hold, in any case, to be looked at word by word.
-GATE = (
-    r"licen[cs]|copyright|copying|spdx|public[^0-9a-z\x{80}-\x{10FFFF}]+domain|reserved|proprietary|unauthori|creative|commons|commercial|apache|mozilla|gnu|"
-    r"redistribution|permission|unless required|advertising|neither the name|opensource|misrepresented|same terms|"
-    rf"{_GAP}(?:cc0|cc[^0-9a-z\x{{80}}-\x{{10FFFF}}]+(?:by|zero)|a?gpl|lgpl|mpl|gfdl|fdl|wtfpl|cddl|asl)"
-)
+
+
+def shortest(pattern) -> set[str]:
+    """The texts that a parsed pattern matches with nothing optional, one for each choice; what is no single character is a NUL."""
+    out = {""}
+    for op, value in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            some = {chr(value)}
+        elif name == "SUBPATTERN":
+            some = shortest(value[-1])
+        elif name == "BRANCH":
+            some = set().union(*map(shortest, value[1]))
+        elif name == "MAX_REPEAT":
+            some = shortest(value[2]) if value[0] else {""}
+        elif name in ("ASSERT", "ASSERT_NOT", "AT"):
+            some = {""}
+        else:
+            some = {"\0"}
+        out = {x + y for x in out for y in some}
+    return out
+
+
+def gate(every: list[Rule]) -> str:
+    """What a text must hold, in any case, to be looked at word by word, from the base phrases and the rules' own patterns.
+
+    Of each way in which a rule can match, ``licen`` or else the longest run of letters and digits
+    must be there, of runs that hold a keyword if there are any; a run of up to 3 must begin a word.
+    No run goes over a gap between words, so whatever stands in the gap passes.
+    """
+    titles = {way for rule in every if rule.kind == "title" for way in shortest(re._parser.parse(rule.pattern.pattern))}
+    runs = {max(phrase.split(), key=len) if "licen" not in phrase else "licen" for phrase in BASE if not phrase.startswith("cc ")} | {"cc"}
+    for rule in every:
+        for way in shortest(re._parser.parse(rule.pattern.pattern)):
+            if "licen" in way:
+                runs.add("licen")
+            elif rule.kind != "notice" or not any(way.endswith(f" {t}") for t in titles):  # a notice with a title passes by the title
+                words = re.findall("[0-9a-z]+", way)
+                runs.add(max([w for w in words if any(k in w for k in rule.keywords)] or words, key=lambda w: (len(w), w)))
+    runs = {w for w in runs if not any(v != w and len(v) > 3 and v in w for v in runs)}
+    return "|".join([*sorted(w for w in runs if len(w) > 3), rf"(?:^|[^0-9A-Za-z\x{{80}}-\x{{10FFFF}}])(?:{'|'.join(sorted(w for w in runs if len(w) <= 3))})"])
+
+
 DETECTED = "array<struct<label:string,kind:string,first_word:int,last_word:int>>"
 
 
@@ -252,13 +292,14 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame
 
     def task(batches):
         every = rules()
+        pattern = gate(every)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             n = np.zeros(batch.num_rows, np.int64)
             for row, offsets, data in text_pieces(column):
                 n[row : row + len(offsets) - 1] += np.diff(Words(offsets, data, _WORD[data]).first)
             base, found = [[] for _ in n], [[] for _ in n]
-            hit = pc.fill_null(pc.match_substring_regex(column, GATE, ignore_case=True), False)
+            hit = pc.fill_null(pc.match_substring_regex(column, pattern, ignore_case=True), False)
             for k in np.flatnonzero(hit.to_numpy(zero_copy_only=False)).tolist():
                 line = canonical(column[k].as_py())
                 base[k] = [{"word": w, "label": x} for w, x in base_places(line)]
