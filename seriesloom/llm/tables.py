@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.session import fresh_path
+from seriesloom.session import fresh_path, shared_dir
 
 
 #: Bytes of rows that tasks receive at a time, however long the texts are: it bounds both sides of the exchange with Python.
@@ -34,6 +36,17 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(*tables: DataFrame) -> None:
+    """Delete tables written by ``saved`` that nothing unfinished reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        root = posixpath.basename(shared_dir(spark).rstrip("/"))
+        for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
+            if posixpath.basename(posixpath.dirname(folder)) == root:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """``name``, with underscores added until no column of ``frames`` has it (in any case)."""
     taken = {c.lower() for df in frames for c in df.columns}
@@ -42,10 +55,28 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
-#: The filter of ``without``: BUCKETS rows of 4096 bytes, 2 MB whatever it is built from.
+#: The filter of ``without`` and ``within``: BUCKETS rows of 4096 bytes, 2 MB whatever it is built from.
 BUCKETS, BITS = 512, 32_768
 
 
+def within(docs: DataFrame, keys: dict[str, Column], wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``keys`` (name: expression, none NULL) are in ``wanted`` (columns of these names).
+
+    As in ``without``, a broadcast bitmap of fixed size rules out most of the others where they
+    are; what it lets through is shuffled and compared exactly.
+    """
+    number, place, bits = (unused(x, docs) for x in ("bucket", "place", "bits"))
+    spot = lambda columns: (F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)), F.pmod(F.shiftright(F.xxhash64(*columns), 20), F.lit(BITS)))
+    where, which = spot([F.col(k) for k in keys])
+    table = wanted.select(where.alias(number), which.alias("_p")).groupBy(number).agg(F.bitmap_construct_agg("_p").alias(bits))
+    where, which = spot(list(keys.values()))
+    d = docs.withColumns({number: where, place: which}).join(F.broadcast(table), number)
+    byte = F.conv(F.hex(F.substring(bits, (F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    names = {k: unused(f"_{k}", docs) for k in keys}
+    d = d.where(F.bit_get(byte, (F.col(place) % 8).cast("int")) == 1).withColumns({n: keys[k] for k, n in names.items()})
+    return d.join(wanted.select(*[F.col(k).alias(n) for k, n in names.items()]), list(names.values()), "left_semi").select(*docs.columns)
+
+
 def without(docs: DataFrame, keys: dict[str, Column], drop: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """Rows of ``docs`` whose ``keys`` (name: expression) are not in ``drop`` (columns of these names); NULL equals NULL.
 
@@ -90,7 +121,7 @@ def components(links: DataFrame) -> DataFrame:
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
+        before, last = state, stars
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -98,3 +129,4 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every link gives at most one of the next round
         stars = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links", state[0])
+        released(last)
