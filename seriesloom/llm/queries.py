@@ -1,6 +1,6 @@
 """Queries of this folder by name, and the SQL that states the same rows where SQL can."""
 
-from seriesloom.llm import chats, credentials, decontam, language, licenses, lines, packing, simhash, toxicity, vectors
+from seriesloom.llm import chats, credentials, decontam, language, licenses, lines, packing, search, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_secrets": credentials.op8_secrets,
     "op9_chats": chats.op9_chats,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_lexical_search": search.op11_lexical_search,
 }
-ORACLES: dict[str, str] = {"op3_site_lines": lines.OP3_SQL}
+ORACLES: dict[str, str] = {"op3_site_lines": lines.OP3_SQL, "op11_lexical_search": search.OP11_SQL}
