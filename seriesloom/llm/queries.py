@@ -1,6 +1,6 @@
 """Queries of this folder by name, and the SQL that states the same rows where SQL can."""
 
-from seriesloom.llm import chats, credentials, decontam, language, licenses, lines, packing, patterns, search, simhash, toxicity, vectors
+from seriesloom.llm import chats, credentials, decontam, language, licenses, lines, packing, patterns, repair, search, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_lexical_search": search.op11_lexical_search,
     "op12_pattern_packing": patterns.op12_pattern_packing,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
-ORACLES: dict[str, str] = {"op3_site_lines": lines.OP3_SQL, "op11_lexical_search": search.OP11_SQL}
+ORACLES: dict[str, str] = {"op3_site_lines": lines.OP3_SQL, "op11_lexical_search": search.OP11_SQL, "op13_conversation_repair": repair.OP13_SQL}
