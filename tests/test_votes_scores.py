@@ -98,31 +98,70 @@ def test_class_pairs_of_many_classes(spark):
     assert found == {(a, b) for a in range(30) for b in range(a + 1, 30)}
 
 
-def test_running_calls_across_micro_batches(spark, tmp_path):
-    """Rows that come after later ones of their series are reported, not counted; closed series are not started again."""
+def streamed(spark, folder, batches, **kw):
+    """Rows of running_calls over ``batches`` of windows, a file and a micro-batch each."""
+    import os
+    import shutil
+    import time
+
     from seriesloom.streaming import running as R
 
     schema = "series_id long, subject long, truth int, w int, t0_s double, proba array<double>, time timestamp"
-    at = lambda s: f"2024-01-01 {s}"
-    batches = [
-        [(1, 1, 0, 0, 0.0, [.9, .1], at("00:00:00")), (1, 1, 0, 2, 2.0, [.8, .2], at("00:00:02"))],
-        [(1, 1, 0, 1, 1.0, [.0, 1.], at("00:00:01")), (1, 1, 0, 3, 3.0, [.1, .9], at("00:00:03"))],
-        [(2, 1, 1, 0, 0.0, [.0, 1.], at("05:00:00"))],
-        [(2, 1, 1, 1, 1.0, [.0, 1.], at("05:00:01"))],
-        [(1, 1, 0, 4, 4.0, [.0, 1.], at("00:00:04")), (2, 1, 1, 2, 2.0, [.0, 1.], at("05:00:02"))],
-    ]
+    os.makedirs(folder / "in", exist_ok=True)
     for k, rows in enumerate(batches):
         d = spark.createDataFrame(rows, schema.replace("time timestamp", "time string")).withColumn("time", F.to_timestamp("time"))
-        d.coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
-        import os
-        import shutil
-        import time
-
-        os.makedirs(tmp_path / "in", exist_ok=True)
-        (part,) = (tmp_path / f"b{k}").glob("part-*")
-        shutil.copyfile(part, tmp_path / "in" / f"{k}.parquet")
-        os.utime(tmp_path / "in" / f"{k}.parquet", (time.time() - 100 + k,) * 2)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = R.drain(spark, R.running_calls(stream, [], 2, 1.0, time_col="time", delay="10 seconds", idle_s=60), "late")
-    got = {(r.series_id, r.w): (r.call, r.late) for r in out.collect()}
-    assert got == {(1, 0): (0, False), (1, 2): (0, False), (1, 1): (0, True), (1, 3): (0, False), (2, 0): (1, False), (2, 1): (1, False), (2, 2): (1, False)}
+        d.coalesce(1).write.parquet(str(folder / f"b{k}"))
+        (part,) = (folder / f"b{k}").glob("part-*")
+        shutil.copyfile(part, folder / "in" / f"{k}.parquet")
+        os.utime(folder / "in" / f"{k}.parquet", (time.time() - 1000 + k,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    return R.drain(spark, R.running_calls(stream, [], 2, 1.0, **kw), "late").collect()
+
+
+def window(series, w, share):
+    return (series, 1, 0, w, float(w), [share, 1 - share], f"2024-01-01 00:{w // 60:02d}:{w % 60:02d}")
+
+
+def test_running_calls_wait_for_earlier_windows(spark, tmp_path):
+    """A window that comes after later ones of its series counts in its place; repeated rows are told apart."""
+    batches = [
+        [window(1, 0, .9), window(1, 2, .8)],
+        [window(1, 3, .1), window(2, 1, .2)],
+        [window(1, 1, .0), window(1, 2, .8)],
+        [window(2, 0, .6), window(1, 4, .0)],
+    ]
+    got = streamed(spark, tmp_path, batches, time_col="time", delay="10 seconds", idle_s=60)
+    counted = sorted((r.series_id, r.w, r.call) for r in got if not r.late)
+    assert counted == [(1, 0, 0), (1, 1, 1), (1, 2, 0), (1, 3, 1), (1, 4, 1), (2, 0, 0), (2, 1, 1)]
+    assert [(r.series_id, r.w, r.call) for r in got if r.late] == [(1, 2, 1)]
+
+
+def test_running_calls_pass_gaps_with_the_watermark_and_free_state(spark, tmp_path):
+    batches = [
+        [window(1, 0, .9), window(1, 3, .05), window(1, 5, .2)],
+        [window(2, 30, .0)],
+        [window(2, 31, .0)],  # the watermark has passed 5, so windows 1, 2 and 4 cannot come any more
+        [window(1, 1, .0)],  # and are not counted
+        [window(2, 200, .0)],
+        [window(3, 400, .0)],  # closes series 1
+        [window(1, 6, .0)],
+    ]
+    got = streamed(spark, tmp_path, batches, time_col="time", delay="10 seconds", idle_s=60)
+    assert sorted((r.w, r.call, r.late) for r in got if r.series_id == 1 and r.w < 6) == [(0, 0, False), (3, 1, False), (5, 1, False)]
+    assert sorted(r.w for r in got if r.series_id == 2) == [30, 31, 200]
+
+
+def test_shuffled_stream_ends_at_the_batch_vote(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [window(s, w, round(float(rng.random()), 3)) for s in range(6) for w in range(20)]
+    order = sorted(range(len(rows)), key=lambda k: rows[k][3] + rng.integers(0, 12))  # out of order inside the watermark
+    batches = [[rows[k] for k in order[lo : lo + 24]] for lo in range(0, len(rows), 24)]
+    got = streamed(spark, tmp_path, batches, time_col="time", delay="30 seconds", idle_s=600)
+    schema = "series_id long, subject long, cls int, w int, t0_s double, proba array<double>, time string"
+    whole = spark.createDataFrame(rows, schema)
+    want = {(r.series_id, r.w): r.call for r in V.running_vote(whole, [], 2, 1.0).collect()}
+    assert {(r.series_id, r.w): r.call for r in got} == want and not any(r.late for r in got)
+    ends = {r.series_id: r.pred for r in V.vote_series(whole, [], 2).collect()}
+    assert {s: max((r.w, r.call) for r in got if r.series_id == s)[1] for s in ends} == ends
