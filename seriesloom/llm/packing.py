@@ -24,9 +24,9 @@ WINDOW = 2048
 GROUP = 8
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Runs of text whose ids a task keeps.
-KNOWN_RUNS = 1_000_000
+KNOWN_RUNS = 500_000
 EMIT_ROWS = 512
 SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids binary"
