@@ -49,10 +49,22 @@ def check(rows, texts, tokenizer, capacity):
     return len(found)
 
 
-@pytest.mark.parametrize(("capacity", "block", "known"), [(2048, 4 << 20, 1_000_000), (64, 40, 3)])
-def test_ids_and_places(spark, tokenizer, monkeypatch, capacity, block, known):
+def test_fast_encoder_equals_the_tokenizer(tokenizer):
+    path = public_tokenizers.path(patterns.TOKENIZER)
+    assert patterns.ranks_of(path) is not None and patterns.ranks_of(public_tokenizers.path("word_bpe_49k.json")) is None
+    coder = patterns.ByteCoder(path)
+    rng = np.random.default_rng(7)
+    latin = [chr(k) for k in range(256)] + list(" \n'etaoinst") * 6
+    texts = ["".join(rng.choice(latin, int(rng.integers(1, 60)))) for _ in range(4000)] + [t or "" for t in ODD]
+    texts += ["".join(map(chr, rng.choice([32, 10, 39, 101, 233, 0x3A9, 0x4E2D, 0x1F600, 0x2028, 0x3000, 0x660], 20))) for _ in range(500)]
+    for text in texts:
+        assert coder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("capacity", "block", "rows"), [(2048, 4 << 20, 2000), (64, 40, 3)])
+def test_ids_and_places(spark, tokenizer, monkeypatch, capacity, block, rows):
     monkeypatch.setattr(patterns, "TEXT_BYTES", block)
-    monkeypatch.setattr(patterns, "KNOWN_RUNS", known)
+    monkeypatch.setattr(patterns, "EMIT_ROWS", rows)
     texts = dict(enumerate(ODD)) | {100 + k: " ".join(f"w{k % 7}" for k in range(k)) for k in range(40)}
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in texts.items()], "doc_id long, text string, length int, part string").repartition(3)
     check(patterns.pack_patterns(df, capacity=capacity).collect(), texts, tokenizer, capacity)
