@@ -9,6 +9,7 @@ from seriesloom.catalog.sqlparts import derive, part, using
 from seriesloom.functions import arrays as AR
 from seriesloom.operators import features as FE
 from seriesloom.operators import gravity as GR
+from seriesloom.operators import gridlearn as G
 from seriesloom.operators import learn as L
 from seriesloom.operators import votes as V
 from seriesloom.plans import adapt as AP
@@ -19,8 +20,7 @@ from seriesloom.sources import adapters as AD
 
 D = P.Design()
 ONE = {"repeat": 1, "n_team": 4, "k": 2}
-TREES = 30  # of the registered forest; the operator's default is 300
-MAX_ITER = 100  # of the registered logistic learner; it stops where it has converged
+TREES, DEPTH = 300, 8  # of the registered forest
 AT_ONCE = 4  # cells of the grid whose jobs run side by side
 
 
@@ -73,11 +73,47 @@ def fit_predict(spark, d):
     return rounded(over_grid(spark, d, L.profile_learner(D.n_classes), windows, "profile-calls").select(*COLUMNS, "pred"))
 
 
-def ml_result(spark, d, kind):
+def cell_number():
+    """Number of a cell (repeat, n_team, k) of the grid."""
+    pairs = F.create_map(*[F.lit(x) for i, (n, k) in enumerate((n, k) for n in D.sizes for k in D.ks) for x in (f"{n}-{k}", i)])
+    return (F.col("repeat") - 1) * len(D.sizes) * len(D.ks) + F.element_at(pairs, F.concat_ws("-", "n_team", "k"))
+
+
+def feature_rows(spark, d):
+    """Windows with their features, of the drawn subjects."""
     s = X.cohort_signals(spark, d, X.saved_roles(spark, d, D), D.max_roles)
-    w = materialize(lambda: FE.window_features(FE.sliding_windows(s, X.WINDOW_S, X.OVERLAP, AD.FS), AD.FS),
-                    spark, ("features", d, X.WINDOW_S, X.OVERLAP, str(D)))
-    return materialize(lambda: over_grid(spark, d, L.ml_learner(kind, FE.feature_names(), seed=3, trees=TREES, max_iter=MAX_ITER), w, kind), spark, (f"{kind}-calls", d, TREES, str(D)))
+    return materialize(lambda: FE.window_features(FE.sliding_windows(s, X.WINDOW_S, X.OVERLAP, AD.FS), AD.FS), spark, ("features", d, X.WINDOW_S, X.OVERLAP, str(D)))
+
+
+_fits: dict[tuple, tuple] = {}
+
+
+def grid_fit(spark, d, kind):
+    """(training rows, model) of all cells, fitted once for a session and its parameters."""
+    at = (spark.sparkContext.applicationId, d, kind, str(D))
+    if at not in _fits:
+        train = P.train_sets(P.nested_set_order(AD.vector_bouts(spark, d), X.saved_roles(spark, d, D), D), D)
+        rows = G.training_rows(feature_rows(spark, d), FE.feature_names(), train, cell_number())
+        fit = {"forest": lambda: G.fit_forest(rows, D.max_conditions, D.n_classes, TREES, DEPTH, seed=3), "logistic": lambda: G.fit_logistic(rows, D.max_conditions, D.n_classes)}[kind]
+        _fits[at] = rows, fit()
+    return _fits[at]
+
+
+def ml_result(spark, d, kind):
+    """Calls of the test series of every cell: windows are read once, go to the cells that test them, and vote."""
+
+    def run():
+        bouts, roles = AD.vector_bouts(spark, d), X.saved_roles(spark, d, D)
+        own = P.test_sets(bouts, roles, D).withColumn("_c", cell_number()).groupBy("series_id", "repeat", "role").agg(F.array_sort(F.collect_list("_c")).alias("cells"))
+        proba = G.grid_proba(feature_rows(spark, d).join(own, "series_id"), FE.feature_names(), "cells", grid_fit(spark, d, kind)[1], D.n_classes)
+        size = len(D.sizes) * len(D.ks)
+        cells = F.array(*[F.struct(F.lit(n).alias("n_team"), F.lit(k).alias("k")) for n in D.sizes for k in D.ks])
+        proba = proba.withColumn("_c", F.get(cells, F.col("cell") % size)).select("*", "_c.n_team", "_c.k")
+        keys = ["repeat", "n_team", "k", "role"]
+        sums = proba.groupBy(*keys, "series_id").agg(F.sum(AR.total(F.col("proba"))).alias("proba_sum"))
+        return V.vote_series(proba, keys, D.n_classes).join(sums, [*keys, "series_id"])
+
+    return materialize(run, spark, (f"{kind}-calls", d, TREES, DEPTH, str(D)))
 
 
 @query("learn_forest")
@@ -102,6 +138,40 @@ def learn_logistic_properties(spark, d):
     return rounded(ml_result(spark, d, "logistic").select(*COLUMNS))
 
 
+@query("learn_logistic_optimum", using("train wmeasures", """SELECT repeat::INTEGER AS repeat, n_team, k, count(*) AS n_rows, TRUE AS stationary FROM train t
+  JOIN (SELECT DISTINCT series_id, w FROM wmeasures) USING (series_id) GROUP BY ALL""".replace("\n", " ")))
+def learn_logistic_optimum(spark, d):
+    """Training rows of every cell, and whether the loss has no slope at its coefficients: summed by built-in functions, apart from the fit."""
+    rows, fit = grid_fit(spark, d, "logistic")
+    counts = G.class_counts(rows, D.max_conditions, D.n_classes)
+    weight = G.balanced(counts)
+    cells = [(r, n, k) for r in range(1, D.repeats + 1) for n in D.sizes for k in D.ks]
+    table = spark.createDataFrame(
+        [(i, *cell, fit.mean[i].tolist(), fit.scale[i].tolist(), fit.coef[i].T.tolist(), weight[i].tolist(), int(counts[i].sum())) for i, cell in enumerate(cells)],
+        "_c int, repeat int, n_team int, k int, mean array<double>, sd array<double>, coef array<array<double>>, weight array<double>, n_rows long")
+    z = F.concat(F.zip_with(F.zip_with("x", "mean", lambda a, b: a - b), "sd", lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))), F.array(F.lit(1.0)))
+    e = rows.select("cls", "x", F.explode("cells").alias("_c")).join(F.broadcast(table), "_c").withColumn("z", z)
+    e = e.withColumn("e", F.transform("coef", lambda b: F.exp(AR.total(F.zip_with("z", b, lambda p, q: p * q)))))
+    off = F.transform("e", lambda v, c: (v / AR.total(F.col("e")) - (c == F.col("cls")).cast("double")) * F.get("weight", F.col("cls")))
+    each = e.select("_c", "z", F.posexplode(off).alias("c", "off")).select("_c", "c", F.posexplode(F.transform("z", lambda v: v * F.col("off"))).alias("j", "g"))
+    sums = each.groupBy("_c", "c", "j").agg(F.sum("g").alias("g")).join(F.broadcast(table.select("_c", "repeat", "n_team", "k", "coef", "sd", "n_rows")), "_c")
+    slope = F.col("g") + F.when(F.col("j") < F.size("sd"), F.get(F.get("coef", F.col("c")), F.col("j"))).otherwise(0.0)
+    return sums.groupBy("repeat", "n_team", "k", "n_rows").agg((F.max(F.abs(slope) / F.col("n_rows")) < 1e-6).alias("stationary"))
+
+
+@query("learn_forest_training", using("train", """SELECT repeat::INTEGER AS repeat, n_team, k, count(*) AS n_series, TRUE AS learned FROM train GROUP BY ALL"""))
+def learn_forest_training(spark, d):
+    """Training series of every cell, and whether its forest calls nine in ten of them right."""
+    bouts, roles = AD.vector_bouts(spark, d), X.saved_roles(spark, d, D)
+    train = P.train_sets(P.nested_set_order(bouts, roles, D), D)
+    own = train.select("series_id", cell_number().alias("_c")).groupBy("series_id").agg(F.array_sort(F.collect_list("_c")).alias("cells"))
+    proba = G.grid_proba(feature_rows(spark, d).join(own, "series_id"), FE.feature_names(), "cells", grid_fit(spark, d, "forest")[1], D.n_classes)
+    calls = V.vote_series(proba, ["cell"], D.n_classes)
+    cells = F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(n).alias("n_team"), F.lit(k).alias("k")) for r in range(1, D.repeats + 1) for n in D.sizes for k in D.ks])
+    named = calls.withColumn("_c", F.get(cells, F.col("cell"))).select("*", "_c.repeat", "_c.n_team", "_c.k")
+    return named.groupBy("repeat", "n_team", "k").agg(F.count(F.lit(1)).alias("n_series"), (F.avg((F.col("pred") == F.col("truth")).cast("double")) >= 0.9).alias("learned"))
+
+
 def measure_columns(spark, d):
     w = X.cohort_windows(spark, d)
     return w.select("series_id", "subject", "period_order", "w", *[F.get("m", F.lit(i)).alias(c) for i, c in enumerate(L.MEASURES)])

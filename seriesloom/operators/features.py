@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,17 +115,33 @@ def _feature_block(x: np.ndarray, fs: float) -> np.ndarray:
 
 
 def window_features(windows: DataFrame, fs: float, channels: Sequence[str] = CHANNELS) -> DataFrame:
-    """All features of a window as columns, one vectorised pass per Arrow batch (no shuffle)."""
+    """All features of a window as columns, one vectorised pass per Arrow batch and window length (no shuffle).
+
+    Windows without all channels, or with channels of unlike lengths, and empty ones have NULL features.
+    """
     names = feature_names(channels)
     keep = [c for c in windows.columns if c != "ch"]
     types = dict(windows.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{c}` double" for c in names])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.array([[np.asarray(a, float) for a in row] for row in pdf["ch"]])
-                block = pd.DataFrame(_feature_block(x, fs), columns=names)
-                yield pd.concat([pdf[keep].reset_index(drop=True), block], axis=1)
-
-    return windows.mapInPandas(run, schema)
+    n = len(channels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ch = batch.column("ch")
+            inner = ch.values
+            first, size = ch.offsets.to_numpy()[:-1].astype(int), np.where(ch.is_valid().to_numpy(zero_copy_only=False), np.diff(ch.offsets.to_numpy()), -1)
+            edges, values = inner.offsets.to_numpy().astype(int), inner.values.to_numpy(zero_copy_only=False)
+            length = np.zeros(batch.num_rows, int)
+            whole = np.flatnonzero(size == n)
+            spans = np.diff(edges)[first[whole][:, None] + np.arange(n)]
+            length[whole] = np.where((spans == spans[:, :1]).all(axis=1), spans[:, 0], 0)
+            block = np.full((batch.num_rows, len(names)), np.nan)
+            for samples in np.unique(length[length > 0]).tolist():
+                rows = np.flatnonzero(length == samples)
+                at = edges[first[rows][:, None] + np.arange(n)][:, :, None] + np.arange(samples)
+                block[rows] = _feature_block(np.asarray(values, float)[at], fs)
+            missing = length == 0
+            columns = [pa.array(block[:, k], mask=missing) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], [*keep, *names])
+
+    return windows.mapInArrow(run, schema)
