@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import Words, byte_table, text_pieces
-from seriesloom.llm.tables import in_batches, unused
+from seriesloom.llm.tables import in_batches, lean, unused
 
 #: Phrases of consecutive words that always count, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -189,24 +190,55 @@ def canonical(text: str) -> str:
     return " " + _SPLIT.sub(" ", text.translate(_TO_LOWER)).strip(" ") + " "
 
 
-def base_places(line: str) -> list[tuple[int, str]]:
+def word_numbers(line: str) -> list[int]:
+    """Places of the blanks of canonical text: the word after blank k is word k."""
+    return [m.start() for m in re.finditer(" ", line)]
+
+
+def base_places(line: str, blanks: list[int] | None = None) -> list[tuple[int, str]]:
     """(word number, label) of every place of a base phrase in canonical text, in order."""
-    found = []
+    found, blanks = [], word_numbers(line) if blanks is None else blanks
     for phrase, label in BASE.items():
         at = line.find(f" {phrase} ")
         while at >= 0:
-            found.append((line.count(" ", 0, at), label))
+            found.append((bisect_left(blanks, at), label))
             at = line.find(f" {phrase} ", at + 1)
     return sorted(found)
 
 
-def detections(line: str, all_rules: list[Rule]) -> list[tuple[str, str, int, int]]:
+class Taken:
+    """Detections that were taken: whether a further one lies within one of them, or overlaps one of its label."""
+
+    def __init__(self) -> None:
+        # none of these lies within another, so their ends rise with their starts
+        self.starts, self.ends = [], []
+        self.by_label: dict[str, tuple[list[int], list[int]]] = {}
+
+    def add(self, label: str, a: int, b: int) -> bool:
+        """Take [a, b) unless it is suppressed."""
+        k = bisect_right(self.starts, a)
+        if k and self.ends[k - 1] >= b:
+            return False
+        starts, ends = self.by_label.setdefault(label, ([], []))  # disjoint
+        own = bisect_right(starts, a)
+        if own and ends[own - 1] > a or own < len(starts) and starts[own] < b:
+            return False
+        starts.insert(own, a)
+        ends.insert(own, b)
+        lo = bisect_left(self.starts, a)
+        hi = max(lo, bisect_right(self.ends, b))
+        self.starts[lo:hi], self.ends[lo:hi] = [a], [b]
+        return True
+
+
+def detections(line: str, all_rules: list[Rule], blanks: list[int] | None = None) -> list[tuple[str, str, int, int]]:
     """(label, kind, first word, last word) of what the rules find in canonical text, in order of place.
 
     Only rules with an occurring keyword are tried.  Detections are taken by priority of kind,
     then length, then order of the rules; one that lies within a taken one, or overlaps one of the
     same label, is suppressed.
     """
+    blanks = word_numbers(line) if blanks is None else blanks
     present: dict[str, bool] = {}
     found = []
     for k, rule in enumerate(all_rules):
@@ -216,14 +248,12 @@ def detections(line: str, all_rules: list[Rule]) -> list[tuple[str, str, int, in
         if any(present[word] for word in rule.keywords):
             for m in rule.pattern.finditer(line):
                 found.append((PRIORITY[rule.kind], m.start() - m.end(), k, m.start(), m.end()))
-    taken: list[tuple[int, int, int]] = []
-    for _, _, k, a, b in sorted(found):
-        if not any(x <= a and b <= y or all_rules[k].label == all_rules[j].label and x < b and a < y for j, x, y in taken):
-            taken.append((k, a, b))
+    so_far = Taken()
+    taken = [(k, a, b) for _, _, k, a, b in sorted(found) if so_far.add(all_rules[k].label, a, b)]
     out = []
     for k, a, b in sorted(taken, key=lambda t: (t[1], t[2], t[0])):
-        first = line.count(" ", 0, a) - 1
-        out.append((all_rules[k].label, all_rules[k].kind, first, first + line.count(" ", a, b)))
+        first = bisect_left(blanks, a) - 1
+        out.append((all_rules[k].label, all_rules[k].kind, first, first + bisect_left(blanks, b) - bisect_left(blanks, a)))
     return out
 
 
@@ -281,8 +311,8 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame
     into canonical words and the rules run over it.  Base phrases are always reported; the rules
     add detections.
 
-    Null and empty texts: no words, empty lists.  Very long texts: words are counted in pieces,
-    rules need the whole text.  Repeated rows and null ids: a row each.  Empty table: no rows.
+    Null and empty texts: no words, empty lists.  Very long texts: words are counted in pieces;
+    rules need the whole text in the memory of its task, and time in proportion to it.  Repeated rows and null ids: a row each.  Empty table: no rows.
     An added column whose name is carried already gets an underscore.
     """
     names = [unused(x, docs.select(*carry)) for x in ("n_words", "base", "found")]
@@ -302,15 +332,16 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame
             hit = pc.fill_null(pc.match_substring_regex(column, pattern, ignore_case=True), False)
             for k in np.flatnonzero(hit.to_numpy(zero_copy_only=False)).tolist():
                 line = canonical(column[k].as_py())
-                base[k] = [{"word": w, "label": x} for w, x in base_places(line)]
-                found[k] = [dict(zip(("label", "kind", "first_word", "last_word"), d, strict=True)) for d in detections(line, every)]
+                blanks = word_numbers(line)
+                base[k] = [{"word": w, "label": x} for w, x in base_places(line, blanks)]
+                found[k] = [dict(zip(("label", "kind", "first_word", "last_word"), d, strict=True)) for d in detections(line, every, blanks)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(n), pa.array(base, base_type), pa.array(found, found_type)], [*batch.schema.names[:-1], *names]
             )
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
     schema = f"{kinds}{', ' if kinds else ''}`{names[0]}` long, `{names[1]}` array<struct<word:int,label:string>>, `{names[2]}` {DETECTED}"
-    return in_batches(docs).select(*carry, F.col(text_col).cast("string").alias(text)).mapInArrow(task, schema)
+    return in_batches(docs).select(*carry, F.col(text_col).cast("string").alias(text)).mapInArrow(lean(task), schema)
 
 
 def op5_licenses(spark, sf_dir: str) -> DataFrame:

@@ -37,3 +37,32 @@ def test_addresses_and_broken_lines_are_labelled(spark):
     df = spark.createDataFrame([(t, x) for t, x in texts], "text string, label string")
     for r in licenses.scan(df, ["text", "label"]).collect():
         assert [d.label for d in r.found] == ([r.label] if r.label else []), r.text
+
+
+def test_long_texts_of_many_hits_take_time_in_proportion():
+    import time
+
+    every = licenses.rules()
+    line = lambda n: licenses.canonical("under the MIT license. Apache License, Version 2.0 and GPL v3 apply. " * n)
+    small, large = line(500), line(15_000)  # the second has 1 MB
+    t0 = time.time()
+    licenses.detections(small, every)
+    t1 = time.time()
+    found, base = licenses.detections(large, every), licenses.base_places(large)
+    assert len(base) == 30_000 and len(found) >= 30_000 and time.time() - t1 < 60 * max(0.25, t1 - t0)
+
+
+def test_suppression_equals_a_look_at_all_pairs():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        held, slow, fast = [], [], licenses.Taken()
+        for _ in range(40):
+            a = rng.randrange(60)
+            label, b = rng.choice("xyz"), a + rng.randrange(1, 12)
+            free = not any(x <= a and b <= y or label == own and x < b and a < y for own, x, y in held)
+            if free:
+                held.append((label, a, b))
+            slow.append(free)
+            assert fast.add(label, a, b) == free
