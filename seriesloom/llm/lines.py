@@ -84,19 +84,22 @@ def drop_site_lines(
 def op3_site_lines(spark, sf_dir: str) -> DataFrame:
     """Every document without its source's boilerplate lines, and how many went."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return drop_site_lines(docs, dropped_col="dropped").select("doc_id", "source", "text", "dropped")
+    return drop_site_lines(docs, dropped_col="dropped", long_ratios=LONG_RATIOS).select("doc_id", "source", "text", "dropped")
 
 
 OP3_SQL = f"""
 WITH pages AS (SELECT DISTINCT source, text FROM documents),
 totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
 lines AS (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ')))) AS line FROM pages),
-counts AS (SELECT source, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY source, line),
-flags AS (SELECT c.source, list(c.line) AS marks FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.n >= {MIN_PAGES} AND c.n > {RATIO} * t.total GROUP BY c.source),
-split AS (SELECT d.doc_id, d.source, d.text, string_split(d.text, chr(10)) AS lines, f.marks
+counts AS (SELECT source, line, count(*) AS n, CASE {' '.join(f"WHEN length(line) >= {n} THEN {r}" for n, r in reversed(LONG_RATIOS))} ELSE {RATIO} END AS ratio
+  FROM lines WHERE line <> '' GROUP BY source, line),
+flags AS (SELECT c.source, list(c.line) AS marks, list(c.line) FILTER (c.n > {RATIO} * t.total) AS often FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+  WHERE c.n >= {MIN_PAGES} AND c.n > c.ratio * t.total GROUP BY c.source),
+split AS (SELECT d.doc_id, d.source, d.text, string_split(d.text, chr(10)) AS lines, f.marks, coalesce(f.often, []) AS often
   FROM documents d LEFT JOIN flags f ON d.source IS NOT DISTINCT FROM f.source),
-kept AS (SELECT *, list_filter(lines, lambda l: NOT list_contains(marks, trim(l, ' '))) AS stays FROM split)
+tried AS (SELECT *, list_filter(lines, lambda l: NOT list_contains(marks, trim(l, ' '))) AS rest FROM split),
+kept AS (SELECT *, CASE WHEN 2 * length(coalesce(array_to_string(rest, chr(10)), '')) >= length(text) THEN rest
+  ELSE list_filter(lines, lambda l: NOT list_contains(often, trim(l, ' '))) END AS stays FROM tried)
 SELECT doc_id, source,
   CASE WHEN marks IS NULL OR text IS NULL THEN text ELSE coalesce(array_to_string(stays, chr(10)), '') END AS text,
   CASE WHEN marks IS NULL OR text IS NULL THEN 0 ELSE len(lines) - len(stays) END AS dropped FROM kept

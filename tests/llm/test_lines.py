@@ -16,7 +16,7 @@ def test_long_lines_go_at_a_smaller_share(spark):
     whole = "\n".join(r.text for r in found.collect())
     assert found.count() == 1200 and passage not in whole and sentence not in whole and whole.count(word) == 60
     assert all(f"story number {k} of this host" in whole for k in range(1200))
-    plain = "\n".join(r.text for r in lines.drop_site_lines(df).collect())  # the query's ratio, as its SQL states it
+    plain = "\n".join(r.text for r in lines.drop_site_lines(df).collect())  # one ratio for all lines
     assert plain.count(passage) == 6 and plain.count(sentence) == 12
 
 
