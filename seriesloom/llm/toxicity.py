@@ -6,17 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import LOWER, Powers, Words, byte_table, mixed, text_pieces
-from seriesloom.llm.tables import in_batches, saved, unused
+from seriesloom.llm.tables import in_batches, lean, saved, unused
 
 #: Bound of the labelled rows that the model is fitted on (a sample by hash of the id, all classes alike).
 FIT_ROWS = 40_000
-#: Bounds of the model: terms of toxic rows that are looked at, and terms that it keeps.
-MAX_CANDIDATES = 50_000
+#: Terms of the model: the size of its weights.
 MAX_TERMS = 2_048
+TERM_COUNTS = ("clean", "toxic", "clean_dense", "toxic_dense")
 #: Rows of toxic texts that must hold a term, and the likelihood ratio from which it is kept.
 LEAST_ROWS = 3
 LEAST_RATIO = 15.0
@@ -145,20 +145,21 @@ def train(known: np.ndarray, row: np.ndarray, found: np.ndarray, toxic: np.ndarr
     return m
 
 
-def likelihood_ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
+def likelihood_ratio(a: Column, b: Column, na: int, nb: int) -> Column:
     """G of "in a of na toxic and b of nb other rows", 0 where the term is not more frequent in toxic rows."""
-    part = lambda k, n, p: k * np.log(np.maximum(k, 1e-9) / np.maximum(n * p, 1e-9))
-    p = (a + b) / max(1, na + nb)
-    g = 2 * (part(a, na, p) + part(na - a, na, 1 - p) + part(b, nb, p) + part(nb - b, nb, 1 - p))
-    return np.where(a * nb > b * na, g, 0.0)
+    at_least = lambda c: F.greatest(c.cast("double"), F.lit(1e-9))
+    part = lambda k, n, p: k * F.log(at_least(k) / at_least(F.lit(float(n)) * p))
+    p = (a + b) / F.lit(float(max(1, na + nb)))
+    g = 2 * (part(a, na, p) + part(F.lit(na) - a, na, 1 - p) + part(b, nb, p) + part(F.lit(nb) - b, nb, 1 - p))
+    return F.when(a * nb > b * na, g).otherwise(0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine from the labelled rows of ``docs``, at most FIT_ROWS of them; texts stay with the tasks.
 
-    Three passes over the chosen rows: terms of toxic rows; for the most frequent of them how many
-    toxic and other rows hold them; then the features of each row for the terms that tell the
-    classes apart.  The driver receives bounded tables (MAX_CANDIDATES terms, FIT_ROWS rows).
+    Two passes over the chosen rows: how many toxic and other rows hold each term, of which the
+    MAX_TERMS that tell the classes apart best are kept, as features of the model; then the
+    features of each row.  The driver receives those, two bytes each, of FIT_ROWS rows.
     A row with several labels is toxic if one says so; null labels and null ids are left out.
     """
     by_id = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key"))
@@ -167,43 +168,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     rows = saved(in_batches(texts).join(F.broadcast(chosen), "key").select("toxic", "text"), "labelled-texts")
 
-    def first(batches):
+    def counted(batches):
         powers = Powers()
         for batch in batches:
-            for _, offsets, data in text_pieces(batch.column(0)):
+            toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, offsets, data in text_pieces(batch.column(1)):
                 at, found, n = terms(offsets, data, powers)
                 _, place, count = np.unique(mixed(found ^ mixed(at.astype(np.uint64))), return_index=True, return_counts=True)
                 kinds, which = np.unique(found[place], return_inverse=True)
                 dense = (count >= LEVELS[DENSE][0]) & (count >= LEVELS[DENSE][1] * n[at[place]])
-                held, often = np.bincount(which, minlength=len(kinds)), np.bincount(which, dense, len(kinds)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(held), pa.array(often)], ["term", "held", "dense"])
-
-    seen = rows.where("toxic = 1").select("text").mapInArrow(first, "term long, held long, dense long")
-    seen = seen.groupBy("term").agg(F.sum("held").alias("held"), F.sum("dense").alias("dense")).where(F.col("held") >= LEAST_ROWS)
-    candidates = seen.orderBy(F.desc("dense"), F.desc("held"), "term").limit(MAX_CANDIDATES).select("term").toArrow()["term"].to_numpy().view(np.uint64)
-
-    def second(batches):
-        hits, powers, sums = Hits(candidates), Powers(), np.zeros((4, len(candidates)), np.int64)
-        for batch in batches:
-            toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            row, term, count, n = hits.count(batch.column(1), powers)
-            dense = (count >= LEVELS[DENSE][0]) & (count >= LEVELS[DENSE][1] * n[row])
-            for k in (0, 1):
-                mine = toxic[row] == k
-                sums[k] += np.bincount(term[mine], minlength=len(candidates))
-                sums[2 + k] += np.bincount(term[mine & dense], minlength=len(candidates))
-        some = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(s[some]) for s in sums]], ["k", "clean", "toxic", "clean_dense", "toxic_dense"])
+                bad = toxic[first + at[place]] == 1
+                sums = [np.bincount(which, w, len(kinds)).astype(np.int64) for w in (~bad, bad, ~bad & dense, bad & dense)]
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), *map(pa.array, sums)], ["term", *TERM_COUNTS])
 
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    counted = rows.mapInArrow(second, "k long, clean long, toxic long, clean_dense long, toxic_dense long")
-    counted = counted.groupBy("k").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]]).toPandas()
-    ratio = np.maximum(
-        *[likelihood_ratio(counted["toxic" + x].to_numpy(float), counted["clean" + x].to_numpy(float), sizes.get(1, 0), sizes.get(0, 0)) for x in ("", "_dense")]
-    )
-    place = counted["k"].to_numpy(np.int64)
-    best = np.lexsort((place, -ratio))[:MAX_TERMS]
-    known = candidates[place[best[ratio[best] >= LEAST_RATIO]]]
+    sums = rows.mapInArrow(lean(counted), "term long, " + ", ".join(f"{c} long" for c in TERM_COUNTS))
+    sums = sums.groupBy("term").agg(*[F.sum(c).alias(c) for c in TERM_COUNTS]).where(F.col("toxic") >= LEAST_ROWS)
+    ratio = F.greatest(*[likelihood_ratio(F.col("toxic" + x), F.col("clean" + x), sizes.get(1, 0), sizes.get(0, 0)) for x in ("", "_dense")])
+    best = sums.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS)
+    known = np.sort(best.select("term").toArrow()["term"].to_numpy().view(np.uint64))
 
     def third(batches):
         hits, powers = Hits(known), Powers()
@@ -211,9 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             row, term, count, n = hits.count(batch.column(1), powers)
             row, found = features(row, term, count, n)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(found))], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.astype(np.int16)))], ["toxic", "features"])
 
-    table = rows.mapInArrow(third, "toxic int, features array<long>").toArrow()
+    table = rows.mapInArrow(lean(third), "toxic int, features array<short>").toArrow()
     lists = table["features"].combine_chunks()
     found = lists.flatten().to_numpy().astype(np.int64) if len(table) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy())) if len(table) else np.zeros(0, np.int64)
@@ -245,7 +228,7 @@ def score(docs: DataFrame, machine: Machine, carry: list[str], text_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], [*batch.schema.names[:-1], name])
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
-    return in_batches(docs).select(*carry, F.col(text_col).cast("string").alias(text)).mapInArrow(task, f"{kinds}{', ' if kinds else ''}`{name}` double")
+    return in_batches(docs).select(*carry, F.col(text_col).cast("string").alias(text)).mapInArrow(lean(task), f"{kinds}{', ' if kinds else ''}`{name}` double")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
