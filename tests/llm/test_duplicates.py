@@ -179,11 +179,27 @@ def test_templates_find_changed_questions_only(spark):
     found = {(r.doc_id, r.item_id): r.exact for r in decontam.contaminated(df, items).collect()}
     assert found == {(1, 10): True, (2, 10): False, (8, 10): True}
     left = decontam.drop_contaminated(df, items)
-    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 3, 4, 5, 6, 7] and left.columns == df.columns
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [3, 4, 5, 6, 7, 8] and left.columns == df.columns
     assert decontam.contaminated(df, items.limit(0)).count() == 0
     assert decontam.contaminated(df.limit(0), items).count() == 0
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Tom has 5 apples. Tom buys 7 more apples. How many apples does Tom have now?"
+    text = {
+        1: "Anna has 3 apples. Anna buys 8 more apples. How many apples does Anna have now?",
+        2: "Anna has 3 apples. Tom buys 8 more apples. How many apples does Anna have now?",  # two people
+        3: "Anna has 3 apples. Ben buys 8 more apples. How many apples does Tom have now?",
+        4: item, 5: "Anna has 3 pears. She ate 8 more of them. How many apples does Anna have now?", 6: item.lower(),
+    }
+    passage = "The dog ran to the old house. The cat saw it and left the garden. A man came by and took the cat home with him"
+    text |= {7: passage.replace("The dog", "A dog"), 8: passage}
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(10, item), (11, passage)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.exact for r in decontam.contaminated(df, items).collect()}
+    assert found == {(1, 10): False, (4, 10): True, (7, 11): True, (8, 11): True}
+
+
 def test_long_texts_in_pieces_have_the_same_windows(monkeypatch):
     rng = np.random.default_rng(5)
     words = np.array(["Paris", "the", "12", "km", "a.", "Anna", "x9", "3.5", "hours", "é", "left!", "\n", "of"])
@@ -192,8 +208,8 @@ def test_long_texts_in_pieces_have_the_same_windows(monkeypatch):
     def found():
         out = {}
         for row, t, before, had in decontam.template_blocks(pa.array(texts), Powers()):
-            for k in range(had, len(t.at)):
-                key = (row + int(t.row[k]), int(t.position[k]) + before)
+            for k in np.flatnonzero(t.window >= had).tolist():
+                key = (row + int(t.row[k]), int(t.position[k]) + before, int(t.form[k]))
                 assert key not in out
                 out[key] = (int(t.hash[k]), bool(t.plain[k]), t.slots(k))
         return out
