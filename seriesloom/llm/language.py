@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import mixed, text_pieces
-from seriesloom.llm.tables import in_batches, unused
+from seriesloom.llm.tables import in_batches, lean, saved, unused
 
 ORDER = 4
-#: Bounds of the model, not of what is counted: languages by number of rows, n-grams of each by
-#: count, and cells (n-grams of the highest order times languages) of the table that tasks receive.
-MAX_LANGUAGES = 64
-MAX_GRAMS = 300_000
-MAX_CELLS = 16_000_000
+#: Cells (n-grams of the highest order times languages) of a block of models, of which tasks hold one at a time.
+BLOCK_CELLS = 16_000_000
+#: Symbols that are judged by one block after the other.
+HELD_SYMBOLS = 4_000_000
 #: A text counts as having this many more letters of usual cross-entropy when it is judged.
 PRIOR_LETTERS = 60
 #: Letters of evidence that a score counts at most.
@@ -86,6 +85,16 @@ class HashTable:
     def of(cls, keys: np.ndarray, rows: np.ndarray) -> HashTable:
         return cls(mixed(keys), rows.astype(np.float32))
 
+    def packed(self) -> tuple:
+        return self.hashes, self.rows, self.first, self.bits
+
+    @classmethod
+    def unpacked(cls, hashes: np.ndarray, rows: np.ndarray, first: np.ndarray, bits: int) -> HashTable:
+        """A table from its own arrays, sorted already."""
+        table = object.__new__(cls)
+        table.hashes, table.rows, table.first, table.bits = hashes, rows, first, bits
+        return table
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether the key is there)."""
         h = mixed(keys)
@@ -100,15 +109,22 @@ class HashTable:
 
 
 @dataclass
-class LanguageModels:
-    """For each order n: log P of the n-grams seen in any language, and log of the backing-off weight of their contexts."""
+class Block:
+    """Models of some languages.  For each order n: log P of the n-grams seen in any of them, and log of the backing-off weight of their contexts."""
 
     languages: list[str]
     tables: list[HashTable] = field(default_factory=list)  # orders 1 to ORDER
     weights: list[HashTable] = field(default_factory=list)  # contexts of orders 2 to ORDER
     floor: np.ndarray | None = None  # log P of a symbol no language has
-    usual: np.ndarray | None = None
-    limit: np.ndarray | None = None
+
+    def packed(self) -> tuple:
+        """As plain arrays, which any task can read."""
+        return self.languages, [t.packed() for t in self.tables], [t.packed() for t in self.weights], self.floor
+
+    @classmethod
+    def unpacked(cls, parts: tuple) -> Block:
+        languages, tables, weights, floor = parts
+        return cls(languages, [HashTable.unpacked(*t) for t in tables], [HashTable.unpacked(*t) for t in weights], floor)
 
     def log_probs(self, wide: np.ndarray) -> np.ndarray:
         """(n, languages): log P of each symbol given the three before it, by language."""
@@ -129,13 +145,39 @@ class LanguageModels:
         return out
 
 
-def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModels:
-    """Models from the counts of the highest-order n-grams, {language: (packed n-grams, counts)}.
+@dataclass
+class LanguageModels:
+    """All languages by name, their models in blocks of consecutive ones, and what each language accepts.
+
+    A block lies in memory or is a broadcast variable; with several, tasks hold one at a time.
+    """
+
+    languages: list[str]
+    blocks: list = field(default_factory=list)
+    usual: np.ndarray | None = None
+    limit: np.ndarray | None = None
+
+    def each(self):
+        for block in self.blocks:
+            if isinstance(block, Block):
+                yield block
+                continue
+            yield Block.unpacked(block.value)
+            if len(self.blocks) > 1:
+                del block._value  # read again from the executor's disk when its turn comes
+
+    def log_probs(self, wide: np.ndarray) -> np.ndarray:
+        return np.concatenate([b.log_probs(wide) for b in self.each()] or [np.zeros((len(wide), 0), np.float32)], axis=1)
+
+
+def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: int | None = None) -> Block:
+    """Models from the counts of all highest-order n-grams, {language: (packed n-grams, counts)}.
 
     Lower orders count in how many contexts an n-gram continues.  One discount for each order and
-    language, n1 / (n1 + 2 n2).  The lowest order backs off to equal shares of all symbols and one more.
+    language, n1 / (n1 + 2 n2).  The lowest order backs off to equal shares of ``alphabet`` symbols:
+    those of all languages (of these, unless given) and one more.
     """
-    models = LanguageModels(sorted(counts))
+    models = Block(sorted(counts))
     size = len(models.languages)
     if not size:
         return models
@@ -148,7 +190,7 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageMode
             below = by_order[low][-1][0] & np.uint64((1 << (16 * low)) - 1)
             keys, n = np.unique(below, return_counts=True)
             by_order[low - 1].append((keys, n.astype(np.float64)))
-    alphabet = len(np.unique(np.concatenate([k for k, _ in by_order[0]]))) + 1
+    alphabet = alphabet or len(np.unique(np.concatenate([k for k, _ in by_order[0]]))) + 1
     lower = np.zeros((0, size))
     for n in range(1, ORDER + 1):
         every = np.unique(np.concatenate([k for k, _ in by_order[n - 1]]))
@@ -215,32 +257,45 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return in_batches(rows).mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return in_batches(rows).mapInArrow(lean(task), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, calibrate: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
-    """Models of the languages of ``train``, and for each the highest cross-entropy that it accepts.
+def blocks_of(sizes: list[tuple[str, int]], cells: int) -> list[list[str]]:
+    """Consecutive languages (name, number of n-grams) whose n-grams times languages stay within ``cells``; a larger language stands alone."""
+    out: list[list[str]] = []
+    total = 0
+    for name, n in sorted(sizes):
+        if out and (total + n) * (len(out[-1]) + 1) <= cells:
+            out[-1].append(name)
+            total += n
+        else:
+            out.append([name])
+            total = n
+    return out
 
-    All rows are counted.  What the driver receives is bounded by MAX_LANGUAGES and MAX_GRAMS: the
-    most frequent n-grams of the languages with most rows.  Calibration: of the rows of
-    ``calibrate`` with at least 20 letters, the 0.999 quantile of the cross-entropy of a
-    language's own rows and the 0.001 quantile of all others' under its model; the limit lies
-    halfway, or a fifth above the first where the two overlap or nothing else is there.
+
+def fit(train: DataFrame, calibrate: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
+    """Models of all languages of ``train``, and for each the highest cross-entropy that it accepts.
+
+    All rows and n-grams count.  The counts are a table in the shared folder; the models of a
+    block of languages (BLOCK_CELLS n-grams times languages, or one language) are made at a time
+    and broadcast, so the driver and a task hold one block, however many languages there are.
+    Calibration: of the rows of ``calibrate`` with at least 20 letters, the 0.999 quantile of the
+    cross-entropy of a language's own rows and the 0.001 quantile of all others' under its model;
+    the limit lies halfway, or a fifth above the first where the two overlap or nothing else is
+    there.  A language without a letter has no model.
     """
-    from pyspark.sql import Window
-
-    named = train.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("rows"))
-    chosen = [r.lang for r in named.orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).collect()]
-    most = min(MAX_GRAMS, MAX_CELLS // max(1, len(chosen)) ** 2)
-    ranked = count_grams(train.where(F.col(lang_col).cast("string").isin(chosen)), text_col, lang_col) if chosen else None
-    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    if ranked is not None:
-        by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-        top = ranked.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= most).select("lang", "gram", "n").toArrow()
-        for name in sorted(set(top["lang"].to_pylist())):
-            part = top.filter(pa.compute.equal(top["lang"], name))
-            counts[name] = part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy()
-    models = kneser_ney(counts)
+    counts = saved(count_grams(train, text_col, lang_col), "gram-counts")
+    sizes = [(r.lang, r.n) for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    alphabet = counts.select(F.col("gram").bitwiseAND(F.lit((1 << 16) - 1).cast("long")).alias("symbol")).distinct().count() + 1
+    models = LanguageModels(sorted(name for name, _ in sizes))
+    names = blocks_of(sizes, BLOCK_CELLS)
+    for some in names:
+        top = counts.where(F.col("lang").isin(some)).toArrow()
+        of = top["lang"].to_numpy(zero_copy_only=False)
+        keys, n = top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy()
+        block = kneser_ney({name: (keys[of == name], n[of == name]) for name in some}, alphabet)
+        models.blocks.append(train.sparkSession.sparkContext.broadcast(block.packed()))
     size = len(models.languages)
     if not size:
         return models
@@ -270,26 +325,36 @@ def entropies(docs: DataFrame, models: LanguageModels, carry: list[str], text_co
     else:
         rows, place = docs.select(*carry, F.col(text_col).cast("string").alias(unused("whole text", docs.select(*carry)))), len(carry)
 
+    def judged(parts, total):
+        first = 0
+        for block in models.each() if parts else ():
+            last = first + len(block.languages)
+            for rows_of, starts, wide in parts:
+                total[rows_of, first:last] -= np.add.reduceat(block.log_probs(wide), starts, axis=0, dtype=np.float64)
+            first = last
+
     def task(batches):
         letters = letter_table()
         for batch in batches:
-            total, n = np.zeros((batch.num_rows, len(models.languages))), np.zeros(batch.num_rows, np.int64)
+            total, n, parts = np.zeros((batch.num_rows, len(models.languages))), np.zeros(batch.num_rows, np.int64), []
             for row, offsets, data in text_pieces(batch.column(place), SEGMENT):
                 found, at = symbols(offsets, data, letters)
                 if not len(found):
                     continue
                 counts = np.bincount(at, minlength=len(offsets) - 1)
                 full = np.flatnonzero(counts)
-                if models.languages:
-                    logs = models.log_probs(grams(found, at))
-                    total[full + row] -= np.add.reduceat(logs, np.cumsum(counts)[full] - counts[full], axis=0, dtype=np.float64)
+                parts.append((full + row, np.cumsum(counts)[full] - counts[full], grams(found, at)))
                 n[row : row + len(counts)] += counts
+                if len(models.blocks) == 1 or sum(len(p[2]) for p in parts) > HELD_SYMBOLS:
+                    judged(parts, total)
+                    parts = []
+            judged(parts, total)
             each = total / np.maximum(n, 1)[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * total.shape[1]), pa.array(each.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(n), lists], [*carry, name_n, name_h])
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
-    return in_batches(rows).mapInArrow(task, f"{kinds}{', ' if kinds else ''}`{name_n}` bigint, `{name_h}` array<double>")
+    return in_batches(rows).mapInArrow(lean(task), f"{kinds}{', ' if kinds else ''}`{name_n}` bigint, `{name_h}` array<double>")
 
 
 def identify(docs: DataFrame, models: LanguageModels, carry: list[str], text_col: str = "text") -> DataFrame:

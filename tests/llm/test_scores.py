@@ -24,7 +24,7 @@ def test_probabilities_sum_to_one(models):
     for before in ("th", "q一", "\0\0"):
         context = (np.uint64(ord(before[0])) << np.uint64(32)) | (np.uint64(ord(before[1])) << np.uint64(16))
         p = np.exp(models.log_probs(context | every).astype(float))
-        seen = np.isin(every, [k for k in range(1 << 16) if models.tables[0].find(np.array([k], np.uint64))[1][0]])
+        seen = np.isin(every, [k for k in range(1 << 16) if next(models.each()).tables[0].find(np.array([k], np.uint64))[1][0]])
         assert np.allclose(p[seen].sum(axis=0) + p[~seen][:1].sum(axis=0), 1, atol=1e-3)
 
 
