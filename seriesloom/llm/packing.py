@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import byte_blocks, pieces_of
-from seriesloom.llm.tables import in_batches
+from seriesloom.llm.tables import in_batches, lean
 
 WINDOW = 2048
 GROUP = 8
@@ -275,7 +275,7 @@ def pack(
         if rows:
             yield flush()
 
-    return in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, SCHEMA)
+    return in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(task), SCHEMA)
 
 
 def op2_pack_documents(spark, sf_dir: str) -> DataFrame:

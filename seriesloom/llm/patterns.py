@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.tables import in_batches, saved
+from seriesloom.llm.tables import in_batches, lean, saved
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -291,7 +291,7 @@ def token_pieces(
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return in_batches(chosen).mapInArrow(task, PIECES)
+    return in_batches(chosen).mapInArrow(lean(task), PIECES)
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.tables import in_batches, saved
+from seriesloom.llm.tables import in_batches, lean, saved
 
 #: What the edits cost, and what a text that stays cut short costs.
 REROLE, DELETE, INSERT, CUT_SHORT = 1, 2, 5, 5
@@ -98,7 +98,7 @@ def signatures(rows: DataFrame) -> DataFrame:
         if now is not None:
             yield now.row()
 
-    return in_batches(ordered.select("conv_id", "turn", initial.alias("letter"), "empty", "cut", "again", "m")).mapInArrow(task, SIGNED)
+    return in_batches(ordered.select("conv_id", "turn", initial.alias("letter"), "empty", "cut", "again", "m")).mapInArrow(lean(task), SIGNED)
 
 
 class Signing:
@@ -222,7 +222,7 @@ def solutions(signed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(signature, pa.string()), pa.array(cost, pa.int64()), pa.array(audit, pa.string())], ["signature", "cost", "audit"])
 
     distinct = saved(signed.select(F.reverse("signature").alias("turned")).distinct(), "signatures")
-    return in_batches(distinct.repartitionByRange("turned").sortWithinPartitions("turned")).mapInArrow(task, "signature string, cost long, audit string")
+    return in_batches(distinct.repartitionByRange("turned").sortWithinPartitions("turned")).mapInArrow(lean(task), "signature string, cost long, audit string")
 
 
 def planned(rows: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def applied(rows: DataFrame, plans: DataFrame, turns: bool = False) -> DataFrame
         for part in in_parts((repaired if turns else reports)(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*part, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
-    return in_batches(both.select("conv_id", "row", "role", "text", "copies", *names)).mapInArrow(task, schema)
+    return in_batches(both.select("conv_id", "row", "role", "text", "copies", *names)).mapInArrow(lean(task), schema)
 
 
 def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns: bool = False) -> DataFrame:

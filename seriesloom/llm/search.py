@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import LOWER, byte_blocks, byte_table, pieces_of
-from seriesloom.llm.tables import in_batches, saved
+from seriesloom.llm.tables import in_batches, lean, saved
 
 TOP = 20
 #: Bytes of item texts whose terms one automaton holds; more items are searched in further passes over the texts.
@@ -89,7 +89,7 @@ def collected(docs: DataFrame, terms: list[str]) -> tuple[int, int, np.ndarray]:
         ids, counts = np.concatenate([[-2, -1], at]), np.concatenate([[number, total], held[at]])
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(counts.astype(np.int64))], ["term", "n"])
 
-    sums = in_batches(docs.select("text")).mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = in_batches(docs.select("text")).mapInArrow(lean(task), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = np.zeros(len(terms), np.int64)
     n = {-2: 0, -1: 0}
     for r in sums.collect():  # a row for each term at most
@@ -215,7 +215,7 @@ def best_of(texts: DataFrame, items: list[tuple], top: int) -> DataFrame:
         columns += [pa.array(doc, mask=doc == NULL_ID), pa.array(score)]
         yield pa.RecordBatch.from_arrays(columns, ["item_id", "text_key", "doc_id", "score"])
 
-    return in_batches(texts).mapInArrow(task, "item_id long, text_key long, doc_id long, score long")
+    return in_batches(texts).mapInArrow(lean(task), "item_id long, text_key long, doc_id long, score long")
 
 
 NULL_ID = np.iinfo(np.int64).max

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import BLOCK_BYTES, LOWER, byte_blocks, pieces_of
-from seriesloom.llm.tables import components, in_batches, saved, without
+from seriesloom.llm.tables import components, in_batches, lean, saved, without
 
 BITS = 3
 WORDS = 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.col(text_col).cast("string")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return in_batches(chosen).mapInArrow(task, "doc_id long, text_key long, fp long")
+    return in_batches(chosen).mapInArrow(lean(task), "doc_id long, text_key long, fp long")
 
 
 def embed(fp: np.ndarray) -> np.ndarray:

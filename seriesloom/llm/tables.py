@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
+import time
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,27 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def lean(task):
+    """``task`` for ``mapInArrow``, giving memory that Arrow and the C library keep for later back to the system now and then.
+
+    Python workers live on after a task, so what they keep adds up over the steps of a job.
+    """
+
+    def run(batches):
+        last = time.monotonic()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        for out in task(batches):
+            yield out
+            if time.monotonic() - last > 1:
+                pa.default_memory_pool().release_unused()
+                last = time.monotonic()
+        pa.default_memory_pool().release_unused()
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 #: Rows of a narrow table that one file holds, where the number of rows is known before.
 FILE_ROWS = 100_000
 
