@@ -1,12 +1,14 @@
 """Audit queries: parsing, quality, coverage, eligibility, duplicates, simple projections."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.registry import query, r6, rounded
 from seriesloom.catalog.sqlparts import category_sql, families_sql, using
 from seriesloom.functions import columns as C
 from seriesloom.functions import vocabulary as V
-from seriesloom.functions.ordering import split_quantiles
+from seriesloom.functions.ordering import null_safe_join, split_quantiles
 from seriesloom.operators import audit as A
 from seriesloom.session import table
 from seriesloom.sources import adapters as AD
@@ -212,6 +214,35 @@ def describe_percentiles(spark, d):
     return rounded(A.describe(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", PCT))
 
 
+@query("describe_sketch", "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS std, "
+       "min(l_extendedprice) AS min, max(l_extendedprice) AS max, TRUE AS ranks_hold FROM lineitem GROUP BY ALL")
+def describe_sketch(spark, d):
+    """Percentiles off one sketch per group, and whether the exact rank of each is within its stated error."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    s = A.describe(rows, ["l_returnflag"], "l_extendedprice", PCT, approximate=True)
+    share = lambda p: (F.avg((F.col("l_extendedprice") <= F.col(f"p{p}")).cast("double")), F.avg((F.col("l_extendedprice") < F.col(f"p{p}")).cast("double")))
+    near = [(share(p)[0] >= p / 100 - 0.02) & (share(p)[1] <= p / 100 + 0.02) for p in PCT]
+    held = null_safe_join(rows, s.select("l_returnflag", *[f"p{p}" for p in PCT]), ["l_returnflag"]).groupBy("l_returnflag").agg(functools.reduce(lambda a, b: a & b, near).alias("ranks_hold"))
+    return rounded(null_safe_join(s.drop(*[f"p{p}" for p in PCT]), held, ["l_returnflag"]))
+
+
+@query("period_sketches", """SELECT c_mktsegment, count(*) AS n_rows, TRUE AS orders_hold, TRUE AS customers_hold, TRUE AS median_holds
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""".replace("\n", " "))
+def period_sketches(spark, d):
+    """Sketches kept by month and segment and merged over all months: distinct counts and medians against exact ones."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    kept = A.period_sketches(o.withColumn("month", F.date_trunc("month", "o_orderdate")), ["c_mktsegment", "month"], "o_totalprice", ["o_orderkey", "o_custkey"])
+    path = FI.fresh_path(spark, "sketches")
+    kept.write.parquet(path)
+    m = A.merged_sketches(spark.read.parquet(path), ["c_mktsegment"], (50,), ["o_orderkey", "o_custkey"])
+    exact = o.groupBy("c_mktsegment").agg(F.countDistinct("o_orderkey").alias("e1"), F.countDistinct("o_custkey").alias("e2"))
+    j = null_safe_join(m, exact, ["c_mktsegment"])
+    r = null_safe_join(o, m.select("c_mktsegment", "p50"), ["c_mktsegment"]).groupBy("c_mktsegment").agg(F.avg((F.col("o_totalprice") <= F.col("p50")).cast("double")).alias("at"))
+    near = lambda n, e: F.abs(F.col(n) - F.col(e)) <= 0.05 * F.col(e)
+    return null_safe_join(j, r, ["c_mktsegment"]).select(
+        "c_mktsegment", "n_rows", near("n_o_orderkey", "e1").alias("orders_hold"), near("n_o_custkey", "e2").alias("customers_hold"), F.col("at").between(0.48, 0.52).alias("median_holds"))
+
+
 @query("duplicate_scan", """SELECT hash, CAST(sum(n) AS BIGINT) AS copies, count(*) AS owners, min(f) AS first_item FROM (
   SELECT md5(text) AS hash, source, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY ALL) GROUP BY hash HAVING sum(n) > 1""")
 def duplicate_scan(spark, d):

@@ -374,6 +374,15 @@ def band_join(spark, d):
     return rounded(b.groupBy("band").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("balanced_acc").alias("mean_score")))
 
 
+@query("interval_join", """SELECT c_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders
+  ON o_totalprice >= c_acctbal * 20 AND o_totalprice < c_acctbal * 20 + 500 + c_custkey % 3 * 1000 GROUP BY ALL""".replace("\n", " "))
+def interval_join(spark, d):
+    """Orders whose price lies in the band of each customer: overlapping intervals of several lengths, from a table."""
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") * 20).alias("lo"), (F.col("c_acctbal") * 20 + 500 + F.col("c_custkey") % 3 * 1000).alias("hi"))
+    j = J.interval_join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", c, "lo", "hi", crowd=500)
+    return j.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("select_pairs", using("pairs", f"""SELECT band, pick, class_a, class_b, round(balanced_acc, 6) AS balanced_acc, in_band, same_family, min_n FROM (
   SELECT *, row_number() OVER (PARTITION BY band ORDER BY in_band DESC, CASE WHEN in_band THEN same_family::INTEGER END DESC NULLS LAST, CASE WHEN in_band THEN dist END,
     CASE WHEN in_band THEN min_n END DESC NULLS LAST, CASE WHEN NOT in_band THEN near END, class_a, class_b) AS pick FROM (

@@ -18,7 +18,8 @@ from seriesloom.session import table
 from seriesloom.sources import adapters as AD
 
 D = P.Design()
-B = 100
+B = 100  # replicates where the SQL twin draws every one of them by a join
+B_WHOLE = 2000  # of the whole-table form
 PAIRED = ["diff", "ci_lo", "ci_hi", "n", "n_positive", "mean_a", "mean_b", "n_used", "w_plus", "w_minus", "w", "z", "p_normal"]
 
 
@@ -66,13 +67,14 @@ def _poisson_sql() -> str:
     w = " + ".join(f"(u >= {c!r}::DOUBLE)::INTEGER" for c in cum)
     return f"""SELECT round(any_value(mean), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS ci_lo, round(quantile_cont(m, 0.975), 4) AS ci_hi, any_value(n) AS n FROM (
       SELECT rep, sum(w * price) / nullif(sum(w), 0) AS m FROM (SELECT rep, price, {w} AS w FROM (
-        SELECT rep, price, ('0x' || substr(md5('0|' || rep || '|' || subject), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM spend, (SELECT unnest(range(1, {B + 1})) AS rep))) GROUP BY ALL),
+        SELECT rep, price, ('0x' || substr(md5('0|' || rep || '|' || subject), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM spend, (SELECT unnest(range(1, {B_WHOLE + 1})) AS rep))) GROUP BY ALL),
       (SELECT avg(price) AS mean, count(*) AS n FROM spend)"""
 
 
 @query("bootstrap_poisson", using("spend", _poisson_sql()))
 def bootstrap_poisson(spark, d):
-    ci = ST.bootstrap_ci(spend(spark, d), [], "subject", "price", B, method="poisson")
+    """All replicates over the whole table: sums travel, not replicates of rows."""
+    ci = ST.bootstrap_ci(spend(spark, d), [], "subject", "price", B_WHOLE, method="poisson")
     return ci.select(*[F.round(c, 4).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n")
 
 
@@ -378,7 +380,24 @@ def sessions(spark, d):
 def linear_and_rank_trend(spark, d):
     s = sessions(spark, d)
     s = mid_ranks(mid_ranks(s, ["role"], "days_since", "rx"), ["role"], "accuracy", "ry")
-    return rounded(s.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("accuracy", "days_since").alias("slope"), F.corr("rx", "ry").alias("rho")))
+    return rounded(s.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("accuracy", "days_since").alias("slope"), ST.correlation("rx", "ry").alias("rho")))
+
+
+RANKED = 199  # drawn orders
+
+
+@query("rank_trend", using("event_rows", PER_SESSION + f""", r AS (SELECT *, CASE WHEN subject % 2 = 0 THEN 'recorded' ELSE 'new' END AS role, session_id AS u FROM ps),
+  k AS (SELECT *, rank() OVER (PARTITION BY role ORDER BY days_since) + (count(*) OVER (PARTITION BY role, days_since) - 1) / 2.0::DOUBLE AS rx,
+    rank() OVER (PARTITION BY role ORDER BY accuracy) + (count(*) OVER (PARTITION BY role, accuracy) - 1) / 2.0::DOUBLE AS ry,
+    row_number() OVER (PARTITION BY role ORDER BY md5('0|id|' || u), u) AS i FROM r),
+  o AS (SELECT role, count(*) AS n, corr(rx, ry) AS rho, abs(sum(rx * ry) - count(*) * avg(rx) * avg(rx)) - 1e-9 AS far, avg(rx) AS m FROM k GROUP BY ALL),
+  q AS (SELECT role, rep, ry, row_number() OVER (PARTITION BY role, rep ORDER BY md5('0|' || rep || '|' || u), u) AS i FROM k, (SELECT unnest(range(1, {RANKED + 1})) AS rep)),
+  t AS (SELECT q.role, rep, sum(rx * q.ry) AS t FROM q JOIN k ON (k.role, k.i) = (q.role, q.i) GROUP BY ALL),
+  p AS (SELECT role, (count(*) FILTER (abs(t - n * m * m) >= far) + 1) / {RANKED + 1}.0 AS p FROM t JOIN o USING (role) GROUP BY ALL)
+  SELECT role, n, round(rho, 6) AS rho, round(p::DOUBLE, 6) AS p FROM o JOIN p USING (role)""".replace("\n", " ")))
+def rank_trend(spark, d):
+    """Rank correlation of accuracy with time, and its permutation p, by seeded orders of the sessions."""
+    return rounded(ST.rank_trend(sessions(spark, d), ["role"], "session_id", "days_since", "accuracy", RANKED))
 
 
 @query("first_last_change", using("event_rows", PER_SESSION + """SELECT subject, round(arg_max(a, days_since) - arg_min(a, days_since), 6) AS change FROM (

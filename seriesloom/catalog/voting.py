@@ -82,6 +82,21 @@ def asof_call(spark, d):
     return V.asof_calls(running(spark, d), [*COND, "role"], TIMES)
 
 
+part("times", ("running",), """SELECT DISTINCT repeat, n_team, k, role, series_id, unnest([0.5, 1.0 + (series_id % 4) * 0.25, round(1.0 + (series_id % 7) * 0.2, 6), NULL])::DOUBLE AS t_s FROM running""")
+
+
+@query("asof_join", using("times", f"""SELECT t.repeat::INTEGER AS repeat, t.n_team, t.k, t.role, t.series_id, t.t_s,
+  coalesce(arg_max(call, end_s) FILTER (t_s IS NULL OR end_s <= t_s), arg_min(call, end_s)) AS call
+  FROM times t JOIN running r USING (repeat, n_team, k, role, series_id) GROUP BY ALL""".replace("\n", " ")))
+def asof_join(spark, d):
+    """Calls at times that stand in a table: each series has its own."""
+    r = running(spark, d)
+    s = F.col("series_id")
+    own = F.array(F.lit(0.5), 1.0 + (s % 4) * 0.25, F.round(1.0 + (s % 7) * 0.2, 6), F.lit(None).cast("double"))
+    times = r.select(*COND, "role", "series_id").distinct().select("*", F.explode(F.array_distinct(own)).alias("t_s"))
+    return V.asof_join(r, times, [*COND, "role"], piece_s=0.6)
+
+
 @query("stable_since", using("stable", f"SELECT {COND_SQL}, role, series_id, subject, truth, set_duration_s, stable_s FROM stable"))
 def stable_since(spark, d):
     return V.stable_since(running(spark, d), [*COND, "role"])

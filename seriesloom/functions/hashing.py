@@ -24,14 +24,3 @@ def draw_unit(seed: int, *parts) -> Column:
 def draw_bucket(key: Column, hex_digits: int = 3) -> Column:
     """Leading digits of a sort key: an order-preserving split of one group into 16**n parts."""
     return F.substring(key, 1, hex_digits)
-
-
-def poisson_weight(unit: Column) -> Column:
-    """Poisson(1) count by inversion of a uniform draw (tail beyond 8 has mass below 1.2e-6)."""
-    import math
-
-    cum, out = 0.0, None
-    for n in range(9):
-        cum += math.exp(-1.0) / math.factorial(n)
-        out = F.when(unit < cum, n) if out is None else out.when(unit < cum, n)
-    return out.otherwise(9)

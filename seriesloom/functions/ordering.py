@@ -60,6 +60,20 @@ def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: C
             .drop("_piece", "_v", "_p", "_edge", "_end"))
 
 
+def split_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], piece: Column, col: str, name: str) -> DataFrame:
+    """The last value of ``col`` that is not NULL, up to and including the row, per group and also across the pieces.
+
+    ``piece`` must be non-decreasing along ``order``; one row per piece is carried on.
+    """
+    parts = [*keys, "_piece"]
+    here = Window.partitionBy(*parts).orderBy(*order)
+    local = df.withColumn("_piece", piece).withColumns({
+        "_l": F.last(col, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0)), "_end": F.lead(F.lit(1)).over(here).isNull()})
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    edges = local.where("_end").select(*parts, F.last("_l", ignorenulls=True).over(before).alias("_edge"))
+    return null_safe_join(local, edges, parts).withColumn(name, F.coalesce("_l", "_edge")).drop("_piece", "_l", "_end", "_edge")
+
+
 def split_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column,
                       cols: Sequence[str], prefix: str = "run_") -> DataFrame:
     """Running totals per group, carried over the pieces."""
@@ -76,12 +90,13 @@ def split_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, extra: dict[str, Column] | None = None,
-                keep_null: bool = False, piece_rows: int = PIECE_ROWS) -> DataFrame:
+                keep_null: bool = False, piece_rows: int = PIECE_ROWS, running: Sequence[str] = ()) -> DataFrame:
     """Per group and distinct value: ``n`` rows with it, ``n_before`` smaller ones, ``n_total`` in the group.
 
     Equal values are counted map-side first. A group is cut at approximate quantiles into pieces of about
     ``piece_rows`` distinct values, at most ``MAX_PIECES``; this only steers the split, the ranks are exact.
-    ``extra`` adds aggregates per distinct value. NULL values are left out, or kept as values that count 0 rows.
+    ``extra`` adds aggregates per distinct value; of those named in ``running``, counts as well, the sum over smaller
+    values (``<name>_before``) and over the group (``<name>_total``) come along. NULL values are left out, or kept as values that count 0 rows.
     """
     d = df if keep_null else df.where(F.col(value).isNotNull())
     d = d.groupBy(*keys, value).agg(F.count(value).alias("n"), *[c.alias(k) for k, c in (extra or {}).items()])
@@ -95,13 +110,14 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, extra: dict[str,
     parts = [*keys, "_piece"]
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy(*parts).agg(F.sum("n").alias("_s"))
-    offsets = sums.select(*parts, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"),
-                          F.sum("_s").over(whole).alias("n_total"))
+    counts = ["n", *running]
+    sums = d.groupBy(*parts).agg(*[F.sum(c).alias(f"_s_{c}") for c in counts])
+    offsets = sums.select(*parts, *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in counts],
+                          *[F.sum(f"_s_{c}").over(whole).alias(f"{c}_total") for c in counts])
     here = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = d.withColumn("_in", F.coalesce(F.sum("n").over(here), F.lit(0)))
-    return (null_safe_join(local, offsets, parts).withColumn("n_before", F.col("_off") + F.col("_in"))
-            .select(*keys, value, "n", "n_before", "n_total", *(extra or {})))
+    local = d.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(here), F.lit(0)) for c in counts})
+    out = null_safe_join(local, offsets, parts).withColumns({f"{c}_before": F.col(f"_off_{c}") + F.col(f"_in_{c}") for c in counts})
+    return out.select(*keys, value, "n", "n_before", "n_total", *(extra or {}), *[f"{c}_{end}" for c in running for end in ("before", "total")])
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], piece_rows: int = PIECE_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import vocabulary as V
 from seriesloom.functions.columns import exclude_reason
-from seriesloom.functions.ordering import quantiles, split_enumerate, split_quantiles
+from seriesloom.functions.ordering import null_safe_join, quantiles, split_enumerate, split_quantiles
 
 
 def parse_series_name(df: DataFrame, name: str = "name") -> DataFrame:
@@ -76,7 +76,7 @@ def subject_coverage(bouts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("bouts"), F.countDistinct("cls").alias("classes"), F.sum("rep_count").alias("reps"),
         F.min_by("cls", F.struct("started", "series_id")).alias("first_cls"))
     med = split_quantiles(derive_rates(bouts), ["subject"], "rep_rate_hz", {"median_rate": 0.5})
-    return c.join(med, "subject", "left")
+    return null_safe_join(c, med, ["subject"], "left")
 
 
 def coverage_matrix(bouts: DataFrame, classes: Sequence[str]) -> DataFrame:
@@ -105,28 +105,58 @@ def eligibility(bouts: DataFrame, n_classes: int) -> DataFrame:
 
 
 def class_audit(bouts: DataFrame) -> DataFrame:
-    """Per class: size, subjects, sessions, minutes, medians, spread of sets per subject, imbalance."""
+    """Per class, NULL included: size, subjects, sessions, minutes, medians, spread of sets per subject, imbalance."""
     c = bouts.groupBy("cls").agg(
         F.count(F.lit(1)).alias("bouts"), F.sum("rep_count").alias("reps"), F.countDistinct("subject").alias("subjects"),
         F.countDistinct("session_id").alias("sessions"), (F.sum("duration_s") / 60).alias("minutes"))
     per = bouts.groupBy("cls", "subject").agg(F.count(F.lit(1)).alias("sets"))
     spread = per.groupBy("cls").agg(F.min("sets").alias("sets_min"), F.max("sets").alias("sets_max"))
     med = quantiles(derive_rates(bouts), ["cls"], {"median_duration_s": ("duration_s", 0.5), "median_rep_rate_hz": ("rep_rate_hz", 0.5)})
-    spread = spread.join(med, "cls").join(split_quantiles(per, ["cls"], "sets", {"sets_median": 0.5}), "cls")
+    spread = null_safe_join(null_safe_join(spread, med, ["cls"]), split_quantiles(per, ["cls"], "sets", {"sets_median": 0.5}), ["cls"])
     most = Window.partitionBy(F.lit(0))  # one row per class at this point
-    return c.join(spread, "cls").withColumn("imbalance", F.max("bouts").over(most) / F.col("bouts"))
+    return null_safe_join(c, spread, ["cls"]).withColumn("imbalance", F.max("bouts").over(most) / F.col("bouts"))
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str,
              percents: Sequence[int] = (1, 5, 25, 50, 75, 95, 99), approximate: bool = False) -> DataFrame:
-    """count, mean, sample SD, min, max and percentiles per group; exact unless asked otherwise."""
-    m = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-                              F.min(value).alias("min"), F.max(value).alias("max"))
+    """count, mean, sample SD, min, max and percentiles per group, NULL keys a group; exact unless asked otherwise.
+
+    The approximate form reads all percentiles off one mergeable sketch per group.
+    """
+    aggs = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
     if approximate:
-        q = df.groupBy(*keys).agg(*[F.percentile_approx(value, p / 100).alias(f"p{p}") for p in percents])
-    else:
-        q = split_quantiles(df, keys, value, {f"p{p}": p / 100 for p in percents})
-    return m.join(q, list(keys))
+        sketched = df.groupBy(*keys).agg(*aggs, F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias("_q"))
+        return sketched.select(*keys, "n", "mean", "std", "min", "max", *percentiles_of("_q", percents))
+    m, q = df.groupBy(*keys).agg(*aggs), split_quantiles(df, keys, value, {f"p{p}": p / 100 for p in percents})
+    return null_safe_join(m, q, keys) if keys else m.withColumns({f"p{p}": q.select(f"p{p}").scalar() for p in percents})
+
+
+#: Sizes of the sketches: ranks within about 0.7 % at k = 400, distinct counts within about 2.3 % (one SD 1.6 % at 12 bits).
+SKETCH_K, SKETCH_BITS = 400, 12
+
+
+def percentiles_of(sketch: str, percents: Sequence[int]) -> list[Column]:
+    """Columns p<percent> read off a quantile sketch; NULL where it holds no value."""
+    some = F.kll_sketch_get_n_double(sketch) > 0
+    return [F.when(some, F.kll_sketch_get_quantile_double(sketch, F.lit(p / 100))).alias(f"p{p}") for p in percents]
+
+
+def period_sketches(df: DataFrame, keys: Sequence[str], value: str | None = None, distinct: Sequence[str] = ()) -> DataFrame:
+    """One row per key (a period, say): rows, a quantile sketch of ``value``, and a distinct-count sketch of each of ``distinct``.
+
+    Kept as a table, the rows of any range of keys merge into its summary without another look at the data.
+    """
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    if value:
+        aggs.append(F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias("quantiles"))
+    return df.groupBy(*keys).agg(*aggs, *[F.hll_sketch_agg(F.col(c).cast("string"), SKETCH_BITS).alias(f"distinct_{c}") for c in distinct])
+
+
+def merged_sketches(sketches: DataFrame, keys: Sequence[str] = (), percents: Sequence[int] = (), distinct: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``period_sketches`` merged by ``keys``: n_rows, percentiles, and n_<column> distinct values."""
+    aggs = [F.sum("n_rows").alias("n_rows")] + ([F.kll_merge_agg_double("quantiles").alias("_q")] if percents else [])
+    d = sketches.groupBy(*keys).agg(*aggs, *[F.hll_union_agg(f"distinct_{c}").alias(f"_d_{c}") for c in distinct])
+    return d.select(*keys, "n_rows", *percentiles_of("_q", percents), *[F.hll_sketch_estimate(f"_d_{c}").alias(f"n_{c}") for c in distinct])
 
 
 def duplicate_scan(df: DataFrame, content: Column, owner: str, item: str) -> DataFrame:

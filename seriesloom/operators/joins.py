@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.hashing import draw_bucket, draw_key
-from seriesloom.functions.ordering import split_rank
+from seriesloom.functions.ordering import null_safe_join, split_rank
 
 
 def join_baseline(rows: DataFrame, baseline: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -22,9 +22,9 @@ def completeness(rows: DataFrame, name: str) -> DataFrame:
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-9) -> DataFrame:
-    """Full-outer comparison: matched and one-sided rows, largest absolute difference, verdict."""
-    j = (a.select(*keys, F.col(value).alias("_a"), F.lit(1).alias("_ina")).join(
-        b.select(*keys, F.col(value).alias("_b"), F.lit(1).alias("_inb")), list(keys), "full"))
+    """Full-outer comparison: matched and one-sided rows, largest absolute difference, verdict; NULL keys match each other."""
+    left, right = a.select(*keys, F.col(value).alias("_a"), F.lit(1).alias("_ina")), b.select(*keys, F.col(value).alias("_b"), F.lit(1).alias("_inb"))
+    j = null_safe_join(left, right, keys, "full")
     one = j.agg(F.count(F.when(F.col("_ina").isNotNull() & F.col("_inb").isNotNull(), 1)).alias("matched"),
                 F.count(F.when(F.col("_inb").isNull(), 1)).alias("only_left"), F.count(F.when(F.col("_ina").isNull(), 1)).alias("only_right"),
                 F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_abs_diff"))
@@ -61,3 +61,32 @@ def band_join(rows: DataFrame, score: str, bands: dict[str, tuple[float, float]]
     table = F.array(*[F.struct(F.lit(n).alias("band"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for n, (lo, hi) in bands.items()])
     fits = F.filter(table, lambda b: (F.col(score) >= b["lo"]) & (F.col(score) < b["hi"]))
     return rows.select("*", F.explode(fits).alias("_b")).select("*", "_b.band", "_b.lo", "_b.hi").drop("_b")
+
+
+def interval_join(rows: DataFrame, value: str, bands: DataFrame, lo: str, hi: str, keys: Sequence[str] = (), width: Column | float | None = None,
+                  crowd: int = 100_000, how: str = "inner") -> DataFrame:
+    """Rows with all half-open intervals [lo, hi) of a table that hold ``value``, among those of equal ``keys`` (NULL equals NULL).
+
+    The line is cut into bins of ``width`` (the mean length of the intervals, unless given). An interval stands in
+    every bin that it covers, a row in one, and pairs of a bin are checked exactly: an equi-join whose size follows
+    the result. Bins with more than ``crowd`` rows are dealt into parts by a hash of the row, and the intervals there
+    go to all of them. Intervals may overlap. NULL or empty intervals hold nothing, NULL values lie in none; with
+    ``how="left"`` their rows stay.
+    """
+    if width is None:
+        width = bands.agg(F.avg(F.when(F.col(hi) > F.col(lo), (F.col(hi) - F.col(lo)).cast("double"))).alias("w")).scalar()
+    width = F.coalesce(F.lit(width) if isinstance(width, (int, float)) else width, F.lit(1.0))
+    bin_of = lambda c: F.floor(F.col(c).cast("double") / width)
+    b = bands.where(F.col(hi) > F.col(lo)).withColumn("_bin", F.explode(F.sequence(bin_of(lo), bin_of(hi))))
+    d = rows.withColumn("_bin", bin_of(value))
+    at = [*keys, "_bin"]
+    crowded = d.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select(*at, F.ceil(F.col("_n") / crowd).cast("int").alias("_parts"))
+    parts = lambda df: null_safe_join(df, crowded, at, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    d = parts(d).withColumn("_part", F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()), "_parts").cast("int")).drop("_parts")
+    b = parts(b).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    names = {c: f"_k_{c}" for c in (*keys, "_bin", "_part")}
+    b = b.withColumnsRenamed(names)
+    on = (F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi))
+    for c, n in names.items():
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return d.join(b, on, how).drop(*names.values(), "_bin", "_part")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import normal_two_sided
-from seriesloom.functions.hashing import draw_bucket, draw_int, draw_key, draw_unit, poisson_weight
-from seriesloom.functions.ordering import null_safe_join, split_quantiles, split_rank, value_ranks
+from seriesloom.functions.hashing import draw_bucket, draw_int, draw_key
+from seriesloom.functions.ordering import mid_ranks, null_safe_join, split_quantiles, split_rank, value_ranks
+from seriesloom.operators.joins import interval_join
 from seriesloom.session import fresh_path
 
 
@@ -31,10 +35,68 @@ def resamples(rows: DataFrame, keys: Sequence[str], unit: str, values: Sequence[
 
 
 def poisson_resamples(rows: DataFrame, keys: Sequence[str], unit: str, values: Sequence[str], b: int, seed: int) -> DataFrame:
-    """Bootstrap means with Poisson(1) weights: no numbering and no join, for very many units."""
-    d = rows.select(*keys, unit, *values).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    d = d.withColumn("_w", poisson_weight(draw_unit(seed, "rep", unit)))
-    return d.groupBy(*keys, "rep").agg(*[(F.sum(F.col("_w") * F.col(v)) / F.nullif(F.sum("_w"), F.lit(0))).alias(v) for v in values])
+    """Bootstrap means with Poisson(1) weights: no numbering and no join, for very many units.
+
+    A task adds up, for each key, ``b`` weighted sums and ``b`` weights of every value in one vector, so a row per task
+    and key is exchanged and nothing is multiplied by ``b`` before it. NULL values do not count.
+    """
+    types = dict(rows.dtypes)
+    names = [f"_s{i}" for i in range(len(values))] + [f"_w{i}" for i in range(len(values))]
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"{n} array<double>" for n in names])
+    chosen = rows.select(*keys, F.col(unit).cast("string").alias("_u"), *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    starts = [f"{seed}|{r}".encode() for r in range(1, b + 1)]
+
+    def put(sums: dict, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        columns = [pa.array([k[i] for k in sums], batch.schema.field(i).type) for i in range(len(keys))]
+        stack = np.array(list(sums.values()))
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * b), pa.array(stack[:, i].ravel())) for i in range(len(names))]
+        yield pa.RecordBatch.from_arrays([*columns, *lists], [*keys, *names])
+
+    def weighed(batches):
+        sums, last = {}, None
+        for batch in batches:
+            last = batch
+            own = list(zip(*(c.to_pylist() for c in batch.columns[: len(keys)]), strict=True)) or [()] * batch.num_rows
+            v = np.stack([batch.column(f"_v{i}").to_numpy(zero_copy_only=False) for i in range(len(values))], axis=1)
+            for key, u, value in zip(own, batch.column("_u").to_pylist(), v, strict=True):
+                tail = b"" if u is None else b"|" + u.encode()
+                drawn = np.frombuffer(b"".join(md5(s + tail).digest()[:4] for s in starts), ">u4") / 4294967296.0
+                w = np.searchsorted(POISSON, drawn, side="right").astype(float)
+                if key not in sums:
+                    sums[key] = np.zeros((len(names), b))
+                known = ~np.isnan(value)
+                sums[key][: len(values)] += np.outer(np.where(known, value, 0.0), w)
+                sums[key][len(values) :] += np.outer(known, w)
+                if len(sums) * len(names) * b > HELD_NUMBERS:
+                    yield from put(sums, batch)
+                    sums = {}
+        if sums:
+            yield from put(sums, last)
+
+    def summed(batches):
+        key, total, last = None, None, None
+        for batch in batches:
+            own = list(zip(*(c.to_pylist() for c in batch.columns[: len(keys)]), strict=True)) or [()] * batch.num_rows
+            parts = np.stack([batch.column(n).flatten().to_numpy().reshape(batch.num_rows, b) for n in names], axis=1)
+            for k, part in zip(own, parts, strict=True):
+                if total is not None and k != key:
+                    yield from put({key: total}, batch)
+                    total = None
+                key, total, last = k, part if total is None else total + part, batch
+        if total is not None:
+            yield from put({key: total}, last)
+
+    partial = chosen.mapInArrow(weighed, schema)
+    met = partial.repartition(*keys).sortWithinPartitions(*keys) if keys else partial.coalesce(1)
+    each = met.mapInArrow(summed, schema).select(*keys, F.posexplode(F.arrays_zip(*names)).alias("_r", "_x"))
+    means = [F.try_divide(F.col("_x")[f"_s{i}"], F.col("_x")[f"_w{i}"]).alias(v) for i, v in enumerate(values)]
+    return each.select(*keys, (F.col("_r") + 1).alias("rep"), *means)
+
+
+#: Numbers that a task of the bootstrap holds before it sends its sums on.
+HELD_NUMBERS = 1 << 23
+#: Cumulative Poisson(1) probabilities up to 8; what is beyond (1.2e-6) counts 9.
+POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1, *range(1, 9)]))
 
 
 def interval(rows: DataFrame, keys: Sequence[str], unit: str, value: str, b: int, seed: int, alpha: float = 0.05,
@@ -178,20 +240,72 @@ def n_threshold(curves: DataFrame, keys: Sequence[str], x: str, y: str, frac: fl
 def equivalent_x(scores: DataFrame, curves: DataFrame, keys: Sequence[str], x: str, y: str, value: str) -> DataFrame:
     """x at which the running maximum of the curve reaches a score; NULL outside the curve.
 
-    A curve has one row for each point of its grid of parameters, and is carried as one array per key.
+    The segments of the curve are intervals of scores, joined as such, so a curve may have any number of points.
+    """
+    up = Window.partitionBy(*keys).orderBy(x)
+    points = curves.select(*keys, F.col(x).cast("double").alias("_x0"), F.max(y).over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("_f0"))
+    after = Window.partitionBy(*keys).orderBy("_x0")
+    segments = points.withColumns({"_x1": F.lead("_x0").over(after), "_f1": F.lead("_f0").over(after)})
+    # the last point is an interval of its own, of which only its beginning counts
+    segments = segments.withColumn("_to", F.coalesce("_f1", F.col("_f0") + 1))
+    d = interval_join(scores, value, segments, "_f0", "_to", keys, how="left")
+    v, x0, f0 = F.col(value), F.col("_x0"), F.col("_f0")
+    at = F.when(F.col("_x1").isNotNull(), x0 + (v - f0) / (F.col("_f1") - f0) * (F.col("_x1") - x0)).when(v == f0, x0)
+    return d.withColumn("equivalent_x", at).drop("_x0", "_f0", "_x1", "_f1", "_to")
+
+
+def correlation(x: str, y: str) -> Column:
+    """Correlation as an aggregate; NULL where x or y does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
+#: Groups up to this size are enumerated, 7! orders; larger ones are drawn.
+ENUMERATED = 7
+
+
+def rank_trend(rows: DataFrame, keys: Sequence[str], unit: str, x: str, y: str, replicates: int = 999, seed: int = 0) -> DataFrame:
+    """(keys, n, rho, p): rank correlation of x and y with its two-sided permutation p.
+
+    Replicate r sets the y of the unit that comes i-th by digest of (seed, r, unit) against the x of the i-th unit by
+    id; p counts the orders whose rho is at least as far from 0, the observed one included. Groups of up to ENUMERATED
+    rows are enumerated and exact. Rows with a NULL x or y do not count; rho and p are NULL where x or y does not vary.
+    Orders are ranked in pieces of the digest, so a group is never in one task, but for the enumerated ones.
     """
-    up = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    points = curves.select(*keys, F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y"), F.max(y).over(up).alias("f")).alias("_p"))
-    pts = points.groupBy(*keys).agg(F.array_sort(F.collect_list("_p")).alias("_pts")).withColumn("_f", F.col("_pts.f"))
-    d = scores.join(pts, list(keys)) if keys else scores.withColumns({c: pts.select(c).scalar() for c in ("_pts", "_f")})
-    v, f, p, n = F.col(value), F.col("_f"), F.col("_pts"), F.size("_pts")
-    # last point whose running maximum does not exceed the score
-    lo = F.size(F.filter("_f", lambda q: q <= v)) - 1
-    f0, f1 = F.get(f, lo), F.get(f, lo + 1)
-    x0, x1 = F.get(p, lo)["x"], F.get(p, lo + 1)["x"]
-    inside = (v >= F.get(f, F.lit(0))) & (v <= F.get(f, n - 1))
-    at = F.when(lo >= n - 1, F.get(p, n - 1)["x"]).otherwise(x0 + (v - f0) / (f1 - f0) * (x1 - x0))
-    return d.withColumn("equivalent_x", F.when(inside, at)).drop("_pts", "_f")
+    d = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(unit).alias("_u"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    d = mid_ranks(mid_ranks(d, keys, "_x", "_rx"), keys, "_y", "_ry").select(*keys, "_u", "_rx", "_ry")
+    d = split_rank(d.withColumn("_o", draw_key(seed, F.lit("id"), "_u")), keys, [F.col("_o"), F.col("_u")], draw_bucket(F.col("_o"), 2), "_i").drop("_o")
+    path = fresh_path(rows.sparkSession, "ranks")
+    d.write.parquet(path)
+    d = rows.sparkSession.read.parquet(path)
+    n = F.count(F.lit(1))
+    one = d.groupBy(*keys).agg(n.alias("n"), correlation("_rx", "_ry").alias("rho"), F.sum(F.col("_rx") * F.col("_ry")).alias("_s"), F.avg("_rx").alias("_m"))
+    one = one.withColumn("_far", F.abs(F.col("_s") - F.col("n") * F.col("_m") * F.col("_m")) - 1e-9)
+
+    @F.pandas_udf("double")
+    def exact(pairs: pd.Series) -> pd.Series:
+        def share(own) -> float:
+            a, b = np.array([p["_rx"] for p in own]), np.array([p["_ry"] for p in own])
+            sums = np.array([list(order) for order in permutations(b)]) @ a - len(a) * a.mean() ** 2
+            return float((np.abs(sums) >= abs(a @ b - len(a) * a.mean() ** 2) - 1e-9).mean())
+
+        return pairs.map(share)
+
+    few = null_safe_join(d, one.where(F.col("n") <= ENUMERATED).select(*keys), keys, "left_semi") if keys else d.where(one.select("n").scalar() <= ENUMERATED)
+    few = few.groupBy(*keys).agg(F.collect_list(F.struct("_rx", "_ry")).alias("_p"))
+    few = few.where(F.size("_p") > 0).select(*keys, exact("_p").alias("_exact"))
+    many = null_safe_join(d, one.where(F.col("n") > ENUMERATED).select(*keys), keys, "left_semi") if keys else d.where(one.select("n").scalar() > ENUMERATED)
+    drawn = many.select(*keys, "_u", "_ry", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r")).withColumn("_o", draw_key(seed, "_r", "_u"))
+    drawn = split_rank(drawn, [*keys, "_r"], [F.col("_o"), F.col("_u")], draw_bucket(F.col("_o"), 1), "_i").select(*keys, "_r", "_i", "_ry")
+    sums = null_safe_join(drawn, many.select(*keys, "_i", "_rx"), [*keys, "_i"]).groupBy(*keys, "_r").agg(F.sum(F.col("_rx") * F.col("_ry")).alias("_t"))
+    base = one.select(*keys, "_far", "n", "_m")
+    sums = null_safe_join(sums, base, keys) if keys else sums.withColumns({c: base.select(c).scalar() for c in ("_far", "n", "_m")})
+    share = (F.sum((F.abs(F.col("_t") - F.col("n") * F.col("_m") * F.col("_m")) >= F.col("_far")).cast("int")) + 1) / F.lit(replicates + 1.0)
+    far = sums.groupBy(*keys).agg(share.alias("_drawn"))
+    if keys:
+        one = null_safe_join(null_safe_join(one, few, keys, "left"), far, keys, "left")
+    else:
+        one = one.withColumns({"_exact": few.select("_exact").scalar(), "_drawn": far.select("_drawn").scalar()})
+    return one.select(*keys, "n", "rho", F.when(F.col("rho").isNotNull(), F.coalesce("_exact", "_drawn")).alias("p"))
 
 
 def within_slopes(rows: DataFrame, keys: Sequence[str], group: str, y: Column, x1: Column, x2: Column) -> DataFrame:

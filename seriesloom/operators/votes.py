@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.arrays import first_argmax
-from seriesloom.functions.ordering import split_running_sum
+from seriesloom.functions.ordering import null_safe_join, split_last, split_running_sum
 
 TIE_WEIGHT = 1e-3
 
@@ -67,6 +67,25 @@ def asof_calls(running: DataFrame, keys: Sequence[str], times: Sequence[float])
         "*", "_c.t_s", "_c.call").drop("_c")
 
 
+def asof_join(running: DataFrame, times: DataFrame, keys: Sequence[str], time_col: str = "t_s", piece_s: float = 600.0) -> DataFrame:
+    """``times`` (keys, series_id, a time, any other columns) with the ``call`` of each row's series at its time.
+
+    The call is that of the last window ended by then, inclusive; before the first window, that window's; at a NULL
+    time, the last one's; NULL for a series without windows. Windows and times are merged in order, and the last call
+    is carried on over pieces of ``piece_s`` seconds: no range join, and no task holds a whole series.
+    """
+    g = [*keys, "series_id"]
+    own = [c for c in times.columns if c not in g]
+    at = F.coalesce(F.col(time_col).cast("double"), F.lit(float("inf")))
+    asked = times.select(*g, at.alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_call"), F.struct(*own).alias("_own"))
+    ended = running.select(*g, F.col("end_s").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.col("call").alias("_call"))
+    both = ended.withColumn("_own", F.lit(None).cast(asked.schema["_own"].dataType)).unionByName(asked)
+    piece = F.floor(F.least(F.col("_t") / piece_s, F.lit(1e15)))
+    found = split_last(both, g, ["_t", "_kind"], piece, "_call", "_last").where("_kind = 1")
+    first = running.groupBy(*g).agg(F.min_by("call", "end_s").alias("_first"))
+    return null_safe_join(found, first, g, "left").select(*g, *[F.col("_own")[c].alias(c) for c in own], F.coalesce("_last", "_first").alias("call"))
+
+
 def stable_since(running: DataFrame, keys: Sequence[str]) -> DataFrame:
     """End of the first window after which every call is right; NULL when the last call is wrong.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import vocabulary as V
 from seriesloom.functions.hashing import draw_key
-from seriesloom.functions.ordering import first_k
+from seriesloom.functions.ordering import first_k, null_safe_join, value_ranks
 from seriesloom.operators import learn as L
 from seriesloom.plans import cohort as P
 from seriesloom.plans.experiment import cohort_windows, saved_roles
@@ -109,14 +109,35 @@ def extra_predictions(spark: SparkSession, sf_dir: str, design: P.Design = P.Des
     return materialize(run, spark, ("extra", sf_dir, str(design), n_team, targeted, n_broad))
 
 
+def fold_profiles(rows: DataFrame, k_folds: int) -> DataFrame:
+    """(cls, out, mi, mu, var): median and sample variance of each measure over the rows of a class outside fold ``out``.
+
+    ``rows`` has (cls, fold, m). Values are counted by fold once; the ranks outside a fold are those of all rows less
+    those of the fold, carried along as further running counts of one pass.
+    """
+    long = rows.select("cls", "fold", F.posexplode("m").alias("mi", "v"))
+    outside = {f"o{f}": F.count(F.when(F.col("fold") != f, F.col("v"))) for f in range(k_folds)}
+    r = value_ranks(long, ["cls", "mi"], "v", extra=outside, running=list(outside))
+    found = []
+    for o in outside:
+        n, before, total = F.col(o), F.col(f"{o}_before"), F.col(f"{o}_total")
+        for end, index in (("lo", F.floor((total - 1) / 2)), ("hi", F.ceil((total - 1) / 2))):
+            found.append(F.max(F.when((before <= index) & (index < before + n), F.col("v"))).alias(f"{end}_{o}"))
+    medians = r.groupBy("cls", "mi").agg(*found)
+    spread = long.groupBy("cls", "mi").agg(*[F.var_samp(F.when(F.col("fold") != f, F.col("v"))).alias(f"var_o{f}") for f in range(k_folds)])
+    both = null_safe_join(medians, spread, ["cls", "mi"])
+    per = F.array(*[F.struct(F.lit(f).alias("out"), ((F.col(f"lo_o{f}") + F.col(f"hi_o{f}")) / 2).alias("mu"), F.col(f"var_o{f}").alias("var")) for f in range(k_folds)])
+    return both.select("cls", "mi", F.explode(per).alias("_o")).select("cls", "_o.out", "mi", "_o.mu", "_o.var").where("mu IS NOT NULL")
+
+
 def pair_screen(spark: SparkSession, sf_dir: str, k_folds: int = 5, n_measures: int = len(L.MEASURES)) -> DataFrame:
     """Every class pair under subject-grouped cross-validation with the profile learner, in one job.
 
     A class profile depends on the class and the left-out fold only, so it is fitted once and shared by all
-    pairs. Medians run over all subjects, hence through the split quantiles; only counts per (pair, fold,
-    truth, call) leave the scoring stage.
+    pairs. Its medians come from counts of each value by fold: the values of the other folds are all less the
+    fold's own, so every measure of a series is ranked once, through the split ranks. A series is judged for all
+    pairs of its class in its own row; only counts per (pair, fold, truth, call) leave the scoring stage.
     """
-    from seriesloom.functions.ordering import split_quantiles
     from seriesloom.operators.joins import class_pairs
 
     rows = materialize(lambda: L.series_mean(cohort_windows(spark, sf_dir)), spark, ("series", sf_dir))
@@ -126,12 +147,8 @@ def pair_screen(spark: SparkSession, sf_dir: str, k_folds: int = 5, n_measures:
     rows.write.parquet(path)
     rows = spark.read.parquet(path)
     n_classes = rows.select("cls").distinct().count()  # measured: it bounds what is broadcast below
-    long = rows.select("cls", "fold", F.posexplode("m").alias("mi", "v")).withColumn(
-        "out", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k_folds - 1)), lambda f: f != F.col("fold"))))
-    key = ["cls", "out", "mi"]
-    fit = split_quantiles(long, key, "v", {"mu": 0.5}).join(long.groupBy(*key).agg(F.var_samp("v").alias("var")), key)
     # one row per left-out fold: classes x measures
-    model = fit.groupBy("out", "cls").agg(F.array_sort(F.collect_list(F.struct("mi", "mu", "var"))).alias("p"))
+    model = fold_profiles(rows, k_folds).groupBy("out", "cls").agg(F.array_sort(F.collect_list(F.struct("mi", "mu", "var"))).alias("p"))
     model = model.groupBy("out").agg(F.map_from_entries(F.collect_list(F.struct("cls", "p"))).alias("model"))
     d = rows.join(bounded_broadcast(model, k_folds * n_classes * n_measures), rows["fold"] == model["out"])
     pairs = class_pairs(rows, 2)
@@ -139,14 +156,17 @@ def pair_screen(spark: SparkSession, sf_dir: str, k_folds: int = 5, n_measures:
     both = pairs.select(F.col("class_a").alias("cls"), F.col("class_b").alias("other")).unionByName(
         pairs.select(F.col("class_b").alias("cls"), F.col("class_a").alias("other")))
     d = d.join(bounded_broadcast(both.groupBy("cls").agg(F.collect_list("other").alias("others")), n_classes * n_classes), "cls")
-    d = d.select("series_id", "subject", "fold", "cls", "m", "model", F.explode("others").alias("other"))
-    d = d.withColumns({"_a": F.try_element_at("model", F.least("cls", "other")), "_b": F.try_element_at("model", F.greatest("cls", "other"))})
 
     def dist(p: str):
-        return F.aggregate(F.arrays_zip(F.col("m").alias("m"), F.col(p).alias("p"), F.col("_a").alias("a"), F.col("_b").alias("b")), F.lit(0.0), lambda acc, r: acc + F.pow(
-            (r["m"] - r["p"]["mu"]) / (F.sqrt((r["a"]["var"] + r["b"]["var"]) / 2) + 1e-9), F.lit(2)))
+        terms = lambda r: F.pow((r["m"] - r[p]["mu"]) / (F.sqrt((r["a"]["var"] + r["b"]["var"]) / 2) + 1e-9), F.lit(2))
+        return lambda a, b: F.aggregate(F.arrays_zip(F.col("m").alias("m"), a.alias("a"), b.alias("b")), F.lit(0.0), lambda acc, r: acc + terms(r))
+
+    def call(other):
+        low, high = F.least("cls", other), F.greatest("cls", other)
+        a, b = F.try_element_at("model", low), F.try_element_at("model", high)
+        return F.struct(other.alias("other"), F.when(dist("a")(a, b) <= dist("b")(a, b), low).otherwise(high).alias("pred"))
 
-    d = d.withColumn("pred", F.when(dist("_a") <= dist("_b"), F.least("cls", "other")).otherwise(F.greatest("cls", "other")))
+    d = d.select("fold", "cls", F.explode(F.transform("others", call)).alias("_j")).select("fold", "cls", "_j.other", "_j.pred")
     n = (d.select(F.least("cls", "other").alias("class_a"), F.greatest("cls", "other").alias("class_b"), "fold", F.col("cls").alias("truth"), "pred")
          .groupBy("class_a", "class_b", "fold").agg(*[
              F.sum(((F.col("truth") == F.col(f"class_{t}")) & (F.col("pred") == F.col(f"class_{p}"))).cast("double")).alias(t + p)

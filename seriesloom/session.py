@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import os
 import re
 import shutil
 import tempfile
@@ -58,25 +60,86 @@ def tables(spark: SparkSession, sf_dir: str):
     return lambda name: table(spark, sf_dir, name)
 
 
-_saved: dict[tuple, str] = {}
+_saved: dict[tuple, tuple[str, str]] = {}
 
 
-def materialize(df_fn, spark: SparkSession, key: tuple) -> DataFrame:
-    """Write the result of ``df_fn()`` once per session and parameter key, then read it back.
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of names, lengths and times of all files below ``paths``: it changes when a file comes, goes or changes."""
+    jvm, conf, seen = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for name in sorted(paths):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            seen.append((name, -1, -1))
+            continue
+        files = fs.listFiles(path, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        seen += sorted(found)
+    return hashlib.md5(repr(seen).encode()).hexdigest()
 
-    The table lies in the shared folder, so it survives lost executors and cuts the lineage of
-    everything computed from it.
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df_fn, spark: SparkSession, key: tuple, outlive: bool = False) -> DataFrame:
+    """Write the result of ``df_fn()`` once per parameter key and state of its input, then read it back.
+
+    Parts of the key that begin with "/" or hold "://" are input folders: their files' names, lengths and times are
+    part of the key, so a changed input is computed anew, and the table of its old state is deleted. The table lies
+    in the shared folder: it survives lost executors and cuts the lineage of everything computed from it. It belongs
+    to the session, unless it is to ``outlive`` it: then any later session with the same key, input and version of
+    this package finds it, by the marker that a finished write leaves.
     """
+    inputs = [p for p in key if isinstance(p, str) and (p.startswith("/") or "://" in p)]
+    state = fingerprint(spark, inputs)
+    if outlive:
+        name = hashlib.md5(repr((key, _version())).encode()).hexdigest()[:16]
+        folder = f"{shared_dir(spark).rstrip('/')}/kept-{name}"
+        path = f"{folder}/{state}"
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+            _delete(spark, folder)  # other states of the input, and a write that did not finish
+            df_fn().write.mode("overwrite").parquet(path)
+        _saved[("kept", *key)] = state, path
+        return spark.read.parquet(path)
     full = (spark.sparkContext.applicationId, *key)
+    if full in _saved and _saved[full][0] != state:
+        _delete(spark, _saved.pop(full)[1])
     if full not in _saved:
         path = fresh_path(spark, str(key[0]))
         df_fn().write.parquet(path)
-        _saved[full] = path
-    return spark.read.parquet(_saved[full])
+        _saved[full] = state, path
+    return spark.read.parquet(_saved[full][1])
+
+
+def drop_materialized(spark: SparkSession, name: str | None = None) -> int:
+    """Delete the tables that ``materialize`` wrote in this session, or those of one name (the first part of the key); how many went."""
+    mine = [k for k in _saved if k[0] in ("kept", spark.sparkContext.applicationId) and (name is None or k[1] == name)]
+    for k in mine:
+        _delete(spark, _saved.pop(k)[1])
+    return len(mine)
+
+
+def _version() -> str:
+    """Digest of this package's sources: tables of another version are not taken for this one's."""
+    digest = hashlib.md5()
+    for folder, _, names in sorted(os.walk(os.path.dirname(os.path.abspath(__file__)))):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                with open(os.path.join(folder, n), "rb") as f:
+                    digest.update(f.read())
+    return digest.hexdigest()
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int, limit: int = 200_000) -> DataFrame:
-    """Broadcast ``df`` only where its largest possible number of cells, known from parameters or measured, is small.
+    """Broadcast ``df`` only where ``max_rows``, its largest possible number of rows (of numbers, for rows of arrays), is small.
+
+    The bound comes from the design's parameters or from a count, never from an estimate.
 
     Beyond the limit the join is left to the optimizer (shuffled, with AQE's skew splitting).
     """
