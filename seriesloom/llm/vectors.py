@@ -33,6 +33,7 @@ class Tree:
         self.leaves = 0
         self.spill = spill
         self._grow(sample, leaf, rng)
+        self.at = {node[0]: k for k, node in enumerate(self.nodes) if len(node) == 1}  # node of each leaf
 
     def _grow(self, x: np.ndarray, leaf: float, rng: np.random.Generator) -> int:
         me = len(self.nodes)
@@ -52,6 +53,17 @@ class Tree:
         self.leaves += 1
         return me
 
+    def split(self, leaf: int, direction: np.ndarray, middle: float) -> None:
+        """Split a leaf; its left part keeps the number, the right one takes the next."""
+        if not self.directions or self.directions[-1] is not direction:
+            self.directions.append(direction)
+        me = self.at[leaf]
+        left, right = len(self.nodes), len(self.nodes) + 1
+        self.nodes += [(leaf,), (self.leaves,)]
+        self.nodes[me] = (len(self.directions) - 1, middle, left, right)
+        self.at[leaf], self.at[self.leaves] = left, right
+        self.leaves += 1
+
     def leaves_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf that each row of ``x`` falls into."""
         rows, found, todo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [(0, np.arange(len(x)))]
@@ -80,12 +92,61 @@ def unit_rows(column: pa.Array, width: int) -> np.ndarray:
 
 
 def fit_forest(classes: DataFrame, width: int, total: int, cosine: float, trees: int, leaf: int) -> list[Tree]:
-    """Trees over a sample of at most FIT_ROWS vectors, chosen by a hash of their number."""
+    """Trees over a sample of at most FIT_ROWS vectors, chosen by a hash of their number, and over all where that does not suffice."""
     sample = classes.select("vector", "node").orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).select("vector").toArrow()
     x = unit_rows(sample["vector"].combine_chunks(), width) if len(sample) else np.zeros((0, width))
-    aim = max(8.0, leaf * len(x) / max(1, total))
+    aim = leaf * len(x) / max(1, total)
     spill = SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(max(1, width))
-    return [Tree(x, aim, spill, np.random.default_rng((SEED, t))) for t in range(trees)]
+    grown = [Tree(x, max(8.0, aim), spill, np.random.default_rng((SEED, t))) for t in range(trees)]
+    return grown if aim >= 8 else deepened(classes, width, grown, leaf)
+
+
+def deepened(classes: DataFrame, width: int, trees: list[Tree], leaf: int) -> list[Tree]:
+    """``trees`` with leaves of more than 2 * ``leaf`` vectors of one label split further, at medians of all their members.
+
+    The sample ends where a leaf has few of its vectors; from there on every level is one
+    aggregation over all vectors in the leaves that are still too large, along one new random
+    direction for each tree.  So leaves do not grow with the table.  A crowd that no direction
+    parts stays a leaf and is compared in blocks.
+    """
+    rows = classes.select(F.xxhash64("label").alias("label"), "vector")
+    closed: set[tuple[int, int]] = set()
+    level = 0
+    while True:
+        level += 1
+
+        def sizes(batches):
+            for batch in batches:
+                label, x = batch.column(0).to_numpy(), unit_rows(batch.column(1), width)
+                for t, tree in enumerate(trees):
+                    row, found = tree.leaves_of(x)
+                    kinds, n = np.unique(np.stack([found, label[row]]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t)), pa.array(kinds[0]), pa.array(kinds[1]), pa.array(n)], ["tree", "leaf", "label", "n"])
+
+        counts = rows.mapInArrow(sizes, "tree long, leaf long, label long, n long").groupBy("tree", "leaf", "label").agg(F.sum("n").alias("n"))
+        large = {(r.tree, r.leaf) for r in counts.where(F.col("n") > 2 * leaf).select("tree", "leaf").distinct().collect()} - closed
+        if not large:
+            return trees
+        ways = [np.random.default_rng((SEED, t, level)).standard_normal(width) for t in range(len(trees))]
+        ways = [w / np.linalg.norm(w) for w in ways]
+        wanted = [np.array(sorted(f for k, f in large if k == t), np.int64) for t in range(len(trees))]
+
+        def projected(batches):
+            for batch in batches:
+                x = unit_rows(batch.column(1), width)
+                for t, tree in enumerate(trees):
+                    row, found = tree.leaves_of(x)
+                    own = np.isin(found, wanted[t])
+                    place = (x @ ways[t])[row[own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), t)), pa.array(found[own]), pa.array(place)], ["tree", "leaf", "p"])
+
+        percent = F.percentile_approx("p", F.array(*[F.lit(k / 100) for k in range(101)]), 1000)
+        for r in rows.mapInArrow(projected, "tree long, leaf long, p double").groupBy("tree", "leaf").agg(percent.alias("q")).orderBy("tree", "leaf").collect():
+            q, spill = np.array(r.q), trees[r.tree].spill
+            if max((q <= q[50] + spill).mean(), (q >= q[50] - spill).mean()) <= LARGEST_PART:
+                trees[r.tree].split(r.leaf, ways[r.tree], float(q[50]))
+            else:
+                closed.add((r.tree, r.leaf))
 
 
 def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -113,8 +113,9 @@ def vector_rows():
     return out + [(3000, out[0][1], None), (3001, [1e-30 * x for x in out[5][1]], 1), (3002, out[0][1], 1)]
 
 
-@pytest.mark.parametrize("large", [vectors.LARGE_LEAF, 60])
-def test_near_vectors_equal_brute_force(spark, vector_rows, large):
+@pytest.mark.parametrize(("large", "sample"), [(vectors.LARGE_LEAF, vectors.FIT_ROWS), (60, vectors.FIT_ROWS), (vectors.LARGE_LEAF, 60)])
+def test_near_vectors_equal_brute_force(spark, vector_rows, large, sample, monkeypatch):
+    monkeypatch.setattr(vectors, "FIT_ROWS", sample)
     df = spark.createDataFrame([(*r, "x") for r in vector_rows], "vec_id long, embedding array<double>, label int, node string").repartition(3)
     found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, leaf=64, large=large).collect()}
     good = [r for r in vector_rows if r[2] is not None and r[1] and len(r[1]) == 24 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
@@ -132,6 +133,19 @@ def test_near_vectors_equal_brute_force(spark, vector_rows, large):
     assert sum(found[k] == v for k, v in expected.items()) >= 0.99 * len(expected)
 
 
+def test_leaves_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "FIT_ROWS", 100)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4000, 16))
+    rows = [("a" if k < 3000 else "b", k, 1, v.tolist()) for k, v in enumerate(x)]
+    classes = spark.createDataFrame(rows, "label string, node long, n long, vector array<double>").repartition(3)
+    trees = vectors.fit_forest(classes, 16, 4000, 0.93, 2, 50)
+    for tree in trees:
+        row, leaf = tree.leaves_of(x / np.linalg.norm(x, axis=1)[:, None])
+        assert set(row.tolist()) == set(range(4000)) and set(leaf.tolist()) == set(range(tree.leaves))
+        assert max(np.bincount(leaf[row < 3000]).max(), np.bincount(leaf[row >= 3000]).max()) <= 100
+
+
 def test_near_vectors_of_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert vectors.near_vectors(spark.createDataFrame([], schema)).count() == 0
