@@ -187,3 +187,28 @@ def budget_minutes(spark, d):
     each = top.select("*", F.explode(F.filter(F.array(F.lit(1), F.lit(2), F.lit(4)), lambda k: k >= F.col("set_rank"))).alias("k"))
     return each.groupBy("k").agg(F.count(F.lit(1)).alias("n_series"), F.countDistinct("subject").alias("n_subjects"),
                                  F.round(F.sum("duration_s") / 60, 4).alias("minutes"))
+
+
+@query("shared_subjects", using("train test", """SELECT role, count(DISTINCT subject) FILTER (subject IN (SELECT subject FROM train t WHERE (t.repeat, t.n_team, t.k) = (1, 4, 1))) AS n_shared
+  FROM test WHERE repeat = 1 AND n_team = 4 AND k = 1 GROUP BY ALL""".replace("\n", " ")))
+def shared_subjects(spark, d):
+    """Subjects that training and test tables of a cell share: all recorded ones, no new one."""
+    bouts, roles = AD.vector_bouts(spark, d), X.saved_roles(spark, d, D)
+    cell = "repeat = 1 and n_team = 4 and k = 1"
+    train, test = P.train_sets(P.nested_set_order(bouts, roles, D), D).where(cell), P.test_sets(bouts, roles, D).where(cell)
+    P.refuse_shared(train, test.where("role = 'new'"))
+    out = None
+    for role in ("recorded", "new"):
+        one = P.shared_values(test.where(F.col("role") == role), train).agg(F.count(F.lit(1)).alias("n_shared")).select(F.lit(role).alias("role"), "n_shared")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("subject_demographics", """SELECT o_custkey AS subject, arg_min(p, (o_orderdate, o_orderkey)) FILTER (p IS NOT NULL) AS priority, arg_min(s, (o_orderdate, o_orderkey)) FILTER (s IS NOT NULL) AS status
+  FROM (SELECT *, CASE WHEN o_totalprice > 100000 THEN o_orderpriority END AS p, nullif(o_orderstatus, 'P') AS s FROM orders) GROUP BY ALL""".replace("\n", " "))
+def subject_demographics(spark, d):
+    """What each customer stated first of several things that are not always stated."""
+    o = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("subject"), "o_orderdate", "o_orderkey", F.when(F.col("o_totalprice") > 100000, F.col("o_orderpriority")).alias("priority"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"))
+    return SEL.first_known(o, ["subject"], ["o_orderdate", "o_orderkey"], ["priority", "status"])

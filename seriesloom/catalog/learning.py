@@ -5,12 +5,15 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.registry import query, rounded
+from seriesloom.catalog.signal import COPY, HALF_TURN, TURNED, draw_sql, turn_sql
 from seriesloom.catalog.sqlparts import derive, part, using
 from seriesloom.functions import arrays as AR
+from seriesloom.operators import augment as AU
 from seriesloom.operators import features as FE
 from seriesloom.operators import gravity as GR
 from seriesloom.operators import gridlearn as G
 from seriesloom.operators import learn as L
+from seriesloom.operators import stats as ST
 from seriesloom.operators import votes as V
 from seriesloom.plans import adapt as AP
 from seriesloom.plans import cohort as P
@@ -19,21 +22,10 @@ from seriesloom.session import bounded_broadcast, fresh_path, materialize
 from seriesloom.sources import adapters as AD
 
 D = P.Design()
-ONE = {"repeat": 1, "n_team": 4, "k": 2}
 TREES, DEPTH = 300, 8  # of the registered forest
 AT_ONCE = 4  # cells of the grid whose jobs run side by side
 
 
-def one_condition(spark, d):
-    """Training and test series of a single cell of the grid."""
-    bouts = AD.vector_bouts(spark, d)
-    roles = X.saved_roles(spark, d, D)
-    pick = " and ".join(f"{c} = {v}" for c, v in ONE.items())
-    train = P.train_sets(P.nested_set_order(bouts, roles, D), D).where(pick).select("series_id")
-    test = P.test_sets(bouts, roles, D).where(pick).select("series_id", "role")
-    return bounded_broadcast(train, D.max_train), test
-
-
 def over_grid(spark, d, learner, windows, name):
     """Run a learner through the contract for every cell: fit on train windows, classify and vote the test windows.
 
@@ -189,12 +181,15 @@ def _std_sql(stats: str, on: str) -> str:
 _STATS = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in STD_COLS)
 
 
-@query("standardize", using("wwide train", _std_sql(f"SELECT {_STATS} FROM wwide WHERE series_id IN (SELECT series_id FROM train WHERE repeat = 1 AND n_team = 4 AND k = 2)", "TRUE")))
+@query("standardize", using("wwide train", f"""SELECT t.repeat::INTEGER AS repeat, t.n_team, t.k, a.series_id, a.w::INTEGER AS w, {', '.join(f"round((a.{c} - s.m_{c}) / (s.s_{c} + 1e-6), 5) AS {c}" for c in STD_COLS)}
+  FROM train t JOIN wwide a USING (series_id) JOIN (SELECT repeat, n_team, k, {_STATS} FROM train JOIN wwide USING (series_id) GROUP BY ALL) s ON (s.repeat, s.n_team, s.k) = (t.repeat, t.n_team, t.k)""".replace("\n", " ")))
 def standardize(spark, d):
-    """Team scope: mean and SD of the training windows for everyone."""
-    w = measure_columns(spark, d)
-    z = L.standardize(w, w.join(one_condition(spark, d)[0], "series_id", "left_semi"), [], STD_COLS)
-    return z.select("series_id", "w", *[F.round(c, 5).alias(c) for c in STD_COLS])
+    """Team scope: in every cell, mean and SD of its training windows."""
+    bouts, roles = AD.vector_bouts(spark, d), X.saved_roles(spark, d, D)
+    train = P.train_sets(P.nested_set_order(bouts, roles, D), D).select(*X.COND, "series_id")
+    w = measure_columns(spark, d).join(bounded_broadcast(train, D.max_train), "series_id")
+    z = L.standardize(w, w, X.COND, STD_COLS)
+    return z.select(*X.COND, "series_id", "w", *[F.round(c, 5).alias(c) for c in STD_COLS])
 
 
 @query("standardize_subject", using("wwide", _std_sql(f"SELECT subject, {_STATS} FROM wwide WHERE period_order = 1 GROUP BY ALL", "s.subject = a.subject")))
@@ -211,24 +206,28 @@ part("labeled", ("train",), "SELECT repeat, series_id FROM train WHERE n_team =
 part("unlabeled", ("pool",), "SELECT repeat, series_id FROM vbouts JOIN pool r USING (subject) WHERE role = 'candidate' AND r.rank > 2 AND period_order = 1")
 
 
-def _round_parts(i: int, fraction: float) -> None:
+def _round_parts(i: int, fraction: float, x: str = "") -> None:
+    """SQL of round i; ``x`` names another chain with unlabeled series of its own."""
     src = "SELECT t.repeat, s.cls, mi, m FROM labeled t JOIN smeasures s USING (series_id)"
     if i > 1:
-        src += f" UNION ALL SELECT t.repeat, t.pred, mi, m FROM kept{i - 1} t JOIN smeasures s USING (series_id)"
-    needs = ("labeled", "unlabeled", "smeasures", "wmeasures") + ((f"kept{i - 1}",) if i > 1 else ())
-    part(f"fit{i}", needs, f"SELECT repeat, cls, mi, quantile_cont(m, 0.5) AS mu, var_samp(m) AS v FROM ({src}) GROUP BY ALL")
-    part(f"scale{i}", (f"fit{i}",), f"SELECT repeat, mi, sqrt(avg(v)) + 1e-9 AS scale FROM fit{i} GROUP BY ALL")
-    part(f"open{i}", (f"scale{i}",), f"""
+        src += f" UNION ALL SELECT t.repeat, t.pred, mi, m FROM kept{i - 1}{x} t JOIN smeasures s USING (series_id)"
+    needs = ("labeled", f"unlabeled{x}", "smeasures", "wmeasures") + ((f"kept{i - 1}{x}",) if i > 1 else ())
+    part(f"fit{i}{x}", needs, f"SELECT repeat, cls, mi, quantile_cont(m, 0.5) AS mu, var_samp(m) AS v FROM ({src}) GROUP BY ALL")
+    part(f"scale{i}{x}", (f"fit{i}{x}",), f"SELECT repeat, mi, sqrt(avg(v)) + 1e-9 AS scale FROM fit{i}{x} GROUP BY ALL")
+    part(f"open{i}{x}", (f"scale{i}{x}",), f"""
       SELECT repeat, series_id, truth, c, avg(q / t) AS p FROM (SELECT *, sum(q) OVER (PARTITION BY repeat, series_id, w) AS t FROM (
-        SELECT u.repeat, u.series_id, w.cls AS truth, w.w, f.cls AS c, 1 / (1 + sum(((w.m - f.mu) / s.scale) ** 2)) AS q FROM unlabeled u JOIN wmeasures w USING (series_id)
-        JOIN fit{i} f ON (f.repeat, f.mi) = (u.repeat, w.mi) JOIN scale{i} s ON (s.repeat, s.mi) = (u.repeat, w.mi) GROUP BY ALL)) GROUP BY ALL""")
-    part(f"call{i}", (f"open{i}",), f"SELECT repeat, series_id, truth, arg_max(c, (p, -c)) AS pred, max(p) AS conf FROM open{i} GROUP BY ALL")
-    part(f"kept{i}", (f"call{i}",), f"""SELECT repeat, series_id, truth, pred FROM (SELECT *, row_number() OVER (PARTITION BY repeat, pred ORDER BY conf DESC, series_id) AS r,
-      count(*) OVER (PARTITION BY repeat, pred) AS n FROM call{i}) WHERE r <= ceil({fraction} * n)""")
+        SELECT u.repeat, u.series_id, w.cls AS truth, w.w, f.cls AS c, 1 / (1 + sum(((w.m - f.mu) / s.scale) ** 2)) AS q FROM unlabeled{x} u JOIN wmeasures w USING (series_id)
+        JOIN fit{i}{x} f ON (f.repeat, f.mi) = (u.repeat, w.mi) JOIN scale{i}{x} s ON (s.repeat, s.mi) = (u.repeat, w.mi) GROUP BY ALL)) GROUP BY ALL""")
+    part(f"call{i}{x}", (f"open{i}{x}",), f"SELECT repeat, series_id, truth, arg_max(c, (p, -c)) AS pred, max(p) AS conf FROM open{i}{x} GROUP BY ALL")
+    part(f"kept{i}{x}", (f"call{i}{x}",), f"""SELECT repeat, series_id, truth, pred FROM (SELECT *, row_number() OVER (PARTITION BY repeat, pred ORDER BY conf DESC, series_id) AS r,
+      count(*) OVER (PARTITION BY repeat, pred) AS n FROM call{i}{x}) WHERE r <= ceil({fraction} * n)""")
 
 
-_round_parts(1, 0.5)
-_round_parts(2, 0.8)
+part("unlabelednew", ("unlabeled", "roles"), """SELECT * FROM unlabeled UNION ALL
+  SELECT repeat, series_id FROM vbouts JOIN roles r USING (subject) WHERE r.role = 'new' AND period_order = 1""")
+for _x in ("", "new"):
+    _round_parts(1, 0.5, _x)
+    _round_parts(2, 0.8, _x)
 
 
 @query("self_train", using("kept2", " UNION ALL ".join(f"""SELECT a.repeat::INTEGER AS repeat, {i} AS round, {f}::DOUBLE AS fraction, n_unlabeled, n_pseudo, round(acc_all, 6) AS acc_all, round(acc_kept, 6) AS acc_kept
@@ -239,15 +238,29 @@ def self_train(spark, d):
     return rounded(self_training(spark, d)[3])
 
 
-def self_training(spark, d):
-    """(labeled, unlabeled, final profiles, diagnostics, last pseudo-labels) of two rounds."""
-    bouts = AD.vector_bouts(spark, d)
-    roles = X.saved_roles(spark, d, D)
-    labeled = P.train_sets(P.nested_set_order(bouts, roles, D), D).where("n_team = 2 and k = 2").select("repeat", "series_id")
-    rest = X.pool_roles(spark, d, D).where("role = 'candidate' and rank > 2").select("repeat", "subject")
-    unlabeled = bouts.where("period_order = 1").join(rest, "subject").select("repeat", "series_id")
-    out = AP.self_train(spark, X.cohort_windows(spark, d), labeled, unlabeled, ["repeat"], (0.5, 0.8), D.n_classes, D.repeats)
-    return labeled, unlabeled, *out
+_trained: dict[tuple, tuple] = {}
+
+
+def all_windows(spark, d):
+    """Windows of all subjects with their measures, written once."""
+    return materialize(lambda: X.cohort_windows(spark, d), spark, ("windows", d, X.WINDOW_S, X.OVERLAP))
+
+
+def self_training(spark, d, with_new=False):
+    """(labeled, unlabeled, final profiles, diagnostics, last pseudo-labels) of two rounds, trained once for a session.
+
+    ``with_new``: the first-period series of the new subjects are among the unlabeled ones.
+    """
+    at = (spark.sparkContext.applicationId, d, str(D), with_new)
+    if at not in _trained:
+        bouts = AD.vector_bouts(spark, d)
+        roles = X.saved_roles(spark, d, D)
+        labeled = P.train_sets(P.nested_set_order(bouts, roles, D), D).where("n_team = 2 and k = 2").select("repeat", "series_id")
+        rest = X.pool_roles(spark, d, D).where("role = 'candidate' and rank > 2" + (" or role = 'new'" if with_new else "")).select("repeat", "subject")
+        unlabeled = bouts.where("period_order = 1").join(rest, "subject").select("repeat", "series_id")
+        out = AP.self_train(spark, all_windows(spark, d), labeled, unlabeled, ["repeat"], (0.5, 0.8), D.n_classes, D.repeats)
+        _trained[at] = (labeled, unlabeled, *out)
+    return _trained[at]
 
 
 # --- replay ----------------------------------------------------------------------------------------
@@ -331,6 +344,48 @@ def label_free_calibration(spark, d):
     return summary(X.scores_of(spark, d, L.calibrate_subject(windows, windows.where("period_order = 1"))))
 
 
+# --- training on simulated copies ------------------------------------------------------------------------
+
+COPIES = 2  # of every training series
+_MOVED = f"""WITH d AS (SELECT *, 0.8 + 0.4 * {draw_sql(COPY, 'tempo')} AS tempo, 0.8 + 0.4 * {draw_sql(COPY, 'intensity')} AS k, {turn_sql(COPY, -HALF_TURN, HALF_TURN)}
+    FROM (SELECT DISTINCT series_id FROM train), (SELECT unnest(range({COPIES})) AS copy)),
+  e AS (SELECT *, greatest(2, CAST(round_even(16 / tempo, 0) AS INTEGER)) - 1 AS steps FROM d), g AS (SELECT *, unnest(range(steps + 1)) AS s FROM e),
+  q AS (SELECT *, s * 15.0::DOUBLE / steps AS pos FROM g),
+  b AS (SELECT q.*, {', '.join(f'a.g{c} + k * (a.v{c} - a.g{c}) + (pos - floor(pos)) * (z.g{c} + k * (z.v{c} - z.g{c}) - a.g{c} - k * (a.v{c} - a.g{c})) AS b{c}' for c in range(3))}
+    FROM q JOIN axes a ON a.series_id = q.series_id AND a.s = floor(pos) JOIN axes z ON z.series_id = q.series_id AND z.s = least(15, floor(pos) + 1))
+  SELECT -(series_id * {COPIES} + copy + 1) AS series_id, steps + 1 AS n, s, [{', '.join(TURNED)}, sqrt(b0 * b0 + b1 * b1 + b2 * b2)] AS v FROM b"""
+part("copied", ("axes", "train"), _MOVED)
+part("smeasures_aug", ("copied", "smeasures"), """SELECT series_id, mi, m FROM smeasures UNION ALL
+  SELECT series_id, mi, avg(m) AS m FROM (SELECT series_id, w, unnest([c, c + 4]) AS mi, unnest([a, sd]) AS m FROM (
+    SELECT series_id, w, c, avg(v[c + 1]) AS a, stddev_pop(v[c + 1]) AS sd FROM copied, (SELECT unnest(range(20)) AS w), (SELECT unnest(range(4)) AS c)
+    WHERE 2 * w + 8 <= n AND s >= 2 * w AND s < 2 * w + 8 GROUP BY ALL)) GROUP BY ALL""")
+part("train_aug", ("train",), f"""SELECT repeat, n_team, k, cls, series_id FROM train UNION ALL
+  SELECT repeat, n_team, k, cls, -(series_id * {COPIES} + copy + 1) FROM train, (SELECT unnest(range({COPIES})) AS copy)""")
+_AUG = derive("_aug", "profiles", anew=("train", "smeasures"))
+
+
+@query("simulated_training", using(f"{_AUG} scores", f""", a AS ({summary_sql(_AUG)}), s AS ({summary_sql("scores")}),
+  mono AS (SELECT k, n_team, max(macro_f1) OVER (PARTITION BY k ORDER BY n_team) AS f FROM s WHERE role = 'new'),
+  seg AS (SELECT k, n_team AS x0, f AS f0, lead(n_team) OVER (PARTITION BY k ORDER BY n_team) AS x1, lead(f) OVER (PARTITION BY k ORDER BY n_team) AS f1 FROM mono)
+  SELECT a.n_team, a.k, a.macro_f1, s.macro_f1 AS plain_f1, a.n_units, round((SELECT CASE WHEN x1 IS NOT NULL THEN x0 + (a.macro_f1 - f0) / (f1 - f0) * (x1 - x0) WHEN a.macro_f1 = f0 THEN x0::DOUBLE END
+    FROM seg WHERE seg.k = a.k AND a.macro_f1 >= f0 AND (x1 IS NULL OR a.macro_f1 < f1) ORDER BY x0 DESC LIMIT 1), 6) AS equivalent_x
+  FROM a JOIN s ON (s.n_team, s.k, s.role) = (a.n_team, a.k, a.role) WHERE a.role = 'new'""".replace("\n", " ")))
+def simulated_training(spark, d):
+    """Scores of the new subjects when every training series comes with simulated copies, and the team size that is worth as much without them."""
+    bouts, roles = AD.vector_bouts(spark, d), X.saved_roles(spark, d, D)
+    train = P.train_sets(P.nested_set_order(bouts, roles, D), D)
+    signals = X.cohort_signals(spark, d, roles, D.max_roles)
+    own = signals.join(bounded_broadcast(train.select("series_id").distinct(), D.max_train), "series_id", "left_semi")
+    number = -(F.col("series_id") * COPIES + F.col("copy") + 1)  # a series id of its own
+    copies = AU.augment_retime_scale(own, COPIES, 11, AD.FS, max_degrees=15.0).withColumn("series_id", number).select(*signals.columns)
+    both = train.unionByName(AU.with_copies(train, COPIES).withColumn("series_id", number).drop("copy"))
+    windows = X.windows_of(signals).unionByName(X.windows_of(copies))
+    simulated = summary(X.scores_of(spark, d, windows, train=both, test=P.test_sets(bouts, roles, D))).where("role = 'new'")
+    plain = summary(X.grid_scores(spark, d)).where("role = 'new'").select("n_team", "k", F.col("macro_f1").alias("plain_f1"))
+    worth = ST.equivalent_x(simulated, plain.withColumnRenamed("n_team", "x"), ["k"], "x", "plain_f1", "macro_f1")
+    return rounded(worth.join(plain, ["n_team", "k"]).select("n_team", "k", "macro_f1", "plain_f1", "n_units", "equivalent_x"))
+
+
 SPLITS = ((1, 4), (2, 2), (4, 1))  # subjects x sets of each class, one budget
 
 part("train_split", ("roles",), " UNION ALL ".join(f"""SELECT repeat, {n} AS n_team, {k} AS k, subject, cls, series_id FROM (
@@ -358,27 +413,30 @@ def deep_against_broad(spark, d):
 
 # --- self-training, scored -----------------------------------------------------------------------------
 
-CONDITIONS = ("supervised", "self-trained", "ceiling")  # team only; with pseudo-labels; all candidates labelled
+# team only; with pseudo-labels of the other candidates; all candidates labelled; with pseudo-labels of the new subjects' first period as well
+CONDITIONS = ("supervised", "self-trained", "ceiling", "self-trained on new")
 
-part("train_ssl", ("labeled", "unlabeled", "kept2"), """SELECT repeat, n_team, 2 AS k, cls, series_id FROM (SELECT repeat, series_id FROM labeled) JOIN vbouts USING (series_id), (SELECT unnest([1, 2, 3]) AS n_team)
+part("train_ssl", ("labeled", "unlabeled", "kept2", "kept2new"), """SELECT repeat, n_team, 2 AS k, cls, series_id FROM (SELECT repeat, series_id FROM labeled) JOIN vbouts USING (series_id), (SELECT unnest([1, 2, 3, 4]) AS n_team)
+  UNION ALL SELECT repeat, 4, 2, pred, series_id FROM kept2new
   UNION ALL SELECT repeat, 2, 2, pred, series_id FROM kept2
   UNION ALL SELECT repeat, 3, 2, cls, series_id FROM unlabeled JOIN vbouts USING (series_id)""")
-part("test_ssl", ("roles",), """SELECT repeat, n_team, 2 AS k, 'new' AS role, subject, cls, series_id FROM vbouts JOIN roles r USING (subject), (SELECT unnest([1, 2, 3]) AS n_team)
+part("test_ssl", ("roles",), """SELECT repeat, n_team, 2 AS k, 'new' AS role, subject, cls, series_id FROM vbouts JOIN roles r USING (subject), (SELECT unnest([1, 2, 3, 4]) AS n_team)
   WHERE period_order > 1 AND role = 'new'""")
 _SSL = derive("_ssl", "profiles", anew=("train", "test"))
 
 
 @query("self_train_scores", using(_SSL, f"SELECT CASE n_team {' '.join(f'WHEN {i} THEN {c!r}' for i, c in enumerate(CONDITIONS, 1))} END AS condition, macro_f1, accuracy, n_units FROM ({summary_sql(_SSL)})"))
 def self_train_scores(spark, d):
-    """The self-trained model beside the team alone and beside a model with all true labels, on the new subjects."""
+    """Self-trained models beside the team alone and beside a model with all true labels, on the new subjects' later periods."""
     bouts, roles = AD.vector_bouts(spark, d), X.saved_roles(spark, d, D)
     labeled, unlabeled, _, _, kept = self_training(spark, d)
+    kept_new = self_training(spark, d, with_new=True)[4]
     cond = lambda df, *codes: df.select("repeat", F.explode(F.array(*[F.lit(c) for c in codes])).alias("n_team"), F.lit(2).alias("k"), "cls", "series_id")
     truth = bouts.select("series_id", "cls")
-    train = cond(labeled.join(truth, "series_id"), 1, 2, 3).unionByName(cond(kept.withColumn("cls", F.col("pred")), 2)).unionByName(
-        cond(unlabeled.join(truth, "series_id"), 3))
-    new = roles.where("role = 'new'").select("repeat", "subject", "role", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n_team"), F.lit(2).alias("k"))
-    test = bouts.where("period_order > 1").select("series_id", "subject").join(bounded_broadcast(new, 3 * D.max_roles), "subject")
-    scores = X.scores_of(spark, d, X.cohort_windows(spark, d), train=train, test=test, fit=lambda rows, keys, n: AP.fit_profiles_split(rows, keys))
+    train = cond(labeled.join(truth, "series_id"), 1, 2, 3, 4).unionByName(cond(kept.withColumn("cls", F.col("pred")), 2)).unionByName(
+        cond(unlabeled.join(truth, "series_id"), 3)).unionByName(cond(kept_new.withColumn("cls", F.col("pred")), 4))
+    new = roles.where("role = 'new'").select("repeat", "subject", "role", F.explode(F.array(*[F.lit(i + 1) for i in range(len(CONDITIONS))])).alias("n_team"), F.lit(2).alias("k"))
+    test = bouts.where("period_order > 1").select("series_id", "subject").join(bounded_broadcast(new, len(CONDITIONS) * D.max_roles), "subject")
+    scores = X.scores_of(spark, d, all_windows(spark, d), train=train, test=test, fit=lambda rows, keys, n: AP.fit_profiles_split(rows, keys))
     names = F.array(*[F.lit(c) for c in CONDITIONS])
     return summary(scores).select(F.element_at(names, F.col("n_team")).alias("condition"), "macro_f1", "accuracy", "n_units")

@@ -64,6 +64,13 @@ def top_confusions(spark, d):
     return S.top_confusions(X.saved_predictions(spark, d), 8)
 
 
+@query("named_confusions", using("preds", f"""SELECT *, truth_name = pred_name AS same_name FROM (SELECT truth, pred, n, {PATTERN_SQL.format(c="truth")} AS truth_name, {PATTERN_SQL.format(c="pred")} AS pred_name
+  FROM (SELECT truth, pred, count(*) AS n FROM preds WHERE truth <> pred GROUP BY ALL ORDER BY n DESC, truth, pred LIMIT 8))""".replace("\n", " ")))
+def named_confusions(spark, d):
+    """The most frequent mistakes with the names of their movement patterns."""
+    return S.named_confusions(X.saved_predictions(spark, d), 8, lambda c: V.category(c, V.PATTERN))
+
+
 part("recalls", ("preds",), "SELECT n_team, k, role, truth, subject, avg((truth = pred)::INTEGER) AS r FROM preds GROUP BY ALL")
 
 

@@ -172,7 +172,7 @@ def shape_features(spark, d):
 
 @query("spectral_features", using("wpoints", SPEC_SQL))
 def spectral_features(spark, d):
-    return rounded(AR.spectral_features(FE.by_channel(windows(spark, d)), AD.FS).select("series_id", "w", "channel", *AR.SPECTRUM))
+    return rounded(FE.spectral_features(windows(spark, d), AD.FS).select("series_id", "w", "channel", *AR.SPECTRUM))
 
 
 @query("axis_correlations", using("wpoints", CORR_SQL))

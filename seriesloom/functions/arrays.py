@@ -80,8 +80,8 @@ def shape_features(df: DataFrame, fs: float, a: str = "a") -> DataFrame:
 def spectral_features(df: DataFrame, fs: float, a: str = "a") -> DataFrame:
     """Dominant frequency, its share of the power and the normalised spectral entropy, without DC.
 
-    The sums of the discrete Fourier transform are written out, which suits short windows; long ones go
-    through ``operators.features.window_features`` and its fast transform.
+    The sums of the discrete Fourier transform are written out, which suits windows of a few samples;
+    ``operators.features.spectral_features`` is the form for all lengths, and this one checks it.
     """
     d = df if "_c" in df.columns else centre(df, a)
     n = F.col("_n")

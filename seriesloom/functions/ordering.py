@@ -111,11 +111,13 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, extra: dict[str,
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     counts = ["n", *running]
-    sums = d.groupBy(*parts).agg(*[F.sum(c).alias(f"_s_{c}") for c in counts])
+    order = Window.partitionBy(*parts).orderBy(value)
+    here = order.rowsBetween(Window.unboundedPreceding, -1)
+    local = d.withColumns({**{f"_in_{c}": F.coalesce(F.sum(c).over(here), F.lit(0)) for c in counts}, "_end": F.lead(F.lit(1)).over(order).isNull()})
+    # the last row of each piece holds its sums, off the same shuffle
+    sums = local.where("_end").select(*parts, *[(F.col(f"_in_{c}") + F.col(c)).alias(f"_s_{c}") for c in counts])
     offsets = sums.select(*parts, *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in counts],
                           *[F.sum(f"_s_{c}").over(whole).alias(f"{c}_total") for c in counts])
-    here = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = d.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(here), F.lit(0)) for c in counts})
     out = null_safe_join(local, offsets, parts).withColumns({f"{c}_before": F.col(f"_off_{c}") + F.col(f"_in_{c}") for c in counts})
     return out.select(*keys, value, "n", "n_before", "n_total", *(extra or {}), *[f"{c}_{end}" for c in running for end in ("before", "total")])
 

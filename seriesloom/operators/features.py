@@ -105,25 +105,36 @@ ON_STACKS = {
 }
 
 
-def _feature_block(x: np.ndarray, fs: float) -> np.ndarray:
+def _feature_block(x: np.ndarray, fs: float, per_channel: Sequence[str] = PER_CHANNEL, correlations: bool = True) -> np.ndarray:
     """(windows, channels, samples) -> (windows, features) in the order of ``feature_names``."""
     stack = _Stack(x, fs)
-    columns = [ON_STACKS[name](stack)[:, c] for c in range(x.shape[1]) for name in PER_CHANNEL]
-    if x.shape[1] >= 3:
+    columns = [ON_STACKS[name](stack)[:, c] for c in range(x.shape[1]) for name in per_channel]
+    if correlations and x.shape[1] >= 3:
         columns += [stack.correlation(p, q) for p, q in ((0, 1), (0, 2), (1, 2))]
     return np.stack(columns, axis=1)
 
 
-def window_features(windows: DataFrame, fs: float, channels: Sequence[str] = CHANNELS) -> DataFrame:
-    """All features of a window as columns, one vectorised pass per Arrow batch and window length (no shuffle).
+def spectral_features(windows: DataFrame, fs: float, channels: Sequence[str] = CHANNELS) -> DataFrame:
+    """Dominant frequency, its share of the power and the normalised spectral entropy, without DC: a row per window and channel.
+
+    The fast transform of ``window_features``, so long windows cost n log n.
+    """
+    d = window_features(windows, fs, channels, A.SPECTRUM)
+    rows = F.array(*[F.struct(F.lit(c).alias("channel"), *[F.col(f"{c}_{s}").alias(s) for s in A.SPECTRUM]) for c in channels])
+    keep = [c for c in windows.columns if c != "ch"]
+    return d.select(*keep, F.explode(rows).alias("_r")).select(*keep, "_r.*")
+
+
+def window_features(windows: DataFrame, fs: float, channels: Sequence[str] = CHANNELS, only: Sequence[str] | None = None) -> DataFrame:
+    """All features of a window as columns (of those of a channel ``only`` some, and then no correlations), one vectorised pass per Arrow batch and window length (no shuffle).
 
     Windows without all channels, or with channels of unlike lengths, and empty ones have NULL features.
     """
-    names = feature_names(channels)
+    names = [f"{c}_{s}" for c in channels for s in only] if only else feature_names(channels)
     keep = [c for c in windows.columns if c != "ch"]
     types = dict(windows.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{c}` double" for c in names])
-    n = len(channels)
+    n, wanted = len(channels), tuple(only or PER_CHANNEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +150,7 @@ def window_features(windows: DataFrame, fs: float, channels: Sequence[str] = CHA
             for samples in np.unique(length[length > 0]).tolist():
                 rows = np.flatnonzero(length == samples)
                 at = edges[first[rows][:, None] + np.arange(n)][:, :, None] + np.arange(samples)
-                block[rows] = _feature_block(np.asarray(values, float)[at], fs)
+                block[rows] = _feature_block(np.asarray(values, float)[at], fs, wanted, not only)
             missing = length == 0
             columns = [pa.array(block[:, k], mask=missing) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], [*keep, *names])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +51,12 @@ def top_confusions(preds: DataFrame, k: int) -> DataFrame:
             .orderBy(F.desc("n"), "truth", "pred").limit(k))
 
 
+def named_confusions(preds: DataFrame, k: int, name: Callable[[str], Column]) -> DataFrame:
+    """``top_confusions`` with what ``name`` makes of the two classes, and whether the names agree."""
+    return top_confusions(preds, k).withColumns({"truth_name": name("truth"), "pred_name": name("pred")}).withColumn(
+        "same_name", F.col("truth_name") == F.col("pred_name"))
+
+
 def two_level_mean(rows: DataFrame, keys: Sequence[str], unit: str, value: Column, name: str) -> DataFrame:
     """Mean per unit first, then across units."""
     u = rows.groupBy(*keys, unit).agg(F.avg(value).alias("_u"))

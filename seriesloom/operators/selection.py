@@ -21,7 +21,9 @@ def top_fraction_per_class(calls: DataFrame, keys: Sequence[str], fraction: floa
     r = value_ranks(d, g, "_low").select(*g, "_low", "n_before", "n_total")
     need = F.ceil(F.lit(float(fraction)) * F.col("n_total"))
     d = null_safe_join(d, r, [*g, "_low"]).where(F.col("n_before") < need)
-    d = split_rank(d, [*g, "_low"], [F.col("series_id")], F.floor(F.col("series_id") / 100_000), "_tie")
+    number = dict(calls.dtypes)["series_id"] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    piece = F.floor(F.col("series_id") / 100_000) if number else F.substring(F.col("series_id").cast("string"), 1, 6)
+    d = split_rank(d, [*g, "_low"], [F.col("series_id")], piece, "_tie")
     return d.where(F.col("n_before") + F.col("_tie") <= need).drop("_low", "n_before", "n_total", "_tie")
 
 
@@ -49,6 +51,11 @@ def first_per_group(rows: DataFrame, key: str, order: Sequence[str], cols: Seque
     return rows.groupBy(key).agg(first.alias("_f")).select(key, "_f.*")
 
 
+def first_known(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The first value of each column that is not NULL, per group in a fixed order: what a subject stated first."""
+    return rows.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in cols])
+
+
 def union_runs(runs: dict[str, DataFrame], label: str) -> DataFrame:
     """Stack result tables by column name, missing columns as NULL, with the run's name."""
     out = None

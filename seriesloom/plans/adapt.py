@@ -31,13 +31,10 @@ def self_train(spark: SparkSession, windows: DataFrame, labeled: DataFrame, unla
                fractions: Sequence[float], n_classes: int, max_conditions: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit, pseudo-label the most confident share per class, refit; returns (final profiles, diagnostics, last pseudo-labels).
 
-    ``labeled`` and ``unlabeled`` hold (keys, series_id). Each round's pseudo-labels are written to the shared
-    folder, which cuts the lineage of the next round.
+    ``windows`` is a table, as every round reads it; ``labeled`` and ``unlabeled`` hold (keys, series_id). Each round's
+    pseudo-labels are written to the shared folder, which cuts the lineage of the next round.
     """
     keys = list(keys)
-    path = fresh_path(spark, "series")
-    windows.select("series_id", "subject", "cls", "w", "t0_s", "m").write.parquet(path)
-    windows = spark.read.parquet(path)  # measured once for all rounds
     path = fresh_path(spark, "series-means")
     L.series_mean(windows).write.parquet(path)
     series = spark.read.parquet(path)

@@ -119,6 +119,27 @@ def leak_violations(train: DataFrame, test: DataFrame, bouts: DataFrame, roles:
     return all_checks.join(found, "check", "left").select("check", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_violations"))
 
 
+def shared_values(a: DataFrame, b: DataFrame, key: str = "subject") -> DataFrame:
+    """Values of ``key`` that both tables hold, NULL left out."""
+    return a.select(key).where(F.col(key).isNotNull()).distinct().join(b.select(key).distinct(), key, "left_semi")
+
+
+def refuse_shared(a: DataFrame, b: DataFrame, key: str = "subject", shown: int = 20) -> None:
+    """Raise where two tables share a subject, with the names of the first ones."""
+    names = [r[0] for r in shared_values(a, b, key).orderBy(key).limit(shown + 1).collect()]
+    if names:
+        more = " and more" if len(names) > shown else ""
+        raise ValueError(f"both tables hold {key} {', '.join(map(str, names[:shown]))}{more}")
+
+
+def refuse_missing(train: DataFrame, design: Design, shown: int = 20) -> None:
+    """Raise where a subject of a cell has fewer than k series of a class, with the cells and subjects that lack them."""
+    short = missing_sets(train, design).where("short_classes > 0").orderBy("repeat", "n_team", "k", "subject").limit(shown).collect()
+    if short:
+        raise ValueError("too few series: " + "; ".join(
+            f"repeat {r['repeat']}, {r.n_team} subjects, {r.k} sets: subject {r.subject} lacks them in {r.short_classes} classes" for r in short))
+
+
 def extra_sets(order: DataFrame, n_team: int, extra_classes: Sequence[int]) -> DataFrame:
     """One series per class, two for the chosen classes, of the first ``n_team`` candidates."""
     allowed = F.when(F.col("cls").isin(*extra_classes), 2).otherwise(1)

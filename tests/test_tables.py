@@ -13,8 +13,10 @@ from seriesloom.functions import ordering as O
 from seriesloom.operators import audit as A
 from seriesloom.operators import features as FE
 from seriesloom.operators import joins as J
+from seriesloom.operators import selection as SEL
 from seriesloom.operators import stats as ST
 from seriesloom.operators import votes as V
+from seriesloom.plans import cohort as P
 from seriesloom.plans import variants as VA
 
 
@@ -181,6 +183,41 @@ def test_materialize_follows_its_input(spark, tmp_path):
     assert session.drop_materialized(spark, "kept-test") >= 1 and session.drop_materialized(spark, "kept-test") == 0
 
 
+# --- refusals, first values, ids of any type -----------------------------------------------------------
+
+
+def test_shared_subjects_and_missing_sets_are_refused(spark):
+    a = spark.createDataFrame([("p1",), ("p2",), (None,)], "subject string")
+    b = spark.createDataFrame([("p3",), (None,)], "subject string")
+    P.refuse_shared(a, b)
+    P.refuse_shared(a.limit(0), a)
+    with pytest.raises(ValueError, match="p1, p2"):
+        P.refuse_shared(a, a.unionByName(b))
+    with pytest.raises(ValueError, match="p1 and more"):
+        P.refuse_shared(a, a, shown=1)
+    design = P.Design(n_classes=2)
+    rows = [(1, 2, 1, 5, c, 10 + c) for c in (0, 1)] + [(1, 2, 2, 6, 0, 20), (1, 2, 2, 6, 0, 21), (1, 2, 2, 6, 1, 22)]
+    train = spark.createDataFrame(rows, "repeat int, n_team int, k int, subject long, cls int, series_id long")
+    P.refuse_missing(train.where("k = 1"), design)
+    with pytest.raises(ValueError, match="subject 6 lacks them in 1 classes"):
+        P.refuse_missing(train, design)
+
+
+def test_first_known_values(spark):
+    df = spark.createDataFrame([(1, 2, None, "b"), (1, 1, None, None), (1, 3, "x", "c"), (None, 1, "y", None)], "k int, t int, a string, b string")
+    assert rows_of(SEL.first_known(df, ["k"], ["t"], ["a", "b"])) == sorted([(1, "x", "b"), (None, "y", None)], key=repr)
+    assert SEL.first_known(df.limit(0), ["k"], ["t"], ["a"]).count() == 0
+
+
+def test_top_fraction_takes_ids_of_any_type(spark):
+    rows = [(f"s{k:03d}", k % 2, 0.5 if k < 30 else 0.9) for k in range(50)]
+    named = spark.createDataFrame(rows, "series_id string, pred int, conf double")
+    numbers = named.withColumn("series_id", F.substring("series_id", 2, 3).cast("long"))
+    found = {int(r.series_id[1:]) for r in SEL.top_fraction_per_class(named, [], 0.5).collect()}
+    assert found == {r.series_id for r in SEL.top_fraction_per_class(numbers, [], 0.5).collect()} and len(found) == 26
+    assert {0, 1, 2, 3, 4, 5} <= found and set(range(30, 50)) <= found
+
+
 # --- features and fold profiles ----------------------------------------------------------------------
 
 
@@ -194,6 +231,8 @@ def test_window_features_of_several_lengths(spark):
         alone = FE.window_features(df.where(f"i = {i}"), 8.0).first()
         assert tuple(alone) == tuple(found[i]) and found[i][1] is not None
     assert all(v is None for i in (3, 5, 6, 7) for v in found[i][1:])
+    for r in FE.spectral_features(df, 8.0).where("i = 2").collect():
+        assert (r.domf, r.domp, r.spent) == tuple(found[2][f"{r.channel}_{s}"] for s in ("domf", "domp", "spent"))
 
 
 def test_fold_profiles_equal_medians_of_the_other_folds(spark):
