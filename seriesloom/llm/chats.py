@@ -166,20 +166,26 @@ def format_chats(turns: DataFrame, id_col: str, order_cols: list[str], role_col:
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """Add turns array<struct<role, text>> and learned array<string>, read from ``formatted`` and ``loss`` alone."""
-    df = chats.withColumn("_parts", F.split("formatted", CLOSE, -1))
-    df = df.withColumn("_parts", F.slice("_parts", F.lit(1), F.size("_parts") - 1))
-    df = df.withColumn("_starts", running(F.transform("_parts", lambda p: F.length(p) + len(CLOSE))))
+    """Add turns array<struct<role, text>> and learned array<string>, read from ``formatted`` and ``loss`` alone.
+
+    A null ``formatted`` gives null turns, a null ``loss`` null learned texts; an empty one no turns.  Repeated rows
+    and null ids: a row each.  Empty table: no rows.  Other columns pass through; an added column whose name is taken
+    gets an underscore.
+    """
+    parts, starts, turns_name, learned_name = (unused(x, chats) for x in ("_parts", "_starts", "turns", "learned"))
+    df = chats.withColumn(parts, F.split("formatted", CLOSE, -1))
+    df = df.withColumn(parts, F.slice(parts, F.lit(1), F.size(parts) - 1))
+    df = df.withColumn(starts, running(F.transform(parts, lambda p: F.length(p) + len(CLOSE))))
     header = rf"(?s)^{OPEN}(.*?){MIDDLE}"
     turns = F.transform(
-        "_parts",
+        parts,
         lambda p: F.struct(
             restored(F.regexp_extract(p, header, 1), ROLE_ESCAPES).alias("role"), restored(F.regexp_replace(p, header, "")).alias("text")
         ),
     )
-    text = lambda x, s: F.substr(F.element_at(x["_parts"], s["turn"] + 1), s["start"] - F.element_at(x["_starts"], s["turn"] + 1) + 1, s["length"])
-    masked = bound(F.struct("_parts", "_starts"), lambda x: F.transform("loss", lambda s: restored(text(x, s))))
-    return df.withColumns({"turns": turns, "learned": masked}).drop("_parts", "_starts")
+    text = lambda x, s: F.substr(F.element_at(x[parts], s["turn"] + 1), s["start"] - F.element_at(x[starts], s["turn"] + 1) + 1, s["length"])
+    masked = bound(F.struct(parts, starts), lambda x: F.transform("loss", lambda s: restored(text(x, s))))
+    return df.withColumns({turns_name: turns, learned_name: masked}).drop(parts, starts)
 
 
 def op9_chats(spark, sf_dir: str) -> DataFrame:

@@ -128,6 +128,18 @@ def test_chats_come_back(spark):
     assert chats.format_chats(df.limit(0), "conv_id", ["turn"]).count() == 0
 
 
+def test_chats_come_back_beside_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    whole = chats.format_chats(df, "conv_id", ["turn"])
+    empty = whole.withColumn("formatted", F.lit("")).withColumn("loss", F.when(F.lit(False), F.col("loss")))
+    none = whole.withColumn("formatted", F.lit(None).cast("string")).withColumn("loss", F.when(F.lit(False), F.col("loss")))
+    rows = whole.unionByName(empty).unionByName(none).withColumns({n: F.lit(n) for n in ("turns", "learned", "_parts", "_starts")})
+    found = chats.read_back(rows).collect()
+    assert all((r.turns, r.learned, r["_parts"], r["_starts"]) == ("turns", "learned", "_parts", "_starts") for r in found)
+    assert [r.learned_ for r in found] == [["b"], None, None] and [r.turns_ and len(r.turns_) for r in found] == [2, [], None]
+    assert chats.read_back(whole.limit(0)).count() == 0
+
+
 def test_layouts(spark):
     records = [
         '{"messages":[{"role":"user","content":"hi"},{"content":null,"role":"assistant"}]}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}',
