@@ -379,7 +379,8 @@ def simulated_training(spark, d):
     number = -(F.col("series_id") * COPIES + F.col("copy") + 1)  # a series id of its own
     copies = AU.augment_retime_scale(own, COPIES, 11, AD.FS, max_degrees=15.0).withColumn("series_id", number).select(*signals.columns)
     both = train.unionByName(AU.with_copies(train, COPIES).withColumn("series_id", number).drop("copy"))
-    windows = X.windows_of(signals).unionByName(X.windows_of(copies))
+    moved = materialize(lambda: X.windows_of(copies), spark, ("moved-windows", d, COPIES, str(D)))
+    windows = all_windows(spark, d).unionByName(moved)
     simulated = summary(X.scores_of(spark, d, windows, train=both, test=P.test_sets(bouts, roles, D))).where("role = 'new'")
     plain = summary(X.grid_scores(spark, d)).where("role = 'new'").select("n_team", "k", F.col("macro_f1").alias("plain_f1"))
     worth = ST.equivalent_x(simulated, plain.withColumnRenamed("n_team", "x"), ["k"], "x", "plain_f1", "macro_f1")
