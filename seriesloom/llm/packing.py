@@ -177,10 +177,50 @@ class Coder:
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer, self.runs, self.parts = tokenizer, Memo(), Memo()
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        #: Whether an id ends a word, by id; None where the tokenizer does not tell.
+        self.ends = None
+        if suffix:
+            vocabulary = tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
 
     def spell(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids of new parts; some at a time, as the tokenizer's own records of a part are large."""
-        sizes, ids = [], []
+        """Sizes and ids of new parts; some at a time, as the tokenizer's own records of a part are large.
+
+        Parts of letters only are one word each, so many go through the tokenizer as one text, and the ids that end
+        a word tell them apart.
+        """
+        plain = np.zeros(len(parts), bool)
+        if self.ends is not None:
+            plain = pc.match_substring_regex(parts, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        groups = [(np.flatnonzero(plain), self.spell_words), (np.flatnonzero(~plain), self.spell_each)]
+        found = [(at, *spell(parts.take(pa.array(at)))) for at, spell in groups]
+        sizes = np.zeros(len(parts), np.int32)
+        for at, n, _ in found:
+            sizes[at] = n
+        starts, out = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), np.uint32)
+        for at, n, ids in found:
+            out[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return sizes, out
+
+    def spell_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        sizes, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
+        for lo in range(0, len(words), 512):
+            some = words.slice(lo, 512)
+            own = np.array(self.tokenizer.encode_batch_fast([" ".join(some.to_pylist())], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[own])
+            if len(last) == len(some) and last[-1] == len(own) - 1:
+                sizes.append(np.diff(last, prepend=-1).astype(np.int32))
+                ids.append(own)
+            else:
+                n, own = self.spell_each(some)
+                sizes.append(n)
+                ids.append(own)
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def spell_each(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        sizes, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
         for lo in range(0, len(parts), 8192):
             found = [e.ids for e in self.tokenizer.encode_batch_fast(parts.slice(lo, 8192).to_pylist(), add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, found), np.int32, len(found)))

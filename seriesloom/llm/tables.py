@@ -31,17 +31,20 @@ def lean(task):
     Python workers live on after a task, so what they keep adds up over the steps of a job.
     """
 
+    def give_back():
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
     def run(batches):
         last = time.monotonic()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         for out in task(batches):
             yield out
             if time.monotonic() - last > 1:
-                pa.default_memory_pool().release_unused()
+                give_back()
                 last = time.monotonic()
-        pa.default_memory_pool().release_unused()
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return run
 
